@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality
+from . import quality, substrings
 from .common import table
 
 
@@ -15,8 +16,31 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *quality.STATS, "base_failed", "kept", "anomaly")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substrings.substring_dedup(table(spark, sf_dir, "documents"), joined=True)
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op5_quality_rules": op5_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), p AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS phrase FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)
+), dup AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY phrase) AS first FROM p) WHERE first < doc_id
+), gone AS (
+  SELECT doc_id, list(DISTINCT j) AS g FROM (SELECT doc_id, unnest(range(i, i + 50)) AS j FROM dup) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(g), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda j: g IS NULL OR NOT list_contains(g, j)), lambda j: w[j]), ' ')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": _OP1_SQL,
+}
