@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, packing, quality, setjoin, substrings
+from . import chat, fingerprints, langid, licenses, mixing, packing, pages, quality, setjoin, substrings
 from .common import table
 
 
@@ -36,6 +36,28 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("key")
+
+
+def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("key")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit_languages(docs))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = spark.createDataFrame([(-1, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    return chat.chat_digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(said))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -44,8 +66,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_document_fingerprints": op3_document_fingerprints,
+    "op4_license_scans": op4_license_scans,
     "op5_quality_rules": op5_quality_rules,
+    "op6_mixing_sources": op6_mixing_sources,
+    "op7_language_id": op7_language_id,
+    "op8_html_extraction": op8_html_extraction,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    "op10_chat_formatting": op10_chat_formatting,
 }
 
 _OP1_SQL = r"""
