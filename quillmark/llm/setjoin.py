@@ -12,10 +12,12 @@ it decides only which lists are scanned, never which links are found.
 Links are found exactly, but copies are never multiplied out:
 
 1. In each list every set is tried against one centre, the set with the most
-   common shingles. A parity bitmap bounds the symmetric difference from below,
-   so most false pairs end there; the best pair of a set is verified on the sets.
-2. Lists whose sets then lie in several components are compared in blocks of
-   bounded size, by bitmap, across components only. What passes is verified.
+   common shingles. Positions in the prefixes bound the overlap from above and a
+   parity bitmap bounds the symmetric difference from below, so most false pairs
+   end there; the best pair of a set is verified on the sets.
+2. The other pairs with centres, and lists whose other sets lie in several
+   components (compared in blocks of bounded size), go through the same bounds,
+   across components only. What passes is verified.
 
 Sets in one component after step 1 need no further links between them. All
 members of a list within one component cost nothing.
@@ -40,7 +42,7 @@ from .components import components
 SHINGLE = 5
 #: Counters of the sketch, in blocks of 2**14.
 _COUNTERS, _BLOCK = 1 << 20, 1 << 14
-_BITS = 2048
+_BITS = 1024
 #: Sets of more shingles are never light: their subsets are too many.
 _MAX_LIGHT = 12
 #: Sets in one block of a list.
@@ -83,7 +85,7 @@ def _set_hash(s: np.ndarray) -> int:
 
 
 def _bitmap(s: np.ndarray) -> bytes:
-    return np.packbits((np.bincount((s >> X.U64(53)).astype(np.int64), minlength=_BITS) & 1).astype(bool)).tobytes()
+    return np.packbits((np.bincount((s >> X.U64(54)).astype(np.int64), minlength=_BITS) & 1).astype(bool)).tobytes()
 
 
 def _texts(b: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -154,61 +156,55 @@ def _poster(levels: np.ndarray, x: int):
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Seen()
         for b in batches:
-            tokens, owners = [], []
+            tokens, owners, places = [], [], []
             for s in _texts(b):
                 n = len(s)
                 if not n or not seen.new(k := _set_hash(s)):
                     continue
                 level = levels[(s & X.U64(_COUNTERS - 1)).astype(np.int64)]
-                got = []
+                got, pos = [], []
                 if 4 * n >= 3 * (x + 1):
                     p = n - least_share(n) + 1
                     order = np.lexsort((s, level))[:p]
                     got.append(s[order])
+                    pos.append(np.arange(p))
                 if n <= x:
                     for c in light_sizes(n, x):
                         sub = s[np.array(list(combinations(range(n), c)), np.int64)]
                         got.append(X.mix(sub.sum(axis=1, dtype=X.U64) + X.U64(c * 0x632BE59BD9B4E019 & (1 << 64) - 1)))
+                        pos.append(np.zeros(len(sub), np.int64))
                 t = np.concatenate(got)
                 tokens.append(t)
+                places.append(np.concatenate(pos))
                 owners.append((k, n, -int(1000 * level.mean()), len(t)))
             o = np.array(owners, np.int64).reshape(-1, 4)
             rep = [pa.array(np.repeat(o[:, i], o[:, 3])) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*tokens, np.zeros(0, X.U64)]).view(np.int64)), rep[0], rep[1], rep[2]], ["token", "s", "n", "rank"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*tokens, np.zeros(0, X.U64)]).view(np.int64)), *rep, pa.array(np.concatenate([*places, np.zeros(0, np.int64)]))], ["token", "s", "n", "rank", "pos"])
 
     return post
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by token and rank: those of lists with two sets or more, each with its list's first set, the centre.
+    """Rows sorted by token and rank: those of lists with two sets or more, but the first (the centre), each with the centre.
 
-    Only the first row of the current list is kept between batches.
+    Only the centre and the last set of the current list are kept between batches.
     """
-    held = None  # token, s, n of the open list's centre; its last s; whether the centre was sent
+    held: tuple[np.ndarray, int] | None = None  # the centre of the open list (token, s, n, pos), the last s
     for b in batches:
         if not len(b):
             continue
-        t, s, n = (b.column(c).to_numpy() for c in ("token", "s", "n"))
+        rows = np.stack([b.column(c).to_numpy() for c in ("token", "s", "n", "pos")])
+        last = np.append(rows[1][0] if held is None else held[1], rows[1][:-1])
         if held is not None:
-            t, s, n = np.append(held[0], t), np.append(held[1], s), np.append(held[2], n)
-        first = np.flatnonzero(np.diff(t, prepend=t[0] - 1))
-        lengths = np.diff(first, append=len(t))
-        at = np.repeat(first, lengths)  # of each row's centre
-        other = s != s[at]
-        fresh = np.ones(len(t), bool)
-        fresh[1:] = (s[1:] != s[:-1]) | (t[1:] != t[:-1])
-        send = other & fresh
-        if held is not None and t[0] == held[0] and held[3] is not None and len(t) > 1 and t[1] == t[0]:
-            send[1] &= s[1] != held[3]
-        some = np.add.reduceat(other, first) > 0
-        centre = first[some]
-        if held is not None and held[4]:
-            centre = centre[centre != 0]
-        rows = np.concatenate([centre, np.flatnonzero(send)])
-        last = first[-1]
-        again = held is not None and last == 0
-        held = (t[last], s[last], n[last], s[-1] if len(t) - 1 > last else (held[3] if again else None), bool(some[-1]) or (again and held[4]))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (t[rows], s[rows], n[rows], s[at[rows]], n[at[rows]])], ["token", "s", "n", "c", "cn"])
+            rows, last = np.column_stack([held[0], rows]), np.append(held[0][1], last)
+        t, s = rows[0], rows[1]
+        first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+        at = np.repeat(first, np.diff(first, append=len(t)))  # of each row's centre
+        same_list = np.append(False, t[1:] == t[:-1])
+        send = np.flatnonzero((s != s[at]) & same_list & (s != last))
+        held = (rows[:, first[-1]], s[-1] if len(t) > 1 or held is None else held[1])
+        centre = rows[:, at[send]]
+        yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in rows[:, send]), *(pa.array(x) for x in centre[1:])], ["token", "s", "n", "pos", "c", "cn", "cpos"])
 
 
 def _near(a_bits: list[bytes], b_bits: list[bytes], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,7 +234,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = batches_left[0] if batches_left else None
         if not done:
             continue
-        s, n, comp, block = (whole.column(c).to_numpy() for c in ("s", "n", "comp", "block"))
+        s, n, pos, comp, block = (whole.column(c).to_numpy() for c in ("s", "n", "pos", "comp", "block"))
         bits = np.frombuffer(b"".join(whole.column("bits").slice(0, done).to_pylist()), X.U64).reshape(-1, _BITS // 64)
         left, right = [], []
         for a, z in zip(edges[:-1], edges[1:], strict=True):
@@ -250,7 +246,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not ok.any():
                     continue
                 k = np.flatnonzero(ok) + r + 1
-                k = k[4 * np.minimum(n[k], n[r]) >= 3 * np.maximum(n[k], n[r])]
+                most = 3 * (n[k] + n[r])
+                k = k[(7 * (n[k] - pos[k]) >= most) & (7 * (n[r] - pos[r]) >= most)]
                 d = np.bitwise_count(bits[k] ^ bits[r]).sum(axis=1, dtype=np.int64)
                 k = k[d <= n[k] + n[r] - 2 * required(n[k], n[r])]
                 left.append(np.full(len(k), s[r]))
@@ -321,24 +318,28 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     levels, mean_list = _levels(described)
     sizes = {r["n"]: r["count"] for r in classes.where(F.col("n") <= 4 * _MAX_LIGHT).groupBy("n").count().collect()}
     x = boundary(sizes, mean_list)
-    posted = docs.mapInArrow(_poster(levels, x), "token long, s long, n long, rank long")
-    lists = materialize(posted.repartition("token").sortWithinPartitions("token", "rank", "s").mapInArrow(_shared, "token long, s long, n long, c long, cn long"))
+    posted = docs.mapInArrow(_poster(levels, x), "token long, s long, n long, rank long, pos long")
+    lists = materialize(posted.repartition("token").sortWithinPartitions("token", "rank", "s").mapInArrow(_shared, "token long, s long, n long, pos long, c long, cn long, cpos long"))
 
+    # The first item that two similar sets share stands early in both: no later than the overlap they need allows.
     bits = classes.select("s", "bits")
-    tried = lists.where("s <> c AND 4 * least(n, cn) >= 3 * greatest(n, cn)").select("s", "n", "c", "cn").distinct()
-    near = tried.join(bits, "s").join(bits.select(F.col("s").alias("c"), F.col("bits").alias("cbits")), "c").mapInArrow(_sieve, "s long, c long, d long")
-    best = near.groupBy("s").agg(F.min(F.struct("d", "c")).alias("r")).select("s", "r.c")
+    tried = lists.where("7 * (n - pos) >= 3 * (n + cn) AND 7 * (cn - cpos) >= 3 * (n + cn)").select("s", "n", "c", "cn").distinct()
+    near = materialize(tried.join(bits, "s").join(bits.select(F.col("s").alias("c"), F.col("bits").alias("cbits")), "c").mapInArrow(_sieve, "s long, c long, d long"))
+    best = materialize(near.groupBy("s").agg(F.min(F.struct("d", "c")).alias("r")).select("s", "r.c"))
     links = _verified(best, docs, classes)
     first = materialize(components(links))
 
-    placed = lists.join(first.withColumnRenamed("node", "s"), "s", "left").select("token", "s", "n", F.coalesce("component", "s").alias("comp"))
-    placed = materialize(placed)
+    at = first.withColumnRenamed("node", "s")
+    rest = near.join(best, ["s", "c"], "left_anti").join(at, "s", "left").withColumn("comp", F.coalesce("component", "s")).select("s", "c", "comp")
+    rest = rest.join(at.select(F.col("s").alias("c"), F.col("component").alias("ccomp")), "c", "left").where(F.col("comp") != F.coalesce("ccomp", "c")).select("s", "c")
+    # Each set was tried against its list's centre; what is left are the others of a list among themselves.
+    placed = materialize(lists.join(at, "s", "left").select("token", "s", "n", "pos", F.coalesce("component", "s").alias("comp")))
     open_ = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("many")).where("lo <> hi").select("token", F.ceil(F.col("many") / _LIST_BLOCK).alias("nb"))
-    cells = placed.join(open_, "token").join(bits, "s").withColumn("block", F.pmod(F.xxhash64("s"), "nb"))
+    cells = placed.join(materialize(open_), "token").join(bits, "s").withColumn("block", F.pmod(F.xxhash64("s"), "nb"))
     cells = cells.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-    cells = cells.select("token", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "s", "n", "comp", "block", "bits")
+    cells = cells.select("token", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "s", "n", "pos", "comp", "block", "bits")
     more = cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "s").mapInArrow(_blocks, "s long, c long")
-    more = more.select(F.least("s", "c").alias("s"), F.greatest("s", "c").alias("c")).distinct()
+    more = more.unionByName(rest).select(F.least("s", "c").alias("s"), F.greatest("s", "c").alias("c")).distinct()
     links = _verified(more, docs, classes).unionByName(first.select(F.col("node").alias("a"), F.col("component").alias("b")))
 
     whole = classes.select("s", "least").join(components(links).withColumnRenamed("node", "s"), "s", "left").withColumn("component", F.coalesce("component", "s"))
