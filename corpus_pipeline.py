@@ -37,8 +37,9 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     stay = some.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("r")).select("r.doc_id", "r.key")
     stay = stay.unionByName(found.where("n_shingles = 0").select("doc_id", "key"))
     kept = _deciding(docs, stay, F.hash(F.coalesce("text", F.lit(""))))
-    plain = [c for c, kind in docs.dtypes if not kind.startswith("map")]
-    return kept.dropDuplicates(plain)  # repeated rows are one document
+    if found.groupBy("doc_id", "key").count().where("count > 1").limit(1).count():  # repeated rows are one document
+        kept = kept.dropDuplicates([c for c, kind in docs.dtypes if not kind.startswith("map")])
+    return kept
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
