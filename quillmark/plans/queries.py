@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions import dims, text, urls
-from quillmark.operators import crosspage, quota, reports, runs, scoring
+from quillmark.operators import crawl, crosspage, extract, quota, reports, runs, scoring
 from quillmark.sources.views import oracle, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -300,3 +300,50 @@ _add(
     "event_progress", _of(lambda t: quota.progress(t.raw("events").select(F.col("user_id").alias("scan_id"), F.col("event_type").alias("kind")))),
     "SELECT user_id AS scan_id, count(*) FILTER (event_type = 'error') AS errored, count(*) FILTER (event_type <> 'error') AS crawled FROM events GROUP BY user_id",
 )
+
+
+# Extraction and crawl planning
+def _signals(t: _Tables) -> DataFrame:
+    return extract.extract_signals(t.raw("pages"))
+
+
+_add("page_findings", _of(lambda t: extract.page_findings(_signals(t))))
+_add("link_occurrences", _of(lambda t: extract.link_occurrences(_signals(t))))
+_add(
+    "language_of_pages", _of(lambda t: _signals(t).groupBy("lang").agg(F.count("*").alias("pages"), F.count_if(F.col("meta_description").isNull()).alias("without_meta"))),
+    """SELECT regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, count(*) AS pages, count(*) FILTER (NOT contains(html, 'name="description"')) AS without_meta FROM pages GROUP BY 1""",
+)
+
+
+def _graph(t: _Tables) -> DataFrame:
+    return t.raw("lineitem").select(F.concat(F.lit("u"), F.col("l_partkey") % 500).alias("src"), F.concat(F.lit("u"), (F.col("l_suppkey") * 13 + F.col("l_linenumber")) % 500).alias("dst"))
+
+
+_add(
+    "crawl_depth", _of(lambda t: crawl.crawl_depth(_graph(t), t.spark.sql("SELECT concat('u', n_nationkey) AS url FROM {n} WHERE n_nationkey < 3", n=t.raw("nation")), 3)),
+    """WITH RECURSIVE e AS (SELECT DISTINCT 'u' || (l_partkey % 500) AS src, 'u' || ((l_suppkey * 13 + l_linenumber) % 500) AS dst FROM lineitem),
+    w AS (SELECT 'u' || n_nationkey AS url, 0 AS depth FROM nation WHERE n_nationkey < 3 UNION SELECT dst, depth + 1 FROM w JOIN e ON src = url WHERE depth < 3)
+    SELECT url, min(depth) AS depth FROM w GROUP BY url""",
+)
+_add(
+    "admit_links", _of(lambda t: crawl.admit_links(t.pages.select(F.col("site_id").alias("site"), "url", "depth"), t.pages.where("run_year = 1995").select(F.col("site_id").alias("site"), "url"), 3, 20)),
+    _with(views=("pages",)) + "SELECT site, url, depth, rank FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY depth, url) AS rank FROM (SELECT site_id AS site, url, min(depth) AS depth FROM v_pages WHERE depth <= 3 AND url NOT IN (SELECT url FROM v_pages WHERE run_year = 1995) GROUP BY ALL)) WHERE rank <= 20",
+)
+_add(
+    "match_site", _of(lambda t: crawl.match_site(t.runs.select("scan_id", F.upper("root_url").alias("root_url")), t.sites).select("scan_id", "matched_site")),
+    _with(views=("sites", "runs")) + "SELECT r.scan_id, s.site_id AS matched_site FROM v_runs r JOIN v_sites s ON r.root_url = s.root_url",
+)
+_add(
+    "fetch_plan", _of(lambda t: crawl.fetch_plan(t.raw("events").select(F.col("user_id").alias("host"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("at"), F.col("event_id").alias("id")), 3600.0)),
+    "SELECT host, at, id, max(at - n * 3600) OVER (PARTITION BY host ORDER BY at, id ROWS UNBOUNDED PRECEDING) + n * 3600 AS start FROM (SELECT user_id AS host, floor(epoch(ts)) AS at, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) - 1 AS n FROM events)",
+)
+_add(
+    "sitemap_urls", _of(lambda t: crawl.sitemap_urls(
+        t.raw("pages").select(urls.host_key(F.col("url")).alias("site"), F.concat(F.lit("sm"), F.col("page_id") % 3).alias("url"), F.concat(F.lit("<urlset><url><loc>"), F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("</loc></url></urlset>")).alias("body")),
+        t.raw("pages").select(urls.host_key(F.col("url")).alias("site"), F.lit("sm1").alias("url")).distinct())),
+    f"SELECT DISTINCT {_HOSTKEY} AS site, url FROM pages WHERE page_id % 3 = 1",
+)
+_add(
+    "robots_allowed", _of(lambda t: crawl.robots_allowed(t.raw("pages").select(urls.host_key(F.col("url")).alias("host"), "url").distinct(), t.raw("pages").select(urls.host_key(F.col("url")).alias("host"), F.lit("User-agent: *\nDisallow: /fr/\n").alias("body")).where("host < 'm'").distinct())),
+    f"SELECT DISTINCT host, url, NOT (host < 'm' AND regexp_matches(url, '^[a-z]+://[^/]*/fr/')) AS allowed FROM (SELECT url, {_HOSTKEY} AS host FROM pages)",
+)
