@@ -335,7 +335,7 @@ _add(
 )
 _add(
     "fetch_plan", _of(lambda t: crawl.fetch_plan(t.raw("events").select(F.col("user_id").alias("host"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("at"), F.col("event_id").alias("id")), 3600.0)),
-    "SELECT host, at, id, max(at - n * 3600) OVER (PARTITION BY host ORDER BY at, id ROWS UNBOUNDED PRECEDING) + n * 3600 AS start FROM (SELECT user_id AS host, floor(epoch(ts)) AS at, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) - 1 AS n FROM events)",
+    "SELECT host, \"at\", id, max(\"at\" - n * 3600) OVER (PARTITION BY host ORDER BY \"at\", id ROWS UNBOUNDED PRECEDING) + n * 3600 AS start FROM (SELECT user_id AS host, floor(epoch(ts)) AS \"at\", event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) - 1 AS n FROM events)",
 )
 _add(
     "sitemap_urls", _of(lambda t: crawl.sitemap_urls(
