@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions import dims, text, urls
-from quillmark.operators import crawl, crosspage, extract, quota, reports, runs, scoring
+from quillmark.operators import compliance, crawl, crosspage, extract, quota, reports, runs, scoring
 from quillmark.sources.views import oracle, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -347,3 +347,4 @@ _add(
     "robots_allowed", _of(lambda t: crawl.robots_allowed(t.raw("pages").select(urls.host_key(F.col("url")).alias("host"), "url").distinct(), t.raw("pages").select(urls.host_key(F.col("url")).alias("host"), F.lit("User-agent: *\nDisallow: /fr/\n").alias("body")).where("host < 'm'").distinct())),
     f"SELECT DISTINCT host, url, NOT (host < 'm' AND regexp_matches(url, '^[a-z]+://[^/]*/fr/')) AS allowed FROM (SELECT url, {_HOSTKEY} AS host FROM pages)",
 )
+_add("compliance_findings", _of(lambda t: compliance.compliance_findings(_signals(t), 2024)))
