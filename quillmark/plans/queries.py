@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions import dims, text, urls
-from quillmark.operators import compliance, crawl, crosspage, extract, quota, reports, runs, scoring
+from quillmark.operators import compliance, crawl, crosspage, extract, quota, reports, runs, scoring, spelling
 from quillmark.sources.views import oracle, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -348,3 +348,19 @@ _add(
     f"SELECT DISTINCT host, url, NOT (host < 'm' AND regexp_matches(url, '^[a-z]+://[^/]*/fr/')) AS allowed FROM (SELECT url, {_HOSTKEY} AS host FROM pages)",
 )
 _add("compliance_findings", _of(lambda t: compliance.compliance_findings(_signals(t), 2024)))
+
+
+def _as_pages(t: _Tables) -> DataFrame:
+    return t.raw("documents").select(F.col("doc_id").alias("page_id"), "text")
+
+
+_STOP = [("en", "the and of that with"), ("fr", "le la les et des"), ("de", "der die und das ist"), ("es", "el los que una las")]
+_STOP_ROWS = [(k, w) for k, ws in _STOP for w in ws.split()]
+_add("spelling_tokens", _of(lambda t: spelling.spelling_tokens(_as_pages(t))))
+_add("spelling_findings", _of(lambda t: spelling.spelling_findings(spelling.spelling_tokens(_as_pages(t)), spelling.classify_words(spelling.spelling_tokens(_as_pages(t)), spelling.corpus_dictionary(t.raw("documents"), 3)))))
+_add(
+    "detect_language", _of(lambda t: spelling.detect_language(t.raw("documents").select(F.col("doc_id").alias("id"), "text"), t.spark.createDataFrame(_STOP_ROWS, "lang string, word string"))),
+    rf"""WITH w AS (SELECT doc_id AS id, unnest(regexp_split_to_array(lower(substr(coalesce(text, ''), 1, 2000)), '[^\p{{L}}]+')) AS word FROM documents), s AS ({dims.values_sql(_STOP_ROWS, 'lang, word')}),
+    h AS (SELECT id, lang, count(*) AS n FROM w JOIN s USING (word) GROUP BY id, lang)
+    SELECT doc_id AS id, coalesce((SELECT lang FROM h WHERE h.id = doc_id ORDER BY n DESC, lang DESC LIMIT 1), 'en-US') AS lang FROM documents""",
+)
