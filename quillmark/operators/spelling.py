@@ -35,7 +35,7 @@ def classify_words(words: DataFrame, dictionary: DataFrame, custom: DataFrame |
     """
     known = dictionary.select(F.col("word").alias("k"), F.lit(True).alias("is_known"))
     w = words.groupBy("word").agg(F.bool_and(F.upper("token") == F.col("token")).alias("capitals"))
-    stems = F.array_distinct(F.array(*[F.regexp_replace("word", e + "$", "") for e in ("'s", "s", "es", "ed", "ing", "ly")], F.concat(F.regexp_replace("word", "(ed|ing)$", ""), F.lit("e"))))
+    stems = F.array_distinct(F.array(*[F.regexp_replace("word", e + "$", "") for e in ("'s", "s", "es", "ed", "ing", "ly")], F.regexp_replace("word", "(ed|ing)$", "e")))
     rows = w.join(known, w["word"] == known["k"], "left").drop("k")
     stem = w.select("word", F.explode(stems).alias("s")).where("s <> word AND length(s) > 2").join(known, F.col("s") == F.col("k")).select("word").distinct().withColumn("is_stem", F.lit(True))
     rows = rows.join(stem, "word", "left")
