@@ -49,6 +49,10 @@ _NAMES = re.compile(
     re.I,
 )
 
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+#: An article's own header holds its title.
+_OWN_HEADER = re.compile(r"(?:article|entry|post|story|content|page)[_-]?header|^header$")
+
 ARTICLE, BOILER = 1, 2
 
 
@@ -61,13 +65,13 @@ def _marks(name: str, attrs: str, inside: int) -> int | None:
         bits |= BOILER
     if attrs:
         for key, a, b, c in _ATTR.findall(attrs):
-            key, v = key.lower(), (a or b or c).lower()
+            key, v = key.lower(), _CAMEL.sub("-", a or b or c).lower()
             if key == "hidden" or key == "aria-hidden" and v == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v):
                 return None
             if key == "role":
                 bits |= ARTICLE if v in ("main", "article") else BOILER if v in _ROLES else 0
             elif key in ("class", "id") and name not in ("html", "body", "article", "main") and _NAMES.search(v):
-                bits |= BOILER
+                bits |= 0 if inside & ARTICLE and _OWN_HEADER.search(v) else BOILER
             elif key in ("class", "id") and name == "article" and re.search(r"comment|repl(?:y|ies)", v):
                 bits |= BOILER
     return bits
