@@ -38,6 +38,7 @@ def shared_folder(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
+    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of finished steps
     path = f"{shared_folder(spark)}/quillmark-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _scratch.append((spark, path))

@@ -178,8 +178,9 @@ def _poster(levels: np.ndarray, x: int):
                 places.append(np.concatenate(pos))
                 owners.append((k, n, -int(1000 * level.mean()), len(t)))
             o = np.array(owners, np.int64).reshape(-1, 4)
-            rep = [pa.array(np.repeat(o[:, i], o[:, 3])) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*tokens, np.zeros(0, X.U64)]).view(np.int64)), *rep, pa.array(np.concatenate([*places, np.zeros(0, np.int64)]))], ["token", "s", "n", "rank", "pos"])
+            s, n, rank = (np.repeat(o[:, i], o[:, 3]) for i in range(3))
+            at = n << 32 | np.concatenate([*places, np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*tokens, np.zeros(0, X.U64)]).view(np.int64)), pa.array(s), pa.array(rank), pa.array(at)], ["token", "s", "rank", "at"])
 
     return post
 
@@ -187,24 +188,42 @@ def _poster(levels: np.ndarray, x: int):
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by token and rank: those of lists with two sets or more, but the first (the centre), each with the centre.
 
-    Only the centre and the last set of the current list are kept between batches.
+    ``alone`` marks the only other set of a list. Between batches only the centre,
+    the last set and a row not yet known to be alone are kept.
     """
-    held: tuple[np.ndarray, int] | None = None  # the centre of the open list (token, s, n, pos), the last s
+    names = ["token", "s", "n", "pos", "c", "cn", "cpos", "alone"]
+    centre, last_s, wait, sent = None, None, None, 0  # of the open list: first row, last s, the row held back, rows sent
+
+    def batch(rows: np.ndarray, c: np.ndarray, alone: np.ndarray) -> pa.RecordBatch:
+        part = lambda x: (x >> 32, x & 0xFFFFFFFF)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (rows[0], rows[1], *part(rows[2]), c[1], *part(c[2]), alone)], names)
+
     for b in batches:
         if not len(b):
             continue
-        rows = np.stack([b.column(c).to_numpy() for c in ("token", "s", "n", "pos")])
-        last = np.append(rows[1][0] if held is None else held[1], rows[1][:-1])
-        if held is not None:
-            rows, last = np.column_stack([held[0], rows]), np.append(held[0][1], last)
+        rows = np.stack([b.column(k).to_numpy() for k in ("token", "s", "at")])
+        prev = np.append(rows[1][0] if centre is None else last_s, rows[1][:-1])
+        if centre is not None:
+            rows, prev = np.column_stack([centre, rows]), np.append(centre[1], prev)
         t, s = rows[0], rows[1]
         first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-        at = np.repeat(first, np.diff(first, append=len(t)))  # of each row's centre
-        same_list = np.append(False, t[1:] == t[:-1])
-        send = np.flatnonzero((s != s[at]) & same_list & (s != last))
-        held = (rows[:, first[-1]], s[-1] if len(t) > 1 or held is None else held[1])
-        centre = rows[:, at[send]]
-        yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in rows[:, send]), *(pa.array(x) for x in centre[1:])], ["token", "s", "n", "pos", "c", "cn", "cpos"])
+        which = np.cumsum(np.append(False, t[1:] != t[:-1]))  # the list of each row
+        send = np.flatnonzero((s != s[first[which]]) & np.append(False, t[1:] == t[:-1]) & (s != prev))
+        got, c, group = rows[:, send], rows[:, first[which[send]]], which[send]
+        if wait is not None:
+            got, c, group = np.column_stack([wait, got]), np.column_stack([rows[:, 0], c]), np.append(0, group)
+        many = np.bincount(group, minlength=len(first))
+        if centre is not None:
+            many[0] += sent
+        open_ = len(first) - 1
+        sent = (sent if open_ == 0 and centre is not None else 0) + int(np.count_nonzero(group == open_))
+        hold = (group == open_) & (many[open_] == 1)
+        wait = got[:, hold] if hold.any() else None
+        sent -= int(hold.sum())
+        centre, last_s = rows[:, first[-1]], s[-1] if len(t) > 1 or last_s is None else last_s
+        yield batch(got[:, ~hold], c[:, ~hold], many[group[~hold]] == 1)
+    if wait is not None:
+        yield batch(wait, centre.reshape(-1, 1), np.ones(1, bool))
 
 
 def _near(a_bits: list[bytes], b_bits: list[bytes], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -267,12 +286,14 @@ def _closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sets of the documents, 48 bits for each shingle."""
+    """The sets of the documents, 48 bits for each shingle; repeated rows once in a task."""
+    seen = _Seen()
     for b in batches:
         keys, packed = [], []
         for s in _texts(b):
-            keys.append(_set_hash(s))
-            packed.append((s >> X.U64(32)).astype("<u4").tobytes() + ((s >> X.U64(16)) & X.U64(0xFFFF)).astype("<u2").tobytes())
+            if seen.new(k := _set_hash(s)):
+                keys.append(k)
+                packed.append((s >> X.U64(32)).astype("<u4").tobytes() + ((s >> X.U64(16)) & X.U64(0xFFFF)).astype("<u2").tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(packed, pa.binary())], ["s", "set"])
 
 
@@ -296,7 +317,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
     pairs = materialize(pairs.select("s", "c"))
     need = materialize(pairs.select("s").union(pairs.select("c")).distinct().join(classes.select("s", "doc_id", "key"), "s").select("doc_id", "key"))
     rows = docs.withColumn("_k", F.xxhash64("doc_id", "key"))
-    sets = materialize(semi(rows, need.select(F.xxhash64("doc_id", "key").alias("_k")), "_k", need.count()).mapInArrow(_pack, "s long, set binary").dropDuplicates(["s"]))
+    sets = materialize(semi(rows, need.select(F.xxhash64("doc_id", "key").alias("_k")), "_k", need.count()).mapInArrow(_pack, "s long, set binary"))
     other = sets.select(F.col("s").alias("c"), F.col("set").alias("cset"))
     return materialize(pairs.join(sets, "s").join(other, "c").mapInArrow(_verify, "a long, b long"))
 
@@ -318,8 +339,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     levels, mean_list = _levels(described)
     sizes = {r["n"]: r["count"] for r in classes.where(F.col("n") <= 4 * _MAX_LIGHT).groupBy("n").count().collect()}
     x = boundary(sizes, mean_list)
-    posted = docs.mapInArrow(_poster(levels, x), "token long, s long, n long, rank long, pos long")
-    lists = materialize(posted.repartition("token").sortWithinPartitions("token", "rank", "s").mapInArrow(_shared, "token long, s long, n long, pos long, c long, cn long, cpos long"))
+    posted = docs.mapInArrow(_poster(levels, x), "token long, s long, rank long, at long")
+    lists = materialize(posted.repartition("token").sortWithinPartitions("token", "rank", "s").mapInArrow(_shared, "token long, s long, n long, pos long, c long, cn long, cpos long, alone boolean"))
 
     # The first item that two similar sets share stands early in both: no later than the overlap they need allows.
     bits = classes.select("s", "bits")
@@ -333,7 +354,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     rest = near.join(best, ["s", "c"], "left_anti").join(at, "s", "left").withColumn("comp", F.coalesce("component", "s")).select("s", "c", "comp")
     rest = rest.join(at.select(F.col("s").alias("c"), F.col("component").alias("ccomp")), "c", "left").where(F.col("comp") != F.coalesce("ccomp", "c")).select("s", "c")
     # Each set was tried against its list's centre; what is left are the others of a list among themselves.
-    placed = materialize(lists.join(at, "s", "left").select("token", "s", "n", "pos", F.coalesce("component", "s").alias("comp")))
+    placed = materialize(lists.where("NOT alone").join(at, "s", "left").select("token", "s", "n", "pos", F.coalesce("component", "s").alias("comp")))
     open_ = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("many")).where("lo <> hi").select("token", F.ceil(F.col("many") / _LIST_BLOCK).alias("nb"))
     cells = placed.join(materialize(open_), "token").join(bits, "s").withColumn("block", F.pmod(F.xxhash64("s"), "nb"))
     cells = cells.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))

@@ -211,3 +211,24 @@ def test_licenses(spark):
     name = {r.doc_id: r.license for r in got}
     assert name == {1: "Apache-2.0", 2: "MIT", 3: "none", 4: "none", 5: "none", None: "Proprietary", 6: "CC-BY-NC-4.0"}
     assert all(r.confirmed == (r.license != "none") for r in got)
+
+
+def test_shared_rows_across_batches():
+    import pyarrow as pa
+
+    for seed in range(200):
+        rng = random.Random(seed)
+        rows = sorted((rng.randint(0, 12), rng.randint(0, 3), rng.randint(0, 6)) for _ in range(rng.randint(0, 60)))
+        t, s = (np.array([r[k] for r in rows], np.int64) for k in (0, 2))
+        batches, i = [], 0
+        while i < len(rows):
+            j = i + rng.randint(1, 7)
+            batches.append(pa.RecordBatch.from_arrays([pa.array(t[i:j]), pa.array(s[i:j]), pa.array((s[i:j] + 10 << 32) | s[i:j])], ["token", "s", "at"]))
+            i = j
+        got = sorted(tuple(r.values()) for b in setjoin._shared(iter(batches)) for r in b.to_pylist())
+        want = []
+        for token in sorted(set(t.tolist())):
+            of = s[t == token].tolist()
+            others = [x for x, before in zip(of[1:], of, strict=False) if x not in (of[0], before)]
+            want += [(token, x, x + 10, x, of[0], of[0] + 10, of[0], len(others) == 1) for x in others]
+        assert got == sorted(want)
