@@ -232,3 +232,18 @@ def test_shared_rows_across_batches():
             others = [x for x, before in zip(of[1:], of, strict=False) if x not in (of[0], before)]
             want += [(token, x, x + 10, x, of[0], of[0] + 10, of[0], len(others) == 1) for x in others]
         assert got == sorted(want)
+
+
+def test_encoder_equals_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    tok.encode_special_tokens = True
+    rng = random.Random(1)
+    signs = "abcdefghijABC éÉßüÑñ'st.!?,*#123 \x1cİΣσ汉字<|>-́ \n"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 80))) for _ in range(3000)]
+    texts += ["<|endoftext|> x<|startoftext|>", "it's they're 'S 'T", "ẞǅ ﬁne", "x" * 500, ""]
+    enc = packing.Encoder(tokenizer_path())
+    enc.KEEP = 2000  # words are forgotten on the way
+    got = [x for i in range(0, len(texts), 100) for x in enc.encode([t.encode() for t in texts[i : i + 100]])]
+    assert got == [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
