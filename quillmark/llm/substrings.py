@@ -174,10 +174,12 @@ def duplicate_spans(docs: DataFrame) -> DataFrame:
     shared = materialize(shared)  # so that both sides of the join are exchanged for it, and a hot anchor can be split
     blocks = known.mapInArrow(_emit_blocks, "anchor long, block long, doc_id long, key int, start int, n int")
     blocks = materialize(blocks.join(shared, "anchor"))
-    first = materialize(blocks.groupBy("anchor", "block").agg(F.min(F.struct("doc_id", "key", "start", "n")).alias("r")))
-    whole = blocks.join(first.select("anchor", "block", F.col("r.doc_id").alias("d0")), ["anchor", "block"]).where("doc_id > d0").select("doc_id", "key", "start", "n")
+    first = materialize(blocks.groupBy("anchor", "block").agg(F.min("doc_id").alias("d0")))
+    tied = materialize(blocks.join(first, ["anchor", "block"]).select("anchor", "doc_id", "key", "start", "n", (F.col("doc_id") > F.col("d0")).alias("again")))
+    whole = tied.where("again").select("doc_id", "key", "start", "n")
     mixed = materialize(first.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"))
-    finer = first.join(mixed, "anchor").select("r.*").groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    # every occurrence in the block's first document: a phrase of each may be in an earlier block of other content
+    finer = tied.where("NOT again").join(mixed, "anchor").groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     phrases = materialize(docs.join(finer, ["doc_id", "key"]).mapInArrow(_emit_phrases, "phrase long, doc_id long, key int, start int"))
     again = materialize(phrases.groupBy("phrase").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("d0 < d1"))
     parts = phrases.join(again, "phrase").where("doc_id > d0").select("doc_id", "key", "start", F.lit(1).alias("n"))

@@ -53,6 +53,19 @@ def test_substring_dedup(docs):
     assert own <= Counter(_rows(docs))
 
 
+def test_substring_dedup_of_blocks_that_one_document_repeats(spark):
+    rng = random.Random(7)
+    part = lambda k: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(k))
+    rows = []
+    for i in range(0, 20, 10):
+        a, b, c, x = part(80), part(70), part(70), part(80)
+        p = part(rng.choice([60, 60, 90, 150]))
+        rows += [(i, f"{a} {p} {x}"), (i + 1, f"{b} {p} {c} {b} {p} {c}"), (i + 2, f"{x} {p} {a}"), (i + 2, f"{b} {p} {c}"), (i + 2, f"{c} {b} {p} {c} {b} {p} {c} {b} {p}")]
+        rows += [(i + 1, f"{b} {p} {c} tail")]  # another text under one id
+    got = [(r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in substrings.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), joined=True).collect()]
+    assert _sorted(got) == _sorted(brute.substring_dedup(rows))
+
+
 def test_jaccard_join(docs):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in setjoin.similar_documents(docs).collect()]
     assert _sorted(got) == _sorted(brute.jaccard_components(_rows(docs)))
