@@ -7,7 +7,8 @@ shared lines are deleted: what a site repeats is not the article.
 
 Differencing alone is not right on every page, so the markup has a say too. Lines
 in menus, headers, footers, sidebars, forms, notices, adverts and comments go even
-if the partner lacks them; lines inside ``article`` or ``main`` stay even if the
+if the partner lacks them (not those in a form around the whole page, nor in a layout
+that is named after its sidebar or header); lines inside ``article`` or ``main`` stay even if the
 partner quotes the same passage; a page that has such an element is that element.
 """
 
@@ -32,9 +33,9 @@ _TAG = re.compile(
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
 
-_RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "template"}
-_DROP = {"head", "svg", "math", "select", "button", "object", "audio", "video", "canvas", "datalist"}
-_BOILER = {"nav", "footer", "aside", "form", "menu", "dialog"}
+_RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "template", "annotation", "annotation-xml"}
+_DROP = {"head", "svg", "select", "button", "object", "audio", "video", "canvas", "datalist"}
+_BOILER = {"nav", "footer", "aside", "menu", "dialog"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup "
@@ -53,14 +54,20 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: An article's own header holds its title.
 _OWN_HEADER = re.compile(r"(?:article|entry|post|story|content|page)[_-]?header|^header$")
 
-ARTICLE, BOILER = 1, 2
+#: Names of layouts, which hold the article: what the page has beside it is not what they are.
+_LAYOUT = re.compile(r"(?:^|[_-])(?:has|no|with|without)[_-](?!comment)|(?:^|[_-])layout(?:[_-]|$)|^content[_-]sidebar")
+#: Elements that a form around the whole page holds, and a form to fill in does not.
+_PARTS = {"nav", "aside", "main", "article"}
+
+#: FORM: in a form, outside any article of its own; becomes BOILER unless the form holds the whole page.
+ARTICLE, BOILER, FORM = 1, 2, 4
 
 
 def _marks(name: str, attrs: str, inside: int) -> int | None:
     """ARTICLE and BOILER bits of an element, None to drop its content."""
     if name in _DROP:
         return None
-    bits = ARTICLE if name in ("article", "main") else 0
+    bits = ARTICLE if name in ("article", "main") else FORM if name == "form" else 0
     if name in _BOILER or name == "header" and not inside & ARTICLE:
         bits |= BOILER
     if attrs:
@@ -70,7 +77,7 @@ def _marks(name: str, attrs: str, inside: int) -> int | None:
                 return None
             if key == "role":
                 bits |= ARTICLE if v in ("main", "article") else BOILER if v in _ROLES else 0
-            elif key in ("class", "id") and name not in ("html", "body", "article", "main") and _NAMES.search(v):
+            elif key in ("class", "id") and name not in ("html", "body", "article", "main", "form") and _NAMES.search(v := " ".join(x for x in v.split() if not _LAYOUT.search(x))):
                 bits |= 0 if inside & ARTICLE and _OWN_HEADER.search(v) else BOILER
             elif key in ("class", "id") and name == "article" and re.search(r"comment|repl(?:y|ies)", v):
                 bits |= BOILER
@@ -83,18 +90,24 @@ def lines(html: str) -> list[tuple[str, int]]:
     stack: list[tuple[str, int | None]] = []
     text: list[str] = []
     now: int | None = 0
+    forms: list[int] = []  # the innermost form of each line, 0 for none
+    open_forms: list[tuple[int, int]] = []  # depth in the stack and number
+    n_forms, wide = 0, set()
 
     def end_block() -> None:
         if text:
             line = _SPACE.sub(" ", "".join(text)).strip()
             if line and now is not None:
                 out.append((line, now))
+                forms.append(open_forms[-1][1] if open_forms else 0)
             text.clear()
 
     def pop_to(depth: int) -> None:
         nonlocal now
         end_block()
         del stack[depth:]
+        while open_forms and open_forms[-1][0] >= depth:
+            open_forms.pop()
         now = stack[-1][1] if stack else 0
 
     at = 0
@@ -133,12 +146,19 @@ def lines(html: str) -> list[tuple[str, int]]:
         if name in _BLOCK or bits is None or bits:
             if name not in _BLOCK and bits is not None and bits & BOILER or bits is None:
                 end_block()
-            stack.append((name, None if bits is None else (now or 0) | bits))
+            if name in _PARTS and open_forms:
+                wide.add(open_forms[-1][1])
+            if name == "form" and bits is not None:
+                n_forms += 1
+                open_forms.append((len(stack), n_forms))
+            stack.append((name, None if bits is None else ((now or 0) & ~FORM if bits & ARTICLE else now or 0) | bits))
             now = stack[-1][1]
     if at < len(html) and now is not None:
         text.append(entities.unescape(html[at:]))
     end_block()
-    return out
+    if not any(not bits & BOILER and (not bits & FORM or f in wide) for (_, bits), f in zip(out, forms, strict=True)):  # nothing but forms
+        wide |= {f for (_, bits), f in zip(out, forms, strict=True) if bits & BOILER}
+    return [(t, bits & ~FORM | (BOILER if bits & FORM and f not in wide else 0)) for (t, bits), f in zip(out, forms, strict=True)]
 
 
 def _rows_of_bits(a: list[int], b: list[int]) -> list[int]:

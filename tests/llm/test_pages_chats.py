@@ -15,6 +15,26 @@ def test_lines_and_marks():
     assert pages.lines("") == [] and pages.main_text([], []) == ""
 
 
+@pytest.mark.parametrize("name", ["has-sidebar", "no-sidebar", "with-header", "page-with-sidebar", "hasSidebar", "content-sidebar-wrap", "layout-sidebar"])
+def test_layout_names_are_content(name):
+    got = pages.lines(f"<div class='wide {name}'><nav>m</nav><article><h1>A</h1><p>one</article><div class='sidebar'>s</div><aside><article>teaser</article></aside></div>")
+    assert pages.main_text(got, []) == "A\none"
+
+
+def test_forms_around_the_page_are_content():
+    assert pages.main_text(pages.lines("<form id=aspnetForm><div id=header>h</div><article>one<form>reply</form></article></form>"), []) == "one"
+    assert pages.main_text(pages.lines("<form><nav>m</nav><p>one<div class=footer>f</div></form>"), []) == "one"
+    assert pages.main_text(pages.lines("<form><div id=header>h</div><p>one<div class=footer>f</div></form>"), []) == "one"
+    assert pages.main_text(pages.lines("<p>one</p><form class=search>find<input></form><form>log in</form><div class=comments><form>say</form></div>"), []) == "one"
+    assert pages.main_text(pages.lines("<form>log in</form>"), []) == ""
+    assert pages.main_text(pages.lines("<div class=comments><article>c</article></div><p>one"), []) == "one"
+
+
+def test_math_is_text():
+    got = pages.lines("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds</article>")
+    assert pages.main_text(got, []) == "so x=2 holds"
+
+
 def test_shared_lines_go_without_an_article():
     page = pages.lines("<div>menu</div><div>only here</div><div>bottom</div>")
     other = [pages._hash(t) for t, _ in pages.lines("<div>menu</div><div>another</div><div>bottom</div>")]
