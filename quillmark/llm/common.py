@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import functools
+import re
 import tempfile
 import uuid
 
@@ -18,7 +19,10 @@ from pyspark.sql import Window as W
 #: A side is broadcast only if its measured size is below this many bytes.
 BROADCAST_BYTES = 24 * 1024 * 1024
 
-_scratch: list[tuple[SparkSession, str]] = []
+#: Deletes the shuffle files of a finished execution at once, not whenever the driver collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+_scratch: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,28 +35,49 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that every executor sees; a local one only if the session names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _own_folder()
+    """The folder that every executor sees. Only a local session may do without one: it gets a temporary folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return named or _own_folder()
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The shuffle files of the write go as soon as it ends; the table goes with ``drop`` or ``release``.
+    """
     spark = df.sparkSession
-    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of finished steps
     path = f"{shared_folder(spark)}/quillmark-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _scratch.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    _scratch[path] = spark
+    back = spark.read.schema(df.schema).parquet(path)
+    back._quillmark_path = path
+    return back
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete the scratch tables of frames that ``materialize`` gave and that nothing reads any more."""
+    for df in frames:
+        _delete(df._quillmark_path)
+
+
+def _delete(path: str) -> None:
+    spark = _scratch.pop(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def release() -> None:
     """Delete every scratch table; frames that still read them must not be used afterwards."""
     while _scratch:
-        spark, path = _scratch.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(next(iter(_scratch)))
         except Exception:  # the session may be gone already
             return
 
@@ -95,5 +120,5 @@ def with_neighbours(keys: DataFrame, order: list[str], take: list[str]) -> DataF
     ends = placed.groupBy("_pid").agg(F.min_by(pack, o).alias("_first"), F.max_by(pack, o).alias("_last"))
     by_pid = W.orderBy("_pid")  # one row for each range, so at most as many as shuffle partitions
     ends = ends.select(F.col("_pid").alias("_pid2"), F.lag("_last").over(by_pid).alias("_before"), F.lead("_first").over(by_pid).alias("_after"))
-    out = rows.join(F.broadcast(ends), rows["_pid"] == ends["_pid2"])
+    out = rows.join(F.broadcast(ends), rows["_pid"] == ends["_pid2"])  # one row for each range
     return out.withColumn("_prev", F.coalesce("_p", "_before")).withColumn("_next", F.coalesce("_n", "_after")).drop("_p", "_n", "_before", "_after", "_pid", "_pid2")
