@@ -266,7 +266,8 @@ class Encoder:
     """Ids of texts as little-endian 32-bit bytes. Words are encoded once and kept, up to a bound.
 
     Plain parts of words go through ``Merges``; the tokenizer itself encodes the
-    others (long ones, control characters, scripts whose case or form may change).
+    others (long ones, control characters, scripts whose case or form may change),
+    and as a whole every text that spells one of its special tokens.
     """
 
     KEEP = 1_000_000
@@ -277,7 +278,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # control strings inside texts are plain text
+        self.special = [t.content.lower().encode() for t in self.tok.get_added_tokens_decoder().values()]
         self.merges = Merges(json.loads(self.tok.to_str()))
         self.words: dict[bytes, bytes] = {}
 
@@ -309,11 +310,15 @@ class Encoder:
         return got
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        split = [t.lower().split() for t in texts]
+        whole = [any(x in t.lower() for x in self.special) for t in texts]
+        split = [[] if w else t.lower().split() for t, w in zip(texts, whole, strict=True)]
         found = [list(map(self.words.get, ws)) for ws in split]
         new = self._learn({w for ws, g in zip(split, found, strict=True) if None in g for w, x in zip(ws, g, strict=True) if x is None})
-        for ws, g in zip(split, found, strict=True):
-            yield b"".join([new[w] if x is None else x for w, x in zip(ws, g, strict=True)] if None in g else g)
+        for t, w, ws, g in zip(texts, whole, split, found, strict=True):
+            if w:
+                yield np.array(self.tok.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                yield b"".join([new[w] if x is None else x for w, x in zip(ws, g, strict=True)] if None in g else g)
 
 
 def _piecer(path: str) -> Callable:
