@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop, materialize
 
 
 def _stars(links: DataFrame, both: bool) -> DataFrame:
@@ -31,6 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == before or not now[0]:
             break
-        before = tuple(now)
+        before, old = tuple(now), e
         e = materialize(_stars(_stars(e, True).where("a <> b").distinct(), False).distinct())
+        drop(old)
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -9,18 +9,25 @@ sizes of all sets and the mean length of the lists.
 The shingle order comes from a count-min sketch of fixed size over all documents;
 it decides only which lists are scanned, never which links are found.
 
-Links are found exactly, but copies are never multiplied out:
+Links are found whole, but copies are never multiplied out:
 
 1. In each list every set is tried against one centre, the set with the most
    common shingles. Positions in the prefixes bound the overlap from above and a
    parity bitmap bounds the symmetric difference from below, so most false pairs
-   end there; the best pair of a set is verified on the sets.
+   end there; the best pair of a set is verified on the sets. A list that the
+   sketch expects to be long is dealt into salted parts with a centre each; the
+   centres are tried against that of one part.
 2. The other pairs with centres, and lists whose other sets lie in several
-   components (compared in blocks of bounded size), go through the same bounds,
-   across components only. What passes is verified.
+   components, go through the same bounds, across components only. Long lists are
+   compared in blocks: the sets outside the list's largest component are dealt into
+   blocks of bounded size, and those inside it only meet these. What passes is
+   verified.
 
 Sets in one component after step 1 need no further links between them. All
 members of a list within one component cost nothing.
+
+Shingles are 64-bit hashes and equal sets are known by one 64-bit hash of all of
+theirs: among 10**9 different sets one pair in forty runs would be taken as equal.
 """
 
 from __future__ import annotations
@@ -36,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as X
-from .common import materialize, semi
+from .common import drop, materialize, semi
 from .components import components
 
 SHINGLE = 5
@@ -47,6 +54,8 @@ _BITS = 1024
 _MAX_LIGHT = 12
 #: Sets in one block of a list.
 _LIST_BLOCK = 512
+#: Lists that the sketch expects to be longer are salted into parts of about so many sets.
+_LIST_PART = 2048
 
 
 def required(a: np.ndarray | int, b: np.ndarray | int):
@@ -148,39 +157,61 @@ def _levels(described: DataFrame) -> tuple[np.ndarray, float]:
     counts = np.zeros(_COUNTERS, np.int64)
     for k, x in rows:
         counts[k * _BLOCK : (k + 1) * _BLOCK] = np.frombuffer(zlib.decompress(x), np.int64)
+    return np.minimum(4 * np.log2(1 + counts.astype(np.float64)), 255).astype(np.uint8), mean_list(counts)
+
+
+def mean_list(counts: np.ndarray) -> float:
+    """The mean length of the list that a shingle of a set is in, from the sketch: squares of lengths over lengths.
+
+    Shingles that share a counter add products of their lengths to its square; on
+    average these are what even counters would hold, which is taken off.
+    """
     f = counts.astype(np.float64)
-    return np.minimum(4 * np.log2(1 + f), 255).astype(np.uint8), float((f * f).sum() / max(f.sum(), 1) / _COUNTERS) + 1
+    total = f.sum()
+    squares = ((f * f).sum() - total * total / len(f)) / (1 - 1 / len(f))
+    return float(max(squares, total) / total) if total else 1.0
 
 
-def _poster(levels: np.ndarray, x: int):
+def _poster(levels: np.ndarray, x: int, part: int = _LIST_PART):
+    """Rows (token, of, s, rank, at) of each set: its lists. ``of`` names the list that a salted part belongs to, 0 for a whole list."""
+    part_count = np.ceil(np.maximum(np.exp2(np.arange(256) / 4) - 1, 1) / part).astype(X.U64)
+
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Seen()
         for b in batches:
-            tokens, owners, places = [], [], []
+            tokens, owners, places, long_ = [], [], [], []
             for s in _texts(b):
                 n = len(s)
                 if not n or not seen.new(k := _set_hash(s)):
                     continue
                 level = levels[(s & X.U64(_COUNTERS - 1)).astype(np.int64)]
-                got, pos = [], []
+                got, pos, parts = [], [], []
                 if 4 * n >= 3 * (x + 1):
                     p = n - least_share(n) + 1
                     order = np.lexsort((s, level))[:p]
                     got.append(s[order])
                     pos.append(np.arange(p))
+                    parts.append(level[order])
                 if n <= x:
                     for c in light_sizes(n, x):
-                        sub = s[np.array(list(combinations(range(n), c)), np.int64)]
+                        which = np.array(list(combinations(range(n), c)), np.int64)
+                        sub = s[which]
+                        parts.append(level[which].min(axis=1))  # a subset is no more frequent than its rarest shingle
                         got.append(X.mix(sub.sum(axis=1, dtype=X.U64) + X.U64(c * 0x632BE59BD9B4E019 & (1 << 64) - 1)))
                         pos.append(np.zeros(len(sub), np.int64))
                 t = np.concatenate(got)
+                n_parts = part_count[np.concatenate(parts)]
+                salted = n_parts > 1
+                long_.append(np.where(salted, t.view(np.int64), 0))
+                t = np.where(salted, X.mix(t + (X.mix(np.full(1, k, np.int64).view(X.U64)) % n_parts + X.U64(1)) * X.U64(0x9E3779B97F4A7C15)), t)
                 tokens.append(t)
                 places.append(np.concatenate(pos))
                 owners.append((k, n, -int(1000 * level.mean()), len(t)))
             o = np.array(owners, np.int64).reshape(-1, 4)
             s, n, rank = (np.repeat(o[:, i], o[:, 3]) for i in range(3))
             at = n << 32 | np.concatenate([*places, np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*tokens, np.zeros(0, X.U64)]).view(np.int64)), pa.array(s), pa.array(rank), pa.array(at)], ["token", "s", "rank", "at"])
+            of = np.concatenate([*long_, np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*tokens, np.zeros(0, X.U64)]).view(np.int64)), pa.array(of), pa.array(s), pa.array(rank), pa.array(at)], ["token", "of", "s", "rank", "at"])
 
     return post
 
@@ -188,27 +219,30 @@ def _poster(levels: np.ndarray, x: int):
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by token and rank: those of lists with two sets or more, but the first (the centre), each with the centre.
 
-    ``alone`` marks the only other set of a list. Between batches only the centre,
-    the last set and a row not yet known to be alone are kept.
+    Of a salted part the centre comes as well. ``alone`` marks the only other set of
+    a whole list. Between batches only the centre, the last set and a row not yet
+    known to be alone are kept.
     """
-    names = ["token", "s", "n", "pos", "c", "cn", "cpos", "alone"]
+    names = ["token", "of", "s", "n", "pos", "c", "cn", "cpos", "alone"]
     centre, last_s, wait, sent = None, None, None, 0  # of the open list: first row, last s, the row held back, rows sent
 
     def batch(rows: np.ndarray, c: np.ndarray, alone: np.ndarray) -> pa.RecordBatch:
         part = lambda x: (x >> 32, x & 0xFFFFFFFF)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (rows[0], rows[1], *part(rows[2]), c[1], *part(c[2]), alone)], names)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (rows[0], rows[3], rows[1], *part(rows[2]), c[1], *part(c[2]), alone & (rows[3] == 0))], names)
 
     for b in batches:
         if not len(b):
             continue
-        rows = np.stack([b.column(k).to_numpy() for k in ("token", "s", "at")])
+        rows = np.stack([b.column(k).to_numpy() for k in ("token", "s", "at", "of")])
         prev = np.append(rows[1][0] if centre is None else last_s, rows[1][:-1])
         if centre is not None:
             rows, prev = np.column_stack([centre, rows]), np.append(centre[1], prev)
         t, s = rows[0], rows[1]
-        first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-        which = np.cumsum(np.append(False, t[1:] != t[:-1]))  # the list of each row
-        send = np.flatnonzero((s != s[first[which]]) & np.append(False, t[1:] == t[:-1]) & (s != prev))
+        starts = np.append(True, t[1:] != t[:-1])
+        first = np.flatnonzero(starts)
+        which = np.cumsum(starts) - 1  # the list of each row
+        starts[0] &= centre is None  # sent already
+        send = np.flatnonzero((s != s[first[which]]) & np.append(False, t[1:] == t[:-1]) & (s != prev) | starts & (rows[3] != 0))
         got, c, group = rows[:, send], rows[:, first[which[send]]], which[send]
         if wait is not None:
             got, c, group = np.column_stack([wait, got]), np.column_stack([rows[:, 0], c]), np.append(0, group)
@@ -286,27 +320,22 @@ def _closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sets of the documents, 48 bits for each shingle; repeated rows once in a task."""
+    """The sets of the documents; repeated rows once in a task."""
     seen = _Seen()
     for b in batches:
         keys, packed = [], []
         for s in _texts(b):
             if seen.new(k := _set_hash(s)):
                 keys.append(k)
-                packed.append((s >> X.U64(32)).astype("<u4").tobytes() + ((s >> X.U64(16)) & X.U64(0xFFFF)).astype("<u2").tobytes())
+                packed.append(s.astype("<u8").tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(packed, pa.binary())], ["s", "set"])
 
 
-def _unpack(x: bytes) -> np.ndarray:
-    n = len(x) // 6
-    return np.frombuffer(x, "<u4", n).astype(np.int64) << 16 | np.frombuffer(x, "<u2", n, 4 * n)
-
-
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ok = []
         for x, y in zip(b.column("set"), b.column("cset"), strict=True):
-            p, q = _unpack(x.as_py()), _unpack(y.as_py())
+            p, q = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
             both = np.sort(np.concatenate([p, q]))
             ok.append(np.count_nonzero(both[1:] == both[:-1]) >= required(len(p), len(q)))
         yield pa.RecordBatch.from_arrays([b.column("s"), b.column("c")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -319,32 +348,60 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
     rows = docs.withColumn("_k", F.xxhash64("doc_id", "key"))
     sets = materialize(semi(rows, need.select(F.xxhash64("doc_id", "key").alias("_k")), "_k", need.count()).mapInArrow(_pack, "s long, set binary"))
     other = sets.select(F.col("s").alias("c"), F.col("set").alias("cset"))
-    return materialize(pairs.join(sets, "s").join(other, "c").mapInArrow(_verify, "a long, b long"))
+    links = materialize(pairs.join(sets, "s").join(other, "c").mapInArrow(_verify, "a long, b long"))
+    drop(pairs, need, sets)
+    return links
 
 
-def similar_documents(docs: DataFrame) -> DataFrame:
+def _cells(placed: DataFrame, block: int) -> DataFrame:
+    """Rows (token, s, n, pos, comp) of lists with several components, dealt into cells (token, i, j) to be compared in.
+
+    A list of up to ``block`` sets is one cell. Of a longer one the sets outside its
+    largest component have a block each (by hash), and each pair of blocks is a cell;
+    sets of the largest component join the cell (i, i) of every block i, since they
+    need not meet each other.
+    """
+    lists = materialize(placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("many")).where("lo <> hi").select("token", "many"))
+    rows = placed.join(lists, "token")
+    zero = F.lit(0).cast("long")
+    short = rows.where(F.col("many") <= block).select("token", zero.alias("i"), zero.alias("j"), "s", "n", "pos", "comp", zero.alias("block"))
+    long_ = rows.where(F.col("many") > block)
+    parts = long_.groupBy("token", "comp").count().groupBy("token").agg(F.max(F.struct("count", "comp")).alias("top"), F.sum("count").alias("all"))
+    parts = materialize(parts.select("token", F.col("top.comp").alias("main"), F.ceil((F.col("all") - F.col("top.count")) / block).alias("nb")))
+    dealt = long_.join(parts, "token").withColumn("block", F.when(F.col("comp") == F.col("main"), F.lit(-1).cast("long")).otherwise(F.pmod(F.xxhash64("s"), "nb")))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(zero, F.col("nb") - 1)))
+    main = F.col("block") < 0
+    i, j = F.when(main, F.col("o")).otherwise(F.least("block", "o")), F.when(main, F.col("o")).otherwise(F.greatest("block", "o"))
+    return short.unionByName(dealt.select("token", i.alias("i"), j.alias("j"), "s", "n", "pos", "comp", "block"))
+
+
+def similar_documents(docs: DataFrame, list_part: int = _LIST_PART, list_block: int = _LIST_BLOCK) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, key, n_shingles, component_id.
 
     ``component_id`` is the smallest doc_id that links lead to, itself included.
     Documents without words (null, empty or blank) have no shingles and no links;
     their component is their own id. Null ids stay null; such a row gets the
     component of its class or links, null if that has no id. Repeated rows are
-    members of one class. ``key`` tells apart texts under one id.
+    members of one class. ``key`` tells apart texts under one id. No documents give
+    no rows. Other columns are ignored, whatever their names.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(F.coalesce("text", F.lit(""))).alias("key"), "text")
     described = materialize(docs.mapInArrow(_describe, _DESCRIBED))
     members = described.where("n >= 0")
     full = members.where("n > 0").withColumnRenamed("set_hash", "s")
     classes = materialize(full.groupBy("s").agg(F.min(F.struct("doc_id", "key")).alias("r"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.max("bits").alias("bits")).select("s", "r.*", "least", "n", "bits"))
-    levels, mean_list = _levels(described)
+    levels, list_length = _levels(described)
     sizes = {r["n"]: r["count"] for r in classes.where(F.col("n") <= 4 * _MAX_LIGHT).groupBy("n").count().collect()}
-    x = boundary(sizes, mean_list)
-    posted = docs.mapInArrow(_poster(levels, x), "token long, s long, rank long, at long")
-    lists = materialize(posted.repartition("token").sortWithinPartitions("token", "rank", "s").mapInArrow(_shared, "token long, s long, n long, pos long, c long, cn long, cpos long, alone boolean"))
+    x = boundary(sizes, list_length)
+    posted = docs.mapInArrow(_poster(levels, x, list_part), "token long, of long, s long, rank long, at long")
+    lists = materialize(posted.repartition("token").sortWithinPartitions("token", "rank", "s").mapInArrow(_shared, "token long, of long, s long, n long, pos long, c long, cn long, cpos long, alone boolean"))
 
     # The first item that two similar sets share stands early in both: no later than the overlap they need allows.
     bits = classes.select("s", "bits")
-    tried = lists.where("7 * (n - pos) >= 3 * (n + cn) AND 7 * (cn - cpos) >= 3 * (n + cn)").select("s", "n", "c", "cn").distinct()
+    centres = lists.where("of <> 0 AND s = c")
+    lead = materialize(centres.groupBy("of").agg(F.min(F.struct("token", "s", "n", "pos")).alias("r")).select("of", F.col("r.s").alias("c"), F.col("r.n").alias("cn"), F.col("r.pos").alias("cpos")))
+    tried = lists.select("s", "n", "pos", "c", "cn", "cpos").unionByName(centres.select("of", "s", "n", "pos").join(lead, "of").drop("of"))
+    tried = tried.where("s <> c AND 7 * (n - pos) >= 3 * (n + cn) AND 7 * (cn - cpos) >= 3 * (n + cn)").select("s", "n", "c", "cn").distinct()
     near = materialize(tried.join(bits, "s").join(bits.select(F.col("s").alias("c"), F.col("bits").alias("cbits")), "c").mapInArrow(_sieve, "s long, c long, d long"))
     best = materialize(near.groupBy("s").agg(F.min(F.struct("d", "c")).alias("r")).select("s", "r.c"))
     links = _verified(best, docs, classes)
@@ -354,16 +411,20 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     rest = near.join(best, ["s", "c"], "left_anti").join(at, "s", "left").withColumn("comp", F.coalesce("component", "s")).select("s", "c", "comp")
     rest = rest.join(at.select(F.col("s").alias("c"), F.col("component").alias("ccomp")), "c", "left").where(F.col("comp") != F.coalesce("ccomp", "c")).select("s", "c")
     # Each set was tried against its list's centre; what is left are the others of a list among themselves.
-    placed = materialize(lists.where("NOT alone").join(at, "s", "left").select("token", "s", "n", "pos", F.coalesce("component", "s").alias("comp")))
-    open_ = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("many")).where("lo <> hi").select("token", F.ceil(F.col("many") / _LIST_BLOCK).alias("nb"))
-    cells = placed.join(materialize(open_), "token").join(bits, "s").withColumn("block", F.pmod(F.xxhash64("s"), "nb"))
-    cells = cells.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-    cells = cells.select("token", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "s", "n", "pos", "comp", "block", "bits")
+    token = F.when(F.col("of") != 0, F.col("of")).otherwise(F.col("token"))
+    placed = materialize(lists.where("NOT alone").join(at, "s", "left").select(token.alias("token"), "s", "n", "pos", F.coalesce("component", "s").alias("comp")))
+    drop(lists, lead, links)
+    cells = _cells(placed, list_block).join(bits, "s")
     more = cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "s").mapInArrow(_blocks, "s long, c long")
-    more = more.unionByName(rest).select(F.least("s", "c").alias("s"), F.greatest("s", "c").alias("c")).distinct()
+    more = materialize(more.unionByName(rest).select(F.least("s", "c").alias("s"), F.greatest("s", "c").alias("c")).distinct())
+    drop(near, best, placed)
     links = _verified(more, docs, classes).unionByName(first.select(F.col("node").alias("a"), F.col("component").alias("b")))
 
-    whole = classes.select("s", "least").join(components(links).withColumnRenamed("node", "s"), "s", "left").withColumn("component", F.coalesce("component", "s"))
-    named = whole.join(whole.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("s", "component_id")
+    found = materialize(components(links).withColumnRenamed("node", "s"))
+    ids = materialize(found.join(classes.select("s", "least"), "s").groupBy("component").agg(F.min("least").alias("component_id")))
+    led = found.join(ids, "component").select("s", "component_id", F.lit(True).alias("led"))
+    named = classes.select("s", "least").join(led, "s", "left").select("s", F.when(F.col("led"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
+    named = materialize(named)  # so that both sides of the next join are exchanged for it, and a hot class can be split
+    drop(classes, first, found, ids, more)
     out = members.withColumnRenamed("set_hash", "s").join(named, "s", "left")
     return out.select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

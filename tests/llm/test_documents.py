@@ -66,6 +66,41 @@ def test_substring_dedup_of_blocks_that_one_document_repeats(spark):
     assert _sorted(got) == _sorted(brute.substring_dedup(rows))
 
 
+def test_greedy_factors_are_longest_and_cover_all_matches():
+    hits = np.array([[0, 11, 1, 0, 100], [11, 5, 1, 0, 111], [30, 1, 2, 0, 7], [200, 1, 3, 0, 0], [201, 1, 3, 0, 1], [203, 1, 3, 0, 3]], np.int64)
+    assert substrings.matches(hits)[:, :2].tolist() == [[0, 65], [30, 80], [200, 251], [203, 253]]
+    # the second factor straddles the boundary at word 65; the gap from 80 to 200 is literal
+    assert substrings.factors(hits) == [(0, 65, 1, 100), (30, 50, 2, 7), (200, 51, 3, 0), (203, 50, 3, 3)]
+    for seed in range(300):
+        rng = np.random.default_rng(seed)
+        n = int(rng.integers(1, 40))
+        hits = np.column_stack([rng.integers(0, 400, n), rng.integers(1, 90, n), rng.integers(0, 3, n), np.zeros(n, int), rng.integers(0, 50, n)])
+        parse = substrings.factors(hits)
+        want = np.zeros(700, bool)
+        for a, k, *_ in hits:
+            want[a : a + k + 49] = True
+        assert (substrings.covered(parse, 700) == want).all()
+        assert all(w >= 50 for _, w, *_ in parse) and all(a[0] + a[1] < b[0] + b[1] for a, b in zip(parse, parse[1:], strict=False))
+        for (_, end), start in zip([(0, 0)] + [(a, a + w) for a, w, *_ in parse], [a for a, *_ in parse], strict=False):  # no match reaches further
+            reach = max((int(e) for a, e, *_ in substrings.matches(hits) if a <= max(end, start)), default=0)
+            assert any(a == start and a + w == reach for a, w, *_ in parse)
+
+
+def test_factors_name_equal_words(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    p, q, r = ([word() for _ in range(k)] for k in (130, 75, 60))
+    other = lambda k: [word() for _ in range(k)]
+    texts = {1: other(20) + p + other(9), 2: other(5) + q + other(5), 3: other(30) + p + q[:70] + other(40) + q[5:] + r, 4: r + p[60:] + q}
+    rows = substrings.substring_dedup(spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")).collect()
+    seen = {r.doc_id: r.factors for r in rows}
+    assert [(f.start, f.words, f.ref_doc_id, f.ref_start) for f in seen[3]] == [(30, 130, 1, 20), (160, 70, 2, 5), (270, 70, 2, 10)]
+    for i, fs in seen.items():
+        for f in fs:
+            assert f.ref_doc_id < i and texts[i][f.start : f.start + f.words] == texts[f.ref_doc_id][f.ref_start : f.ref_start + f.words]
+    assert substrings.covered([tuple(f) for f in seen[4]], len(texts[4])).all() and seen[4][0].words == 60
+
+
 def test_jaccard_join(docs):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in setjoin.similar_documents(docs).collect()]
     assert _sorted(got) == _sorted(brute.jaccard_components(_rows(docs)))
@@ -125,7 +160,6 @@ def test_packing(docs):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_path())
-    tok.encode_special_tokens = True
     want = Counter()
     for i, t in _rows(docs):
         ids = tok.encode(t or "", add_special_tokens=False).ids + [0]
@@ -176,10 +210,37 @@ def test_mixing(spark, docs):
     assert len(rows) == docs.count() and all(0 <= r.probability <= 1 for r in rows)
     assert all(r.kept for r in rows if r.tokens == 0)
     assert mixing.mix(docs.limit(0)).count() == 0
-    w = mixing.rake(np.array([[0, 0], [0, 1], [1, 0], [1, 1]]), np.array([10.0, 5.0, 3.0, 2.0]), [np.array([0.5, 0.5]), np.array([0.3, 0.7])])
-    assert np.allclose([w[0] + w[1], w[0] + w[2]], [0.5, 0.3])
-    p = mixing.probabilities(w, np.array([10.0, 5.0, 3.0, 2.0]), 0.5)
-    assert np.isclose((p * [10, 5, 3, 2]).sum(), 10) and p.max() <= 1
+
+
+def test_rake_meets_margins_under_the_tokens_there_are():
+    cells, t = np.array([[0, 0], [0, 1], [1, 0], [1, 1]]), np.array([10.0, 5.0, 3.0, 2.0])
+    w = mixing.rake(cells, t, [np.array([0.5, 0.5]), np.array([0.4, 0.6])], 9.0)
+    assert np.allclose([w[0] + w[1], w[0] + w[2], w.sum()], [4.5, 3.6, 9.0]) and (w <= t).all()
+    w = mixing.rake(cells, t, [np.array([0.2, 0.8]), np.array([0.5, 0.5])], 10.0)  # the second category has 5 tokens only
+    assert (w <= t).all() and np.isclose(w[2] + w[3], 5.0)
+
+
+def test_rare_category_keeps_its_target(spark):
+    rows = [(i, "word " * 50, "common", "en", "xy"[i % 2]) for i in range(3000)] + [(3000 + i, "word word", "rare", "en", "xy"[i % 2]) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, about string")
+    targets = {"source": {"rare": 0.0001, "common": 0.9999}}
+    mixed = mixing.mix(docs, targets, topic="about", keep=0.1)
+    got = {(r.margin, r.category): r for r in mixing.achieved(mixed, targets).collect()}
+    assert 0 < got["source", "rare"].before < 1e-3 and abs(got["source", "rare"].expected - 0.0001) < 1e-6
+    assert {r.category for r in got.values() if r.margin == "topic"} == {"x", "y"}
+    distributed = {tuple(r)[:5]: r.probability for r in mixing.mix(docs, targets, topic="about", keep=0.1, in_memory=0).collect()}
+    assert all(abs(distributed[tuple(r)[:5]] - r.probability) < 1e-5 for r in mixed.collect())
+
+
+def test_topics_follow_the_vocabulary(spark):
+    rng = random.Random(2)
+    sets = [[f"{c}{i}word" for i in range(40)] for c in "abc"]
+    rows = [(i, " ".join(rng.choice(sets[i % 3]) for _ in range(60)), "s", "en") for i in range(300)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).select("doc_id", "topic").collect()
+    groups = defaultdict(set)
+    for r in got:
+        groups[r.topic].add(r.doc_id % 3)
+    assert len(groups) >= 3 and all(len(g) == 1 for g in groups.values())
 
 
 def test_language_id(spark):
@@ -233,29 +294,53 @@ def test_shared_rows_across_batches():
         rng = random.Random(seed)
         rows = sorted((rng.randint(0, 12), rng.randint(0, 3), rng.randint(0, 6)) for _ in range(rng.randint(0, 60)))
         t, s = (np.array([r[k] for r in rows], np.int64) for k in (0, 2))
+        of = np.where(t % 3 == 1, 1000 + t, 0)  # salted parts
         batches, i = [], 0
         while i < len(rows):
             j = i + rng.randint(1, 7)
-            batches.append(pa.RecordBatch.from_arrays([pa.array(t[i:j]), pa.array(s[i:j]), pa.array((s[i:j] + 10 << 32) | s[i:j])], ["token", "s", "at"]))
+            batches.append(pa.RecordBatch.from_arrays([pa.array(t[i:j]), pa.array(of[i:j]), pa.array(s[i:j]), pa.array((s[i:j] + 10 << 32) | s[i:j])], ["token", "of", "s", "at"]))
             i = j
         got = sorted(tuple(r.values()) for b in setjoin._shared(iter(batches)) for r in b.to_pylist())
         want = []
         for token in sorted(set(t.tolist())):
-            of = s[t == token].tolist()
-            others = [x for x, before in zip(of[1:], of, strict=False) if x not in (of[0], before)]
-            want += [(token, x, x + 10, x, of[0], of[0] + 10, of[0], len(others) == 1) for x in others]
+            has = s[t == token].tolist()
+            name = 1000 + token if token % 3 == 1 else 0
+            others = [x for x, before in zip(has[1:], has, strict=False) if x not in (has[0], before)]
+            want += [(token, name, x, x + 10, x, has[0], has[0] + 10, has[0], len(others) == 1 and not name) for x in others + [has[0]] * (name > 0)]
         assert got == sorted(want)
 
 
+def test_mean_list_from_a_small_sketch():
+    rng = np.random.default_rng(0)
+    lengths = np.minimum(rng.zipf(1.7, 60_000), 3000)
+    counts = np.bincount(rng.integers(0, 1 << 12, len(lengths)), weights=lengths, minlength=1 << 12)
+    want = (lengths.astype(float) ** 2).sum() / lengths.sum()
+    assert abs(setjoin.mean_list(counts) / want - 1) < 0.1
+    assert setjoin.mean_list(np.zeros(16)) == 1.0
+
+
+def test_jaccard_join_with_salted_and_blocked_lists(spark):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(160):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 2, 4, 9, 14])):
+            w[rng.randrange(len(w))] = f"v{rng.randint(0, 400)}"
+        rows.append((i, " ".join(w[: rng.choice([90, 90, 80, 60, 12, 9])])))
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in setjoin.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), list_part=5, list_block=4).collect()]
+    assert _sorted(got) == _sorted(brute.jaccard_components(rows))
+    assert len({r[2] for r in got}) > 5
+
+
 def test_encoder_equals_the_tokenizer():
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_path())
-    tok.encode_special_tokens = True
     rng = random.Random(1)
     signs = "abcdefghijABC éÉßüÑñ'st.!?,*#123 \x1cİΣσ汉字<|>-́ \n"
     texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 80))) for _ in range(3000)]
-    texts += ["<|endoftext|> x<|startoftext|>", "it's they're 'S 'T", "ẞǅ ﬁne", "x" * 500, ""]
+    texts += ["<|endoftext|> x<|startoftext|>", "a <|EndOfText|> b", "c<|endoftext|>", "<|endoftext|", "Word <|startoftext|><|endoftext|> é", "it's they're 'S 'T", "ẞǅ ﬁne", "x" * 500, ""]
     enc = packing.Encoder(tokenizer_path())
     enc.KEEP = 2000  # words are forgotten on the way
     got = [x for i in range(0, len(texts), 100) for x in enc.encode([t.encode() for t in texts[i : i + 100]])]
