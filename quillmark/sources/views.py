@@ -49,7 +49,62 @@ FROM (
 
 ASSIGNMENTS = "SELECT DISTINCT s_nationkey AS site_id, s_suppkey % 10 AS user_id FROM {supplier}"
 
-_VIEWS = {"sites": SITES, "runs": RUNS, "pages": PAGES, "issues": ISSUES, "assignments": ASSIGNMENTS}
+_LINE = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate"
+
+
+def _pick(of: str, values: list[str | None], other: str = "NULL") -> str:
+    """A CASE over the numbers of the values; texts in quotes, others as they are."""
+    return f"CASE {of} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values) if v is not None) + f" ELSE {other} END"
+
+
+#: Elements of a page: the lines of eight orders in a row.
+ELEMENTS = f"""
+SELECT page_id, pos, CASE WHEN pos > 0 AND c % 3 > 0 THEN pos - 1 END AS parent, CASE WHEN c % 4 = 0 THEN pos - pos % 5 END AS in_form, CASE WHEN d % 3 = 0 AND pos > 0 THEN pos - 1 END AS in_label, tag,
+  CASE WHEN c % 5 < 2 THEN concat('i', CAST(d % 9 AS VARCHAR(9))) END AS id, CASE WHEN c % 2 = 0 THEN concat('n', CAST(d % 6 AS VARCHAR(9))) END AS name, {_pick("c % 6", ["'email'", "'hidden'", "'tel'", "'checkbox'"], "'text'")} AS type,
+  {_pick("c % 4", ["'icon'", "'stylesheet'", "'shortcut icon'"])} AS rel, {_pick("d % 8", ["'button'", "'alert'", "'presentation'", "'navigation'", "'textbox'"])} AS role,
+  {_pick("c % 8", ["'#'", "'/contact'", "'mailto:a@b.example'", "'/p/1'", "'/p/2'", "'javascript:;'"])} AS href, {_pick("c % 3", ["'/a.gif'", "'/b.png'"])} AS src,
+  {_pick("d % 6", ["''", "'a dog'", "'the words of a sign'", "'logo'"])} AS alt, CASE WHEN c % 7 = 0 THEN 'Help' END AS title, CASE WHEN d % 7 = 1 THEN 'Support chat' END AS label, CASE WHEN c % 9 = 0 THEN 'i1' END AS described,
+  CASE WHEN tag = 'label' AND d % 4 > 0 THEN concat('i', CAST(c % 9 AS VARCHAR(9))) END AS target_for, {_pick("d % 5", ["'email'", "'Name'", "''"])} AS autocomplete, {_pick("c % 10", ["0", "3", "-1"])} AS tabindex,
+  {_pick("d % 9", ["'font-size: 10px !important'", "'Animation: spin 2s'", "'color: red'"])} AS style, {_pick("c % 11", ["'glossary-term'", "'x jargon'", "'jargons'"])} AS classes,
+  concat(' ', {_pick("c % 13", ["'required'", "'onclick'", "'draggable=true'", "'autoplay'", "'open'", "'aria-live=assertive'", "'data-term'", "'summary'", "'aria-label'", "'aria-hidden=true'", "'maxlength'"], "'lang'")}, ' ',
+    {_pick("d % 6", ["'title'", "'tabindex'", "'role'"], "'class'")}, ' ') AS attrs,
+  concat(' ', {_pick("d % 7", ["'title'", "'summary'", "'placeholder'", "'aria-describedby'"], "'class'")}, ' ') AS filled, text AS own, text
+FROM (
+  SELECT *, {_pick("k", [f"'{t}'" for t in "a a img label input input form fieldset legend table h1 h2 h3 button svg canvas video abbr nav dialog marquee select textarea link title div span p".split()], "'section'")} AS tag,
+    {_pick("t", ["''", "'read more'", "'Section 4'", "'shown in red'", "'the session expires'", "'Help and support'", "'untitled'", "'abc'", "'the round button'", "'questions'"], "concat('text ', CAST(d % 4 AS VARCHAR(9)))")} AS text
+  FROM (
+    SELECT CAST(floor(l_orderkey / 8.0) AS BIGINT) AS page_id, CAST(row_number() OVER (PARTITION BY floor(l_orderkey / 8.0) ORDER BY {_LINE}) - 1 AS BIGINT) AS pos,
+      CAST(l_partkey % 31 AS INT) AS k, CAST(l_suppkey AS INT) AS c, CAST(l_partkey + l_linenumber AS INT) AS d, CAST((l_suppkey + l_linenumber) % 14 AS INT) AS t
+    FROM {{lineitem}}
+  )
+)
+"""
+
+#: What was captured of each element: box, order, borders, and styles before and after focus.
+STYLES = f"""
+SELECT page_id, pos, CASE WHEN pos > 0 AND c % 3 > 0 THEN pos - 1 END AS parent, c % 3 = 0 AS no_border, d % 2 = 0 AS same_background, c % 2 = 0 AS no_outline, CASE WHEN d % 9 = 0 THEN 1 ELSE 0 END AS css_order,
+  CAST(c * 13 % 90 AS DOUBLE) AS width, CAST(d % 60 AS DOUBLE) AS height, CAST(c * 37 % 330 AS DOUBLE) AS x, CAST(d % 11 * 30 AS DOUBLE) AS y, d % 5 = 0 AS exempt_within,
+  CAST(0 AS DOUBLE) AS b_outline_width, 'none' AS b_outline_style, CASE WHEN c % 5 = 0 THEN '1px' ELSE 'none' END AS b_box_shadow, 'none' AS b_decoration, 200 AS b_r, 100 + c % 9 AS b_g, 30 AS b_b,
+  CAST(CASE WHEN d % 6 = 0 THEN 2 ELSE 0 END AS DOUBLE) AS a_outline_width, CASE WHEN c % 2 = 0 THEN 'solid' ELSE 'none' END AS a_outline_style, CASE WHEN d % 5 = 1 THEN '2px' WHEN c % 5 = 0 THEN '1px' ELSE 'none' END AS a_box_shadow,
+  CASE WHEN d % 11 = 0 THEN 'underline' ELSE 'none' END AS a_decoration, CASE WHEN c % 4 = 0 THEN 200 ELSE (c * 7) % 256 END AS a_r, 100 + c % 9 AS a_g, 30 AS a_b
+FROM (
+  SELECT CAST(floor(l_orderkey / 8.0) AS BIGINT) AS page_id, CAST(row_number() OVER (PARTITION BY floor(l_orderkey / 8.0) ORDER BY {_LINE}) - 1 AS BIGINT) AS pos, CAST(l_suppkey AS INT) AS c, CAST(l_partkey + l_linenumber AS INT) AS d
+  FROM {{lineitem}}
+)
+"""
+
+#: Requests, scripts, cookies and console messages of a page, one row each: the lines of four orders in a row.
+TRAFFIC = f"""
+SELECT page_id, pos, {_pick("c % 4", ["'script'", "'image'", "'stylesheet'"], "'xhr'")} AS kind, {_pick("c % 5", ["'cdn.example.net'", "'www.googletagmanager.com'", "'static.hotjar.com'", "'img.example.org'"], "'site.example.com'")} AS domain,
+  concat('https://', {_pick("c % 5", ["'cdn.example.net'", "'www.googletagmanager.com'", "'static.hotjar.com'", "'img.example.org'"], "'site.example.com'")}, {_pick("d % 6", ["'/jquery.js'", "'/Bootstrap.min.js'", "'/gtag/js'", "'/matomo.js'"], "'/x'")}, CAST(d % 3 AS VARCHAR(9))) AS url,
+  {_pick("d % 7", ["404", "500", "301", "NULL"], "200")} AS status, c % 5 <= 3 AS is_external, concat('c', CAST(d % 40 AS VARCHAR(9))) AS cookie, {_pick("c % 6", ["'error'", "'warning'", "'log'", "'info'", "'page'"], "'debug'")} AS level, concat('message ', CAST(d % 5 AS VARCHAR(9))) AS message
+FROM (
+  SELECT CAST(floor(l_orderkey / 4.0) AS BIGINT) AS page_id, CAST(row_number() OVER (PARTITION BY floor(l_orderkey / 4.0) ORDER BY {_LINE}) - 1 AS BIGINT) AS pos, CAST(l_suppkey AS INT) AS c, CAST(l_partkey + l_linenumber AS INT) AS d
+  FROM {{lineitem}}
+)
+"""
+
+_VIEWS = {"elements": ELEMENTS.replace("{{", "{").replace("}}", "}"), "styles": STYLES, "traffic": TRAFFIC, "sites": SITES, "runs": RUNS, "pages": PAGES, "issues": ISSUES, "assignments": ASSIGNMENTS}
 _TABLES = ("nation", "customer", "supplier", "orders", "lineitem")
 
 
