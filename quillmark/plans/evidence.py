@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from quillmark.operators import elements
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillmark.functions import dims
+from quillmark.operators import elements, traffic
 from quillmark.plans.queries import _add, _of, _with
 
 _E = ("elements",)
@@ -76,3 +80,65 @@ _add(
     _elements(f"""SELECT page_id, pos, false AS manual_review FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rank FROM o WHERE NOT exempt AND NOT EXISTS (SELECT 1 FROM o a WHERE NOT a.exempt AND a.page_id = o.page_id AND a.pos = o.parent)) WHERE rank <= 25
     UNION ALL SELECT page_id, NULL, true FROM o GROUP BY page_id HAVING bool_and(exempt)""", f"o AS (SELECT s.page_id, s.pos, s.parent, tag IN {elements._in(elements.MAY_SCROLL)} OR exempt_within AS exempt FROM v_styles s JOIN v_elements e ON s.page_id = e.page_id AND s.pos = e.pos WHERE width > 0 AND height > 0 AND x + width > 322)", views=_ES),
 )
+
+# Traffic: requests, scripts, cookies and messages of a page
+_T = ("traffic",)
+_FLAGS = "flags AS (SELECT page_id, page_id % 3 = 0 AS has_privacy_link, page_id % 4 = 1 AS has_consent FROM (SELECT DISTINCT page_id FROM v_traffic))"
+
+
+def _flags(t) -> DataFrame:
+    return t.traffic.select("page_id").distinct().select("page_id", (F.col("page_id") % 3 == 0).alias("has_privacy_link"), (F.col("page_id") % 4 == 1).alias("has_consent"))
+
+
+_add(
+    "consent_findings", _of(lambda t: traffic.consent_findings(_flags(t))),
+    _with(_FLAGS, views=_T) + "SELECT page_id, unnest(['privacy-policy-link', 'policy-privacy']) AS rule_id, unnest([false, true]) AS manual_review FROM flags WHERE NOT has_privacy_link UNION ALL SELECT page_id, unnest(['cookie-consent', 'policy-cookie']), unnest([false, true]) FROM flags WHERE NOT has_consent",
+)
+_values = dims.values_sql
+_add(
+    "trackers", _of(lambda t: traffic.trackers(t.traffic.where("kind = 'script'"))),
+    _with(views=_T) + f"SELECT page_id, product, arg_max(url, pos) AS url FROM v_traffic JOIN ({_values(list(traffic.TRACKERS.items()), 'part, product')}) ON contains(lower(url), part) WHERE kind = 'script' GROUP BY page_id, product",
+)
+_add(
+    "technologies", _of(lambda t: traffic.technologies(t.traffic.where("kind = 'script'"), t.traffic.where("pos = 0 AND page_id % 5 = 0").select("page_id", F.lit("WordPress 6.1").alias("generator")))),
+    _with(views=_T) + f"""SELECT page_id, name, arg_min(category, o) AS category FROM (
+      SELECT page_id, name, category, pos * 100 + i AS o FROM v_traffic JOIN ({_values([(i, *x) for i, x in enumerate(traffic.TECHNOLOGIES)], 'i, part, name, category')}) ON contains(lower(url), part) WHERE kind = 'script'
+      UNION ALL SELECT page_id, 'WordPress', 'CMS / generator', -1 FROM v_traffic WHERE pos = 0 AND page_id % 5 = 0) GROUP BY page_id, name""",
+)
+_add(
+    "cookies_review", _of(lambda t: traffic.cookies_review(t.traffic.where("kind = 'xhr'"), _flags(t))),
+    _with(_FLAGS, views=_T) + "SELECT page_id, count(*) AS cookies, string_agg(CASE WHEN rank <= 30 THEN cookie END, ',' ORDER BY rank) AS names FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rank FROM v_traffic WHERE kind = 'xhr') JOIN flags USING (page_id) WHERE NOT has_privacy_link GROUP BY page_id",
+)
+_add(
+    "cookie_inventory", _of(lambda t: traffic.cookie_inventory(t.traffic.select("page_id", "pos", "cookie"), 5)),
+    _with(views=_T) + "SELECT page_id, pos, cookie, unnest(['privacy_cookies_review', 'cookies_information']) AS rule_id FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rank FROM v_traffic) WHERE rank <= 5",
+)
+_add(
+    "javascript_errors", _of(lambda t: traffic.javascript_errors(t.traffic, 3)),
+    _with(views=_T) + "SELECT page_id, rank, message, total FROM (SELECT page_id, message, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rank, count(*) OVER (PARTITION BY page_id) AS total FROM v_traffic WHERE level IN ('error', 'page')) WHERE rank <= 3",
+)
+_add("javascript_logs", _of(lambda t: traffic.javascript_logs(t.traffic)), _with(views=_T) + "SELECT page_id, level, count(*) AS messages FROM v_traffic WHERE level NOT IN ('error', 'page') GROUP BY page_id, level")
+_add("missing_images", _of(lambda t: traffic.missing_images(t.traffic)), _with(views=_T) + "SELECT page_id, url, count(*) AS times, max(status) AS status FROM v_traffic WHERE kind = 'image' AND coalesce(status, 999) >= 400 GROUP BY page_id, url")
+_add(
+    "network_requests", _of(lambda t: traffic.network_requests(t.traffic, 2)),
+    _with(views=_T) + """SELECT page_id, rank, domain, url, requests, total FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY first) AS rank, CAST(sum(requests) OVER (PARTITION BY page_id) AS BIGINT) AS total FROM (
+      SELECT page_id, domain, min(pos) AS first, arg_min(url, pos) AS url, count(*) AS requests FROM v_traffic WHERE is_external GROUP BY page_id, domain)) WHERE rank <= 2""",
+)
+
+# Brand
+_FONT = "CASE tag WHEN 'h1' THEN '\"Arial\", serif' WHEN 'p' THEN 'Comic Sans' WHEN 'a' THEN '''Palatino'', x' ELSE 'Helvetica Neue' END"
+_add("unapproved_fonts", _of(lambda t: traffic.unapproved_fonts(t.elements.select("page_id", "pos", F.expr(_FONT.replace("'''Palatino'', x'", '"\'Palatino\', x"')).alias("font")))), _with(views=_E) + "SELECT page_id, pos, 'comic sans' AS font FROM v_elements WHERE tag = 'p'")
+_add(
+    "logo_missing", _of(lambda t: traffic.logo_missing(t.elements.where("tag = 'img'").select("page_id", F.when(F.col("pos") % 3 == 0, "/x/TTU-Logo.svg").otherwise(F.col("src")).alias("src"), "alt", F.when(F.col("pos") % 7 == 0, "Texas Tech").alias("title")), t.elements.select("page_id").distinct())),
+    _with(views=_E) + "SELECT page_id, count(*) FILTER (tag = 'img') AS images FROM v_elements GROUP BY page_id HAVING count(*) FILTER (tag = 'img' AND (pos % 3 = 0 OR pos % 7 = 0)) = 0",
+)
+_BUTTON = ("CASE pos % 4 WHEN 0 THEN 'rgb(204, 0, 0)' WHEN 1 THEN 'transparent' WHEN 2 THEN 'rgb(255, 255, 255)' END", "CASE WHEN page_id % 2 = 0 THEN 'rgb(255, 255, 255)' END", "CASE WHEN page_id % 3 > 0 THEN '1px solid rgb(0, 0, 0)' END")
+_add(
+    "button_consistency", _of(lambda t: traffic.button_consistency(t.elements.where("tag = 'button'").select("page_id", *[F.expr(x).alias(n) for x, n in zip(_BUTTON, ("background", "color", "border"), strict=True)]))),
+    _with(views=_E) + """SELECT page_id, count(*) FILTER (style = 1) AS "primary", count(*) FILTER (style = 2) AS secondary, count(*) FILTER (style = 3) AS unknown FROM (
+      SELECT page_id, CASE WHEN pos % 4 = 0 AND page_id % 2 = 0 THEN 1 WHEN pos % 4 IN (1, 2) AND page_id % 3 > 0 THEN 2 ELSE 3 END AS style FROM v_elements WHERE tag = 'button') GROUP BY page_id HAVING unknown > 0""",
+)
+_add(
+    "content_system", _of(lambda t: traffic.content_system(t.traffic.groupBy("page_id").agg(F.min("message").alias("generator"), F.concat_ws(" ", F.min(F.when(F.col("pos") % 4 == 3, "/wp-content/a.js")), F.min(F.when(F.col("pos") == 5, "/Drupal.js"))).alias("scripts")))),
+    _with(views=_T) + "SELECT page_id, CASE WHEN max(CASE WHEN pos % 4 = 3 THEN 1 END) = 1 THEN 'WordPress' ELSE 'Drupal' END AS cms FROM v_traffic GROUP BY page_id HAVING max(CASE WHEN pos % 4 = 3 OR pos = 5 THEN 1 END) = 1",
+)
