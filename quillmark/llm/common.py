@@ -94,13 +94,6 @@ def same(left: DataFrame, right: DataFrame, *pairs: tuple[str, str]) -> Column:
     return functools.reduce(lambda a, b: a & b, [left[a].eqNullSafe(right[b]) for a, b in pairs])
 
 
-def semi(df: DataFrame, keys: DataFrame, on: str, n_keys: int, key_bytes: int = 64) -> DataFrame:
-    """Rows of ``df`` whose ``on`` is in ``keys``: broadcast if ``n_keys`` keys are known to be small, else shuffled."""
-    if n_keys * key_bytes <= BROADCAST_BYTES:
-        keys = F.broadcast(keys)
-    return df.join(keys, on, "left_semi")
-
-
 def with_neighbours(keys: DataFrame, order: list[str], take: list[str]) -> DataFrame:
     """Add the ``take`` columns of the previous and next row in the order of ``order``.
 

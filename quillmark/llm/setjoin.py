@@ -19,9 +19,8 @@ Links are found whole, but copies are never multiplied out:
    centres are tried against that of one part.
 2. The other pairs with centres, and lists whose other sets lie in several
    components, go through the same bounds, across components only. Long lists are
-   compared in blocks: the sets outside the list's largest component are dealt into
-   blocks of bounded size, and those inside it only meet these. What passes is
-   verified.
+   compared in blocks of bounded size; blocks of the list's largest component meet
+   the others' blocks only, not each other. What passes is verified.
 
 Sets in one component after step 1 need no further links between them. All
 members of a list within one component cost nothing.
@@ -43,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as X
-from .common import drop, materialize, semi
+from .common import BROADCAST_BYTES, drop, materialize
 from .components import components
 
 SHINGLE = 5
@@ -56,6 +55,8 @@ _MAX_LIGHT = 12
 _LIST_BLOCK = 512
 #: Lists that the sketch expects to be longer are salted into parts of about so many sets.
 _LIST_PART = 2048
+#: The low bits of a list's name tell its parts apart, 0 for a whole list.
+_PART_BITS = (1 << 12) - 1
 
 
 def required(a: np.ndarray | int, b: np.ndarray | int):
@@ -173,13 +174,13 @@ def mean_list(counts: np.ndarray) -> float:
 
 
 def _poster(levels: np.ndarray, x: int, part: int = _LIST_PART):
-    """Rows (token, of, s, rank, at) of each set: its lists. ``of`` names the list that a salted part belongs to, 0 for a whole list."""
-    part_count = np.ceil(np.maximum(np.exp2(np.arange(256) / 4) - 1, 1) / part).astype(X.U64)
+    """Rows (token, s, rank, at) of each set: its lists, or its parts of them."""
+    part_count = np.minimum(np.ceil(np.maximum(np.exp2(np.arange(256) / 4) - 1, 1) / part), _PART_BITS).astype(X.U64)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Seen()
         for b in batches:
-            tokens, owners, places, long_ = [], [], [], []
+            tokens, owners, places = [], [], []
             for s in _texts(b):
                 n = len(s)
                 if not n or not seen.new(k := _set_hash(s)):
@@ -201,17 +202,14 @@ def _poster(levels: np.ndarray, x: int, part: int = _LIST_PART):
                         pos.append(np.zeros(len(sub), np.int64))
                 t = np.concatenate(got)
                 n_parts = part_count[np.concatenate(parts)]
-                salted = n_parts > 1
-                long_.append(np.where(salted, t.view(np.int64), 0))
-                t = np.where(salted, X.mix(t + (X.mix(np.full(1, k, np.int64).view(X.U64)) % n_parts + X.U64(1)) * X.U64(0x9E3779B97F4A7C15)), t)
-                tokens.append(t)
+                mine = X.mix(np.full(1, k, np.int64).view(X.U64)) % n_parts + X.U64(1)
+                tokens.append(t & ~X.U64(_PART_BITS) | np.where(n_parts > 1, mine, X.U64(0)))
                 places.append(np.concatenate(pos))
                 owners.append((k, n, -int(1000 * level.mean()), len(t)))
             o = np.array(owners, np.int64).reshape(-1, 4)
             s, n, rank = (np.repeat(o[:, i], o[:, 3]) for i in range(3))
             at = n << 32 | np.concatenate([*places, np.zeros(0, np.int64)])
-            of = np.concatenate([*long_, np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*tokens, np.zeros(0, X.U64)]).view(np.int64)), pa.array(of), pa.array(s), pa.array(rank), pa.array(at)], ["token", "of", "s", "rank", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*tokens, np.zeros(0, X.U64)]).view(np.int64)), pa.array(s), pa.array(rank), pa.array(at)], ["token", "s", "rank", "at"])
 
     return post
 
@@ -223,17 +221,17 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     a whole list. Between batches only the centre, the last set and a row not yet
     known to be alone are kept.
     """
-    names = ["token", "of", "s", "n", "pos", "c", "cn", "cpos", "alone"]
+    names = ["token", "s", "n", "pos", "c", "cn", "cpos", "alone"]
     centre, last_s, wait, sent = None, None, None, 0  # of the open list: first row, last s, the row held back, rows sent
 
     def batch(rows: np.ndarray, c: np.ndarray, alone: np.ndarray) -> pa.RecordBatch:
         part = lambda x: (x >> 32, x & 0xFFFFFFFF)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (rows[0], rows[3], rows[1], *part(rows[2]), c[1], *part(c[2]), alone & (rows[3] == 0))], names)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (rows[0], rows[1], *part(rows[2]), c[1], *part(c[2]), alone & (rows[0] & _PART_BITS == 0))], names)
 
     for b in batches:
         if not len(b):
             continue
-        rows = np.stack([b.column(k).to_numpy() for k in ("token", "s", "at", "of")])
+        rows = np.stack([b.column(k).to_numpy() for k in ("token", "s", "at")])
         prev = np.append(rows[1][0] if centre is None else last_s, rows[1][:-1])
         if centre is not None:
             rows, prev = np.column_stack([centre, rows]), np.append(centre[1], prev)
@@ -242,7 +240,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(starts)
         which = np.cumsum(starts) - 1  # the list of each row
         starts[0] &= centre is None  # sent already
-        send = np.flatnonzero((s != s[first[which]]) & np.append(False, t[1:] == t[:-1]) & (s != prev) | starts & (rows[3] != 0))
+        send = np.flatnonzero((s != s[first[which]]) & np.append(False, t[1:] == t[:-1]) & (s != prev) | starts & (t & _PART_BITS != 0))
         got, c, group = rows[:, send], rows[:, first[which[send]]], which[send]
         if wait is not None:
             got, c, group = np.column_stack([wait, got]), np.column_stack([rows[:, 0], c]), np.append(0, group)
@@ -320,15 +318,16 @@ def _closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sets of the documents; repeated rows once in a task."""
-    seen = _Seen()
+    """The set of each document with the pair that it is for; a document's pairs come one after another."""
+    last, packed = None, b""
     for b in batches:
-        keys, packed = [], []
-        for s in _texts(b):
-            if seen.new(k := _set_hash(s)):
-                keys.append(k)
-                packed.append(s.astype("<u8").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(packed, pa.binary())], ["s", "set"])
+        buf, off, _ = X.slices(b.column("text"))
+        sets = []
+        for i, k in enumerate(b.column("_k").to_pylist()):
+            if k != last:
+                last, packed = k, X.shingles(X.word_hashes(buf[off[i] : off[i + 1]], lower=True)[0], SHINGLE).astype("<u8").tobytes()
+            sets.append(packed)
+        yield pa.RecordBatch.from_arrays([b.column("s"), b.column("c"), pa.array(sets, pa.binary())], ["s", "c", "set"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,13 +341,18 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links (a, b) among the pairs (s, c) of classes, by the shingles of one document of each class."""
+    """Links (a, b) among the pairs (s, c) of classes, by the shingles of one document of each class.
+
+    The pairs find their documents first, so that a set goes straight to where it is
+    compared: those of s and, once, that of each c are exchanged by c.
+    """
     pairs = materialize(pairs.select("s", "c"))
-    need = materialize(pairs.select("s").union(pairs.select("c")).distinct().join(classes.select("s", "doc_id", "key"), "s").select("doc_id", "key"))
-    rows = docs.withColumn("_k", F.xxhash64("doc_id", "key"))
-    sets = materialize(semi(rows, need.select(F.xxhash64("doc_id", "key").alias("_k")), "_k", need.count()).mapInArrow(_pack, "s long, set binary"))
-    other = sets.select(F.col("s").alias("c"), F.col("set").alias("cset"))
-    links = materialize(pairs.join(sets, "s").join(other, "c").mapInArrow(_verify, "a long, b long"))
+    both = pairs.unionByName(pairs.select(F.col("c").alias("s"), "c").distinct())
+    need = materialize(both.join(classes.select("s", F.xxhash64("doc_id", "key").alias("_k")), "s"))
+    side = F.broadcast(need) if need.count() * 64 <= BROADCAST_BYTES else need
+    sets = materialize(docs.withColumn("_k", F.xxhash64("doc_id", "key")).join(side, "_k").select("_k", "s", "c", "text").mapInArrow(_pack, "s long, c long, set binary"))
+    centre = sets.where("s = c").select("c", F.col("set").alias("cset"))
+    links = materialize(sets.where("s <> c").join(centre, "c").mapInArrow(_verify, "a long, b long"))
     drop(pairs, need, sets)
     return links
 
@@ -357,9 +361,9 @@ def _cells(placed: DataFrame, block: int) -> DataFrame:
     """Rows (token, s, n, pos, comp) of lists with several components, dealt into cells (token, i, j) to be compared in.
 
     A list of up to ``block`` sets is one cell. Of a longer one the sets outside its
-    largest component have a block each (by hash), and each pair of blocks is a cell;
-    sets of the largest component join the cell (i, i) of every block i, since they
-    need not meet each other.
+    largest component are dealt into blocks 0 to nb - 1 by hash, those inside it into
+    blocks from nb on. Each pair of the former is a cell, a block with itself too, and
+    each pair of one of the former with one of the latter.
     """
     lists = materialize(placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("many")).where("lo <> hi").select("token", "many"))
     rows = placed.join(lists, "token")
@@ -367,12 +371,11 @@ def _cells(placed: DataFrame, block: int) -> DataFrame:
     short = rows.where(F.col("many") <= block).select("token", zero.alias("i"), zero.alias("j"), "s", "n", "pos", "comp", zero.alias("block"))
     long_ = rows.where(F.col("many") > block)
     parts = long_.groupBy("token", "comp").count().groupBy("token").agg(F.max(F.struct("count", "comp")).alias("top"), F.sum("count").alias("all"))
-    parts = materialize(parts.select("token", F.col("top.comp").alias("main"), F.ceil((F.col("all") - F.col("top.count")) / block).alias("nb")))
-    dealt = long_.join(parts, "token").withColumn("block", F.when(F.col("comp") == F.col("main"), F.lit(-1).cast("long")).otherwise(F.pmod(F.xxhash64("s"), "nb")))
-    dealt = dealt.withColumn("o", F.explode(F.sequence(zero, F.col("nb") - 1)))
-    main = F.col("block") < 0
-    i, j = F.when(main, F.col("o")).otherwise(F.least("block", "o")), F.when(main, F.col("o")).otherwise(F.greatest("block", "o"))
-    return short.unionByName(dealt.select("token", i.alias("i"), j.alias("j"), "s", "n", "pos", "comp", "block"))
+    parts = materialize(parts.select("token", F.col("top.comp").alias("main"), F.ceil((F.col("all") - F.col("top.count")) / block).alias("nb"), F.ceil(F.col("top.count") / block).alias("nm")))
+    inside = F.col("comp") == F.col("main")
+    own = F.when(inside, F.col("nb") + F.pmod(F.xxhash64("s"), "nm")).otherwise(F.pmod(F.xxhash64("s"), "nb"))
+    dealt = long_.join(parts, "token").withColumn("block", own).withColumn("o", F.explode(F.sequence(zero, F.when(inside, F.col("nb")).otherwise(F.col("nb") + F.col("nm")) - 1)))
+    return short.unionByName(dealt.select("token", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "s", "n", "pos", "comp", "block"))
 
 
 def similar_documents(docs: DataFrame, list_part: int = _LIST_PART, list_block: int = _LIST_BLOCK) -> DataFrame:
@@ -393,12 +396,13 @@ def similar_documents(docs: DataFrame, list_part: int = _LIST_PART, list_block:
     levels, list_length = _levels(described)
     sizes = {r["n"]: r["count"] for r in classes.where(F.col("n") <= 4 * _MAX_LIGHT).groupBy("n").count().collect()}
     x = boundary(sizes, list_length)
-    posted = docs.mapInArrow(_poster(levels, x, list_part), "token long, of long, s long, rank long, at long")
-    lists = materialize(posted.repartition("token").sortWithinPartitions("token", "rank", "s").mapInArrow(_shared, "token long, of long, s long, n long, pos long, c long, cn long, cpos long, alone boolean"))
+    posted = docs.mapInArrow(_poster(levels, x, list_part), "token long, s long, rank long, at long")
+    lists = materialize(posted.repartition("token").sortWithinPartitions("token", "rank", "s").mapInArrow(_shared, "token long, s long, n long, pos long, c long, cn long, cpos long, alone boolean"))
 
     # The first item that two similar sets share stands early in both: no later than the overlap they need allows.
     bits = classes.select("s", "bits")
-    centres = lists.where("of <> 0 AND s = c")
+    of = F.col("token").bitwiseAND(~_PART_BITS)
+    centres = lists.where((F.col("token") != of) & (F.col("s") == F.col("c"))).withColumn("of", of)
     lead = materialize(centres.groupBy("of").agg(F.min(F.struct("token", "s", "n", "pos")).alias("r")).select("of", F.col("r.s").alias("c"), F.col("r.n").alias("cn"), F.col("r.pos").alias("cpos")))
     tried = lists.select("s", "n", "pos", "c", "cn", "cpos").unionByName(centres.select("of", "s", "n", "pos").join(lead, "of").drop("of"))
     tried = tried.where("s <> c AND 7 * (n - pos) >= 3 * (n + cn) AND 7 * (cn - cpos) >= 3 * (n + cn)").select("s", "n", "c", "cn").distinct()
@@ -411,8 +415,7 @@ def similar_documents(docs: DataFrame, list_part: int = _LIST_PART, list_block:
     rest = near.join(best, ["s", "c"], "left_anti").join(at, "s", "left").withColumn("comp", F.coalesce("component", "s")).select("s", "c", "comp")
     rest = rest.join(at.select(F.col("s").alias("c"), F.col("component").alias("ccomp")), "c", "left").where(F.col("comp") != F.coalesce("ccomp", "c")).select("s", "c")
     # Each set was tried against its list's centre; what is left are the others of a list among themselves.
-    token = F.when(F.col("of") != 0, F.col("of")).otherwise(F.col("token"))
-    placed = materialize(lists.where("NOT alone").join(at, "s", "left").select(token.alias("token"), "s", "n", "pos", F.coalesce("component", "s").alias("comp")))
+    placed = materialize(lists.where("NOT alone").join(at, "s", "left").select(of.alias("token"), "s", "n", "pos", F.coalesce("component", "s").alias("comp")))
     drop(lists, lead, links)
     cells = _cells(placed, list_block).join(bits, "s")
     more = cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "s").mapInArrow(_blocks, "s long, c long")
