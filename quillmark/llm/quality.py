@@ -1,13 +1,16 @@
-"""Operator 5, quality rules: an isolation forest on rule statistics.
+"""Operator 5, quality rules: isolation forests on rule statistics.
 
 Each document gets the statistics of the usual quality rules (word count, word
 length, symbols, repeated lines, repeated 8-word windows, capitals). Hard rules
-reject first. For the rest an isolation forest (Liu, Ting and Zhou 2008) measures
-how short the path to a document is over random splits. It is fitted on good
-labelled rows and a few bad ones (a feature that never varies among the good
-would otherwise never be split); the cut is calibrated on other labelled rows.
-
-Only the fit uses a sample: at most ``SAMPLE`` labelled rows, those with the
+reject first. For the rest isolation forests (Liu, Ting and Zhou 2008) measure how
+short the path to a document is over random splits. One forest sees what the words
+are made of and repeat, the other repeated lines and the word count: in one forest
+the wide spread of the latter among good documents hides the former. They are
+fitted on good labelled rows and a few bad ones (a feature that never varies among
+the good would otherwise never be split); each cut is calibrated on other labelled
+rows, and a document goes if either forest puts it past its cut.
+
+Only the fit uses a sample: about ``SAMPLE`` labelled rows, those with the
 smallest hashes of their ids. Every document is scored.
 """
 
@@ -24,11 +27,11 @@ from pyspark.sql import functions as F
 from . import words as X
 from .common import text_key
 
-#: At most so many labelled rows are read for the fit and the calibration.
+#: About so many labelled rows are read for the fit and the calibration.
 SAMPLE = 20_000
 TREES, SUBSAMPLE = 128, 256
-#: Share of the good labelled rows that the cut may reject at most.
-MAX_LOSS = 0.01
+#: Share of the good labelled rows that the cuts of the two forests may reject at most.
+MAX_LOSS = (0.01, 0.002)
 #: Bad rows for each good one in the fit.
 BAD_SHARE = 1 / 64
 
@@ -62,16 +65,11 @@ def statistics(buf: np.ndarray) -> tuple[int, ...]:
     return n, word_chars, count(_SYMBOL), len(lines) - len(set(lines)), repeat, count(_UPPER)
 
 
-def features(s: np.ndarray) -> np.ndarray:
-    """Ratios of the counts, a row each: what the forest splits on."""
+def features(s: np.ndarray) -> list[np.ndarray]:
+    """Ratios of the counts, a row each: what each forest splits on."""
     s = s.astype(np.float64)
     n, w = np.maximum(s[:, 0], 1), np.maximum(s[:, 1], 1)
-    return np.column_stack([
-        s[:, 1] / n,
-        np.log1p(100 * s[:, 2] / n),
-        s[:, 4] / n,
-        np.log1p(100 * s[:, 5] / w),
-    ])
+    return [np.column_stack([s[:, 1] / n, np.log1p(100 * s[:, 2] / n), s[:, 4] / n, np.log1p(100 * s[:, 5] / w)]), np.column_stack([np.log1p(100 * s[:, 3] / n), np.log(n)])]
 
 
 @dataclass
@@ -131,7 +129,7 @@ def fit_forest(x: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, se
     return Forest(f, v, left, path, _expected(m) or 1.0)
 
 
-def calibrated_cut(good: np.ndarray, bad: np.ndarray, max_loss: float = MAX_LOSS) -> float:
+def calibrated_cut(good: np.ndarray, bad: np.ndarray, max_loss: float = MAX_LOSS[0]) -> float:
     """The cut that rejects most bad rows net of good ones, and at most max_loss of the good; no cut without bad rows."""
     if not len(good) or not len(bad):
         return np.inf
@@ -159,23 +157,46 @@ def rule_statistics(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text").mapInArrow(_measure, _SCHEMA)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest | None:
-    """A forest fitted on half of the sampled labelled rows and calibrated on the other half; None without good rows."""
-    picked = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").select(F.col("doc_id").alias("_id"), "quality")
-    picked = picked.orderBy(F.xxhash64("_id"), "_id", "quality").limit(sample)
-    rows = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))  # at most `sample` pairs of numbers
-    stats = rows.select(F.col("_id").alias("doc_id"), F.col("quality").cast("long").alias("text_key"), "text").mapInArrow(_measure, _SCHEMA)
-    got = stats.orderBy(F.xxhash64("doc_id"), *stats.columns).limit(2 * sample).toPandas()
-    s = got[_ALL].to_numpy(np.int64)
-    good, keep = got["text_key"].to_numpy() == 1, ~base_failed(s)
-    x, good, half = features(s[keep]), good[keep], np.arange(int(keep.sum())) % 2 == 0
+def fit_forests(s: np.ndarray, good: np.ndarray) -> list[Forest]:
+    """The forests with their cuts, from counts of labelled rows past the hard rules: every other row fits, the rest calibrate. None without good rows to fit."""
+    half = np.arange(len(s)) % 2 == 0
     if not (good & half).any():
-        return None
+        return []
     few = np.flatnonzero(~good & half)[: max(4, int(BAD_SHARE * (good & half).sum()))]
-    forest = fit_forest(np.vstack([x[good & half], x[few]]))
-    scores = forest.score(x[~half]) if (~half).any() else np.zeros(0)
-    forest.cut = calibrated_cut(scores[good[~half]], scores[~good[~half]])
-    return forest
+    out = []
+    for x, loss in zip(features(s), MAX_LOSS, strict=True):
+        forest = fit_forest(np.vstack([x[good & half], x[few]]))
+        scores = forest.score(x[~half]) if (~half).any() else np.zeros(0)
+        forest.cut = calibrated_cut(scores[good[~half]], scores[~good[~half]], loss)
+        out.append(forest)
+    return out
+
+
+def verdicts(forests: list[Forest], s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of counts: whether the hard rules fail, the greater anomaly of the forests, and whether the document is kept."""
+    failed = base_failed(s)
+    anomaly, kept = np.zeros(len(s)), ~failed
+    if len(s):
+        for forest, x in zip(forests, features(s), strict=False):
+            score = forest.score(x)
+            anomaly, kept = np.maximum(anomaly, score), kept & ~(score >= forest.cut)
+    return failed, anomaly, kept
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Forest]:
+    """Forests fitted and calibrated on the labelled rows with the smallest hashes, about ``sample`` of them."""
+    picked = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").select(F.col("doc_id").cast("long").alias("_id"), "quality")
+    h = F.pmod(F.xxhash64("_id"), F.lit(1 << 40))
+    # by a threshold on the hash, so that no task has to gather the smallest
+    picked = picked.where(h < int(min(1.0, sample / max(1, picked.count())) * (1 << 40)) + 1)
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))  # about `sample` pairs of numbers
+    stats = rows.select(F.col("_id").alias("doc_id"), F.col("quality").cast("long").alias("text_key"), "text").mapInArrow(_measure, _SCHEMA)
+    got = stats.toPandas()  # a few numbers for each labelled row
+    got["h"] = [(int(i) * 0x9E3779B97F4A7C15 >> 7) & 0xFFFFFFFF for i in got["doc_id"]]
+    got = got.sort_values(["h", "doc_id", *_ALL, "text_key"])
+    s = got[_ALL].to_numpy(np.int64).reshape(-1, len(_ALL))
+    keep = ~base_failed(s)
+    return fit_forests(s[keep], got["text_key"].to_numpy()[keep] == 1)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -183,17 +204,15 @@ def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 
     Null and empty texts have no words and fail. Null ids stay null. Repeated rows
     get equal verdicts. Without good labelled rows nothing but the hard rules
-    rejects (anomaly 0); without bad ones there is no cut. Other columns are ignored.
+    rejects (anomaly 0); without bad ones there is no cut. No documents give no
+    rows. Other columns are ignored, whatever their names.
     """
-    forest = fit_quality(docs, labels, sample)
+    forests = fit_quality(docs, labels, sample)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _measure(batches):
-            s = np.column_stack([b.column(c).to_numpy() for c in _ALL])
-            failed = base_failed(s)
-            score = forest.score(features(s)) if forest is not None and len(s) else np.zeros(len(s))
-            kept = ~failed & ~(score >= (forest.cut if forest is not None else np.inf))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(failed), pa.array(score), pa.array(kept)], [*b.schema.names, "base_failed", "anomaly", "kept"])
+            found = verdicts(forests, np.column_stack([b.column(c).to_numpy() for c in _ALL]))
+            yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, found)], [*b.schema.names, "base_failed", "anomaly", "kept"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
     return rows.mapInArrow(judge, _SCHEMA + ", base_failed boolean, anomaly double, kept boolean")
