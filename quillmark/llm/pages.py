@@ -5,11 +5,14 @@ the smaller edit distance of paths is the partner. Both pages become text lines
 (one for each block), the lines are aligned by a longest common subsequence, and
 shared lines are deleted: what a site repeats is not the article.
 
-Differencing alone is not right on every page, so the markup has a say too. Lines
-in menus, headers, footers, sidebars, forms, notices, adverts and comments go even
+Differencing alone is not right on pages whose menus, notices and footers are drawn
+anew for each page: there it deletes few of them, and passages that two articles
+quote go. So the markup has a say too. Lines in menus, headers, footers, sidebars, forms, notices, adverts and comments go even
 if the partner lacks them (not those in a form around the whole page, nor in a layout
 that is named after its sidebar or header); lines inside ``article`` or ``main`` stay even if the
 partner quotes the same passage; a page that has such an element is that element.
+The output counts the lines that went since the partner has them, those that only
+the markup deleted, and the shared ones that an article kept.
 """
 
 from __future__ import annotations
@@ -220,11 +223,17 @@ def _last_row(a: list[int], b: list[int]) -> int:
     return v
 
 
-def main_text(page: list[tuple[str, int]], partner: list[int]) -> str:
-    """The lines that stay: see the module's rules. partner: hashes of the partner's lines."""
+def decide(page: list[tuple[str, int]], partner: list[int]) -> tuple[list[str], int, int, int]:
+    """The lines that stay, and how many went as shared, went by markup alone, and stayed though shared. partner: hashes of the partner's lines."""
     marked = any(bits & ARTICLE and not bits & BOILER for _, bits in page)
     gone = shared([_hash(t) for t, _ in page], partner) if partner else set()
-    return "\n".join(t for i, (t, bits) in enumerate(page) if not bits & BOILER and (bits & ARTICLE if marked else i not in gone))
+    stays = [not bits & BOILER and bool(bits & ARTICLE if marked else i not in gone) for i, (_, bits) in enumerate(page)]
+    n_shared = sum(i in gone and not ok for i, ok in enumerate(stays))
+    return [t for (t, _), ok in zip(page, stays, strict=True) if ok], n_shared, stays.count(False) - n_shared, len(gone) - n_shared
+
+
+def main_text(page: list[tuple[str, int]], partner: list[int]) -> str:
+    return "\n".join(decide(page, partner)[0])
 
 
 def _hash(line: str) -> int:
@@ -237,15 +246,21 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("nid"), b.column("nkey"), pa.array(got, pa.binary())], ["nid", "nkey", "partner"])
 
 
+_COUNTS = ("n_lines", "n_shared", "n_markup", "n_quoted")
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(0, len(b), 256):
             part = b.slice(i, 256)
-            texts = []
+            texts, counts = [], []
             for x, p in zip(part.column("html"), part.column("partner"), strict=True):
-                text = main_text(lines(x.as_py() or ""), np.frombuffer(p.as_py() or b"", "<u8").tolist())
-                texts.append(text.encode("utf-8", "replace").decode())
-            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+                page = lines(x.as_py() or "")
+                kept, *n = decide(page, np.frombuffer(p.as_py() or b"", "<u8").tolist())
+                texts.append("\n".join(kept).encode("utf-8", "replace").decode())
+                counts.append((len(page), *n))
+            n = np.array(counts, np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), *(pa.array(n[:, j]) for j in range(4))], ["page_id", "url", "text", "n_chars", *_COUNTS])
 
 
 def _host(url: Column) -> Column:
@@ -257,12 +272,12 @@ def _path(url: Column) -> Column:
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """One row for each row of ``pages`` (page_id, url, html): page_id, url, text, n_chars.
+    """One row for each row of ``pages`` (page_id, url, html): page_id, url, text, n_chars, n_lines, n_shared, n_markup, n_quoted.
 
     Null and empty html give an empty text. Null urls and urls without a host count
     as one host of their own with no path. A page without another page on its host
-    has no partner; repeated rows are one page in the order of URLs. Other columns
-    are ignored.
+    has no partner; repeated rows are one page in the order of URLs. No pages give
+    no rows. Other columns are ignored, whatever their names.
     """
     url = F.coalesce("url", F.lit(""))
     rows = pages.select(
@@ -276,4 +291,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     pairs = near.withColumn("_o", pick).where("_o IS NOT NULL").select("id", "key", F.col("_o.id").alias("nid"), F.col("_o.key").alias("nkey"))
     hashes = rows.select(F.col("id").alias("nid"), F.col("key").alias("nkey"), "html").mapInArrow(_hashes, "nid long, nkey long, partner binary")
     partners = pairs.join(hashes, ["nid", "nkey"]).select("id", "key", "partner").dropDuplicates(["id", "key"])
-    return rows.join(partners, ["id", "key"], "left").select("page_id", "url", "html", "partner").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return rows.join(partners, ["id", "key"], "left").select("page_id", "url", "html", "partner").mapInArrow(_extract, "page_id long, url string, text string, n_chars long, " + ", ".join(f"{c} long" for c in _COUNTS))
