@@ -12,13 +12,17 @@ def words(t):
 
 def substring_dedup(rows):
     """rows: (doc_id, text). For each row (n_words, n_removed, sha256 of the kept words)."""
-    out = []
+    out, first = [], {}
+    for i, t in rows:
+        w = words(t)
+        for p in range(len(w) - 49) if i is not None else ():
+            x = tuple(w[p : p + 50])
+            first[x] = min(i, first.get(x, i))
     for i, t in rows:
         w = words(t)
         gone = set()
-        for p in range(len(w) - 49):
-            x = w[p : p + 50]
-            if i is not None and any(j is not None and j < i and any(v[q : q + 50] == x for q in range(len(v) - 49)) for j, v in ((j, words(u)) for j, u in rows)):
+        for p in range(len(w) - 49) if i is not None else ():
+            if first[tuple(w[p : p + 50])] < i:
                 gone.update(range(p, p + 50))
         kept = " ".join(v for k, v in enumerate(w) if k not in gone)
         out.append((i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))

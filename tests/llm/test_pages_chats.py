@@ -40,6 +40,10 @@ def test_shared_lines_go_without_an_article():
     other = [pages._hash(t) for t, _ in pages.lines("<div>menu</div><div>another</div><div>bottom</div>")]
     assert pages.main_text(page, other) == "only here"
     assert pages.main_text(page, []) == "menu\nonly here\nbottom"
+    assert pages.decide(page, other)[1:] == (2, 0, 0)
+    page = pages.lines("<nav>menu</nav><article>quoted<p>own</article><footer>year</footer>")
+    other = [pages._hash(t) for t in ("menu", "quoted", "another")]
+    assert pages.decide(page, other) == (["quoted", "own"], 1, 1, 1)
 
 
 def _lcs(a, b):
@@ -66,6 +70,38 @@ def test_extract_pages_with_awkward_rows(spark):
     text = {(r.page_id, r.url): r.text for r in got}
     assert text[(2, "http://h/b")] == "y" and text[(3, None)] == "z" and text[(4, "http://h/c")] == ""
     assert text[(5, "no url")] == ("long " * 50_000).strip()
+    assert all(r.n_lines == r.text.count("\n") + bool(r.text) + r.n_shared + r.n_markup for r in got)
+    assert pages.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def _hand_labelled():
+    """Sites of three kinds of markup: menus and footers alike or not, articles that quote each other."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
+    say = lambda k: " ".join(word() for _ in range(k))
+    rows = []
+    quote = say(12)
+    for kind in ("plain", "named", "article"):
+        menu, foot, notice = [say(1) for _ in range(6)], say(6), say(9)
+        for i in range(12):
+            body = [say(4)] + [say(20) for _ in range(rng.randint(2, 5))] + ([quote] if kind == "article" and i % 2 else [])
+            if kind == "plain":  # nothing but what pages share tells
+                html = "".join(f"<div>{x}</div>" for x in menu) + f"<div>{notice}</div>" + "".join(f"<p>{x}</p>" for x in body) + f"<div>{foot}</div>"
+            elif kind == "named":
+                html = f"<div class='top-menu'>{say(3)}</div><div class='cookie-notice'>{notice}</div><div>" + "".join(f"<p>{x}</p>" for x in body) + f"</div><div id=sidebar>{say(9)}</div><div>{foot}</div>"
+            else:
+                html = f"<nav>{say(3)}</nav><div class='ad'>{say(5)}</div><article>" + "".join(f"<p>{x}</p>" for x in body) + f"</article><footer>{say(4)}</footer>"
+            rows.append((len(rows), f"https://{kind}.example/{kind}/{i:02d}", html, "\n".join(body)))
+    return rows
+
+
+def test_hand_labelled_pages_and_what_the_partner_decides(spark):
+    rows = _hand_labelled()
+    got = {r.page_id: r for r in pages.extract_pages(spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")).collect()}
+    assert all(got[i].text == text for i, _, _, text in rows)
+    assert all(got[i].n_shared == (8 if "plain" in url else got[i].n_shared) for i, url, *_ in rows)
+    alone = [pages.main_text(pages.lines(html), []) == text for _, _, html, text in rows]
+    assert not any(alone[:24]) and all(alone[24:])  # without partners the first two sites come out wrong
 
 
 @given(st.text(max_size=60))
