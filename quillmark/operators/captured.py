@@ -154,7 +154,7 @@ def pdf_scores(info: DataFrame, findings: DataFrame, checks: int = 8) -> DataFra
 def policy_keywords(pages: DataFrame, rules: DataFrame, around: int = 40) -> DataFrame:
     """For each page (page_id, text) and rule (rule, pattern; a handful) the occurrences and the first excerpt."""
     r = F.broadcast(rules)
-    low, pat = F.lower(F.substring("text", 1, 200_000)), F.lower("pattern")
+    low, pat = F.lower("text"), F.lower("pattern")
     rows = pages.crossJoin(r).where(F.contains(low, pat))
     rows = rows.withColumn("n", (F.length(low) - F.length(F.replace(low, pat, F.lit("")))) / F.length("pattern")).withColumn("at", F.instr(low, pat))
     start = F.greatest(F.col("at") - around, F.lit(1))

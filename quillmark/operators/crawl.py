@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quillmark.functions.urls import document_extension, is_in_scope, is_renderable, matches_ignore, normalize_url
+
 
 def _written(df: DataFrame) -> DataFrame:
-    """Lineage cut in the shared folder the session names, else by a cached plan of one level."""
+    """Lineage cut in the shared folder the session names; without one the plan grows by a join a level, of which max_depth bounds the number."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
@@ -42,13 +44,58 @@ def crawl_depth(links: DataFrame, roots: DataFrame, max_depth: int, max_pages: i
     return seen
 
 
-def admit_links(candidates: DataFrame, seen: DataFrame, max_depth: int, budget: int) -> DataFrame:
-    """Candidates (site, url, depth) not seen, within depth, the first ``budget`` of each site by depth and URL."""
-    new = candidates.where(F.col("depth") <= max_depth).groupBy("site", "url").agg(F.min("depth").alias("depth")).join(seen.select("site", "url"), ["site", "url"], "left_anti")
+def admit_links(candidates: DataFrame, seen: DataFrame, max_depth: int, budget: int, roots: DataFrame | None = None, ignore: list[str] | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """Links (site, url, depth) that a crawl takes up: the first ``budget`` new ones of each site by depth and URL.
+
+    URLs are normalised; those must stay that are within depth, renderable and no
+    document, in the scope of their site's root (``roots``: site, root_url), match no
+    ``ignore`` pattern, are allowed by robots (``allowed``: url, allowed) and not seen.
+    """
+    url = F.col("url")
+    rows = candidates.where(F.col("depth") <= max_depth).withColumn("url", normalize_url(url))
+    rows = rows.where(is_renderable(url) & document_extension(url).isNull())
+    rows = rows.where(~matches_ignore(url, ignore)) if ignore else rows
+    if roots is not None:
+        rows = rows.join(roots.select("site", "root_url"), "site").where(is_in_scope(url, F.col("root_url")))
+    if allowed is not None:
+        rows = rows.join(allowed.where("NOT allowed").select("url").distinct(), "url", "left_anti")
+    new = rows.groupBy("site", "url").agg(F.min("depth").alias("depth")).join(seen.select("site", normalize_url(url).alias("url")), ["site", "url"], "left_anti")
     w = W.partitionBy("site").orderBy("depth", "url")
     return new.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= budget)
 
 
+def collect_documents(links: DataFrame, domains: DataFrame, budget: int) -> DataFrame:
+    """Linked documents (site, url, domain) on their site's registrable domain (site, domain), the first ``budget`` of each site."""
+    docs = links.where(document_extension(F.col("url")).isNotNull()).join(domains.select("site", "domain"), ["site", "domain"]).select("site", normalize_url(F.col("url")).alias("url")).distinct()
+    return docs.withColumn("rank", F.row_number().over(W.partitionBy("site").orderBy("url"))).where(F.col("rank") <= budget)
+
+
+def registrable_domains(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """The registrable domain of each host (host): its longest public suffix (suffix) and one label more; the host itself without one.
+
+    Each host is spread over its tails, at most one for each label, which meet the
+    suffixes in an equi-join.
+    """
+    labels = F.split("host", r"\.")
+    tails = hosts.select("host").distinct().select("host", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.struct(F.array_join(F.slice(labels, i + 1, F.size(labels)), ".").alias("suffix"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("domain")))).alias("t"))
+    best = tails.select("host", "t.*").join(suffixes.select("suffix").distinct(), "suffix").groupBy("host").agg(F.max_by("domain", F.length("suffix")).alias("domain"))
+    return hosts.select("host").distinct().join(best, "host", "left").select("host", F.coalesce("domain", "host").alias("domain"))
+
+
+def same_site(pairs: DataFrame, domains: DataFrame) -> DataFrame:
+    """Pairs of hosts (a, b) with whether their registrable domains (host, domain) are equal."""
+    of = lambda c: domains.select(F.col("host").alias(c), F.col("domain").alias("_" + c))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", (F.col("_a") == F.col("_b")).alias("same"))
+
+
+def declared_sitemaps(robots: DataFrame, sites: DataFrame) -> DataFrame:
+    """Sitemaps that a site's robots file (site, body) names, else /sitemap.xml under its root (site, root_url)."""
+    lines = F.regexp_extract_all("body", F.lit(r"(?im)^[ \t]*sitemap[ \t]*:[ \t]*(\S+)"), F.lit(1))
+    named = robots.select("site", F.explode(lines).alias("url")).distinct()
+    rest = sites.join(named.select("site").distinct(), "site", "left_anti").select("site", F.concat(F.regexp_replace("root_url", "/+$", ""), F.lit("/sitemap.xml")).alias("url"))
+    return named.unionByName(rest)
+
+
 def match_site(runs: DataFrame, sites: DataFrame) -> DataFrame:
     """The first site whose root equals the run's but for case, spaces and slashes at the end."""
     key = lambda c: F.lower(F.regexp_replace(F.trim(c), "/+$", ""))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quillmark.functions.urls import is_in_scope
+
 
 def duplicate_titles(pages: DataFrame) -> DataFrame:
     """Pages whose non-blank title occurs more than once in their run.
@@ -58,6 +60,25 @@ def missing_from_sitemap(crawled: DataFrame, sitemap: DataFrame, n: int = 500) -
     return gone.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def split_external_links(links: DataFrame, root: Column) -> DataFrame:
+    """http(s) links (page_id, url) out of the scope of the root, each once."""
+    return links.where(F.col("url").rlike("^https?://") & ~is_in_scope(F.col("url"), root)).select("url").distinct()
+
+
+def sitemap_findings(fetches: DataFrame) -> DataFrame:
+    """Sites (site, url, status, kind, parsed) without a sitemap that answered, and sitemaps that did not parse.
+
+    ``kind`` is root for the usual places and child for what an index lists; of the
+    former the first that answered 200 counts, in the order of ``place``.
+    """
+    roots = fetches.where("kind = 'root'").groupBy("site").agg(F.min(F.when(F.col("status") == 200, F.struct("place", "url", "parsed"))).alias("r"))
+    missing = roots.where("r IS NULL").select("site", F.lit("sitemap_missing").alias("rule_id"), F.lit(None).cast("string").alias("url"))
+    broken = roots.where("r IS NOT NULL AND NOT r.parsed").select("site", F.lit("sitemap_malformed").alias("rule_id"), "r.url")
+    good = roots.where("r.parsed").select("site")
+    children = fetches.where("kind = 'child' AND (status IS NULL OR status <> 200 OR NOT parsed)").join(good, "site", "left_semi").select("site", F.lit("sitemap_malformed").alias("rule_id"), "url")
+    return missing.unionByName(broken).unionByName(children)
+
+
 def home_page(pages: DataFrame, root: Column) -> DataFrame:
     """The page equal to the root but for slashes at the end, else the first."""
     strip = lambda c: F.regexp_replace(c, "/+$", "")

@@ -74,11 +74,13 @@ def checks_list(checks: DataFrame, issues: DataFrame) -> DataFrame:
     return out.select("scan_id", "category", "rule_id", "check_score", "pages_affected", F.coalesce("open_issues", F.lit(0)).alias("open_issues"), F.coalesce("worst_rank", F.lit(9)).alias("worst_rank"))
 
 
-def checks_full(rules: DataFrame, runs: DataFrame, checks: DataFrame) -> DataFrame:
-    """M9: the whole catalogue for each done run; a check without findings scores 100."""
+def checks_full(rules: DataFrame, runs: DataFrame, checks: DataFrame, issues: DataFrame) -> DataFrame:
+    """M9: the whole catalogue for each done run; a check without findings scores 100, one that only has findings for review is not scored (null)."""
     grid = runs.where("status = 'done'").select("scan_id").crossJoin(F.broadcast(rules.select("rule_id", "category")))  # the catalogue is fixed
     out = grid.join(checks.select("scan_id", "category", "rule_id", "check_score"), ["scan_id", "category", "rule_id"], "left")
-    return out.withColumn("check_score", F.coalesce("check_score", F.lit(100)))
+    any_ = issues.groupBy("scan_id", "category", "rule_id").agg(F.count("*").alias("n"))
+    out = out.join(any_, ["scan_id", "category", "rule_id"], "left")
+    return out.select("scan_id", "category", "rule_id", F.when(F.col("check_score").isNotNull(), F.col("check_score")).when(F.col("n").isNull(), 100).alias("check_score"))
 
 
 def check_pages_top(issues: DataFrame, pages: DataFrame, n: int = 50) -> DataFrame:
@@ -116,17 +118,37 @@ def module_history(runs: DataFrame, checks: DataFrame) -> DataFrame:
 
 
 def group_overview(history: DataFrame, runs: DataFrame) -> DataFrame:
-    """Each module's score with its change since the run before."""
-    w = W.partitionBy("site_id", "category", "subcategory").orderBy("created_at")
+    """Each module's score with its change since the last earlier run that has one."""
+    w = W.partitionBy("site_id", "category", "subcategory").orderBy("created_at").rowsBetween(W.unboundedPreceding, -1)
     rows = history.join(runs.select("scan_id", "created_at"), "scan_id")
-    return rows.withColumn("delta", F.round((F.col("score") - F.lag("score").over(w)).cast("decimal(18,6)"), 1).cast("double")).select("site_id", "scan_id", "category", "subcategory", "score", "delta")
+    return rows.withColumn("delta", F.round((F.col("score") - F.last("score", ignorenulls=True).over(w)).cast("decimal(18,6)"), 1).cast("double")).select("site_id", "scan_id", "category", "subcategory", "score", "delta")
+
+
+#: The module groups of the overviews: category and the subcategories of each.
+MODULE_GROUPS = [
+    ("privacy", "consent", ["Consent", "Disclosure"]),
+    ("privacy", "audit", ["Tracking"]),
+    ("privacy", "security", ["Security", "Transport"]),
+    ("marketing", "content", ["Content optimization"]),
+    ("marketing", "technical", ["Technical optimization"]),
+]
+
+
+def group_history(runs: DataFrame, checks: DataFrame, groups: list[tuple[str, str, list[str]]] = MODULE_GROUPS) -> DataFrame:
+    """Mean check score of each group for each done run, with the change since the last earlier run that has one."""
+    dim = checks.sparkSession.createDataFrame([(c, g, x) for c, g, xs in groups for x in xs], "category string, group string, subcategory string")
+    mean = F.round(F.avg(F.col("check_score").cast("decimal(18,6)")), 1).cast("double")
+    rows = checks.join(F.broadcast(dim), ["category", "subcategory"]).join(runs.where("status = 'done'").select("scan_id", "site_id", "created_at"), "scan_id")
+    per = rows.groupBy("site_id", "scan_id", "created_at", "category", "group").agg(mean.alias("score"))
+    w = W.partitionBy("site_id", "category", "group").orderBy("created_at").rowsBetween(W.unboundedPreceding, -1)
+    return per.withColumn("delta", F.round((F.col("score") - F.last("score", ignorenulls=True).over(w)).cast("decimal(18,6)"), 1).cast("double")).drop("created_at")
 
 
 def accessibility_levels(runs: DataFrame, scores: DataFrame) -> DataFrame:
-    """Level scores of each run and the change to the last earlier run."""
-    w = W.partitionBy("site_id").orderBy("created_at")
-    rows = runs.where("status = 'done'").join(scores, "scan_id")
-    return rows.select("site_id", "scan_id", *[x for c in ("score_a", "score_aa", "score_aaa") for x in (F.col(c), (F.col(c) - F.lag(c).over(w)).alias(c + "_delta"))])
+    """Level scores of each done run and the change to the last earlier one that has them."""
+    w = W.partitionBy("site_id").orderBy("created_at").rowsBetween(W.unboundedPreceding, -1)
+    rows = runs.where("status = 'done'").join(scores, "scan_id", "left")
+    return rows.select("site_id", "scan_id", *[x for c in ("score_a", "score_aa", "score_aaa") for x in (F.col(c), (F.col(c) - F.last(c, ignorenulls=True).over(w)).alias(c + "_delta"))])
 
 
 def common_issues(issues: DataFrame, n: int = 4) -> DataFrame:
@@ -209,10 +231,12 @@ def readability_summary(pages: DataFrame) -> DataFrame:
     )
 
 
-def compliance_status(issues: DataFrame) -> DataFrame:
-    """Each area of a run: all findings for review means needs attention, else non-compliant (no finding: no row)."""
-    status = F.when(F.bool_and("manual_review"), "needs attention").otherwise("non-compliant")
-    return issues.groupBy("scan_id", "category").agg(status.alias("status"))
+def compliance_status(issues: DataFrame, runs: DataFrame, areas: list[str]) -> DataFrame:
+    """Each area of a run: no finding means compliant, only findings for review needs attention, else non-compliant."""
+    grid = runs.select("scan_id").crossJoin(F.broadcast(runs.sparkSession.createDataFrame([(a,) for a in areas], "category string")))  # a few areas
+    found = issues.where(F.col("category").isin(areas)).groupBy("scan_id", "category").agg(F.bool_and("manual_review").alias("only"))
+    status = F.when(F.col("only").isNull(), "compliant").when(F.col("only"), "needs attention").otherwise("non-compliant")
+    return grid.join(found, ["scan_id", "category"], "left").select("scan_id", "category", status.alias("status"))
 
 
 def module_summary(checks: DataFrame, issues: DataFrame) -> DataFrame:
@@ -223,6 +247,13 @@ def module_summary(checks: DataFrame, issues: DataFrame) -> DataFrame:
     return m.join(o, ["scan_id", "category"], "left").select("scan_id", "category", "score", "checks", F.coalesce("open_issues", F.lit(0)).alias("open_issues"))
 
 
+def category_pages(pages: DataFrame, scores: DataFrame, category: str) -> DataFrame:
+    """Pages of each run by their score in a category (else their own), the lowest first, unscored last."""
+    score = F.coalesce("cat_" + category.lower().replace(" ", "_"), "score")
+    rows = pages.select("scan_id", "page_id", "url").join(scores.select("scan_id", "page_id", score.alias("score")), ["scan_id", "page_id"], "left")
+    return rows.withColumn("place", F.row_number().over(W.partitionBy("scan_id").orderBy(F.col("score").asc_nulls_last(), "url", "page_id")))
+
+
 def top_category_pages(issues: DataFrame, pages: DataFrame, category: str, n: int = 10) -> DataFrame:
     """For each run the n pages with most findings of a category."""
     per = issues.where(F.col("category") == category).groupBy("scan_id", "page_id").agg(F.count("*").alias("issues"))

@@ -30,9 +30,16 @@ def sample_failures(pages: DataFrame, n: int = 20) -> DataFrame:
 
 
 def coverage_verdict(coverage: DataFrame) -> DataFrame:
-    """L3: a run without any ok page has failed."""
-    verdict = F.when(F.col("ok") == 0, "failed").when(F.col("failed") > 0, "partial").otherwise("done")
-    return coverage.select("scan_id", "pages", "failed", verdict.alias("verdict"))
+    """L3: a run without any ok page has failed, others are done; with a message."""
+    n = lambda c: F.col(c).cast("string")
+    message = F.when(F.col("pages") == 0, "No pages were found").when(F.col("ok") == 0, F.concat(F.lit("None of "), n("pages"), F.lit(" pages could be read"))).when(F.col("failed") > 0, F.concat(n("failed"), F.lit(" of "), n("pages"), F.lit(" pages could not be read")))
+    return coverage.select("scan_id", "pages", "failed", F.when(F.col("ok") == 0, "failed").otherwise("done").alias("verdict"), message.alias("message"))
+
+
+def scores_of_done(scores: DataFrame, verdicts: DataFrame, columns: list[str]) -> DataFrame:
+    """L3: scores with those of failed runs null."""
+    done = verdicts.select("scan_id", (F.col("verdict") == "done").alias("_done"))
+    return scores.join(done, "scan_id").select("scan_id", *[F.when(F.col("_done"), F.col(c)).alias(c) for c in columns])
 
 
 def stalled_runs(runs: DataFrame, now: Column, grace_minutes: int = 35) -> DataFrame:

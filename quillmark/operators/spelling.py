@@ -70,8 +70,8 @@ def corpus_dictionary(docs: DataFrame, least: int) -> DataFrame:
 
 
 def detect_language(texts: DataFrame, stop_words: DataFrame, default: str = "en-US") -> DataFrame:
-    """The language with most stop words (lang, word; a fixed list) in the first 2000 characters of each text (id, text)."""
-    words = texts.select("id", F.explode(F.split(F.lower(F.substring(F.coalesce("text", F.lit("")), 1, 2000)), r"[^\p{L}]+")).alias("word"))
+    """The language with most stop words (lang, word; a fixed list) in the whole of each text (id, text)."""
+    words = texts.select("id", F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+")).alias("word"))
     hits = words.join(F.broadcast(stop_words), "word").groupBy("id", "lang").agg(F.count("*").alias("n"))
     best = hits.groupBy("id").agg(F.max_by("lang", F.struct("n", "lang")).alias("lang"))
     return texts.select("id").join(best, "id", "left").select("id", F.coalesce("lang", F.lit(default)).alias("lang"))

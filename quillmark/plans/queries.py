@@ -134,7 +134,7 @@ _add("run_metrics", _of(lambda t: runs.run_metrics(t.pages)), _with(views=("page
 _COVER = "SELECT scan_id, count(*) AS pages, count(*) FILTER (render_status = 'ok') AS ok, count(*) FILTER (render_status <> 'ok') AS failed, count(*) FILTER (is_document) AS documents, count(*) FILTER (is_error_page) AS error_pages FROM v_pages GROUP BY scan_id"
 _add("run_coverage", _of(lambda t: runs.run_coverage(t.pages)), _with(views=("pages",)) + _COVER)
 _add("sample_failures", _of(lambda t: runs.sample_failures(t.pages)), _with(views=("pages",)) + "SELECT scan_id, rank, url FROM (SELECT scan_id, url, row_number() OVER (PARTITION BY scan_id ORDER BY url) AS rank FROM v_pages WHERE render_status <> 'ok') WHERE rank <= 20")
-_add("coverage_verdict", _of(lambda t: runs.coverage_verdict(runs.run_coverage(t.pages))), _with(f"c AS ({_COVER})", views=("pages",)) + "SELECT scan_id, pages, failed, CASE WHEN ok = 0 THEN 'failed' WHEN failed > 0 THEN 'partial' ELSE 'done' END AS verdict FROM c")
+_add("coverage_verdict", _of(lambda t: runs.coverage_verdict(runs.run_coverage(t.pages))), _with(f"c AS ({_COVER})", views=("pages",)) + "SELECT scan_id, pages, failed, CASE WHEN ok = 0 THEN 'failed' ELSE 'done' END AS verdict, CASE WHEN ok = 0 THEN concat('None of ', pages, ' pages could be read') WHEN failed > 0 THEN concat(failed, ' of ', pages, ' pages could not be read') END AS message FROM c")
 _LATEST = "v_latest AS (SELECT site_id, max(scan_id) AS scan_id, max(created_at) AS created_at FROM v_runs WHERE status = 'done' GROUP BY site_id)"
 _add("latest_done", _of(lambda t: runs.latest_done(t.runs)), _with(_LATEST, views=("runs",)) + "SELECT * FROM v_latest")
 _PREV = "v_prev AS (SELECT r.site_id, r.scan_id, r.created_at, (SELECT max(q.scan_id) FROM v_runs q WHERE q.site_id = r.site_id AND q.status = 'done' AND q.created_at < r.created_at) AS previous_id FROM v_runs r)"
@@ -203,8 +203,8 @@ _add(
     _with(*_TO_CHECKS) + f"SELECT scan_id, category, rule_id, check_score, pages_affected, coalesce(n, 0) AS open_issues, coalesce(w, 9) AS worst_rank FROM v_checks LEFT JOIN (SELECT scan_id, category, rule_id, count(*) AS n, min({_RANK}) AS w FROM v_issues WHERE {_SOPEN} GROUP BY ALL) USING (scan_id, category, rule_id)",
 )
 _add(
-    "checks_full", _of(lambda t: reports.checks_full(dims.rules(t.spark), t.runs, t.checks)),
-    _with(*_TO_CHECKS, views=_RUNS) + f"SELECT scan_id, category, rule_id, coalesce(check_score, 100) AS check_score FROM (SELECT scan_id FROM v_runs WHERE status = 'done') CROSS JOIN ({dims.values_sql([(r[0], r[1]) for r in dims.RULES], 'rule_id, category')}) LEFT JOIN v_checks USING (scan_id, category, rule_id)",
+    "checks_full", _of(lambda t: reports.checks_full(dims.rules(t.spark), t.runs, t.checks, t.issues)),
+    _with(*_TO_CHECKS, views=_RUNS) + f"SELECT scan_id, category, rule_id, CASE WHEN check_score IS NOT NULL THEN check_score WHEN n IS NULL THEN 100 END AS check_score FROM (SELECT scan_id FROM v_runs WHERE status = 'done') CROSS JOIN ({dims.values_sql([(r[0], r[1]) for r in dims.RULES], 'rule_id, category')}) LEFT JOIN v_checks USING (scan_id, category, rule_id) LEFT JOIN (SELECT scan_id, category, rule_id, count(*) AS n FROM v_issues GROUP BY ALL) USING (scan_id, category, rule_id)",
 )
 _add(
     "check_pages_top", _of(lambda t: reports.check_pages_top(t.issues, t.pages)),
@@ -218,10 +218,10 @@ _add(
 _add("check_history", _of(lambda t: reports.check_history(t.runs, t.checks, t.issues)), _with(*_TO_CHECKS, views=_RUNS) + "SELECT r.scan_id, r.site_id, rule_id, issues, check_score FROM (SELECT scan_id, rule_id, count(*) AS issues FROM v_issues GROUP BY ALL) JOIN v_runs r USING (scan_id) LEFT JOIN v_checks USING (scan_id, rule_id) WHERE status = 'done'")
 _MOD = "v_mod AS (SELECT site_id, scan_id, category, subcategory, CAST(round(CAST(CAST(sum(check_score) AS DOUBLE) / count(*) AS DECIMAL(28,9)), 1) AS DOUBLE) AS score, count(*) AS checks FROM v_checks JOIN v_runs USING (scan_id) WHERE status = 'done' GROUP BY ALL)"
 _add("module_history", _of(lambda t: reports.module_history(t.runs, t.checks)), _with(*_TO_CHECKS, _MOD, views=_RUNS) + "SELECT * FROM v_mod")
-_add("group_overview", _of(lambda t: reports.group_overview(reports.module_history(t.runs, t.checks), t.runs)), _with(*_TO_CHECKS, _MOD, views=_RUNS) + "SELECT site_id, scan_id, category, subcategory, score, CAST(round(CAST(score - lag(score) OVER (PARTITION BY site_id, category, subcategory ORDER BY scan_id) AS DECIMAL(18,6)), 1) AS DOUBLE) AS delta FROM v_mod")
+_add("group_overview", _of(lambda t: reports.group_overview(reports.module_history(t.runs, t.checks), t.runs)), _with(*_TO_CHECKS, _MOD, views=_RUNS) + "SELECT site_id, scan_id, category, subcategory, score, CAST(round(CAST(score - last_value(score IGNORE NULLS) OVER (PARTITION BY site_id, category, subcategory ORDER BY scan_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS DECIMAL(18,6)), 1) AS DOUBLE) AS delta FROM v_mod")
 _add(
     "accessibility_levels", _of(lambda t: reports.accessibility_levels(t.runs, t.scores)),
-    _with(*_TO_CHECKS, _SCORES, views=_RUNS) + "SELECT site_id, scan_id, " + ", ".join(f"{c}, {c} - lag({c}) OVER (PARTITION BY site_id ORDER BY created_at) AS {c}_delta" for c in ("score_a", "score_aa", "score_aaa")) + " FROM v_runs JOIN v_scores USING (scan_id) WHERE status = 'done'",
+    _with(*_TO_CHECKS, _SCORES, views=_RUNS) + "SELECT site_id, scan_id, " + ", ".join(f"{c}, {c} - last_value({c} IGNORE NULLS) OVER (PARTITION BY site_id ORDER BY created_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS {c}_delta" for c in ("score_a", "score_aa", "score_aaa")) + " FROM v_runs LEFT JOIN v_scores USING (scan_id) WHERE status = 'done'",
 )
 _add("common_issues", _of(lambda t: reports.common_issues(t.issues)), _with(views=("issues",)) + f"SELECT scan_id, CASE WHEN r <= 4 THEN rule_id ELSE 'Other' END AS rule, CAST(sum(c) AS BIGINT) AS issues FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY c DESC, rule_id) AS r FROM (SELECT scan_id, rule_id, count(*) AS c FROM v_issues WHERE {_OPEN} GROUP BY ALL)) GROUP BY ALL")
 _add(
@@ -238,7 +238,22 @@ _add("affected_pages", _of(lambda t: reports.affected_pages(t.issues, t.pages)),
 _add("wcag_filter", _of(lambda t: reports.wcag_filter(t.issues, "2.1", "AA").groupBy("scan_id", "rule_id").agg(F.count("*").alias("n"))), _with(views=("issues",)) + "SELECT scan_id, rule_id, count(*) AS n FROM v_issues WHERE category <> 'accessibility' OR (wcag_version <= '2.1' AND wcag_level IN ('A', 'AA')) GROUP BY ALL")
 _add("search_issues", _of(lambda t: reports.search_issues(t.issues, "Title").select("scan_id", "issue_id", "rule_id")), _with(views=("issues",)) + "SELECT scan_id, issue_id, rule_id FROM v_issues WHERE contains(lower(concat_ws(' ', rule_id, category, subcategory, selector, snippet)), 'title')")
 _add("readability_summary", _of(lambda t: reports.readability_summary(t.pages)), _with(views=("pages",)) + "SELECT scan_id, count(*) AS pages, CAST(round(CAST(CAST(sum(reading_age) AS DOUBLE) / count(*) AS DECIMAL(28,9)), 1) AS DOUBLE) AS mean_age, max(reading_age) AS greatest_age FROM v_pages WHERE reading_age IS NOT NULL AND render_status = 'ok' GROUP BY scan_id")
-_add("compliance_status", _of(lambda t: reports.compliance_status(t.issues)), _with(views=("issues",)) + "SELECT scan_id, category, CASE WHEN bool_and(manual_review) THEN 'needs attention' ELSE 'non-compliant' END AS status FROM v_issues GROUP BY ALL")
+_AREAS = ["Brand Standards", "policies", "privacy", "none such"]
+_add(
+    "compliance_status", _of(lambda t: reports.compliance_status(t.issues, t.runs, _AREAS)),
+    _with(views=("runs", "issues")) + f"SELECT scan_id, category, CASE WHEN o IS NULL THEN 'compliant' WHEN o THEN 'needs attention' ELSE 'non-compliant' END AS status FROM v_runs CROSS JOIN ({dims.values_sql([(a,) for a in _AREAS], 'category')}) LEFT JOIN (SELECT scan_id, category, bool_and(manual_review) AS o FROM v_issues GROUP BY ALL) USING (scan_id, category)",
+)
+_add("category_pages", _of(lambda t: reports.category_pages(t.pages, t.page_scores, "content")), _with(*_TO_PAGES) + "SELECT scan_id, page_id, url, score, row_number() OVER (PARTITION BY scan_id ORDER BY score NULLS LAST, url, page_id) AS place FROM (SELECT scan_id, page_id, p.url, coalesce(cat_content, score) AS score FROM v_pages p LEFT JOIN v_pscores USING (scan_id, page_id))")
+_GROUP = dims.values_sql([(c, g, x) for c, g, xs in reports.MODULE_GROUPS for x in xs], 'category, "group", subcategory')
+_add(
+    "group_history", _of(lambda t: reports.group_history(t.runs, t.checks)),
+    _with(*_TO_CHECKS, views=_RUNS) + f"""SELECT site_id, scan_id, category, "group", score, CAST(round(CAST(score - last_value(score IGNORE NULLS) OVER (PARTITION BY site_id, category, "group" ORDER BY scan_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS DECIMAL(18,6)), 1) AS DOUBLE) AS delta FROM (
+      SELECT site_id, scan_id, category, "group", CAST(round(CAST(CAST(sum(check_score) AS DOUBLE) / count(*) AS DECIMAL(28,9)), 1) AS DOUBLE) AS score FROM v_checks JOIN ({_GROUP}) USING (category, subcategory) JOIN v_runs USING (scan_id) WHERE status = 'done' GROUP BY ALL)""",
+)
+_add(
+    "scores_of_done", _of(lambda t: runs.scores_of_done(t.scores, runs.coverage_verdict(runs.run_coverage(t.pages.withColumn("render_status", F.when(F.col("site_id") % 5 == 0, "error").otherwise(F.col("render_status"))))), ["overall", "score_a"])),
+    _with(*_TO_CHECKS, _SCORES) + "SELECT scan_id, CASE WHEN CAST(floor(scan_id / 10000) AS INT) % 5 > 0 THEN overall END AS overall, CASE WHEN CAST(floor(scan_id / 10000) AS INT) % 5 > 0 THEN score_a END AS score_a FROM v_scores",
+)
 _add("module_summary", _of(lambda t: reports.module_summary(t.checks, t.issues)), _with(*_TO_CHECKS) + f"SELECT scan_id, category, CAST(floor(CAST(sum(check_score) AS DOUBLE) / count(*) + 0.5) AS BIGINT) AS score, count(*) AS checks, coalesce(any_value(n), 0) AS open_issues FROM v_checks LEFT JOIN (SELECT scan_id, category, count(*) AS n FROM v_issues WHERE {_SOPEN} GROUP BY ALL) USING (scan_id, category) GROUP BY scan_id, category")
 _add("top_category_pages", _of(lambda t: reports.top_category_pages(t.issues, t.pages, "ux")), _with() + "SELECT scan_id, rank, url, issues FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY issues DESC, page_id) AS rank FROM (SELECT scan_id, page_id, count(*) AS issues FROM v_issues WHERE category = 'ux' GROUP BY ALL)) JOIN (SELECT scan_id, page_id, url FROM v_pages) USING (scan_id, page_id) WHERE rank <= 10")
 
@@ -316,12 +331,12 @@ _add(
 
 
 def _graph(t: _Tables) -> DataFrame:
-    return t.raw("lineitem").select(F.concat(F.lit("u"), F.col("l_partkey") % 500).alias("src"), F.concat(F.lit("u"), (F.col("l_suppkey") * 13 + F.col("l_linenumber")) % 500).alias("dst"))
+    return t.raw("lineitem").select(F.concat(F.lit("u"), "l_partkey").alias("src"), F.concat(F.lit("u"), F.col("l_suppkey") * 13 + F.col("l_linenumber")).alias("dst"))
 
 
 _add(
     "crawl_depth", _of(lambda t: crawl.crawl_depth(_graph(t), t.spark.sql("SELECT concat('u', n_nationkey) AS url FROM {n} WHERE n_nationkey < 3", n=t.raw("nation")), 3)),
-    """WITH RECURSIVE e AS (SELECT DISTINCT 'u' || (l_partkey % 500) AS src, 'u' || ((l_suppkey * 13 + l_linenumber) % 500) AS dst FROM lineitem),
+    """WITH RECURSIVE e AS (SELECT DISTINCT 'u' || l_partkey AS src, 'u' || (l_suppkey * 13 + l_linenumber) AS dst FROM lineitem),
     w AS (SELECT 'u' || n_nationkey AS url, 0 AS depth FROM nation WHERE n_nationkey < 3 UNION SELECT dst, depth + 1 FROM w JOIN e ON src = url WHERE depth < 3)
     SELECT url, min(depth) AS depth FROM w GROUP BY url""",
 )
@@ -360,7 +375,7 @@ _add("spelling_tokens", _of(lambda t: spelling.spelling_tokens(_as_pages(t))))
 _add("spelling_findings", _of(lambda t: spelling.spelling_findings(spelling.spelling_tokens(_as_pages(t)), spelling.classify_words(spelling.spelling_tokens(_as_pages(t)), spelling.corpus_dictionary(t.raw("documents"), 3)))))
 _add(
     "detect_language", _of(lambda t: spelling.detect_language(t.raw("documents").select(F.col("doc_id").alias("id"), "text"), t.spark.createDataFrame(_STOP_ROWS, "lang string, word string"))),
-    rf"""WITH w AS (SELECT doc_id AS id, unnest(regexp_split_to_array(lower(substr(coalesce(text, ''), 1, 2000)), '[^\p{{L}}]+')) AS word FROM documents), s AS ({dims.values_sql(_STOP_ROWS, 'lang, word')}),
+    rf"""WITH w AS (SELECT doc_id AS id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}]+')) AS word FROM documents), s AS ({dims.values_sql(_STOP_ROWS, 'lang, word')}),
     h AS (SELECT id, lang, count(*) AS n FROM w JOIN s USING (word) GROUP BY id, lang)
     SELECT doc_id AS id, coalesce((SELECT lang FROM h WHERE h.id = doc_id ORDER BY n DESC, lang DESC LIMIT 1), 'en-US') AS lang FROM documents""",
 )
