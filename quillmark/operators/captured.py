@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quillmark.functions import text as T
+
 _NODE = "array<struct<target array<string>, html string, impact string>>"
 _ITEM = f"array<struct<id string, impact string, description string, help string, helpUrl string, tags array<string>, nodes {_NODE}>>"
 AXE = f"violations {_ITEM}, incomplete {_ITEM}, passes {_ITEM}"
@@ -144,6 +146,14 @@ def pdf_checks(info: DataFrame) -> DataFrame:
     return info.where("error IS NULL").select("url", F.explode(found).alias("rule_id"))
 
 
+def pdf_contacts(info: DataFrame) -> DataFrame:
+    """phone numbers and addresses that documents (url, text, error) print, each once whatever its case."""
+    phones = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\+?1?[ .-]?\(?[2-9]\d{2}\)?[ .-]\d{3}[ .-]\d{4}"), F.lit(0)))
+    each = lambda rule, values: F.transform(values, lambda x: F.struct(F.lit(rule).alias("rule_id"), F.trim(x).alias("value")))
+    found = F.concat(each("phone_numbers_exposed", phones), each("email_addresses_exposed", T.emails(F.col("text"))))
+    return info.where("error IS NULL").select("url", F.explode(found).alias("f")).select("url", "f.*")
+
+
 def pdf_scores(info: DataFrame, findings: DataFrame, checks: int = 8) -> DataFrame:
     """Share of checks not failed, half even; null where the document was never parsed."""
     failed = findings.groupBy("url").agg(F.countDistinct("rule_id").alias("f"))
