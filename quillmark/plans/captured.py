@@ -216,6 +216,6 @@ _add(
 )
 _add(
     "spelling_simple", _of(lambda t: spelling.spelling_simple(Q._as_pages(t), spelling.corpus_dictionary(t.raw("documents"), 3), 10)),
-    r"""WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(coalesce(text, ''), '\b[a-z]{4,}\b'))) AS word FROM documents), k AS (SELECT word FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '\b[a-z]{4,}\b'))) AS word FROM documents) GROUP BY word HAVING count(*) >= 3)
+    r"""WITH w AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(coalesce(text, ''), '[^\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]{4,}')))) AS word FROM documents), k AS (SELECT word FROM (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]{4,}')))) AS word FROM documents) GROUP BY word HAVING count(*) >= 3)
     SELECT page_id, rank, word FROM (SELECT doc_id AS page_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY word) AS rank FROM w WHERE word NOT IN (SELECT word FROM k)) WHERE rank <= 10""",
 )
