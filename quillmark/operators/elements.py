@@ -1,4 +1,4 @@
-"""Pages as a table of elements, and the checks on it.
+"""Pages as a table of elements, and the checks on it.
 
 One tolerant parse gives a row for each element: page_id, pos, parent, in_form,
 in_label (positions), tag, id, name, type, rel, role, href, src, alt, title, label
@@ -39,7 +39,7 @@ class _Rows(HTMLParser):
         a = {k: v or "" for k, v in attrs}
         up = lambda t: next((e["pos"] for e in reversed(self.open) if e["tag"] == t), None)
         row = {c: a.get(_FROM.get(c, c)) for c in _STRINGS}
-        told = [*a, *(f"{k}={v.lower()}" for k, v in a.items() if k in ("draggable", "aria-live", "aria-hidden"))]
+        told = [*a, *(f"{k}={v.lower()}" for k, v in a.items() if k in ("draggable", "aria-live", "aria-hidden", "target"))]
         tab = a.get("tabindex", "")
         row |= {
             "pos": len(self.rows), "parent": self.open[-1]["pos"] if self.open else None, "in_form": up("form"), "in_label": up("label"), "tag": tag, "type": a.get("type", "").lower(),
@@ -105,6 +105,13 @@ SENSORY = (
 VAGUE_HEADINGS = ["click here", "learn more", "more", "read more", "details", "information", "info", "go", "continue", "next", "previous", "here", "section", "content"]
 #: Titles that say nothing.
 GENERIC_TITLES = ["home", "homepage", "untitled", "new page", "document"]
+#: Link names, alternative texts and titles that say nothing.
+VAGUE_LINKS = [
+    "click here", "click", "here", "read more", "more", "learn more", "find out more", "more info", "more information", "details", "view", "view more", "see more", "continue", "go", "link", "this page", "download",
+    "this link",
+]
+GENERIC_ALTS = ["image", "photo", "picture", "graphic", "icon"]
+GENERIC_CONTENT_TITLES = ["home", "homepage", "untitled", "welcome", "page", "document"]
 LABELABLE = ["input", "select", "textarea", "button", "meter", "output", "progress"]
 
 
@@ -117,6 +124,8 @@ def _in(words: list[str]) -> str:
 
 
 _HELP = r"(?i)\b(help|support|contact|faq|frequently asked|assistance|chat)\b"
+_DECORATIVE = "(alt = '' OR coalesce(role, '') IN ('presentation', 'none') OR contains(attrs, ' aria-hidden=true '))"
+_LINK_NAME = r"trim(regexp_replace(lower(trim(coalesce(nullif(label, ''), text, ''))), '[.>…→–—:-]+$', ''))"
 #: rule, predicate on an element, impact, assisted, most findings a page
 RULES: list[tuple[str, str, str, bool, int]] = [
     ("field_instructions", f"{_CONTROL} AND in_form IS NOT NULL AND type NOT IN ('hidden', 'submit', 'button', 'image', 'reset') AND ({_has('required', 'pattern', 'minlength', 'maxlength')} OR type IN ('email', 'tel')) AND NOT {_has('aria-describedby', 'title', 'placeholder', column='filled')}", "warning", True, 50),
@@ -137,17 +146,22 @@ RULES: list[tuple[str, str, str, bool, int]] = [
     ("text_conveys_information", f"tag NOT IN ('script', 'style', 'noscript', 'template') AND MATCH(coalesce(own, ''), '{SENSORY}')", "info", True, 50),
     ("text_conveys_information_visual", f"(tag = 'canvas' OR tag = 'svg' AND NOT {_has('aria-label', 'aria-labelledby')} AND coalesce(role, '') <> 'presentation' AND coalesce(text, '') = '') AND NOT {_has('aria-hidden=true')}", "info", True, 50),
     ("headings_review", _HEADING, "info", True, 100),
+    ("image-alt-content", f"tag = 'img' AND alt IS NULL AND NOT coalesce({_DECORATIVE}, false)", "serious", False, 1_000_000),
+    ("image-alt-content_quality", f"tag = 'img' AND (length(trim(coalesce(alt, ''))) > 150 OR MATCH(lower(trim(coalesce(alt, ''))), '[.](jpe?g|png|gif|webp|svg)$') OR lower(trim(coalesce(alt, ''))) IN {_in(GENERIC_ALTS)})", "moderate", False, 1_000_000),
+    ("placeholder_links", f"tag = 'a' AND (coalesce(href, '-') IN ('#', 'javascript:void(0)', 'javascript:void(0);', 'javascript:;') OR href IS NULL AND (coalesce(role, '') = 'button' OR {_has('onclick')}))", "info", False, 100),
+    ("new_tab_disclosure", f"tag = 'a' AND href <> '' AND {_has('target=_blank')} AND NOT MATCH(lower(concat_ws(' ', text, label, title)), 'new tab|new window|opens? in')", "info", False, 1_000_000),
+    ("link_purpose_unclear", f"tag = 'a' AND href <> '' AND {_LINK_NAME} IN {_in(VAGUE_LINKS)}", "warning", False, 100),
     ("favicon_review", "tag = 'link' AND MATCH(coalesce(rel, ''), '(?i)(^|\\s)(icon|shortcut)(\\s|$)')", "warning", True, 10),
 ]
 
 
 def element_findings(elements: DataFrame) -> DataFrame:
-    """One pass over the elements, then the caps of each page and rule."""
+    """One pass over the elements, then the caps of each page and rule."""
     hits = F.array_compact(F.array(*[F.when(F.expr(spark_sql(p)), F.struct(F.lit(r).alias("rule_id"), F.lit(i).alias("impact"), F.lit(m).alias("manual_review"), F.lit(cap).alias("cap"))) for r, p, i, m, cap in RULES]))
     rows = elements.select("page_id", "pos", "tag", "text", F.explode(hits).alias("h")).select("page_id", "pos", "tag", "text", "h.*")
     rank = F.row_number().over(W.partitionBy("page_id", "rule_id").orderBy("pos"))
     rows = rows.withColumn("rank", rank).where("rank <= cap")
-    return rows.select("page_id", "pos", F.regexp_replace("rule_id", "_visual$", "").alias("rule_id"), "impact", "manual_review", F.coalesce("text", F.lit("")).alias("detail"))
+    return rows.select("page_id", "pos", F.regexp_replace("rule_id", "_visual$|_quality$", "").alias("rule_id"), "impact", "manual_review", F.coalesce("text", F.lit("")).alias("detail"))
 
 
 def table_summary(elements: DataFrame) -> DataFrame:
@@ -213,6 +227,46 @@ def headings_labels_descriptive(elements: DataFrame, most: int = 200) -> DataFra
     return ranked.join(many, ["page_id", "text"], "left").select("page_id", "pos", "tag", reason.alias("reason")).where("reason IS NOT NULL")
 
 
+def heading_order(elements: DataFrame) -> DataFrame:
+    """Pages with headings but no h1 (pos null), and headings more than one level below the one before."""
+    rows = elements.where(_HEADING).select("page_id", "pos", F.substring("tag", 2, 1).cast("int").alias("level"))
+    jumps = rows.withColumn("before", F.lag("level").over(W.partitionBy("page_id").orderBy("pos"))).where("level > before + 1").select("page_id", "pos")
+    headless = rows.groupBy("page_id").agg(F.min("level").alias("least")).where("least > 1").select("page_id", F.lit(None).cast("long").alias("pos"))
+    return jumps.unionByName(headless)
+
+
+def page_level(elements: DataFrame) -> DataFrame:
+    """Pages whose title is missing, short, generic or long, that are thin, or have several h1 (the first texts of which are kept)."""
+    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\S+"))
+    h1 = F.when(F.col("tag") == "h1", F.struct("pos", F.substring(F.coalesce("text", F.lit("")), 1, 80).alias("text")))
+    per = elements.groupBy("page_id").agg(
+        F.min(F.when(F.col("tag") == "title", F.struct("pos", "text"))).alias("t"), F.max(F.when(F.col("tag") == "body", words)).alias("words"), F.bool_or(F.col("tag").isin("video", "iframe", "canvas")).alias("media"),
+        F.count(h1).alias("n_h1"), F.min(h1).alias("first_h1"),
+    )
+    title = F.trim(F.coalesce("t.text", F.lit("")))
+    bad = (F.length(title) < 10) | F.lower(title).isin(GENERIC_CONTENT_TITLES)
+    rules = [
+        ("page-title", bad, title), ("title_too_long", F.length(title) > 60, title), ("thin_pages", (F.coalesce("words", F.lit(0)) < 300) & ~F.col("media"), F.coalesce("words", F.lit(0)).cast("string")),
+        ("multiple_h1", F.col("n_h1") > 1, F.concat(F.col("n_h1").cast("string"), F.lit(": "), "first_h1.text")),
+    ]
+    found = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(r).alias("rule_id"), d.alias("detail"))) for r, c, d in rules]))
+    return per.select("page_id", F.explode(found).alias("f")).select("page_id", "f.*")
+
+
+def link_no_text(elements: DataFrame) -> DataFrame:
+    """Links without text, label, title or an image inside that has alternative text."""
+    images = elements.where("tag = 'img' AND trim(alt) <> ''").select("page_id", F.col("parent").alias("pos"))
+    links = elements.where("tag = 'a' AND href <> '' AND coalesce(text, '') = '' AND coalesce(label, '') = '' AND coalesce(title, '') = ''").select("page_id", "pos")
+    return links.join(images, ["page_id", "pos"], "left_anti")
+
+
+def broken_anchor_links(elements: DataFrame) -> DataFrame:
+    """Links to a place in their page that no id or name has."""
+    marks = elements.select("page_id", F.explode(F.array_compact(F.array("id", "name"))).alias("mark")).distinct()
+    links = elements.where(F.col("href").rlike("^#.+") & (F.col("tag") == "a")).select("page_id", "pos", F.expr("substring(href, 2)").alias("mark"))
+    return links.join(marks, ["page_id", "mark"], "left_anti")
+
+
 def style_findings(elements: DataFrame, styles: DataFrame) -> DataFrame:
     """elements with their captured styles (page_id, pos, no_border, same_background, no_outline, css_order, width, height)."""
     control = f"{_CONTROL} AND type NOT IN ('hidden', 'submit', 'button', 'image', 'reset', 'checkbox', 'radio', 'range', 'color', 'file') AND no_border AND same_background AND no_outline"

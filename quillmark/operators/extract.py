@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.operators.elements import GENERIC_ALTS, GENERIC_CONTENT_TITLES, VAGUE_LINKS
+
 SIGNALS = (
     "page_id long, url string, title string, meta_description string, lang string, text string, "
     "headings array<struct<level int, text string>>, images array<struct<src string, alt string, decorative boolean>>, "
@@ -169,7 +171,6 @@ def _finding(rule: str, when: Column, impact: Column | str = "moderate", detail:
     return F.when(when, F.array(F.struct(F.lit(rule).alias("rule_id"), impact.alias("impact"), (detail if detail is not None else F.lit("")).alias("detail")))).otherwise(F.array())
 
 
-_VAGUE = ["click here", "here", "read more", "more", "learn more", "link", "this", "details"]
 
 
 def page_findings(signals: DataFrame) -> DataFrame:
@@ -181,7 +182,7 @@ def page_findings(signals: DataFrame) -> DataFrame:
     path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     privacy = F.exists("links", lambda x: F.lower(x["text"]).contains("privacy") | F.lower(x["href"]).contains("privacy"))
     found = [
-        _finding("page-title", (F.length(title) < 10) | F.lower(title).isin("home", "untitled", "page", "document", "index"), "serious", title),
+        _finding("page-title", (F.length(title) < 10) | F.lower(title).isin(GENERIC_CONTENT_TITLES), "serious", title),
         _finding("title_too_long", F.length(title) > 60, "minor", title),
         _finding("meta_description_too_short", F.col("meta_description").isNull() | (F.length("meta_description") < 60)),
         _finding("heading-order-content", (F.size("headings") > 0) & ((F.array_position(levels, 1) == 0) | (jumps > 0))),
@@ -195,8 +196,9 @@ def page_findings(signals: DataFrame) -> DataFrame:
         _finding("privacy-policy-link", ~privacy, "serious"),
         _finding("forms_inventory", F.size("forms") > 0, "minor"),
         each("image-alt-content", F.col("images"), lambda x: x["alt"].isNull() & ~x["decorative"], "serious", lambda x: x["src"]),
+        each("image-alt-content", F.col("images"), lambda x: (F.length(F.trim(x["alt"])) > 150) | F.lower(F.trim(x["alt"])).rlike(r"[.](jpe?g|png|gif|webp|svg)$") | F.lower(F.trim(x["alt"])).isin(GENERIC_ALTS), "moderate", lambda x: x["alt"]),
         each("placeholder_links", F.col("links"), lambda x: (x["href"] == "#") | F.lower(x["href"]).startswith("javascript:"), "moderate", lambda x: x["text"]),
-        each("link_purpose_unclear", F.col("links"), lambda x: F.lower(F.regexp_replace(x["text"], r"[^\p{L}\p{N} ]", "")).isin(_VAGUE), "moderate", lambda x: x["text"]),
+        each("link_purpose_unclear", F.col("links"), lambda x: F.lower(F.regexp_replace(x["text"], r"[^\p{L}\p{N} ]", "")).isin(VAGUE_LINKS), "moderate", lambda x: x["text"]),
         each("link_no_text", F.col("links"), lambda x: (x["text"] == "") & ~x["named"], "serious", lambda x: x["href"]),
         each("new_tab_disclosure", F.col("links"), lambda x: (x["target"] == "_blank") & ~F.lower(x["text"]).rlike("new (tab|window)|opens"), "minor", lambda x: x["text"]),
         each("broken_anchor_links", F.col("links"), lambda x: x["href"].rlike("^#.+") & ~F.array_contains(F.col("ids"), F.substring(x["href"], 2, 10_000)), "minor", lambda x: x["href"]),

@@ -20,7 +20,7 @@ def _elements(parts: str, *ctes: str, views: tuple[str, ...] = _E) -> str:
 _HITS = " UNION ALL ".join(f"SELECT page_id, pos, '{r}' AS rule_id, '{i}' AS impact, {str(m).lower()} AS manual_review, {cap} AS cap, text FROM v_elements WHERE {_SQL(p)}" for r, p, i, m, cap in elements.RULES)
 _add(
     "element_findings", _of(lambda t: elements.element_findings(t.elements)),
-    _elements(f"SELECT page_id, pos, regexp_replace(rule_id, '_visual$', '') AS rule_id, impact, manual_review, coalesce(text, '') AS detail FROM (SELECT *, row_number() OVER (PARTITION BY page_id, rule_id ORDER BY pos) AS rank FROM ({_HITS})) WHERE rank <= cap"),
+    _elements(f"SELECT page_id, pos, regexp_replace(rule_id, '_visual$|_quality$', '') AS rule_id, impact, manual_review, coalesce(text, '') AS detail FROM (SELECT *, row_number() OVER (PARTITION BY page_id, rule_id ORDER BY pos) AS rank FROM ({_HITS})) WHERE rank <= cap"),
 )
 _add(
     "table_summary", _of(lambda t: elements.table_summary(t.elements)),
@@ -58,6 +58,20 @@ _add(
     _elements(f"""SELECT page_id, pos, tag, reason FROM (SELECT *, CASE WHEN x = '' THEN 'empty' WHEN x IN {elements._in(elements.VAGUE_HEADINGS)} OR regexp_full_match(x, '(section|item|heading|content)\\s*\\d*') THEN 'vague' WHEN tag LIKE 'h%' AND many > 1 THEN 'duplicated' END AS reason FROM (
       SELECT page_id, pos, tag, x, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rank, count(*) OVER (PARTITION BY page_id, x) AS many FROM (SELECT *, lower(coalesce(text, '')) AS x FROM v_elements WHERE tag IN ('h1', 'h2', 'h3', 'h4', 'h5', 'h6', 'label', 'legend'))) WHERE rank <= 200) WHERE reason IS NOT NULL"""),
 )
+_H = "tag IN ('h1', 'h2', 'h3', 'h4', 'h5', 'h6')"
+_add(
+    "heading_order", _of(lambda t: elements.heading_order(t.elements)),
+    _elements(f"SELECT page_id, pos FROM (SELECT page_id, pos, CAST(tag[2] AS INT) AS v, lag(CAST(tag[2] AS INT)) OVER (PARTITION BY page_id ORDER BY pos) AS b FROM v_elements WHERE {_H}) WHERE v > b + 1 UNION ALL SELECT page_id, NULL FROM v_elements WHERE {_H} GROUP BY page_id HAVING count(*) FILTER (tag = 'h1') = 0"),
+)
+_add(
+    "page_level_findings", _of(lambda t: elements.page_level(t.elements)),
+    _elements(f"""SELECT page_id, unnest(r) AS rule_id, unnest(d) AS detail FROM (SELECT page_id, list_filter([CASE WHEN bad THEN 'page-title' END, CASE WHEN long THEN 'title_too_long' END, CASE WHEN thin THEN 'thin_pages' END, CASE WHEN h > 1 THEN 'multiple_h1' END], lambda x: x IS NOT NULL) AS r,
+      list_filter([CASE WHEN bad THEN title END, CASE WHEN long THEN title END, CASE WHEN thin THEN CAST(words AS VARCHAR) END, CASE WHEN h > 1 THEN concat(h, ': ', first) END], lambda x: x IS NOT NULL) AS d FROM (
+      SELECT page_id, title, length(title) < 10 OR lower(title) IN {elements._in(elements.GENERIC_CONTENT_TITLES)} AS bad, length(title) > 60 AS long, words < 300 AND media = 0 AS thin, words, h, first FROM (
+      SELECT page_id, coalesce(arg_min(text, pos) FILTER (tag = 'title'), '') AS title, coalesce(max(len(regexp_extract_all(text, '\\S+'))) FILTER (tag = 'body'), 0) AS words, count(*) FILTER (tag IN ('video', 'iframe', 'canvas')) AS media, count(*) FILTER (tag = 'h1') AS h, arg_min(text, pos) FILTER (tag = 'h1') AS first FROM v_elements GROUP BY page_id)))"""),
+)
+_add("link_no_text", _of(lambda t: elements.link_no_text(t.elements)), _elements("SELECT page_id, pos FROM v_elements a WHERE tag = 'a' AND href <> '' AND text = '' AND coalesce(label, '') = '' AND coalesce(title, '') = '' AND NOT EXISTS (SELECT 1 FROM v_elements i WHERE i.tag = 'img' AND trim(i.alt) <> '' AND i.page_id = a.page_id AND i.parent = a.pos)"))
+_add("broken_anchor_links", _of(lambda t: elements.broken_anchor_links(t.elements)), _elements("SELECT page_id, substr(href, 2) AS mark, pos FROM v_elements a WHERE tag = 'a' AND href LIKE '#_%' AND NOT EXISTS (SELECT 1 FROM v_elements i WHERE i.page_id = a.page_id AND substr(a.href, 2) IN (i.id, i.name))"))
 _ES = ("elements", "styles")
 _NATIVE = elements._NATIVE
 _add(

@@ -1,18 +1,20 @@
-"""Structured Streaming twins of the batch operators."""
+"""Structured Streaming twins of the batch operators."""
 
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillmark.functions.urls import normalize_url
 from quillmark.operators.quota import accept, progress
+from quillmark.operators.scoring import page_scores
 
 
 def live_quota(events: DataFrame, most: int, window_s: int) -> DataFrame:
@@ -39,9 +41,20 @@ def live_stalled(beats: DataFrame, grace: str = "35 minutes") -> DataFrame:
     return w.select("scan_id", "beats", F.col("session_window.end").alias("failed_at"))
 
 
-def live_dedupe_links(links: DataFrame, keep: str = "1 day") -> DataFrame:
-    """Each normalised URL (url, at) once while its watermark holds."""
-    return links.withColumn("url", normalize_url(F.col("url"))).withWatermark("at", keep).dropDuplicatesWithinWatermark(["url"])
+def live_dedupe_links(links: DataFrame, keep: str | None = None) -> DataFrame:
+    """Each normalised URL (url, at) once. The state is the URLs seen; ``keep`` forgets those of which the watermark is so much older."""
+    rows = links.withColumn("url", normalize_url(F.col("url")))
+    return rows.dropDuplicates(["url"]) if keep is None else rows.withWatermark("at", keep).dropDuplicatesWithinWatermark(["url"])
+
+
+def live_page_scores(findings: DataFrame, pages: DataFrame, write: Callable[[DataFrame], None]) -> DataStreamWriter:
+    """Pages are scored when their findings arrive: each micro-batch (the whole findings of its pages) joins the stored pages, and ``write`` upserts the scores."""
+
+    def score(batch: DataFrame, batch_id: int) -> None:
+        seen = pages.join(batch.select("scan_id", "page_id").distinct(), ["scan_id", "page_id"], "left_semi")
+        write(page_scores(seen, batch))
+
+    return findings.writeStream.outputMode("append").foreachBatch(score)
 
 
 def live_progress(events: DataFrame) -> DataFrame:
