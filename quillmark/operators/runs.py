@@ -84,13 +84,15 @@ def issue_fingerprint(rule: Column, url: Column, selector: Column, snippet: Colu
 def diff_counts(pairs: DataFrame, prints: DataFrame) -> DataFrame:
     """New, resolved and unchanged fingerprints of each pair (scan_id, previous_id).
 
-    One aggregate over (pair, fingerprint) with a flag for each side, instead of three set operations.
-    ``prints`` has scan_id and fp.
+    Each print goes to the pair of its own run and to those whose previous run it is
+    of, in one pass over the prints; then one aggregate over (pair, fingerprint) with
+    a flag for each side. ``prints`` has scan_id and fp.
     """
     pairs = pairs.where("previous_id IS NOT NULL").select("scan_id", "previous_id")
-    new = prints.join(pairs, "scan_id").select("scan_id", "fp", F.lit(1).alias("n"), F.lit(0).alias("o"))
-    old = prints.join(pairs.select(F.col("previous_id"), F.col("scan_id").alias("now")), F.col("scan_id") == F.col("previous_id")).select(F.col("now").alias("scan_id"), "fp", F.lit(0).alias("n"), F.lit(1).alias("o"))
-    each = new.unionByName(old).groupBy("scan_id", "fp").agg(F.max("n").alias("n"), F.max("o").alias("o"))
+    sides = pairs.select("scan_id", F.explode(F.array(F.struct(F.col("scan_id").alias("of"), F.lit(1).alias("n"), F.lit(0).alias("o")), F.struct(F.col("previous_id").alias("of"), F.lit(0).alias("n"), F.lit(1).alias("o")))).alias("s"))
+    sides = sides.select("scan_id", "s.*")
+    rows = prints.select(F.col("scan_id").alias("of"), "fp").join(sides, "of")
+    each = rows.groupBy("scan_id", "fp").agg(F.max("n").alias("n"), F.max("o").alias("o"))
     return each.groupBy("scan_id").agg(F.count_if((F.col("n") == 1) & (F.col("o") == 0)).alias("new"), F.count_if((F.col("n") == 0) & (F.col("o") == 1)).alias("resolved"), F.count_if((F.col("n") == 1) & (F.col("o") == 1)).alias("unchanged"))
 
 

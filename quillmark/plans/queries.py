@@ -29,7 +29,9 @@ class _Tables:
         self.spark, self.dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return view(self.spark, self.dir, name)
+        """A view, planned once for a query: equal plans let Spark reuse their exchanges."""
+        self.__dict__[name] = view(self.spark, self.dir, name)
+        return self.__dict__[name]
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -148,8 +150,8 @@ _add(
 
 
 def _prints(t: _Tables) -> DataFrame:
-    rows = t.issues.join(t.pages.select("scan_id", "page_id", "url"), ["scan_id", "page_id"])
-    return rows.select("scan_id", runs.issue_fingerprint(F.col("rule_id"), urls.normalize_url(F.col("url")), F.col("selector"), F.col("snippet")).alias("fp"))
+    rows = t.issues.join(t.pages.select("scan_id", "page_id", urls.normalize_url(F.col("url")).alias("url")), ["scan_id", "page_id"])  # URLs once for each page
+    return rows.select("scan_id", runs.issue_fingerprint(F.col("rule_id"), F.col("url"), F.col("selector"), F.col("snippet")).alias("fp"))
 
 
 _PRINTS = "v_prints AS (SELECT i.scan_id, sha256(concat_ws('|', rule_id, url, lower(selector), substr(sha1(lower(snippet)), 1, 16))) AS fp FROM v_issues i JOIN v_pages p USING (scan_id, page_id))"
