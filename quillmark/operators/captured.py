@@ -121,11 +121,11 @@ def target_size(boxes: DataFrame, least: float = 24.0, native: tuple[str, ...] =
 
 
 def nearest_color(colors: DataFrame, approved: DataFrame, most: float = 20.0) -> DataFrame:
-    """Colours (page_id, r, g, b) farther than ``most`` from every approved one (name, r, g, b; a handful)."""
+    """Colours (page_id, r, g, b) farther than ``most`` from every approved one (name, r, g, b; a handful), with the nearest, on a tie the first by name."""
     a = F.broadcast(approved.select("name", *[F.col(c).alias("a" + c) for c in "rgb"]))
     square = lambda c: (F.col(c) - F.col("a" + c)) * (F.col(c) - F.col("a" + c))
     rows = colors.distinct().crossJoin(a).withColumn("distance", F.sqrt(square("r") + square("g") + square("b")))
-    best = rows.groupBy("page_id", "r", "g", "b").agg(F.min_by("name", "distance").alias("nearest"), F.min("distance").alias("distance"))
+    best = rows.groupBy("page_id", "r", "g", "b").agg(F.min(F.struct("distance", "name")).alias("m")).select("page_id", "r", "g", "b", F.col("m.name").alias("nearest"), "m.distance")
     return best.where(F.col("distance") > most)
 
 

@@ -63,7 +63,7 @@ _add(
 _PALETTE = [("red", 204, 0, 0), ("wine", 142, 0, 28), ("black", 0, 0, 0), ("white", 255, 255, 255), ("rose", 255, 107, 107)]
 _add(
     "nearest_color", _of(lambda t: captured.nearest_color(_lines(t).selectExpr("page_id", "a * 7 % 256 AS r", "b * 3 % 256 AS g", "c * 31 AS b"), t.spark.createDataFrame(_PALETTE, "name string, r int, g int, b int")).withColumn("distance", F.round("distance", 6))),
-    _W + f"""SELECT page_id, r, g, b, arg_min(name, d) AS nearest, round(sqrt(min(d)), 6) AS distance FROM (SELECT page_id, x.r, x.g, x.b, name, (x.r - p.r) * (x.r - p.r) + (x.g - p.g) * (x.g - p.g) + (x.b - p.b) * (x.b - p.b) AS d
+    _W + f"""SELECT page_id, r, g, b, min({{'d': d, 'n': name}}).n AS nearest, round(sqrt(min(d)), 6) AS distance FROM (SELECT page_id, x.r, x.g, x.b, name, (x.r - p.r) * (x.r - p.r) + (x.g - p.g) * (x.g - p.g) + (x.b - p.b) * (x.b - p.b) AS d
       FROM (SELECT DISTINCT page_id, a * 7 % 256 AS r, b * 3 % 256 AS g, c * 31 AS b FROM l) x CROSS JOIN ({_values(_PALETTE, 'name, r, g, b')}) p) GROUP BY page_id, r, g, b HAVING min(d) > 400""",
 )
 _PDF = "concat('d', page_id, '_', c) AS url, a % 30 AS pages, CASE WHEN b % 2 = 0 THEN 'T' ELSE ' ' END AS title, CASE WHEN b % 3 = 0 THEN 'en' END AS lang, a % 4 = 0 AS marked, a % 5 = 0 AS has_bookmarks, a % 6 > 0 AS has_text, CAST(b % 5 AS DOUBLE) AS font_size_spread, CAST(a % 10 AS DOUBLE) / 10 AS garbled_ratio, CASE WHEN b % 7 = 0 THEN 'bad' END AS error"
