@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 IMPACT_WEIGHTS = {"critical": 1.0, "serious": 0.8, "moderate": 0.5, "minor": 0.3}
 UNKNOWN_IMPACT = 0.5
@@ -131,6 +132,13 @@ def rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "rule_no int, rule_id string, category string, subcategory string, criterion_id string, wcag_level string, wcag_version string, is_best_practice boolean")
 
 
+def entries(rows: DataFrame, columns: list[str]) -> Column:
+    """A handful of fixed rows as an array of structs, to be exploded next to each row of another frame."""
+    kinds = dict(rows.dtypes)
+    cells = [F.struct(*[F.lit(r[c]).cast(kinds[c]).alias(c) for c in columns]) for r in rows.select(*columns).collect()]
+    return F.array(*cells) if cells else F.array().cast("array<struct<" + ", ".join(f"`{c}`: {kinds[c]}" for c in columns) + ">>")
+
+
 def values_sql(rows: list[tuple], columns: str) -> str:
     """The rows as a SQL table expression, for DuckDB and Spark alike."""
     cell = lambda v: "CAST(NULL AS VARCHAR(99))" if v is None else f"'{v}'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else repr(v)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillmark.functions import text as T
+from quillmark.functions.dims import entries
 
 _NODE = "array<struct<target array<string>, html string, impact string>>"
 _ITEM = f"array<struct<id string, impact string, description string, help string, helpUrl string, tags array<string>, nodes {_NODE}>>"
@@ -122,10 +123,9 @@ def target_size(boxes: DataFrame, least: float = 24.0, native: tuple[str, ...] =
 
 def nearest_color(colors: DataFrame, approved: DataFrame, most: float = 20.0) -> DataFrame:
     """Colours (page_id, r, g, b) farther than ``most`` from every approved one (name, r, g, b; a handful), with the nearest, on a tie the first by name."""
-    a = F.broadcast(approved.select("name", *[F.col(c).alias("a" + c) for c in "rgb"]))
-    square = lambda c: (F.col(c) - F.col("a" + c)) * (F.col(c) - F.col("a" + c))
-    rows = colors.distinct().crossJoin(a).withColumn("distance", F.sqrt(square("r") + square("g") + square("b")))
-    best = rows.groupBy("page_id", "r", "g", "b").agg(F.min(F.struct("distance", "name")).alias("m")).select("page_id", "r", "g", "b", F.col("m.name").alias("nearest"), "m.distance")
+    square = lambda a, c: (F.col(c) - a[c]) * (F.col(c) - a[c])
+    away = F.array_min(F.transform(entries(approved, ["name", "r", "g", "b"]), lambda a: F.struct(F.sqrt(square(a, "r") + square(a, "g") + square(a, "b")).alias("distance"), a["name"].alias("name"))))
+    best = colors.distinct().select("page_id", "r", "g", "b", away.alias("m")).select("page_id", "r", "g", "b", F.col("m.name").alias("nearest"), "m.distance")
     return best.where(F.col("distance") > most)
 
 
@@ -163,9 +163,8 @@ def pdf_scores(info: DataFrame, findings: DataFrame, checks: int = 8) -> DataFra
 
 def policy_keywords(pages: DataFrame, rules: DataFrame, around: int = 40) -> DataFrame:
     """For each page (page_id, text) and rule (rule, pattern; a handful) the occurrences and the first excerpt."""
-    r = F.broadcast(rules)
     low, pat = F.lower("text"), F.lower("pattern")
-    rows = pages.crossJoin(r).where(F.contains(low, pat))
+    rows = pages.select("page_id", "text", F.explode(F.filter(entries(rules, ["rule", "pattern"]), lambda r: F.contains(low, F.lower(r["pattern"])))).alias("r")).select("page_id", "text", "r.rule", "r.pattern")
     rows = rows.withColumn("n", (F.length(low) - F.length(F.replace(low, pat, F.lit("")))) / F.length("pattern")).withColumn("at", F.instr(low, pat))
     start = F.greatest(F.col("at") - around, F.lit(1))
     rows = rows.withColumn("excerpt", F.substring("text", start, F.col("at") - start + F.length("pattern") + around))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillmark.functions import text as T
+from quillmark.functions.dims import entries
 from quillmark.operators import scoring
 
 #: The uniform record of a finding.
@@ -163,7 +164,7 @@ def affected_groups(checks: DataFrame) -> DataFrame:
     """Failing accessibility checks of each run by group of people; groups without any have 0."""
     g = F.broadcast(groups(checks.sparkSession))  # the grouping is fixed
     failing = checks.where("category = 'accessibility' AND check_score < 100").select("scan_id", "criterion_id").join(g, "criterion_id").groupBy("scan_id", "group").agg(F.count("*").alias("n"))
-    grid = checks.select("scan_id").distinct().crossJoin(F.broadcast(g.select("group").distinct()))
+    grid = checks.select("scan_id").distinct().select("scan_id", F.explode(F.array(*[F.lit(x) for x in GROUPS])).alias("group"))
     return grid.join(failing, ["scan_id", "group"], "left").select("scan_id", "group", F.coalesce("n", F.lit(0)).alias("failing"))
 
 
@@ -235,7 +236,7 @@ def effective_policy_rules(sites: DataFrame, own: DataFrame, defaults: DataFrame
     """The rules of each site: its own (site_id, rule, pattern), cleaned, else the defaults (rule, pattern; a handful)."""
     clean = own.where("trim(rule) <> '' AND trim(pattern) <> ''").select("site_id", "rule", F.trim("pattern").alias("pattern"))
     without = sites.select("site_id").join(clean.select("site_id").distinct(), "site_id", "left_anti")
-    return clean.unionByName(without.crossJoin(F.broadcast(defaults)).select("site_id", "rule", "pattern"))
+    return clean.unionByName(without.select("site_id", F.explode(entries(defaults, ["rule", "pattern"])).alias("d")).select("site_id", "d.rule", "d.pattern"))
 
 
 # Scores

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quillmark.functions.dims import entries
 from quillmark.operators.crosspage import link_confidence
 from quillmark.operators.reports import OPEN, SCORED_OPEN, impact_rank
 
@@ -183,7 +184,8 @@ def checks_table(checks: DataFrame) -> DataFrame:
 def page_check_groups(issues: DataFrame, rules: DataFrame, category: str) -> DataFrame:
     """Findings of each page by rule: instances and worst impact; checks of the category without findings are added."""
     per = issues.where(OPEN).where(F.col("category") == category).groupBy("scan_id", "page_id", "rule_id").agg(F.count("*").alias("instances"), F.min(impact_rank(F.col("impact"))).alias("worst_rank"))
-    grid = per.select("scan_id", "page_id").distinct().crossJoin(F.broadcast(rules.where(F.col("category") == category).select("rule_id")))  # the catalogue is fixed
+    of = entries(rules.where(F.col("category") == category), ["rule_id"])  # the catalogue is fixed
+    grid = per.select("scan_id", "page_id").distinct().select("scan_id", "page_id", F.explode(of).alias("r")).select("scan_id", "page_id", "r.rule_id")
     return grid.join(per, ["scan_id", "page_id", "rule_id"], "left").select("scan_id", "page_id", "rule_id", F.coalesce("instances", F.lit(0)).alias("instances"), F.coalesce("worst_rank", F.lit(9)).alias("worst_rank"))
 
 

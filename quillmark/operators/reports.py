@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quillmark.functions.dims import BUCKETS, IMPACT_RANK
+from quillmark.functions.dims import BUCKETS, IMPACT_RANK, entries
 from quillmark.operators.scoring import case
 
 OPEN = "NOT reviewed"
@@ -76,7 +76,7 @@ def checks_list(checks: DataFrame, issues: DataFrame) -> DataFrame:
 
 def checks_full(rules: DataFrame, runs: DataFrame, checks: DataFrame, issues: DataFrame) -> DataFrame:
     """M9: the whole catalogue for each done run; a check without findings scores 100, one that only has findings for review is not scored (null)."""
-    grid = runs.where("status = 'done'").select("scan_id").crossJoin(F.broadcast(rules.select("rule_id", "category")))  # the catalogue is fixed
+    grid = runs.where("status = 'done'").select("scan_id", F.explode(entries(rules, ["rule_id", "category"])).alias("r")).select("scan_id", "r.*")  # the catalogue is fixed
     out = grid.join(checks.select("scan_id", "category", "rule_id", "check_score"), ["scan_id", "category", "rule_id"], "left")
     any_ = issues.groupBy("scan_id", "category", "rule_id").agg(F.count("*").alias("n"))
     out = out.join(any_, ["scan_id", "category", "rule_id"], "left")
@@ -233,7 +233,7 @@ def readability_summary(pages: DataFrame) -> DataFrame:
 
 def compliance_status(issues: DataFrame, runs: DataFrame, areas: list[str]) -> DataFrame:
     """Each area of a run: no finding means compliant, only findings for review needs attention, else non-compliant."""
-    grid = runs.select("scan_id").crossJoin(F.broadcast(runs.sparkSession.createDataFrame([(a,) for a in areas], "category string")))  # a few areas
+    grid = runs.select("scan_id", F.explode(F.array(*[F.lit(a) for a in areas])).alias("category"))  # a few areas
     found = issues.where(F.col("category").isin(areas)).groupBy("scan_id", "category").agg(F.bool_and("manual_review").alias("only"))
     status = F.when(F.col("only").isNull(), "compliant").when(F.col("only"), "needs attention").otherwise("non-compliant")
     return grid.join(found, ["scan_id", "category"], "left").select("scan_id", "category", status.alias("status"))

@@ -205,7 +205,8 @@ _add(
 def _upserted(t) -> DataFrame:
     new = t.pages.where("page_id % 10 = 3")
     pages, issues = io.upsert_page(t.pages, t.issues, new, t.issues.limit(0).unionByName(t.issues.orderBy("issue_id").limit(1)))
-    return pages.agg(F.count("*").alias("pages")).crossJoin(issues.agg(F.count("*").alias("issues")))
+    both = pages.select(F.lit(1).alias("p"), F.lit(0).alias("i")).unionByName(issues.select(F.lit(0).alias("p"), F.lit(1).alias("i")))
+    return both.agg(F.sum("p").alias("pages"), F.sum("i").alias("issues"))
 
 
 # Texts
