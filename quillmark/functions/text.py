@@ -82,3 +82,25 @@ def repeated_words(text: Column) -> Column:
 def double_punctuation(text: Column) -> Column:
     """A comma or full stop twice."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r",,|(?<!\.)\.\.(?!\.)"))
+
+
+#: Pattern rules without memory: name and what a hit looks like.
+GRAMMAR_RULES = [
+    ("sentence_space", r"[a-z][.!?][A-Z]"),
+    ("space_before_comma", r"[A-Za-z] +,"),
+    ("space_inside_parentheses", r"\( | \)"),
+    ("lower_sentence_start", r"[.!?] +[a-z]"),
+    ("a_before_vowel", r"(?:^|[ \n])[Aa] +[aeioAEIO][a-z]"),
+    ("an_before_consonant", r"(?:^|[ \n])[Aa]n +[bcdfgjklmnpqrstvwxyzBCDFGJKLMNPQRSTVWXYZ][a-z]"),
+]
+
+
+def two_word_repeats(text: Column) -> Column:
+    """Two words followed by themselves."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"(?i)\b([A-Za-z]+\s+[A-Za-z]+)\s+\1\b"))
+
+
+def grammar_rule_hits(text: Column) -> Column:
+    """An array of (rule, hits) for the rules that hit."""
+    cells = F.array(*[F.struct(F.lit(name).alias("rule"), F.regexp_count(F.coalesce(text, F.lit("")), F.lit(pattern)).alias("hits")) for name, pattern in GRAMMAR_RULES])
+    return F.filter(cells, lambda x: x["hits"] > 0)

@@ -51,6 +51,22 @@ def normalize_url(url: Column) -> Column:
     return F.when(F.regexp_like(url, F.lit(_PARTS)), full).otherwise(url)
 
 
+def resolve_url(href: Column, base: Column) -> Column:
+    """B1 with a base: a link as an absolute URL, with . and .. taken out of its path; then to be normalised."""
+    href = F.trim(href)
+    plain = F.regexp_replace(href, "#.*$", "")
+    root = F.concat(part(base, 1), F.lit("://"), part(base, 2))
+    path, query = F.regexp_replace(plain, r"\?.*$", ""), F.regexp_extract(plain, r"(\?.*)$", 1)
+    folder = F.regexp_replace(part(base, 3), "[^/]*$", "")
+    full = F.when(path == "", part(base, 3)).when(path.startswith("/"), path).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), path))
+    last_dot = F.regexp_like(full, F.lit(r"/\.{1,2}$"))
+    step = lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    clean = F.aggregate(F.slice(F.split(full, "/"), 2, 1_000_000), F.array().cast("array<string>"), step)
+    joined = F.concat(F.lit("/"), F.array_join(clean, "/"), F.when(last_dot & (F.size(clean) > 0), "/").otherwise(""))
+    kept = F.when((path == "") & (query == ""), F.regexp_extract(base, r"(\?[^#]*)", 1)).otherwise(query)
+    return F.when(F.regexp_like(href, F.lit("^[A-Za-z][A-Za-z0-9+.-]*:")), href).when(href.startswith("//"), F.concat(part(base, 1), F.lit(":"), href)).otherwise(F.concat(root, joined, kept))
+
+
 def normalize_sitemap_url(url: Column) -> Column:
     """Keeps the order of parameters and the port; drops utm_*, fbclid, gclid and path parameters."""
     path = F.regexp_replace(part(url, 3), ";.*$", "")

@@ -39,13 +39,15 @@ def link_confidence(status: Column) -> Column:
 
 
 def broken_links(links: DataFrame, status: DataFrame) -> DataFrame:
-    """For each page and broken URL its first text and the number of its occurrences.
+    """For each page and broken URL its first text and the number of its occurrences; where links have selectors, the first one and their number.
 
     Only bad statuses are joined; links are counted by page and URL before.
     """
     bad = status.where(is_broken(F.col("status_code"))).select("url", "status_code")
-    per = links.groupBy("page_id", "url").agg(F.min(F.struct("pos", "text")).alias("f"), F.count("*").alias("occurrences"))
-    return per.join(bad, "url").select("page_id", "url", F.col("f.text").alias("text"), "occurrences", "status_code", link_verdict(F.col("status_code")).alias("reason"))
+    places = [F.min(F.when(F.col("selector").isNotNull(), F.struct("pos", "selector"))).alias("s"), F.count("selector").alias("selectors")] if "selector" in links.columns else []
+    per = links.groupBy("page_id", "url").agg(F.min(F.struct("pos", "text")).alias("f"), F.count("*").alias("occurrences"), *places)
+    more = [F.col("s.selector").alias("selector"), "selectors"] if places else []
+    return per.join(bad, "url").select("page_id", "url", F.col("f.text").alias("text"), "occurrences", "status_code", link_verdict(F.col("status_code")).alias("reason"), *more)
 
 
 def link_groups(broken: DataFrame) -> DataFrame:

@@ -67,8 +67,9 @@ def representative_page(pages: DataFrame, root: Column) -> DataFrame:
     return pages.groupBy("scan_id").agg(F.min(key).alias("k")).select("scan_id", "k.page_id", "k.url")
 
 
-def checks_list(checks: DataFrame, issues: DataFrame) -> DataFrame:
-    """Checks of each run with scored-open findings and worst impact."""
+def checks_list(checks: DataFrame, issues: DataFrame, aliases: list[str] | None = None) -> DataFrame:
+    """Checks of each run with scored-open findings and worst impact; alias rules are not shown."""
+    checks = checks.where(~F.col("rule_id").isin(aliases)) if aliases else checks
     o = issues.where(SCORED_OPEN).groupBy("scan_id", "category", "rule_id").agg(F.count("*").alias("open_issues"), F.min(impact_rank(F.col("impact"))).alias("worst_rank"))
     out = checks.select("scan_id", "category", "rule_id", "check_score", "pages_affected").join(o, ["scan_id", "category", "rule_id"], "left")
     return out.select("scan_id", "category", "rule_id", "check_score", "pages_affected", F.coalesce("open_issues", F.lit(0)).alias("open_issues"), F.coalesce("worst_rank", F.lit(9)).alias("worst_rank"))
@@ -200,6 +201,12 @@ def issue_groups(issues: DataFrame) -> DataFrame:
     return per.groupBy("scan_id", "rule_id", "manual_review").agg(F.count("*").alias("pages"), F.sum("n").alias("instances"), F.min("w").alias("worst_rank"))
 
 
+def issue_examples(issues: DataFrame, n: int = 25) -> DataFrame:
+    """Of each rule of a run the first n open findings."""
+    w = W.partitionBy("scan_id", "rule_id").orderBy("issue_id")
+    return issues.where(OPEN).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("scan_id", "rule_id", "rank", "issue_id", "page_id", "selector")
+
+
 def recent_runs(runs: DataFrame, n: int = 50) -> DataFrame:
     """The newest n runs."""
     return runs.orderBy(F.desc("created_at"), F.desc("scan_id")).limit(n).select("scan_id", "site_id", "status", "created_at")

@@ -116,10 +116,22 @@ def score_deltas(pairs: DataFrame, scores: DataFrame, keys: list[str]) -> DataFr
     return now.join(old, ["previous_id", "key"]).where("value IS NOT NULL AND old IS NOT NULL").select("scan_id", "key", (F.col("value") - F.col("old")).alias("delta"))
 
 
-def list_runs(runs: DataFrame, pages: DataFrame) -> DataFrame:
-    """Runs with their page counts, documents included."""
+def list_runs(runs: DataFrame, pages: DataFrame, diffs: DataFrame | None = None) -> DataFrame:
+    """Runs with their page counts, documents included, and with their diffs (scan_id, new, resolved, unchanged) if given."""
     n = pages.groupBy("scan_id").agg(F.count("*").alias("n_pages"))
-    return runs.join(n, "scan_id", "left").select("scan_id", "site_id", "status", "created_at", F.coalesce("n_pages", F.lit(0)).alias("n_pages"))
+    out = runs.join(n, "scan_id", "left").select("scan_id", "site_id", "status", "created_at", F.coalesce("n_pages", F.lit(0)).alias("n_pages"))
+    return out if diffs is None else out.join(diffs, "scan_id", "left")
+
+
+def compare_issues(a: DataFrame, b: DataFrame, n: int = 50) -> DataFrame:
+    """Fingerprints (fp, issue_id) that only run a has (new) or only run b (resolved): the first n of each by issue, and how many there are."""
+    both = a.select("fp", "issue_id", F.lit(1).alias("a")).unionByName(b.select("fp", "issue_id", F.lit(0).alias("a")))
+    each = both.groupBy("fp").agg(F.min("issue_id").alias("issue_id"), F.max("a").alias("has_a"), F.min("a").alias("only_a"))
+    kind = F.when(F.col("only_a") == 1, "new").when(F.col("has_a") == 0, "resolved")
+    rows = each.select("fp", "issue_id", kind.alias("kind")).where("kind IS NOT NULL")
+    totals = rows.groupBy("kind").agg(F.count("*").alias("total"))
+    top = rows.withColumn("rank", F.row_number().over(W.partitionBy("kind").orderBy("issue_id", "fp"))).where(F.col("rank") <= n)
+    return top.join(totals, "kind").select("kind", "rank", "issue_id", "total")
 
 
 def state_durations(jobs: DataFrame, states: list[str]) -> DataFrame:

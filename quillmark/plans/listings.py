@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.functions import dims
+from quillmark.functions import dims, text, urls
 from quillmark.operators import crosspage, findings, listings, reports, runs
 from quillmark.plans import queries as Q
 from quillmark.plans.queries import _add, _of, _with
@@ -213,3 +213,32 @@ _add(
     _with(views=("pages",)) + "SELECT scan_id, CASE WHEN page_id % 3 > 0 THEN substr(concat(repeat('x', 118), page_id % 100), 1, 120) ELSE 'unknown' END AS reason, count(*) AS pages FROM v_pages WHERE render_status <> 'ok' GROUP BY ALL",
 )
 _add("site_concerns", _of(lambda t: listings.site_concerns(t.issues)), _with(views=("issues",)) + f"SELECT scan_id, rule_id, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY n DESC, rule_id) AS rank FROM (SELECT scan_id, rule_id, count(*) AS n FROM v_issues WHERE {Q._SOPEN} GROUP BY ALL)) WHERE rank <= 3")
+_add("issue_examples", _of(lambda t: reports.issue_examples(t.issues, 5)), _with(views=("issues",)) + "SELECT scan_id, rule_id, rank, issue_id, page_id, selector FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, rule_id ORDER BY issue_id) AS rank FROM v_issues WHERE NOT reviewed) WHERE rank <= 5")
+_HIDDEN = ["label", "region", "hsts"]
+_add("checks_without_aliases", _of(lambda t: reports.checks_list(t.checks, t.issues, _HIDDEN)), _with(*Q._TO_CHECKS, _LISTED) + "SELECT l.scan_id, l.category, l.rule_id, l.check_score, pages_affected, open_issues, worst_rank FROM cl l JOIN v_checks USING (scan_id, category, rule_id) WHERE l.rule_id NOT IN ('label', 'region', 'hsts')")
+_add(
+    "list_runs_with_diffs", _of(lambda t: runs.list_runs(t.runs, t.pages, runs.diff_counts(runs.previous_done(t.runs), Q._prints(t)))),
+    _with(Q._PRINTS, Q._PREV, views=Q._RUNS) + f"""SELECT r.scan_id, site_id, status, created_at, n_pages, "new", resolved, unchanged FROM (SELECT r.scan_id, r.site_id, status, created_at, count(page_id) AS n_pages FROM v_runs r LEFT JOIN v_pages p ON r.scan_id = p.scan_id GROUP BY ALL) r LEFT JOIN ({Q.ORACLE_SQL["diff_counts"][Q.ORACLE_SQL["diff_counts"].rindex("SELECT scan_id, count(*) FILTER (n AND NOT o)"):]}) d ON d.scan_id = r.scan_id""",
+)
+
+
+def _side(t, year: int) -> DataFrame:
+    return t.issues.where(F.col("run_year") == year).select(F.concat_ws("|", "rule_id", "selector").alias("fp"), "issue_id")
+
+
+_add(
+    "compare_issues", _of(lambda t: runs.compare_issues(_side(t, 1996), _side(t, 1995))),
+    _with("f AS (SELECT concat(rule_id, '|', selector) AS fp, issue_id, run_year FROM v_issues WHERE run_year IN (1995, 1996))", views=("issues",))
+    + "SELECT kind, rank, issue_id, total FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY issue_id, fp) AS rank, count(*) OVER (PARTITION BY kind) AS total FROM (SELECT fp, min(issue_id) AS issue_id, CASE WHEN min(run_year) = 1996 THEN 'new' WHEN max(run_year) = 1995 THEN 'resolved' END AS kind FROM f GROUP BY fp) WHERE kind IS NOT NULL) WHERE rank <= 50",
+)
+_add(
+    "grammar_rules", _of(lambda t: t.raw("documents").select("doc_id", F.explode(text.grammar_rule_hits(F.col("text"))).alias("r")).select("doc_id", "r.rule", "r.hits")),
+    " UNION ALL ".join(f"SELECT doc_id, '{n}' AS rule, len(regexp_extract_all(text, '{p}')) AS hits FROM documents WHERE regexp_matches(text, '{p}')" for n, p in text.GRAMMAR_RULES),
+)
+_HREF = "CASE l_partkey % 9 WHEN 0 THEN 'x.html' WHEN 1 THEN '../y?q=1#f' WHEN 2 THEN '/z/./a/../b' WHEN 3 THEN '?k=2' WHEN 4 THEN '#top' WHEN 5 THEN '//other.example/p' WHEN 6 THEN 'mailto:a@b' WHEN 7 THEN '../../../up/' ELSE 'HTTP://Abs.example/Q' END"
+_BASE = "concat('https://h', l_suppkey % 3, '.example/d/e', l_suppkey % 2, '/f.html?old=1')"
+_add(
+    "resolve_url", _of(lambda t: t.raw("lineitem").selectExpr(f"{_HREF} AS href", f"{_BASE} AS base").select("href", "base", urls.resolve_url(F.col("href"), F.col("base")).alias("url")).groupBy("href", "base", "url").agg(F.count("*").alias("n"))),
+    f"""SELECT href, base, CASE href WHEN 'x.html' THEN concat(h, '/d/', e, '/x.html') WHEN '../y?q=1#f' THEN concat(h, '/d/y?q=1') WHEN '/z/./a/../b' THEN concat(h, '/z/b') WHEN '?k=2' THEN concat(h, '/d/', e, '/f.html?k=2') WHEN '#top' THEN base WHEN '//other.example/p' THEN 'https://other.example/p' WHEN '../../../up/' THEN concat(h, '/up/') ELSE href END AS url, count(*) AS n
+    FROM (SELECT {_HREF} AS href, {_BASE} AS base, concat('https://h', l_suppkey % 3, '.example') AS h, concat('e', l_suppkey % 2) AS e FROM lineitem) GROUP BY ALL""",
+)

@@ -268,7 +268,7 @@ def _links(t: _Tables) -> DataFrame:
     """Anchors of the pages, root-relative ones resolved against their host."""
     host = F.concat(urls.part(F.col("url"), 1), F.lit("://"), urls.part(F.col("url"), 2))
     found = F.regexp_extract_all("html", F.lit(r'<a href="(/[^"]*)">([^<]*)</a>'), F.lit(1))
-    return t.raw("pages").select("page_id", host.alias("host"), F.posexplode(found).alias("pos", "href")).select("page_id", "pos", F.concat("host", "href").alias("url"), F.col("href").alias("text"))
+    return t.raw("pages").select("page_id", host.alias("host"), F.posexplode(found).alias("pos", "href")).select("page_id", "pos", F.concat("host", "href").alias("url"), F.col("href").alias("text"), F.when(F.col("pos") % 2 == 1, F.concat(F.lit("a:nth("), F.col("pos"), F.lit(")"))).alias("selector"))
 
 
 def _status(links: DataFrame) -> DataFrame:
@@ -279,9 +279,9 @@ def _status(links: DataFrame) -> DataFrame:
 _LINKS = """l AS (SELECT page_id, pos - 1 AS pos, concat(host, href) AS url, href AS text FROM (SELECT page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS host, unnest(hrefs) AS href, generate_subscripts(hrefs, 1) AS pos
   FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="(/[^"]*)">([^<]*)</a>', 1) AS hrefs FROM pages))),
 s AS (SELECT url, CASE length(url) % 7 WHEN 0 THEN 404 WHEN 1 THEN 403 WHEN 2 THEN 401 WHEN 3 THEN NULL ELSE 200 END AS status_code FROM (SELECT DISTINCT url FROM l WHERE regexp_matches(url, '^https?://'))),
-b AS (SELECT page_id, url, arg_min(text, pos) AS text, count(*) AS occurrences, any_value(status_code) AS status_code FROM l JOIN s USING (url) WHERE status_code IS NULL OR (status_code >= 400 AND status_code <> 401) GROUP BY page_id, url)"""
+b AS (SELECT page_id, url, arg_min(text, pos) AS text, count(*) AS occurrences, any_value(status_code) AS status_code, concat('a:nth(', min(pos) FILTER (pos % 2 = 1), ')') AS sel, count(*) FILTER (pos % 2 = 1) AS selectors FROM l JOIN s USING (url) WHERE status_code IS NULL OR (status_code >= 400 AND status_code <> 401) GROUP BY page_id, url)"""
 _add("distinct_links", _of(lambda t: crosspage.distinct_links(_links(t))), "WITH " + _LINKS + " SELECT url FROM s")
-_add("broken_links", _of(lambda t: crosspage.broken_links(_links(t), _status(_links(t)))), "WITH " + _LINKS + " SELECT *, coalesce('HTTP ' || status_code, 'no answer') AS reason FROM b")
+_add("broken_links", _of(lambda t: crosspage.broken_links(_links(t), _status(_links(t)))), "WITH " + _LINKS + " SELECT page_id, url, text, occurrences, status_code, coalesce('HTTP ' || status_code, 'no answer') AS reason, CASE WHEN selectors > 0 THEN sel END AS selector, selectors FROM b")
 _add("link_groups", _of(lambda t: crosspage.link_groups(crosspage.broken_links(_links(t), _status(_links(t))))), "WITH " + _LINKS + " SELECT url, status_code, count(*) AS pages, CAST(sum(occurrences) AS BIGINT) AS occurrences, CASE WHEN status_code IN (404, 410, 400) THEN 'likely' ELSE 'potential' END AS confidence FROM b GROUP BY url, status_code")
 
 
