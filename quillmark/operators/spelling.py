@@ -28,30 +28,67 @@ def _deletions(word: Column) -> Column:
     return F.array_distinct(F.concat(F.array(word), cut))
 
 
-def classify_words(words: DataFrame, dictionary: DataFrame, custom: DataFrame | None = None) -> DataFrame:
-    """Each distinct word with its kind: custom, capitals, known, inflection, correction (with the nearest word) or potential.
-
-    ``words`` has word and token; ``dictionary`` word and frequency.
+#: Endings that make an inflection of a known word.
+ENDINGS = ["s", "es", "ed", "ing", "ly", "er", "ers", "'s"]
+#: Capitalised words below this length are taken for names rather than typing errors.
+LONG_NAME = 10
+#: Kinds of words that are findings; the others are right.
+FAULTS = ["correction", "potential", "language"]
+
+
+def _stems(word: Column) -> Column:
+    """What may be left of a word without its ending: the stem, with an e, and without a doubled letter; y for ies."""
+    cut = [F.when(word.endswith(e) & (F.length(word) >= len(e) + 3), F.substring(word, F.lit(1), F.length(word) - len(e))) for e in ENDINGS]
+    forms = [F.array(c, F.concat(c, F.lit("e")), F.substring(c, F.lit(1), F.length(c) - 1)) for c in cut]
+    ies = F.when(word.endswith("ies"), F.concat(F.substring(word, F.lit(1), F.length(word) - 3), F.lit("y")))
+    return F.array_distinct(F.array_compact(F.concat(*forms, F.array(ies))))
+
+
+def classify_words(words: DataFrame, dictionary: DataFrame, custom: DataFrame | None = None, languages: DataFrame | None = None) -> DataFrame:
+    """Each distinct word with its kind, the first that fits.
+
+    Right: short, custom, capitals, clipped (gov't), compound (its parts are known),
+    known, hyphenated (known without the hyphen), inflection, name. Faults: potential
+    (a name's shape, or nothing near), language (a word of another one), correction
+    (with the nearest known word). ``words`` has word and token; ``dictionary`` word
+    and frequency; ``languages`` word and lang. Each list is met by an equi-join.
     """
-    known = dictionary.select(F.col("word").alias("k"), F.lit(True).alias("is_known"))
-    w = words.groupBy("word").agg(F.bool_and(F.upper("token") == F.col("token")).alias("capitals"))
-    stems = F.array_distinct(F.array(*[F.regexp_replace("word", e + "$", "") for e in ("'s", "s", "es", "ed", "ing", "ly")], F.regexp_replace("word", "(ed|ing)$", "e")))
-    rows = w.join(known, w["word"] == known["k"], "left").drop("k")
-    stem = w.select("word", F.explode(stems).alias("s")).where("s <> word AND length(s) > 2").join(known, F.col("s") == F.col("k")).select("word").distinct().withColumn("is_stem", F.lit(True))
-    rows = rows.join(stem, "word", "left")
-    unknown = rows.where("is_known IS NULL AND is_stem IS NULL AND NOT capitals").select("word", F.explode(_deletions(F.col("word"))).alias("key"))
-    near = unknown.join(dictionary.select(F.col("word").alias("near"), "frequency", F.explode(_deletions(F.col("word"))).alias("key")), "key").where(F.levenshtein("word", "near", 1) == 1)
+    known = dictionary.select(F.col("word").alias("form")).distinct()
+    forms = words.groupBy("word").agg(F.bool_and(F.upper("token") == F.col("token")).alias("capitals"), F.bool_and(F.substring("token", 1, 1).rlike("[A-Z]")).alias("titled"), F.min("token").alias("token"))
+    forms = forms.withColumn("bare", F.regexp_replace("word", "^['-]+|['-]+$", ""))
+    w = forms.select("word", "bare", "capitals", "titled", F.regexp_replace("token", "^['-]+", "").substr(2, 1_000).rlike("[A-Z0-9]").alias("shaped"))
+
+    def met(candidates: Column, name: str) -> DataFrame:
+        """Words of which some candidate is known."""
+        return w.select("word", F.explode(candidates).alias("form")).join(known, "form", "left_semi").select("word").distinct().withColumn(name, F.lit(True))
+
+    hyphen = F.col("bare").contains("-")
+    parts = w.where(hyphen).select("word", F.explode(F.filter(F.split("bare", "-"), lambda x: F.length(x) >= 3)).alias("form"))
+    broken = parts.join(known, "form", "left_anti").select("word").distinct().withColumn("broken", F.lit(True))
+    rows = w.join(met(F.array("bare"), "is_known"), "word", "left").join(met(_stems(F.col("bare")), "is_stem"), "word", "left").join(broken, "word", "left")
+    rows = rows.join(met(F.when(hyphen, F.array(F.replace("bare", F.lit("-"), F.lit("")))), "is_joined"), "word", "left")
+    own = custom.select(F.col("word").alias("bare")).distinct().withColumn("is_custom", F.lit(True)) if custom is not None else None
+    rows = rows.join(own, "bare", "left") if own is not None else rows.withColumn("is_custom", F.lit(None).cast("boolean"))
+    other = languages.select(F.col("word").alias("bare"), "lang").groupBy("bare").agg(F.min("lang").alias("lang")) if languages is not None else None
+    rows = rows.join(other, "bare", "left") if other is not None else rows.withColumn("lang", F.lit(None).cast("string"))
+    right = (
+        F.when(F.length("bare") < 4, "short").when(F.col("is_custom"), "custom").when(F.col("capitals"), "capitals").when(F.col("bare").rlike("^[a-z]{2,}'[a-z]{1,2}$"), "clipped")
+        .when(hyphen & F.col("broken").isNull(), "compound").when(F.col("is_known"), "known").when(F.col("is_joined"), "hyphenated").when(F.col("is_stem"), "inflection")
+    )
+    rows = rows.withColumn("kind", F.when(right.isNotNull(), right).when(F.col("shaped"), "potential").when(~F.col("titled") & F.col("lang").isNotNull(), "language"))
+    unknown = rows.where("kind IS NULL").select("word", "bare", F.explode(_deletions(F.col("bare"))).alias("key"))
+    near = unknown.join(dictionary.select(F.col("word").alias("near"), "frequency", F.explode(_deletions(F.col("word"))).alias("key")), "key").where(F.levenshtein("bare", "near", 1) == 1)
     best = near.groupBy("word").agg(F.max(F.struct("frequency", "near")).alias("b")).select("word", F.col("b.near").alias("suggestion"))
     rows = rows.join(best, "word", "left")
-    own = custom.select("word").distinct().withColumn("is_custom", F.lit(True)) if custom is not None else None
-    rows = rows.join(own, "word", "left") if own is not None else rows.withColumn("is_custom", F.lit(None).cast("boolean"))
-    kind = F.when(F.col("is_custom"), "custom").when(F.col("is_known"), "known").when(F.col("capitals"), "capitals").when(F.col("is_stem"), "inflection").when(F.col("suggestion").isNotNull(), "correction").otherwise("potential")
-    return rows.select("word", kind.alias("kind"), "suggestion")
+    found = F.col("suggestion").isNotNull()
+    last = F.when(F.col("titled") & ~found, "name").when(F.col("titled") & (F.length("bare") < LONG_NAME), "potential").when(found, "correction").otherwise("potential")
+    kind = F.coalesce("kind", last)
+    return rows.select("word", kind.alias("kind"), F.when(kind == "correction", F.col("suggestion")).alias("suggestion"), F.when(kind == "language", F.col("lang")).alias("lang"))
 
 
 def spelling_findings(tokens: DataFrame, verdicts: DataFrame, words: int = 60) -> DataFrame:
     """Misspelt words of each page, the first ``words`` by position."""
-    bad = verdicts.where(F.col("kind").isin("correction", "potential"))
+    bad = verdicts.where(F.col("kind").isin(FAULTS))
     w = W.partitionBy("page_id").orderBy("pos")
     return tokens.join(bad, "word").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= words).select("page_id", "rank", "word", "occurrences", "kind", "suggestion")
 

@@ -22,6 +22,20 @@ def test_cascade(spark):
     assert [(r.word, r.kind) for r in out] == [("zzzzz", "potential")]
 
 
+def test_every_step_of_the_cascade(spark):
+    cases = {
+        "it's": "short", "gov't": "clipped", "well-known": "compound", "attach-ments": "hyphenated", "wellx-known": "potential", "biomes": "inflection", "cities": "inflection", "running": "inflection", "maison": "language",
+        "connected": "potential", "Housf": "potential", "Culberson": "name", "Houzeholds": "correction", "NATOO": "capitals", "known": "known",
+    }
+    tokens = {"connected": "connecteD", "it's": "'it-"}
+    words = spark.createDataFrame([(tokens.get(w, w).lower() if w == "it's" else w.lower(), tokens.get(w, w)) for w in cases], "word string, token string")
+    dictionary = spark.createDataFrame([(w, i) for i, w in enumerate("well known attachments biome city run house households".split())], "word string, frequency long")
+    languages = spark.createDataFrame([("maison", "fr")], "word string, lang string")
+    got = {r.word: r for r in S.classify_words(words, dictionary, languages=languages).collect()}
+    assert {w: got[tokens.get(w, w).lower() if w == "it's" else w.lower()].kind for w in cases} == cases
+    assert got["houzeholds"].suggestion == "households" and got["maison"].lang == "fr" and got["housf"].suggestion is None
+
+
 def test_language(spark):
     stop = spark.createDataFrame([("en", "the"), ("en", "and"), ("fr", "le"), ("fr", "la")], "lang string, word string")
     got = {r.id: r.lang for r in S.detect_language(spark.createDataFrame([(1, "the cat and la"), (2, "le la the"), (3, None)], "id long, text string"), stop).collect()}
