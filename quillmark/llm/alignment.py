@@ -163,6 +163,7 @@ class Tokenizers:
         if any(p[1] in " \n" and not p[0].isspace() for p in self.pairs):
             raise ValueError("pieces with a space or line feed after another character: words can't be encoded one by one")
         self.words: dict[str, tuple] = {}
+        self.long: list[str] = []
 
     def encode_a(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
@@ -184,6 +185,7 @@ class Tokenizers:
         if len(self.words) + len(fresh) > _REMEMBER:
             self.words.clear()
             fresh = sorted(set().union(*texts))
+        self.long += [w for w in fresh if len(w) > _LONGEST]
         for word, a, b in zip(fresh, self.encode_a(fresh), self.encode_b(fresh), strict=True):
             raw, ta, tb = word.encode(), [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
             if b"".join(ta) != raw or b"".join(tb) != raw:
@@ -194,8 +196,9 @@ class Tokenizers:
             self.words[word] = (len(a), len(b), len(closed.links), closed.text, closed.links.astype("<i8").tobytes(), a, b)
 
     def forget_long(self) -> None:
-        for word in [w for w in self.words if len(w) > _LONGEST]:
-            del self.words[word]
+        for word in self.long:
+            self.words.pop(word, None)
+        self.long = []
 
     def stream(self, text: str, start: int, before: str | None) -> tuple[np.ndarray, np.ndarray, bool]:
         """Ids and ends of one tokenizer over a stretch that begins at byte ``start``: A if before is None, else B, after that character."""
