@@ -38,11 +38,28 @@ FAN = 16
 #: Texts of about so many bytes are handled at a time within a task.
 _STEP = 1 << 22
 #: Words that a worker remembers, and the longest of them.
-_REMEMBER, _LONGEST = 200_000, 64
+_REMEMBER, _LONGEST = 400_000, 64
+#: Words of about so many characters are encoded as one text.
+_BLOCK = 1 << 14
+#: Before this character the classes of letters and digits are the same in all versions of Unicode in use.
+_SETTLED = "\u0220"
 
 # A word: its white space, then other characters. It begins at a space or line feed
 # after a character that is no white space, where neither tokenizer has a token across.
 _WORD = re.compile(r"[\s᠎]*[^\s᠎]+(?:(?![ \n])[\s᠎]+[^\s᠎]*)*|[\s᠎]+")
+_ODD = re.compile("[^\\S \n]|᠎")
+
+
+def words(text: str) -> list[str]:
+    """The words of space + text."""
+    if text[:1].isspace() or text[-1:].isspace() or any(x in text for x in ("  ", "\n\n", " \n", "\n ")) or _ODD.search(text):
+        return _WORD.findall(" " + text)
+    out: list[str] = []
+    for i, line in enumerate(text.split("\n")):
+        first, *rest = line.split(" ")
+        out.append(("\n" if i else " ") + first)
+        out += [" " + w for w in rest]
+    return out
 
 
 @dataclass
@@ -97,16 +114,27 @@ class Fragment:
     tail: Run | None = None
 
 
+@functools.cache
+def _digits() -> list[str]:
+    return [str(i) for i in range(1 << 16)]
+
+
+def _spell(a: list[int], b: list[int], na: list[int], nb: list[int]) -> list[str]:
+    """Each group's ids; na and nb: tokens up to its end."""
+    sa, sb = list(map(_digits().__getitem__, a)), list(map(_digits().__getitem__, b))
+    out, i, j = [], 0, 0
+    for p, q in zip(na, nb, strict=True):
+        out.append((sa[i] if p == i + 1 else ",".join(sa[i:p])) + "|" + (sb[j] if q == j + 1 else ",".join(sb[j:q])))
+        i, j = p, q
+    return out
+
+
 def groups(run: Run, na: np.ndarray, nb: np.ndarray) -> Groups:
     """The groups of a run that starts at a common end; na and nb: tokens up to each further common end."""
     if not len(na):
         return NO_GROUPS
-    a, b = [str(x) for x in run.a.tolist()], [str(x) for x in run.b.tolist()]
-    out, i, j = [], 0, 0
-    for p, q in zip(na.tolist(), nb.tolist(), strict=True):
-        out.append(",".join(a[i:p]) + "|" + ",".join(b[j:q]))
-        i, j = p, q
-    return Groups(";".join(out).encode(), run.b[nb - 1] << 16 | run.a[na - 1])
+    told = _spell(run.a.tolist(), run.b.tolist(), na.tolist(), nb.tolist())
+    return Groups(";".join(told).encode(), run.b[nb - 1] << 16 | run.a[na - 1])
 
 
 def _split(run: Run, started: bool) -> tuple[Run, Groups, Run | None]:
@@ -140,6 +168,32 @@ def first_group(whole: Fragment) -> Groups:
     return groups(whole.head, np.array([len(whole.head.a)]), np.array([len(whole.head.b)]))
 
 
+def _quick(path: str):
+    """A's vocabulary for a faster library, if its merges are in the order of their ids and it splits texts in the same way; else None."""
+    import json
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(path) as f:
+        told = json.load(f)
+    vocab, merges, before = told["model"]["vocab"], told["model"]["merges"], told["pre_tokenizer"] or {}
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
+    first = vocab.get("".join(pairs[0])) if pairs else None
+    in_order = first is not None and all(vocab["".join(p)] == first + i for i, p in enumerate(pairs))
+    if not in_order or told["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        return None
+    byte = _byte_signs()
+    ranks = {bytes(byte[c] for c in piece): i for piece, i in vocab.items() if all(c in byte for c in piece) and i < first + len(pairs)}
+    return tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def _byte_signs() -> dict[str, int]:
+    """The character that stands for each byte: itself where it can be seen, those from U+0100 on for the others."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {chr(c): c for c in plain} | {chr(256 + i): c for i, c in enumerate(c for c in range(256) if c not in set(plain))}
+
+
 class Tokenizers:
     """Both tokenizers, their tokens' bytes, and words that were encoded before."""
 
@@ -150,13 +204,14 @@ class Tokenizers:
 
         self.a = tokenizers.Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
+        self.quick = _quick(a_path)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
-        byte = {chr(c): c for c in plain} | {chr(256 + i): c for i, c in enumerate(c for c in range(256) if c not in set(plain))}
+        byte = _byte_signs()
         self.a_bytes = {i: bytes(byte[c] for c in piece) for piece, i in self.a.get_vocab(with_added_tokens=False).items() if all(c in byte for c in piece)}
         ids = range(self.b.get_piece_size())
         piece = {i: self.b.id_to_piece(i) for i in ids if not self.b.is_control(i) and not self.b.is_unknown(i)}
         self.b_bytes = {i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in piece.items()}
+        self.a_sizes, self.b_sizes = (np.array([len(of.get(i, b"")) for i in range(max(of) + 1)], np.int64) for of in (self.a_bytes, self.b_bytes))
         texts = [p.replace("▁", " ") for i, p in piece.items() if not self.b.is_byte(i)]
         #: Pairs of neighbouring characters inside pieces: no piece spans another pair.
         self.pairs = {p[i : i + 2] for p in texts for i in range(len(p) - 1)}
@@ -166,6 +221,8 @@ class Tokenizers:
         self.long: list[str] = []
 
     def encode_a(self, texts: list[str]) -> list[list[int]]:
+        if self.quick is not None and all(t.isascii() or max(t) < _SETTLED for t in texts):
+            return [self.quick.encode_ordinary(t) for t in texts]
         return [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
 
     def encode_b(self, texts: list[str], before: str = "x") -> list[list[int]]:
@@ -180,20 +237,50 @@ class Tokenizers:
         return out
 
     def look_up(self, texts: list[list[str]]) -> None:
-        """Encode the words that are not known yet."""
-        fresh = sorted(set().union(*texts) - self.words.keys())
+        """Encode the words that are not known yet: many as one text, since no token spans two of them."""
+        wanted = set().union(*texts)
+        fresh = list(wanted - self.words.keys())
         if len(self.words) + len(fresh) > _REMEMBER:
-            self.words.clear()
-            fresh = sorted(set().union(*texts))
+            self.words = {w: self.words[w] for w in wanted & self.words.keys()}
         self.long += [w for w in fresh if len(w) > _LONGEST]
-        for word, a, b in zip(fresh, self.encode_a(fresh), self.encode_b(fresh), strict=True):
-            raw, ta, tb = word.encode(), [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-            if b"".join(ta) != raw or b"".join(tb) != raw:
-                self.words[word] = (len(a), len(b), 0, None, b"", a, b)
-                continue
-            run = Run(*(np.array(x, np.int64) for x in (a, np.cumsum([len(t) for t in ta]), b, np.cumsum([len(t) for t in tb]))))
-            _, closed, _ = _split(run, True)
-            self.words[word] = (len(a), len(b), len(closed.links), closed.text, closed.links.astype("<i8").tobytes(), a, b)
+        plain = [w for w in fresh if w.isascii() or max(w) < _SETTLED]
+        other = [w for w in fresh if not (w.isascii() or max(w) < _SETTLED)] if len(plain) < len(fresh) else []
+        for kind in (plain, other):
+            block, size = [], 0
+            for word in kind:
+                if word[-1].isspace():  # its white space would run into the next word's
+                    self._encode([word])
+                    continue
+                block.append(word)
+                size += len(word)
+                if size > _BLOCK:
+                    self._encode(block)
+                    block, size = [], 0
+            if block:
+                self._encode(block)
+
+    def _encode(self, block: list[str]) -> None:
+        """Remember of each word: A tokens + (B tokens << 32), its groups as text (None if the bytes differ), its links."""
+        text = "".join(block)
+        a, b = self.encode_a([text])[0], self.encode_b([text])[0]
+        if b"".join(map(self.b_bytes.__getitem__, b)) != text.encode():
+            if len(block) == 1:
+                self.words[text] = (0, None, b"")
+            else:
+                for word in block:
+                    self._encode([word])
+            return
+        run = Run(np.array(a, np.int64), np.cumsum(self.a_sizes[a]), np.array(b, np.int64), np.cumsum(self.b_sizes[b]))
+        common = np.intersect1d(run.a_ends, run.b_ends, assume_unique=True)
+        na, nb = run.cut(common)
+        links = (run.b[nb - 1] << 16 | run.a[na - 1]).astype("<i8").tobytes()
+        told = _spell(a, b, na.tolist(), nb.tolist())
+        ends = np.searchsorted(common, np.cumsum([len(w.encode()) for w in block]), "right")
+        counts = np.diff(na[ends - 1], prepend=0) + (np.diff(nb[ends - 1], prepend=0) << 32)
+        low = 0
+        for word, high, n in zip(block, ends.tolist(), counts.tolist(), strict=True):
+            self.words[word] = (n, ";".join(told[low:high]), links[8 * low : 8 * high])
+            low = high
 
     def forget_long(self) -> None:
         for word in self.long:
@@ -202,19 +289,10 @@ class Tokenizers:
 
     def stream(self, text: str, start: int, before: str | None) -> tuple[np.ndarray, np.ndarray, bool]:
         """Ids and ends of one tokenizer over a stretch that begins at byte ``start``: A if before is None, else B, after that character."""
-        found = _WORD.findall(text)
-        if not found:
+        if not text:
             return _NONE, _NONE, True
-        rest = found[1:]
-        self.look_up([rest])
-        first = self.encode_a(found[:1])[0] if before is None else self.encode_b(found[:1], before)[0]
-        ids, known = list(first), 5 if before is None else 6
-        for word in rest:
-            ids += self.words[word][known]
-        self.forget_long()
-        token = self.a_bytes if before is None else self.b_bytes
-        same = b"".join(map(token.__getitem__, ids)) == text.encode()
-        return np.array(ids, np.int64), start + np.cumsum([len(token[i]) for i in ids]), same
+        ids, token, sizes = (self.encode_a([text])[0], self.a_bytes, self.a_sizes) if before is None else (self.encode_b([text], before)[0], self.b_bytes, self.b_sizes)
+        return np.array(ids, np.int64), start + np.cumsum(sizes[ids]), b"".join(map(token.__getitem__, ids)) == text.encode()
 
 
 @functools.cache
@@ -333,17 +411,18 @@ def _align_whole(a_path: str, b_path: str, schema: pa.Schema):
         tok = loaded(a_path, b_path)
         for b in batches:
             for part in _parts(b, "text"):
-                texts = [_WORD.findall(" " + t) if t else [] for t in part.column("text").to_pylist()]
+                texts = [words(t) if t else [] for t in part.column("text").to_pylist()]
                 tok.look_up(texts)
                 rows = []
                 for doc_id, found in zip(part.column("doc_id").to_pylist(), texts, strict=True):
-                    na, nb, ng, text, links, _, _ = zip(*map(tok.words.__getitem__, found), strict=True) if found else ((),) * 7
+                    known = list(map(tok.words.__getitem__, found))
+                    text = [k[1] for k in known]
                     if not found or None in text:
                         rows.append((doc_id, 0, 0, 0, 0, "", b"", b""))
                         continue
-                    keys, times = tally(np.frombuffer(b"".join(links), "<i8"))
-                    n = sum(ng)
-                    rows.append((doc_id, sum(na), sum(nb), n, n, hashlib.sha256(b";".join(text)).hexdigest(), *_pack_pairs(keys, times)))
+                    links = np.frombuffer(b"".join([k[2] for k in known]), "<i8")
+                    counts = sum([k[0] for k in known])
+                    rows.append((doc_id, counts & 0xFFFFFFFF, counts >> 32, len(links), len(links), hashlib.sha256(";".join(text).encode()).hexdigest(), *_pack_pairs(*tally(links))))
                 tok.forget_long()
                 yield _batch(rows, schema)
 
