@@ -2,25 +2,23 @@
 
 A paragraph is a run of lines that are not blank, joined by spaces, so wrapped
 notices stay whole; long ones are read in windows of ``WINDOW`` words that overlap.
-Word bigrams and trigrams of a window, with numbers as ``#``, are counted against
-the vocabulary of the notices. A multinomial logistic regression with an elastic
-net, fitted by Spark ML, names the licence family, ``unknown`` for licence wording
-of no known family, or ``none``. It is fitted on stated notices, wording of other
-licences, and a bounded sample of corpus windows for ``none``.
-
-The threshold is calibrated on notices and other licences that the fit has not seen.
-A family is named only if its probability reaches the threshold and the window holds
-enough of one of its templates; else the window is ``unknown``. The version is read
-from the words after the licence's name; without one the licence is just the family.
-
-Only windows with a word that marks notices are scored: a word of the notices that
-the sample of corpus windows all but lacks. Every notice has one.
+Word bigrams and trigrams of a window, with numbers as ``#``, and the single words
+that licences are called by are counted against the vocabulary of the notices. A
+multinomial logistic regression with an elastic net, fitted by Spark ML, names the
+licence family, ``unknown`` for licence wording of no known family, or ``none``. It is
+fitted on stated notices, on the families' names in common phrasings, on the same
+phrasings with names of other licences, and on a bounded sample of corpus windows for
+``none``. Every window of every document is scored.
+
+The threshold is calibrated on notices, other licences and near misses that the fit
+has not seen: a family is named only if its probability reaches the threshold and the
+window holds enough of one of its templates; else the window is ``unknown``, which a
+word of licences or rights must confirm. The version is read from the words after the licence's name; without one the licence is
+just the family.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
@@ -114,8 +112,29 @@ PLAIN = [
     "the mit campus opened", "an apache helicopter", "a general public meeting", "the copyright office opened a branch", "the boost in sales was notable", "the mozilla browser", "free of charge for any person", "commons were attributed to the lord",
     "a zero sum game", "the eclipse was seen by the public", "without restriction of age", "the software was released", "you should have received a letter along with this parcel", "use in source and in print", "the terms of the contract",
 ]
-#: Words put around notices, to train on the variations that occur.
-_FRAMES = ["{}", "Note: {}.", "{}. See the file for details.", "(c) 2020 the authors. {}.", "{}. Thank you for reading."]
+#: What the families are called. In phrasings they train the classifier, and each confirms its family.
+NAMES: dict[str, list[str]] = {
+    "MIT": ["MIT License", "MIT licensed", "under MIT", "License: MIT", "X11 license", "Expat license"], "Apache": ["Apache License", "Apache-2.0", "Apache 2.0", "ASL 2.0", "Apache licensed", "License: Apache"],
+    "GPL": ["GPL", "GNU GPL", "GPLv3", "GPL-3.0", "GNU GPLv2", "GNU General Public License", "General Public License"], "LGPL": ["LGPL", "GNU LGPL", "LGPLv3", "LGPL-2.1", "GNU Lesser General Public License", "Lesser General Public License", "Library General Public License"],
+    "AGPL": ["AGPL", "GNU AGPL", "AGPLv3", "AGPL-3.0", "GNU Affero General Public License", "Affero General Public License"], "BSD": ["BSD License", "BSD-3-Clause", "3-clause BSD", "BSD licensed", "under BSD", "BSD-style license", "License: BSD", "new BSD", "modified BSD"],
+    "MPL": ["MPL", "MPL-2.0", "MPL 2.0", "Mozilla Public License"], "EPL": ["EPL", "EPL-2.0", "EPL 2.0", "Eclipse Public License"], "ISC": ["ISC License", "ISC licensed", "under ISC", "License: ISC"], "Unlicense": ["Unlicense"],
+    "Zlib": ["zlib License", "zlib licensed", "zlib/libpng license", "License: zlib"], "BSL": ["Boost Software License", "BSL-1.0", "BSL 1.0", "Boost License"], "WTFPL": ["WTFPL"], "Artistic": ["Artistic License", "Artistic-2.0", "Artistic 2.0"],
+    "CC0": ["CC0", "CC0-1.0", "CC0 1.0", "Creative Commons Zero"], "CC-BY": ["CC BY", "CC-BY", "CC-BY-4.0", "CC BY 4.0", "Creative Commons Attribution"], "CC-BY-SA": ["CC BY-SA", "CC-BY-SA-4.0", "CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike", "Creative Commons Attribution-Share Alike"],
+    "CC-BY-NC": ["CC BY-NC", "CC-BY-NC-4.0", "CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial"], "CC-BY-ND": ["CC BY-ND", "CC-BY-ND-4.0", "CC BY-ND 4.0", "Creative Commons Attribution-NoDerivatives"],
+    "CC-BY-NC-SA": ["CC BY-NC-SA", "CC-BY-NC-SA-4.0", "CC BY-NC-SA 4.0", "Creative Commons Attribution-NonCommercial-ShareAlike"], "CC-BY-NC-ND": ["CC BY-NC-ND", "CC-BY-NC-ND-4.0", "CC BY-NC-ND 4.0", "Creative Commons Attribution-NonCommercial-NoDerivatives"],
+}
+#: Licences of no family here, to learn from in the same phrasings; the second list is for calibration.
+OTHER_NAMES = ["EUPL", "European Union Public License", "SIL Open Font License", "OFL-1.1", "CDDL", "CDDL-1.0", "Microsoft Public License", "MS-PL", "Python Software Foundation License", "Business Source License", "Open Government License", "Common Public License", "IBM Public License", "ODbL", "Open Database License", "GNU Free Documentation License", "GFDL", "Elastic License", "SSPL", "Server Side Public License", "vendor license", "license agreement of the owner", "Sleepycat License", "CeCILL"]
+OTHER_HELD = ["Open Software License", "PostgreSQL License", "PHP License", "NCSA", "Academic Free License", "Ruby License", "Free Art License", "LaTeX Project Public License", "Nokia Open Source License", "Vovida Software License", "Confluent Community License", "OpenSSL License", "Q Public License", "Zope Public License", "Eiffel Forum License", "Commons Clause"]
+#: Phrasings of a name to learn from; the second list is for calibration.
+FRAMES = ["{}", "Licensed under the {}", "Licensed under {}.", "Released under the {}", "License: {}", "SPDX-License-Identifier: {}", "distributed under the terms of the {}", "This project is {}", "available under the {}. See the file for details.", "the {} applies", "{} (see LICENSE)"]
+FRAMES_HELD = ["Code here is covered by the {}", "you may redistribute this under {}", "our library uses {}", "Copyright 2014 the contributors, {}", "it falls under the {} as found on the site", "published, like the rest, under {} terms"]
+#: Everyday uses of the words in those phrasings, which are no notices.
+BARE = ["under the bridge", "under the terms of the treaty", "available under the counter", "distributed under the tables", "released under the cover of night", "this project is late", "the rule applies", "see the file for details", "a driving license", "his license plate", "her licensed restaurant", "a license to kill", "the pilot license was renewed", "license fees went up", "they were licensed to sell wine", "a fishing license applies here", "software for the office", "the public bought it"]
+#: Words put around longer notices, to train on the variations that occur.
+_AROUND = ["{}", "Note: {}.", "{}. See the file for details.", "(c) 2020 the authors. {}.", "{}. Thank you for reading."]
+#: Single words that are features: with a number or hyphen, or a licence's own name.
+_OWN = ["gpl", "lgpl", "agpl", "mpl", "epl", "wtfpl", "unlicense", "cc0", "eupl", "cddl", "ofl", "odbl", "gfdl", "sspl", "cecill"]
 
 #: Where a family's version stands in the words of a window.
 _VERSION = {
@@ -140,59 +159,65 @@ WINDOW, STRIDE = 120, 80
 CONFIRM = 0.6
 #: Least probability of the class that a window counted as unknown is put in.
 SURE = 0.5
-#: Share of the sampled windows that a marking word may be in.
-RARE = 0.01
 
-_NUMBER = r"\d+(?:\.\d+)*(?:-only|-or-later|\+)?"
+_NUMBER = r"(?<![a-z])v?\d+(?:\.\d+)*(?:-only|-or-later|\+)?"
 
 
 def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}.+-]+|[.+-]+(?=\s|$)|(?<=\s)[.+-]+"), lambda x: x != "")
 
 
+def _plain(word: Column) -> Column:
+    """A word as the features have it: numbers as #, ``licence`` spelt ``license``, ``gplv3`` as ``gpl``."""
+    numbered = F.regexp_replace(F.regexp_replace(word, r"(?<=[a-z]pl)-?v?\d+(?:\.\d+)*(?:-only|-or-later|\+)?$", ""), _NUMBER, "#")
+    return F.when(word.rlike("[0-9]"), numbered).when(word.startswith("licenc"), F.concat(F.lit("licens"), F.substring(word, 7, 20))).otherwise(word)
+
+
 def grams(words: Column) -> Column:
-    """Word bigrams and trigrams with numbers as ``#``, and single words that hold a hyphen or a number."""
+    """Word bigrams and trigrams of plain words, and single words that hold a hyphen or a number or are a licence's name."""
 
     def runs(w: Column) -> Column:
         pairs = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, w[i + 1]))
         triples = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.concat_ws(" ", x, w[i + 1], w[i + 2]))
-        return F.array_distinct(F.concat(F.filter(w, lambda x: x.rlike("[#-]")), pairs, triples))
+        return F.array_distinct(F.concat(F.filter(w, lambda x: x.isin(_OWN) | x.rlike("[#-]")), pairs, triples))
 
-    return F.transform(F.array(F.transform(words, lambda x: F.regexp_replace(x, _NUMBER, "#"))), runs)[0]  # as a lambda's variable the words are made once
+    return F.transform(F.array(F.transform(words, _plain)), runs)[0]  # as a lambda's variable the words are made once
 
 
-def windows(docs: DataFrame, marks: list[str] | None = None) -> DataFrame:
-    """Windows of paragraphs (doc_id, key, p, at, words), only those with a marking word if any are given."""
+def windows(docs: DataFrame) -> DataFrame:
+    """Windows of paragraphs: doc_id, key, p, at, words."""
     parts = F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\n[^\S\n]*(?:\n[^\S\n]*)+")).alias("p", "paragraph")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), parts)
 
     def cut(w: Column) -> Column:
         starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size(w) - (WINDOW - STRIDE)) / STRIDE).cast("int") - 1))
-        cells = F.transform(starts, lambda k: F.struct(k.alias("at"), F.slice(w, k * STRIDE + 1, F.lit(WINDOW)).alias("words")))
-        some = F.lit(True) if marks is None else F.arrays_overlap(w, F.array(*[F.lit(m) for m in marks]))
-        return F.when(some, cells)
+        return F.transform(starts, lambda k: F.struct(k.alias("at"), F.slice(w, k * STRIDE + 1, F.lit(WINDOW)).alias("words")))
 
     cells = F.transform(F.array(_words(F.col("paragraph"))), cut)[0]
-    rows = rows.select("doc_id", "key", "p", F.explode(cells).alias("c")).select("doc_id", "key", "p", "c.at", "c.words")
-    return rows if marks is None else rows.where(F.arrays_overlap("words", F.array(*[F.lit(m) for m in marks])))
+    return rows.select("doc_id", "key", "p", F.explode(cells).alias("c")).select("doc_id", "key", "p", "c.at", "c.words")
 
 
 def _notices(spark: SparkSession) -> DataFrame:
-    """Fixed rows (label, text, held): a few hundred."""
+    """Fixed rows (label, text, held): a few thousand."""
     rows = []
+    add = lambda family, texts, frames, held: rows.extend((float(FAMILIES.index(family)), frame.format(t), held) for t in texts for frame in frames)
     for family, texts in [*TEMPLATES.items(), (UNKNOWN_NAME, UNKNOWN), (NONE, PLAIN)]:
-        for t in texts:
-            rows += [(float(FAMILIES.index(family)), frame.format(t), False) for frame in _FRAMES]
+        add(family, texts, _AROUND, False)
+    for family, texts in [*NAMES.items(), (UNKNOWN_NAME, OTHER_NAMES)]:
+        add(family, texts, FRAMES, False)
+    add(NONE, BARE, ["{}"], False)
     for family, texts in [*HELD.items(), (UNKNOWN_NAME, UNKNOWN_HELD)]:
-        rows += [(float(FAMILIES.index(family)), t, True) for t in texts]
+        add(family, texts, ["{}"], True)
+    for family, texts in [*NAMES.items(), (UNKNOWN_NAME, OTHER_HELD)]:
+        add(family, texts, FRAMES_HELD, True)
     return spark.createDataFrame(rows, "label double, text string, held boolean")
 
 
 class LicenseModel:
-    """The fitted classifier, its vocabulary, threshold, marking words and the n-grams of the templates."""
+    """The fitted classifier, its vocabulary, threshold and the n-grams of the templates."""
 
-    def __init__(self, model: LogisticRegressionModel, vocabulary: list[str], threshold: float, marks: list[str], templates: dict[str, list[list[str]]]) -> None:
-        self.model, self.vocabulary, self.threshold, self.marks, self.templates = model, vocabulary, threshold, marks, templates
+    def __init__(self, model: LogisticRegressionModel, vocabulary: list[str], threshold: float, templates: dict[str, list[list[str]]]) -> None:
+        self.model, self.vocabulary, self.threshold, self.templates = model, vocabulary, threshold, templates
 
     def score(self, rows: DataFrame) -> DataFrame:
         """Add family number k, confidence and containment to rows with grams."""
@@ -209,16 +234,26 @@ def _predict(model: LogisticRegressionModel, vocabulary: list[str], rows: DataFr
 
 
 def _containment(rows: DataFrame, templates: dict[str, list[list[str]]]) -> DataFrame:
-    held = lambda g: F.size(F.array_intersect("grams", F.array(*[F.lit(x) for x in g]))) / F.lit(float(len(g)))
-    best = reduce(lambda c, f: c.when(F.col("k") == FAMILIES.index(f), F.greatest(*[held(g) for g in templates[f]], F.lit(0.0))), TEMPLATES, F.when(F.lit(False), 0.0))
-    return rows.withColumn("containment", best.otherwise(F.lit(0.0)))
+    """Add the greatest share that the window holds of a template of its predicted family."""
+    of = F.array(*[F.array(*[F.array(*map(F.lit, g)) for g in templates.get(f, [])]).cast("array<array<string>>") for f in FAMILIES])
+    share = lambda g: F.size(F.array_intersect("grams", g)) / F.size(g)
+    return rows.withColumn("containment", F.aggregate(of[F.col("k")], F.lit(0.0), lambda most, g: F.greatest(most, share(g))))
 
 
 def _threshold(rows: list[tuple[int, int, float, float]]) -> float:
-    """The least probability at which held known notices gain the most over held unknown ones. rows: label, k, confidence, containment."""
+    """The probability from which families are named. rows: label, k, confidence, containment of held notices.
+
+    Of the cuts at which held notices gain most (a right name counts 1, a wrong one -2)
+    the highest that keeps all but a hundredth of the right names: what is less sure
+    than the notices that were held out is unknown.
+    """
     named = [(c, label == k) for label, k, c, held in rows if k > 1 and held >= CONFIRM]
-    cuts = sorted({0.0, *(c for c, _ in named)})
-    return max(cuts, key=lambda t: (sum(1 if ok else -2 for c, ok in named if c >= t), -t))
+    right = sorted(c for c, ok in named if ok)
+    if not right:
+        return SURE
+    gain = lambda t: sum(1 if ok else -2 for c, ok in named if c >= t)
+    floor = right[len(right) // 100]
+    return max([floor, *(c for c, _ in named if c > floor)], key=lambda t: (gain(t), -t))
 
 
 def fit(docs: DataFrame, negatives: int = NEGATIVES) -> LicenseModel:
@@ -229,48 +264,37 @@ def fit(docs: DataFrame, negatives: int = NEGATIVES) -> LicenseModel:
     sample = windows(docs.where(u < int(min(1.0, negatives / max(n, 1)) * (1 << 40)) + 1))
     sample = sample.groupBy("key").agg(F.min_by("words", F.xxhash64("p", "at", "key")).alias("words"))  # copies count once
     sample = materialize(sample.withColumn("grams", grams(F.col("words"))))
-    seen = sample.count()
-    common = {r["w"] for r in sample.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").count().where(F.col("count") > RARE * seen).collect()}  # at most WINDOW / RARE words
-    stated = [r["words"] for r in spark.createDataFrame([(t,) for ts in TEMPLATES.values() for t in ts] + [(t,) for t in UNKNOWN], "text string").select(_words(F.col("text")).alias("words")).collect()]
-    said: dict[str, int] = {}
-    for ws in stated:
-        for w in set(ws):
-            said[w] = said.get(w, 0) + 1
-    # marking words: greedily, those in most notices first, until each notice has one that is rare in the corpus (or its longest)
-    marks: list[str] = []
-    for ws in sorted(stated, key=len):
-        if not set(ws) & set(marks):
-            fit_ = [w for w in ws if w not in common and any(c.isalpha() for c in w)] or ws
-            marks.append(max(fit_, key=lambda w: (said[w], len(w), w)))
-    grams_of = {r["text"]: list(r["grams"]) for r in spark.createDataFrame([(t,) for ts in TEMPLATES.values() for t in ts], "text string").withColumn("grams", grams(_words(F.col("text")))).collect()}
-    templates = {f: [grams_of[t] for t in ts] for f, ts in TEMPLATES.items()}
-    vocabulary = sorted({g for r in notices.where("NOT held").select("grams").collect() for g in r["grams"]})  # from the fixed notices alone
+    around = [frame.format(name) for frame in FRAMES for name in ("x license", "x public license", "x software license", "x")] + ["terms of the license", "license agreement", "custom license", "license of this", "see our license"]
+    frames = {g for r in spark.createDataFrame([(t,) for t in around], "text string").select(grams(_words(F.col("text"))).alias("g")).collect() for g in r["g"] if "x" not in g.split(" ")}
+    proof = {f: [*ts, *NAMES.get(f, [])] for f, ts in TEMPLATES.items()}
+    grams_of = {r["text"]: list(r["grams"]) for r in spark.createDataFrame([(t,) for ts in proof.values() for t in ts], "text string").withColumn("grams", grams(_words(F.col("text")))).collect()}
+    templates = {f: [grams_of[t] for t in ts if grams_of[t]] for f, ts in proof.items()}
+    # from the fixed notices alone; not the other licences' own names, so that what is around a name no family has tells of a licence
+    vocabulary = sorted({g for r in notices.where(f"NOT held AND label <> {FAMILIES.index(UNKNOWN_NAME)}").select("grams").collect() for g in r["grams"]} | set(frames))
     known = set(vocabulary)
     trigrams = [g for g in known if g.count(" ") == 2]
     other = sample.where(~F.arrays_overlap("grams", F.array(*[F.lit(g) for g in trigrams])))  # the sample's own notices are no examples of none
     none = other.select(F.lit(0.0).alias("label"), "grams", F.lit(5.0 / negatives).alias("weight"))
     empty = spark.createDataFrame([(0.0, [], 5.0)], "label double, grams array<string>, weight double")
-    train = notices.where("NOT held").select("label", "grams", F.lit(1.0).alias("weight")).unionByName(none).unionByName(empty)
+    stated = notices.where("NOT held").where((F.col("label") != FAMILIES.index(UNKNOWN_NAME)) | F.exists("grams", lambda g: g.isin(vocabulary)))  # a name alone tells nothing
+    train = stated.select("label", "grams", F.lit(1.0).alias("weight")).unionByName(none).unionByName(empty)
     train = _vectors(vocabulary, train).coalesce(1).cache()  # a few thousand rows at most
     model = LogisticRegression(family="multinomial", weightCol="weight", regParam=2e-4, elasticNetParam=0.2, maxIter=60, standardization=False).fit(train)
     held = _containment(_predict(model, vocabulary, notices.where("held")), templates).select("label", "k", "confidence", "containment").collect()
     train.unpersist()
     notices.unpersist()
-    return LicenseModel(model, vocabulary, _threshold([(int(r["label"]), r["k"], r["confidence"], r["containment"]) for r in held]), sorted(marks), templates)
+    return LicenseModel(model, vocabulary, _threshold([(int(r["label"]), r["k"], r["confidence"], r["containment"]) for r in held]), templates)
 
 
-def _version(family: Column, text: Column) -> Column:
-    out = F.when(F.lit(False), F.lit(""))
+def _license(rows: DataFrame) -> DataFrame:
+    """Add ``license``: the family with the version that the words state, if any."""
+    said = F.when(F.lit(False), F.lit(""))
     for f, pattern in _VERSION.items():
-        out = out.when(family == f, F.regexp_extract(text, pattern, 1) if f != "BSD" else F.concat(F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)))
-    return out.otherwise(F.lit(""))
-
-
-def _license(family: Column, text: Column) -> Column:
-    """The family with the version that the text states, if any."""
-    v = _version(family, text)
-    whole = F.when(v.contains("."), v).when(v != "", F.concat(v, F.lit(".0")))
-    return F.when(v == "", family).when(family == "BSD", F.concat(F.lit("BSD-"), v, F.lit("-Clause"))).otherwise(F.concat(family, F.lit("-"), whole))
+        said = said.when(F.col("family") == f, F.concat(*[F.regexp_extract("said", pattern, i + 1) for i in range(2 if f == "BSD" else 1)]))
+    rows = rows.withColumn("said", F.array_join("words", " ")).withColumn("v", said.otherwise(F.lit("")))
+    v, family = F.col("v"), F.col("family")
+    whole = F.when(v.contains("."), v).otherwise(F.concat(v, F.lit(".0")))
+    return rows.withColumn("license", F.when(v == "", family).when(family == "BSD", F.concat(F.lit("BSD-"), v, F.lit("-Clause"))).otherwise(F.concat(family, F.lit("-"), whole)))
 
 
 def scan_licenses(docs: DataFrame, model: LicenseModel | None = None) -> DataFrame:
@@ -285,10 +309,11 @@ def scan_licenses(docs: DataFrame, model: LicenseModel | None = None) -> DataFra
     """
     docs = docs.select("doc_id", "text")
     model = model or fit(docs)
-    scored = model.score(windows(docs, model.marks).withColumn("grams", grams(F.col("words")))).where("k > 0")
+    scored = model.score(windows(docs).withColumn("grams", grams(F.col("words")))).where("k > 0")
     family = F.when((F.col("k") > 1) & (F.col("confidence") >= model.threshold) & (F.col("containment") >= CONFIRM), F.element_at(F.array(*[F.lit(f) for f in FAMILIES]), F.col("k") + 1)).otherwise(F.lit(UNKNOWN_NAME))
-    scored = scored.withColumn("family", family).where((F.col("family") != UNKNOWN_NAME) | (F.col("confidence") >= SURE))
-    scored = materialize(scored.select("doc_id", "key", "p", "at", "confidence", "containment", (F.col("family") != UNKNOWN_NAME).alias("confirmed"), _license(F.col("family"), F.array_join("words", " ")).alias("license")))
+    licence_word = F.exists("grams", lambda g: g.rlike(rf"(^| )(licens|spdx|copyright|{'|'.join(_OWN)})"))
+    scored = scored.withColumn("family", family).where((F.col("family") != UNKNOWN_NAME) | (F.col("confidence") >= SURE) & licence_word)
+    scored = materialize(_license(scored).select("doc_id", "key", "p", "at", "confidence", "containment", (F.col("family") != UNKNOWN_NAME).alias("confirmed"), "license"))
     found = scored.groupBy("doc_id", "key").agg(
         F.max(F.struct("confirmed", F.round("confidence", 6).alias("confidence"), (-F.col("p")).alias("p"), (-F.col("at")).alias("at"), "license", "containment")).alias("r"),
         F.countDistinct("p").alias("n_license"),

@@ -56,6 +56,22 @@ NOTICES = [
     ("The eclipse was seen from the public square, version of events aside.", "none"), ("Common people attributed the rain to luck.", "none"),
 ]
 
+#: Short and bare notices, British spelling, other licences and near misses; none is worded in the code.
+WORDED = [
+    ("GNU GPLv3", "GPL-3.0"), ("MIT licensed", "MIT"), ("Licence: MIT", "MIT"), ("Licence: GPLv2+", "GPL-2.0"), ("The project carries the MIT licence.", "MIT"), ("Code: MIT, see LICENCE.txt", "MIT"), ("Licensed under MIT", "MIT"), ("This gem is MIT-licensed software by its authors", "MIT"),
+    ("Apache-2.0", "Apache-2.0"), ("SPDX: Apache-2.0", "Apache-2.0"), ("Published under the Apache Licence 2.0, as is our habit", "Apache-2.0"), ("we chose the Apache License for the whole tree", "Apache"), ("Dual licensed, Apache 2.0 for most parts", "Apache-2.0"), ("ASL 2.0 applies to the connector", "Apache"),
+    ("GPL-3.0-or-later", "GPL-3.0"), ("GPLv2 only, sorry", "GPL-2.0"), ("This driver is GPL.", "GPL"), ("you get it under the GNU GPL v2 as always", "GPL-2.0"), ("subject to version 3 of the GNU General Public Licence", "GPL"), ("(C) 1999 Someone, GPL", "GPL"), ("the plugin inherits the GNU General Public License", "GPL"),
+    ("LGPL-2.1-only", "LGPL-2.1"), ("bindings are LGPLv3", "LGPL-3.0"), ("covered by the GNU LGPL", "LGPL"), ("AGPL-3.0-only", "AGPL-3.0"), ("the hosted version is AGPLv3 code", "AGPL-3.0"), ("offered under the GNU AGPL to everybody", "AGPL"),
+    ("BSD-3-Clause", "BSD-3-Clause"), ("BSD 2-clause licence", "BSD-2-Clause"), ("kernel parts keep their BSD licence", "BSD"), ("New BSD License applies here", "BSD"), ("MPL-2.0", "MPL-2.0"), ("add-ons: Mozilla Public Licence 2.0", "MPL-2.0"), ("Under MPL 1.1, alas", "MPL-1.1"),
+    ("EPL-2.0", "EPL-2.0"), ("plug-in shipped under the Eclipse Public License", "EPL"), ("ISC licensed, like the rest", "ISC"), ("License: ISC (see the top of the tree)", "ISC"), ("zlib/libpng license", "Zlib"), ("we put it under the zlib licence", "Zlib"), ("Boost Software Licence 1.0 text attached", "BSL-1.0"),
+    ("BSL-1.0", "BSL-1.0"), ("WTFPL, have fun", "WTFPL"), ("placed under the Unlicense by its author", "Unlicense"), ("same terms as Perl, the Artistic License", "Artistic"), ("CC0-1.0", "CC0-1.0"), ("images: CC0", "CC0"), ("CC-BY-SA-4.0", "CC-BY-SA-4.0"), ("photos CC BY 2.0 by their makers", "CC-BY-2.0"),
+    ("slides are CC BY-NC-SA 4.0", "CC-BY-NC-SA-4.0"), ("CC BY-NC-ND 3.0", "CC-BY-NC-ND-3.0"), ("reuse under Creative Commons Attribution-NonCommercial 2.5 is fine", "CC-BY-NC-2.5"), ("articles share Creative Commons Attribution-ShareAlike 3.0 terms", "CC-BY-SA-3.0"), ("Maps CC BY-ND 4.0", "CC-BY-ND-4.0"),
+    ("Licensed under the EUPL", "unknown"), ("License: OSL-3.0", "unknown"), ("Licensed under the Jam Public License", "unknown"), ("SPDX-License-Identifier: PostgreSQL", "unknown"), ("released under the Hippocratic License", "unknown"), ("Licensed under the terms of the Lucent Public License", "unknown"),
+    ("Licence: see our shop", "unknown"), ("distributed under the Tiny Games Licence", "unknown"),
+    ("his driving licence was taken away", "none"), ("the general of the public order came", "none"), ("a boost for zero sum games", "none"), ("Mit der Bahn fahren wir nach Hause, mit Freunden", "none"), ("the common share of the creative class", "none"), ("they permitted use of the house without a fee", "none"),
+    ("a copy of the letter came along with this parcel", "none"), ("the artist wrote about his artistic years", "none"), ("the tribe of the Apache lived there", "none"), ("Mozilla opened an office near the eclipse museum", "none"), ("I reserved all the rooms, rights and wrongs aside", "none"),
+]
+
 
 @pytest.fixture(scope="module")
 def model(spark):
@@ -65,16 +81,28 @@ def model(spark):
     return licenses.fit(spark.createDataFrame(rows, "doc_id long, text string"))
 
 
-def test_notices_precision_and_recall(spark, model):
-    rows = [(i, t) for i, (t, _) in enumerate(NOTICES)]
+@pytest.mark.parametrize("notices", [NOTICES, WORDED], ids=["as files carry them", "short or worded otherwise"])
+def test_notices_precision_and_recall(spark, model, notices):
+    rows = [(i, t) for i, (t, _) in enumerate(notices)]
     got = {r.doc_id: r.license for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
-    wrong = [(t[:70], want, got[i]) for i, (t, want) in enumerate(NOTICES) if got[i] != want]
+    wrong = [(t[:70], want, got[i]) for i, (t, want) in enumerate(notices) if got[i] != want]
     named = lambda x: x not in ("none", "unknown")
-    hit = sum(named(w) and got[i] == w for i, (_, w) in enumerate(NOTICES))
-    precision, recall = hit / sum(named(g) for g in got.values()), hit / sum(named(w) for _, w in NOTICES)
-    other = sum(not named(w) and got[i] == w for i, (_, w) in enumerate(NOTICES)) / sum(not named(w) for _, w in NOTICES)
-    print(precision, recall, other, wrong)
-    assert len(NOTICES) >= 70 and precision >= 0.9 and recall >= 0.9 and other >= 0.75, wrong
+    hit = sum(named(w) and got[i] == w for i, (_, w) in enumerate(notices))
+    precision, recall = hit / sum(named(g) for g in got.values()), hit / sum(named(w) for _, w in notices)
+    other = sum(not named(w) and got[i] == w for i, (_, w) in enumerate(notices)) / sum(not named(w) for _, w in notices)
+    print("MEASURED", precision, recall, other, wrong)
+    assert len(notices) >= 70 and precision >= 0.9 and recall >= 0.9 and other >= 0.75, wrong
+
+
+def test_the_threshold_rejects(spark, model):
+    assert 0.05 < model.threshold < 1
+
+
+def test_every_window_is_scored_whatever_the_corpus(spark, model):
+    """A notice gets the same answer in any corpus: the fit's sample is the only thing that a corpus adds."""
+    docs = spark.createDataFrame([(1, "prose " * 300 + "MIT licensed"), (2, "prose " * 300)], "doc_id long, text string")
+    assert licenses.windows(docs).count() == 8
+    assert {r.doc_id: r.license for r in licenses.scan_licenses(docs, model).collect()}[2] == "none"
 
 
 def test_notices_inside_long_texts(spark, model):
@@ -91,7 +119,7 @@ def test_notices_inside_long_texts(spark, model):
 def test_awkward_rows(spark, llm_rows, model):
     docs = llm_rows.selectExpr("*", "1 AS grams", "'x' AS license", "2 AS p", "3 AS words", "4 AS key", "5 AS at")
     got = licenses.scan_licenses(docs, model).collect()
-    assert len(got) == docs.count() and all(r.license == "none" for r in got)
+    assert len(got) == docs.count() and all(r.license == "none" for r in got), [(r.doc_id, r.license, r.confidence) for r in got]
     rows = [(1, "text\n\nReleased under the MIT License.\n\nAll rights reserved."), (1, "text\n\nReleased under the MIT License.\n\nAll rights reserved."), (None, "All rights reserved."), (2, None)]
     got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
     assert sorted((str(r.doc_id), r.n_paragraphs, r.n_license, r.licenses) for r in got) == [("1", 3, 2, ["MIT", "Proprietary"])] * 2 + [("2", 0, 0, []), ("None", 1, 1, ["Proprietary"])]
