@@ -256,6 +256,32 @@ def test_rare_category_keeps_its_target(spark):
     assert all(abs(distributed[tuple(r)[:5]] - r.probability) < 1e-5 for r in mixed.collect())
 
 
+def test_both_ways_to_rake_stop_alike_and_tell_what_is_out_of_reach(spark):
+    rows = [(i, "word " * (5 + i % 7), f"s{i % 3}", ["en", "en", "fr"][i % 3 if i % 5 else 0], "xy"[i % 2]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, about string")
+    targets = {"source": {"s0": 0.98, "s1": 0.01, "s2": 0.01}, "lang": {"fr": 0.9, "en": 0.1}}  # few French tokens, and none in s0
+    one, two = (mixing.mix(docs, targets, topic="about", keep=0.6, in_memory=n) for n in (10**6, 0))
+    p = {r.doc_id: r.probability for r in two.collect()}
+    assert all(abs(p[r.doc_id] - r.probability) < 1e-9 for r in one.collect())
+    told = {(r.margin, r.category): r.feasible for r in mixing.achieved(one, targets).collect()}
+    assert not told["lang", "fr"] and not told["source", "s0"]
+    docs = docs.selectExpr("doc_id", "text", "source", "'en' AS lang", "about")
+    easy = mixing.achieved(mixing.mix(docs, {"source": {"s0": 0.4, "s1": 0.3, "s2": 0.3}}, topic="about", keep=0.1), {"source": {"s0": 0.4, "s1": 0.3, "s2": 0.3}}).collect()
+    assert all(r.feasible for r in easy if r.margin == "source")
+
+
+def test_topics_are_found_within_languages(spark):
+    rng = random.Random(3)
+    sets = {lang: [[f"{lang}{c}{i}word" for i in range(40)] for c in "abc"] for lang in ("en", "fr")}
+    rows = [(i, " ".join(rng.choice(sets[lang][i % 3]) for _ in range(60)), "s", lang) for i in range(600) for lang in ["en" if i % 4 else "fr"]]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).select("doc_id", "topic", "lang").collect()
+    groups = defaultdict(set)
+    for r in got:
+        groups[r.lang, r.topic].add(r.doc_id % 3)
+    assert all(len(g) == 1 for g in groups.values()) and len(groups) >= 6
+    assert {"t0", "t1", "t2"} <= {t for lang, t in groups if lang == "fr"} & {t for lang, t in groups if lang == "en"}  # no topic stands for a language
+
+
 def test_topics_follow_the_vocabulary(spark):
     rng = random.Random(2)
     sets = [[f"{c}{i}word" for i in range(40)] for c in "abc"]

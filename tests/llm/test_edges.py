@@ -56,6 +56,44 @@ def test_very_many_languages_all_have_a_codeword(spark):
     assert sum(r.lang == r.lang_pred for r in got) / len(got) > 0.9
 
 
+def test_no_language_is_lost_however_many_there_are(spark):
+    """1,500 languages of 20 documents each share the sample: four of each are learnt from."""
+    docs = spark.range(30_000).selectExpr("id AS doc_id", "concat('l', id % 1500) AS lang", "repeat(concat(char(97 + id % 26), char(97 + floor(id / 26) % 26), char(97 + (id % 1500) % 23), ' '), 6) AS text")
+    rows = docs.where(~langid.held_out("doc_id"))
+    assert rows.select("lang").distinct().count() == 1500
+    fitted = langid.fit_languages
+    seen = {}
+
+    def bits(x, y, weight, **more):
+        seen["rows"] = len(x)
+        return langid.np.zeros((langid.DIM + 1, y.shape[1]), langid.np.float32)
+
+    original, langid.fit_bits = langid.fit_bits, bits
+    try:
+        model = fitted(docs)
+    finally:
+        langid.fit_bits = original
+    assert len(model.languages) == 1500 and 1500 <= seen["rows"] <= 1.1 * langid.SAMPLE
+
+
+def test_mixed_and_foreign_texts_are_flagged(spark):
+    from quillmark.llm.common import table
+
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    model = langid.fit_languages(docs)
+    clean = langid.identify(docs, model).where("lang_pred <> 'und'").collect()
+    texts = {}
+    for r in docs.where("length(text) > 600 AND lang IN ('en', 'fr', 'es', 'de')").select("lang", "text").collect():
+        texts.setdefault(r.lang, []).append(r.text[:500])
+    rows = [(i, texts["en"][i] + " " + texts[other][i]) for other in ("fr", "es", "de") for i in range(17)]
+    rows = [(k, t) for k, (_, t) in enumerate(rows)] + [(900, "ok"), (901, "日本語の文章です。これは知らない言語で書かれています。" * 5), (902, "long " * 100_000 + texts["fr"][0])]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    mixed = sum(got[i].ambiguous for i in range(51)) / 51
+    print("MEASURED", mixed, sum(r.ambiguous for r in clean) / len(clean), got[900], got[901], min(r.score for r in clean), model.sharpness, model.far)
+    assert mixed >= 0.9 and got[900].ambiguous and got[901].ambiguous
+    assert sum(r.ambiguous for r in clean) / len(clean) < 0.03
+
+
 def test_shared_folder_must_be_named_on_a_cluster(monkeypatch):
     class Conf:
         def get(self, key, default=None):
