@@ -1,11 +1,13 @@
 """Pages as a table of elements, and the checks on it.
 
-One tolerant parse gives a row for each element: page_id, pos, parent, in_form,
-in_label (positions), tag, id, name, type, rel, role, href, src, alt, title, label
-(aria-label), described (aria-describedby), target_for, autocomplete, tabindex,
-style, classes, attrs and filled (attribute names between spaces, filled ones with
-a value), own (direct text) and text. A check is a predicate on a row, or a join
-within the page; layout facts (boxes, computed styles) come as tables of their own.
+One tolerant parse gives a row for each element: page_id, pos, last, depth, parent,
+in_form, in_label (positions), tag, id, name, type, rel, role, href, src, alt, title, label
+(aria-label), described (aria-describedby), target_for, autocomplete, placeholder,
+action, method, content, tabindex, style, classes, attrs and filled (attribute names
+between spaces, filled ones with a value), own (direct text) and text. ``pos`` to
+``last`` is the interval of an element and all it holds, so "inside" is a join on
+intervals (``inside``). A check is a predicate on a row, or a join within the page;
+layout facts (boxes, computed styles) come as tables of their own.
 
 Predicates are SQL texts, so that they can be read, joined into one pass and put
 into other SQL. ``MATCH(x, 'p')`` stands for a regular expression search.
@@ -22,9 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-_LONGS = ("page_id", "pos", "parent", "in_form", "in_label", "tabindex")
-_STRINGS = ("tag", "id", "name", "type", "rel", "role", "href", "src", "alt", "title", "label", "described", "target_for", "autocomplete", "style", "classes", "attrs", "filled", "own", "text")
+_LONGS = ("page_id", "pos", "last", "depth", "parent", "in_form", "in_label", "tabindex")
+_STRINGS = ("tag", "id", "name", "type", "rel", "role", "href", "src", "alt", "title", "label", "described", "target_for", "autocomplete", "placeholder", "action", "method", "content", "style", "classes", "attrs", "filled", "own", "text")
 ELEMENTS = ", ".join([f"{c} long" for c in _LONGS] + [f"{c} string" for c in _STRINGS])
+TEXTS = "page_id long, n long, parent long, block long, text string"
+#: Elements whose text is set off from what follows.
+BLOCKS = {"p", "div", "li", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "blockquote", "figcaption", "dt", "dd", "pre", "ul", "ol", "table", "form", "label", "option"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _FROM = {"label": "aria-label", "described": "aria-describedby", "target_for": "for", "classes": "class"}
 
@@ -34,6 +39,8 @@ class _Rows(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.rows: list[dict] = []
         self.open: list[dict] = []
+        self.texts: list[dict] = []
+        self.block = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         a = {k: v or "" for k, v in attrs}
@@ -42,20 +49,34 @@ class _Rows(HTMLParser):
         told = [*a, *(f"{k}={v.lower()}" for k, v in a.items() if k in ("draggable", "aria-live", "aria-hidden", "target"))]
         tab = a.get("tabindex", "")
         row |= {
-            "pos": len(self.rows), "parent": self.open[-1]["pos"] if self.open else None, "in_form": up("form"), "in_label": up("label"), "tag": tag, "type": a.get("type", "").lower(),
+            "pos": len(self.rows), "last": len(self.rows), "depth": len(self.open), "parent": self.open[-1]["pos"] if self.open else None, "in_form": up("form"), "in_label": up("label"), "tag": tag, "type": a.get("type", "").lower(),
             "tabindex": int(tab) if re.fullmatch(r"-?\d{1,9}", tab) else None, "attrs": f" {' '.join(told)} ", "filled": f" {' '.join(k for k, v in a.items() if v)} ", "own": [], "text": [],
         }
         self.rows.append(row)
+        if tag == "br":
+            self.texts.append({"n": len(self.texts), "parent": self.open[-1]["pos"] if self.open else None, "block": self.block, "text": "\n"})
         if tag not in _VOID:
             self.open.append(row)
 
     def handle_endtag(self, tag: str) -> None:
         at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i]["tag"] == tag), -1)
         if at >= 0:
-            del self.open[at:]
+            self.shut(at)
+
+    def shut(self, at: int) -> None:
+        """Close the open elements from ``at`` on."""
+        for row in self.open[at:]:
+            row["last"] = len(self.rows) - 1
+            self.block += row["tag"] in BLOCKS
+        del self.open[at:]
+
+    def close(self) -> None:
+        super().close()
+        self.shut(0)
 
     def handle_data(self, data: str) -> None:
         if self.open:
+            self.texts.append({"n": len(self.texts), "parent": self.open[-1]["pos"], "block": self.block, "text": data})
             self.open[-1]["own"].append(data)
             if self.open[-1]["tag"] not in ("script", "style", "noscript", "template"):
                 for e in self.open:
@@ -70,6 +91,38 @@ def page_elements(html: str | None) -> list[dict]:
     return [{**r, "own": squash(r["own"]), "text": squash(r["text"])} for r in p.rows]
 
 
+def page_texts(html: str | None) -> list[dict]:
+    p = _Rows()
+    p.feed(html or "")
+    p.close()
+    return p.texts
+
+
+def parse_texts(pages: DataFrame) -> DataFrame:
+    """The texts of each page (page_id, html) in order: the element that each is in, and the number of blocks that ended before it. A br is a line feed."""
+    kinds = pa.schema([("page_id", pa.int64()), ("n", pa.int64()), ("parent", pa.int64()), ("block", pa.int64()), ("text", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for page, html in zip(b.column("page_id").to_pylist(), b.column("html"), strict=True):
+                yield pa.RecordBatch.from_pylist([{**r, "page_id": page} for r in page_texts(html.as_py())], kinds)
+
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(run, TEXTS)
+
+
+def inside(rows: DataFrame, holders: DataFrame, at: str = "pos", how: str = "left_semi") -> DataFrame:
+    """Rows (page_id, ``at``) whose element lies within one of the holders (page_id, pos, last); ``left_anti``: those outside all of them."""
+    h = holders.select(F.col("page_id").alias("_page"), F.col("pos").alias("_from"), F.col("last").alias("_to"))
+    return rows.join(h, (F.col("page_id") == F.col("_page")) & (F.col(at) >= F.col("_from")) & (F.col(at) <= F.col("_to")), how)
+
+
+def main_element(elements: DataFrame) -> DataFrame:
+    """The main part of each page (page_id, pos, last): the first main, role main or article, else the body."""
+    main = F.col("tag").isin("main", "article") | (F.coalesce("role", F.lit("")) == "main")
+    best = F.min(F.struct((~main).alias("_body"), "pos", "last")).alias("m")
+    return elements.where(main | (F.col("tag") == "body")).groupBy("page_id").agg(best).select("page_id", "m.pos", "m.last")
+
+
 def parse_elements(pages: DataFrame) -> DataFrame:
     """The elements of each page (page_id, html) in document order; null html has none."""
     kinds = pa.schema([(c, pa.int64()) for c in _LONGS] + [(c, pa.string()) for c in _STRINGS])
@@ -159,6 +212,8 @@ def element_findings(elements: DataFrame) -> DataFrame:
     """One pass over the elements, then the caps of each page and rule."""
     hits = F.array_compact(F.array(*[F.when(F.expr(spark_sql(p)), F.struct(F.lit(r).alias("rule_id"), F.lit(i).alias("impact"), F.lit(m).alias("manual_review"), F.lit(cap).alias("cap"))) for r, p, i, m, cap in RULES]))
     rows = elements.select("page_id", "pos", "tag", "text", F.explode(hits).alias("h")).select("page_id", "pos", "tag", "text", "h.*")
+    hidden = elements.where("contains(attrs, ' hidden ')").select("page_id", "pos", "last", F.lit("text_conveys_information").alias("_rule"))
+    rows = rows.join(hidden.withColumnsRenamed({"page_id": "_page", "pos": "_from"}), F.expr("page_id = _page AND rule_id = _rule AND pos BETWEEN _from AND last"), "left_anti")
     rank = F.row_number().over(W.partitionBy("page_id", "rule_id").orderBy("pos"))
     rows = rows.withColumn("rank", rank).where("rank <= cap")
     return rows.select("page_id", "pos", F.regexp_replace("rule_id", "_visual$|_quality$", "").alias("rule_id"), "impact", "manual_review", F.coalesce("text", F.lit("")).alias("detail"))
@@ -236,18 +291,19 @@ def heading_order(elements: DataFrame) -> DataFrame:
 
 
 def page_level(elements: DataFrame) -> DataFrame:
-    """Pages whose title is missing, short, generic or long, that are thin, or have several h1 (the first texts of which are kept)."""
+    """Pages whose title is missing, short, generic or long, that are thin (few words and no media in the main part), or have several h1 (the first five texts of which are kept)."""
+    media = inside(elements.where("tag IN ('video', 'iframe', 'canvas')").select("page_id", "pos"), main_element(elements)).groupBy("page_id").agg(F.lit(True).alias("media"))
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\S+"))
     h1 = F.when(F.col("tag") == "h1", F.struct("pos", F.substring(F.coalesce("text", F.lit("")), 1, 80).alias("text")))
     per = elements.groupBy("page_id").agg(
-        F.min(F.when(F.col("tag") == "title", F.struct("pos", "text"))).alias("t"), F.max(F.when(F.col("tag") == "body", words)).alias("words"), F.bool_or(F.col("tag").isin("video", "iframe", "canvas")).alias("media"),
-        F.count(h1).alias("n_h1"), F.min(h1).alias("first_h1"),
-    )
+        F.min(F.when(F.col("tag") == "title", F.struct("pos", "text"))).alias("t"), F.max(F.when(F.col("tag") == "body", words)).alias("words"),
+        F.count(h1).alias("n_h1"), F.slice(F.array_sort(F.collect_list(h1)), 1, 5).alias("first_h1"),
+    ).join(media, "page_id", "left").withColumn("media", F.coalesce("media", F.lit(False)))
     title = F.trim(F.coalesce("t.text", F.lit("")))
     bad = (F.length(title) < 10) | F.lower(title).isin(GENERIC_CONTENT_TITLES)
     rules = [
         ("page-title", bad, title), ("title_too_long", F.length(title) > 60, title), ("thin_pages", (F.coalesce("words", F.lit(0)) < 300) & ~F.col("media"), F.coalesce("words", F.lit(0)).cast("string")),
-        ("multiple_h1", F.col("n_h1") > 1, F.concat(F.col("n_h1").cast("string"), F.lit(": "), "first_h1.text")),
+        ("multiple_h1", F.col("n_h1") > 1, F.concat(F.col("n_h1").cast("string"), F.lit(": "), F.array_join("first_h1.text", " | "))),
     ]
     found = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(r).alias("rule_id"), d.alias("detail"))) for r, c, d in rules]))
     return per.select("page_id", F.explode(found).alias("f")).select("page_id", "f.*")

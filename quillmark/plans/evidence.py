@@ -20,13 +20,13 @@ def _elements(parts: str, *ctes: str, views: tuple[str, ...] = _E) -> str:
 _HITS = " UNION ALL ".join(f"SELECT page_id, pos, '{r}' AS rule_id, '{i}' AS impact, {str(m).lower()} AS manual_review, {cap} AS cap, text FROM v_elements WHERE {_SQL(p)}" for r, p, i, m, cap in elements.RULES)
 _add(
     "element_findings", _of(lambda t: elements.element_findings(t.elements)),
-    _elements(f"SELECT page_id, pos, regexp_replace(rule_id, '_visual$|_quality$', '') AS rule_id, impact, manual_review, coalesce(text, '') AS detail FROM (SELECT *, row_number() OVER (PARTITION BY page_id, rule_id ORDER BY pos) AS rank FROM ({_HITS})) WHERE rank <= cap"),
+    _elements(f"SELECT page_id, pos, regexp_replace(rule_id, '_visual$|_quality$', '') AS rule_id, impact, manual_review, coalesce(text, '') AS detail FROM (SELECT *, row_number() OVER (PARTITION BY page_id, rule_id ORDER BY pos) AS rank FROM (SELECT * FROM ({_HITS}) h WHERE rule_id <> 'text_conveys_information' OR (page_id, pos) NOT IN (SELECT page_id, unnest(range(pos, last + 1)) FROM v_elements WHERE attrs LIKE '% hidden %'))) WHERE rank <= cap"),
 )
 _add(
     "table_summary", _of(lambda t: elements.table_summary(t.elements)),
     _elements("SELECT page_id, tables, without FROM (SELECT page_id, count(*) AS tables, sum(CASE WHEN regexp_matches(filled, ' (summary|aria-describedby) ') THEN 0 ELSE 1 END)::BIGINT AS without FROM v_elements WHERE tag = 'table' GROUP BY page_id) WHERE without > 0"),
 )
-_add("fieldset_legend", _of(lambda t: elements.fieldset_legend(t.elements)), _elements("SELECT page_id, pos FROM v_elements f WHERE tag = 'fieldset' AND NOT EXISTS (SELECT 1 FROM v_elements l WHERE l.tag = 'legend' AND l.text <> '' AND l.page_id = f.page_id AND l.parent = f.pos)"))
+_add("fieldset_legend", _of(lambda t: elements.fieldset_legend(t.elements)), _elements("SELECT f.page_id, f.pos FROM v_elements f LEFT JOIN (SELECT DISTINCT page_id, parent FROM v_elements WHERE tag = 'legend' AND text <> '') l ON l.page_id = f.page_id AND l.parent = f.pos WHERE tag = 'fieldset' AND l.parent IS NULL"))
 _LABELABLE = elements._in(elements.LABELABLE)
 _add(
     "label_findings", _of(lambda t: elements.label_findings(t.elements)),
@@ -68,7 +68,8 @@ _add(
     _elements(f"""SELECT page_id, unnest(r) AS rule_id, unnest(d) AS detail FROM (SELECT page_id, list_filter([CASE WHEN bad THEN 'page-title' END, CASE WHEN long THEN 'title_too_long' END, CASE WHEN thin THEN 'thin_pages' END, CASE WHEN h > 1 THEN 'multiple_h1' END], lambda x: x IS NOT NULL) AS r,
       list_filter([CASE WHEN bad THEN title END, CASE WHEN long THEN title END, CASE WHEN thin THEN CAST(words AS VARCHAR) END, CASE WHEN h > 1 THEN concat(h, ': ', first) END], lambda x: x IS NOT NULL) AS d FROM (
       SELECT page_id, title, length(title) < 10 OR lower(title) IN {elements._in(elements.GENERIC_CONTENT_TITLES)} AS bad, length(title) > 60 AS long, words < 300 AND media = 0 AS thin, words, h, first FROM (
-      SELECT page_id, coalesce(arg_min(text, pos) FILTER (tag = 'title'), '') AS title, coalesce(max(len(regexp_extract_all(text, '\\S+'))) FILTER (tag = 'body'), 0) AS words, count(*) FILTER (tag IN ('video', 'iframe', 'canvas')) AS media, count(*) FILTER (tag = 'h1') AS h, arg_min(text, pos) FILTER (tag = 'h1') AS first FROM v_elements GROUP BY page_id)))"""),
+      SELECT page_id, coalesce(arg_min(text, pos) FILTER (tag = 'title'), '') AS title, coalesce(max(len(regexp_extract_all(text, '\\S+'))) FILTER (tag = 'body'), 0) AS words, count(*) FILTER (tag IN ('video', 'iframe', 'canvas') AND pos BETWEEN low AND high) AS media, count(*) FILTER (tag = 'h1') AS h, array_to_string(list(left(text, 80) ORDER BY pos) FILTER (tag = 'h1')[1:5], ' | ') AS first
+      FROM v_elements LEFT JOIN (SELECT page_id, min(pos) AS low, arg_min(last, pos) AS high FROM v_elements WHERE tag = 'body' GROUP BY page_id) USING (page_id) GROUP BY page_id)))"""),
 )
 _add("link_no_text", _of(lambda t: elements.link_no_text(t.elements)), _elements("SELECT page_id, pos FROM v_elements a WHERE tag = 'a' AND href <> '' AND text = '' AND coalesce(label, '') = '' AND coalesce(title, '') = '' AND NOT EXISTS (SELECT 1 FROM v_elements i WHERE i.tag = 'img' AND trim(i.alt) <> '' AND i.page_id = a.page_id AND i.parent = a.pos)"))
 _add("broken_anchor_links", _of(lambda t: elements.broken_anchor_links(t.elements)), _elements("SELECT page_id, substr(href, 2) AS mark, pos FROM v_elements a WHERE tag = 'a' AND href LIKE '#_%' AND NOT EXISTS (SELECT 1 FROM v_elements i WHERE i.page_id = a.page_id AND substr(a.href, 2) IN (i.id, i.name))"))

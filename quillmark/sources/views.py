@@ -59,14 +59,14 @@ def _pick(of: str, values: list[str | None], other: str = "NULL") -> str:
 
 #: Elements of a page: the lines of eight orders in a row.
 ELEMENTS = f"""
-SELECT page_id, pos, CASE WHEN pos > 0 AND c % 3 > 0 THEN pos - 1 END AS parent, CASE WHEN c % 4 = 0 THEN pos - pos % 5 END AS in_form, CASE WHEN d % 3 = 0 AND pos > 0 THEN pos - 1 END AS in_label, tag,
+SELECT page_id, pos, pos + d % 5 AS last, CASE WHEN pos > 0 AND c % 3 > 0 THEN pos - 1 END AS parent, CASE WHEN c % 4 = 0 THEN pos - pos % 5 END AS in_form, CASE WHEN d % 3 = 0 AND pos > 0 THEN pos - 1 END AS in_label, tag,
   CASE WHEN c % 5 < 2 THEN concat('i', CAST(d % 9 AS VARCHAR(9))) END AS id, CASE WHEN c % 2 = 0 THEN concat('n', CAST(d % 6 AS VARCHAR(9))) END AS name, {_pick("c % 6", ["'email'", "'hidden'", "'tel'", "'checkbox'"], "'text'")} AS type,
   {_pick("c % 4", ["'icon'", "'stylesheet'", "'shortcut icon'"])} AS rel, {_pick("d % 8", ["'button'", "'alert'", "'presentation'", "'navigation'", "'textbox'"])} AS role,
   {_pick("c % 8", ["'#'", "'/contact'", "'mailto:a@b.example'", "'/p/1'", "'#i4'", "'javascript:;'"])} AS href, {_pick("c % 3", ["'/a.gif'", "'/b.png'"])} AS src,
   {_pick("d % 6", ["''", "'a dog'", "'the words of a sign'", "'logo.PNG'", "'Photo'"])} AS alt, CASE WHEN c % 7 = 0 THEN 'Help' END AS title, CASE WHEN d % 7 = 1 THEN 'Support chat' END AS label, CASE WHEN c % 9 = 0 THEN 'i1' END AS described,
   CASE WHEN tag = 'label' AND d % 4 > 0 THEN concat('i', CAST(c % 9 AS VARCHAR(9))) END AS target_for, {_pick("d % 5", ["'email'", "'Name'", "''"])} AS autocomplete, {_pick("c % 10", ["0", "3", "-1"])} AS tabindex,
   {_pick("d % 9", ["'font-size: 10px !important'", "'Animation: spin 2s'", "'color: red'"])} AS style, {_pick("c % 11", ["'glossary-term'", "'x jargon'", "'jargons'"])} AS classes,
-  concat(' ', {_pick("c % 13", ["'required'", "'onclick'", "'draggable=true'", "'autoplay'", "'open'", "'aria-live=assertive'", "'data-term'", "'summary'", "'aria-label'", "'aria-hidden=true'", "'maxlength'", "'target=_blank'"], "'lang'")}, ' ',
+  concat(' ', {_pick("c % 13", ["'required'", "'onclick'", "'draggable=true'", "'autoplay'", "'open'", "'aria-live=assertive'", "'data-term'", "'summary'", "'aria-label'", "'aria-hidden=true'", "'maxlength'", "'target=_blank'"], "'hidden'")}, ' ',
     {_pick("d % 6", ["'title'", "'tabindex'", "'role'"], "'class'")}, ' ') AS attrs,
   concat(' ', {_pick("d % 7", ["'title'", "'summary'", "'placeholder'", "'aria-describedby'"], "'class'")}, ' ') AS filled, text AS own, text
 FROM (
