@@ -28,11 +28,11 @@ LEAST_DOCS = 3
 #: Ranks of part ``term`` that are returned.
 TOP = 200
 #: Counts (source, term) in a shard, about.
-SHARD_ROWS = 400_000
+SHARD_ROWS = 100_000
 #: Texts of about so many bytes are split at a time, and a task holds about so many counts before it passes them on.
-_STEP, _HELD = 1 << 22, 1 << 20
+_STEP, _HELD = 1 << 20, 1 << 18
 #: Cells of the widest array that a shard makes.
-_CELLS = 1 << 21
+_CELLS = 1 << 19
 
 _COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
 
@@ -41,10 +41,10 @@ def _counted(part: pa.RecordBatch) -> pa.Table:
     """Counts of a slice: occurrences and documents of each (lang, source, term), and a row without term for each (lang, source)."""
     groups = pa.table({c: part.column(c) for c in ("lang", "source")})
     terms = pc.split_pattern_regex(pc.ascii_lower(part.column("text")), pattern=_BETWEEN)
-    flat = pa.table({"doc": pc.list_parent_indices(terms), "term": pc.dictionary_encode(pc.list_flatten(terms))})
-    flat = flat.filter(pc.not_equal(pc.cast(flat["term"], pa.string()), ""))
-    code = flat["term"].combine_chunks()
-    each = pa.table({"doc": flat["doc"], "code": code.indices}).group_by(["doc", "code"]).aggregate([([], "count_all")])
+    code = pc.dictionary_encode(pc.list_flatten(terms))
+    flat = pa.table({"doc": pc.list_parent_indices(terms), "code": code.indices})
+    flat = flat.filter(pc.not_equal(flat["code"], code.dictionary.index("").as_py()))  # what is before the first and after the last term
+    each = flat.group_by(["doc", "code"]).aggregate([([], "count_all")])
     of = pa.table({"lang": groups["lang"].take(each["doc"]), "source": groups["source"].take(each["doc"]), "code": each["code"], "n": each["count_all"]})
     of = of.group_by(["lang", "source", "code"]).aggregate([("n", "sum"), ("n", "count")])
     named = pa.table([of["lang"], of["source"], code.dictionary.take(of["code"].combine_chunks()), of["n_sum"], of["n_count"]], schema=_COUNTS)
