@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from urllib.robotparser import RobotFileParser
 from xml.etree import ElementTree
@@ -12,32 +11,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quillmark.operators.scratch import written
 from quillmark.functions.urls import document_extension, is_in_scope, is_renderable, matches_ignore, normalize_url
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """Lineage cut in the shared folder the session names; without one the plan grows by a join a level, of which max_depth bounds the number."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df
-    path = f"{folder}/quillmark-crawl-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def crawl_depth(links: DataFrame, roots: DataFrame, max_depth: int, max_pages: int | None = None) -> DataFrame:
     """Least number of links from a root to each URL, level by level.
 
     ``links`` has src and dst, ``roots`` url. Each level joins only the newest URLs
     with the links and drops those seen; the loop is bounded by ``max_depth``.
     """
-    edges = links.select("src", "dst").where("src <> dst").distinct()
-    seen = _written(roots.select("url").distinct().withColumn("depth", F.lit(0)))
-    front = seen
+    edges = links.select("src", "dst").where("src <> dst")
+    seen = front = written(roots.select("url").distinct().withColumn("depth", F.lit(0)))
     for depth in range(1, max_depth + 1):
+        # targets go by the same exchange to their copies and to what was seen of them
         new = front.join(edges, front["url"] == edges["src"]).select(F.col("dst").alias("url")).distinct().join(seen.select("url"), "url", "left_anti")
-        front = _written(new.withColumn("depth", F.lit(depth)))
+        front = written(new.withColumn("depth", F.lit(depth)))
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     if max_pages is not None:
         seen = seen.orderBy("depth", "url").limit(max_pages)

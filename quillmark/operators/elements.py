@@ -16,7 +16,7 @@ into other SQL. ``MATCH(x, 'p')`` stands for a regular expression search.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -46,7 +46,7 @@ class _Rows(HTMLParser):
         a = {k: v or "" for k, v in attrs}
         up = lambda t: next((e["pos"] for e in reversed(self.open) if e["tag"] == t), None)
         row = {c: a.get(_FROM.get(c, c)) for c in _STRINGS}
-        told = [*a, *(f"{k}={v.lower()}" for k, v in a.items() if k in ("draggable", "aria-live", "aria-hidden", "target"))]
+        told = [*a, *(f"{k}={v.lower()}" for k, v in a.items() if k in ("draggable", "aria-live", "aria-hidden", "aria-required", "target"))]
         tab = a.get("tabindex", "")
         row |= {
             "pos": len(self.rows), "last": len(self.rows), "depth": len(self.open), "parent": self.open[-1]["pos"] if self.open else None, "in_form": up("form"), "in_label": up("label"), "tag": tag, "type": a.get("type", "").lower(),
@@ -98,14 +98,31 @@ def page_texts(html: str | None) -> list[dict]:
     return p.texts
 
 
+def _batches(batches: Iterator[pa.RecordBatch], rows_of: Callable[[str | None], list[dict]], kinds: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows of each page with its page_id, some thousands at a time."""
+    held: list[dict] = []
+    for b in batches:
+        for page, html in zip(b.column("page_id").to_pylist(), b.column("html"), strict=True):
+            for row in rows_of(html.as_py()):
+                row["page_id"] = page
+                held.append(row)
+            if len(held) > 4096:
+                yield _columns(held, kinds)
+                held = []
+    if held:
+        yield _columns(held, kinds)
+
+
+def _columns(rows: list[dict], kinds: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in kinds], schema=kinds)
+
+
 def parse_texts(pages: DataFrame) -> DataFrame:
     """The texts of each page (page_id, html) in order: the element that each is in, and the number of blocks that ended before it. A br is a line feed."""
     kinds = pa.schema([("page_id", pa.int64()), ("n", pa.int64()), ("parent", pa.int64()), ("block", pa.int64()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for page, html in zip(b.column("page_id").to_pylist(), b.column("html"), strict=True):
-                yield pa.RecordBatch.from_pylist([{**r, "page_id": page} for r in page_texts(html.as_py())], kinds)
+        return _batches(batches, page_texts, kinds)
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(run, TEXTS)
 
@@ -128,9 +145,7 @@ def parse_elements(pages: DataFrame) -> DataFrame:
     kinds = pa.schema([(c, pa.int64()) for c in _LONGS] + [(c, pa.string()) for c in _STRINGS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for page, html in zip(b.column("page_id").to_pylist(), b.column("html"), strict=True):
-                yield pa.RecordBatch.from_pylist([{**r, "page_id": page} for r in page_elements(html.as_py())], kinds)
+        return _batches(batches, page_elements, kinds)
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(run, ELEMENTS)
 

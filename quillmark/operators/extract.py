@@ -1,4 +1,4 @@
-"""Page extraction: one tolerant parse of each page's HTML into typed signals (C), and checks on them (E-H).
+"""Page extraction: one tolerant parse of each page's HTML into typed signals.
 
 The parse runs in ``mapInPandas`` over partitions; everything after it is column
 expressions. Signals keep arrays of structs, so checks explode only what they need.
@@ -11,11 +11,9 @@ from html.parser import HTMLParser
 from urllib.parse import unquote, urljoin
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.operators.elements import GENERIC_ALTS, GENERIC_CONTENT_TITLES, VAGUE_LINKS
-
 SIGNALS = (
     "page_id long, url string, title string, meta_description string, lang string, text string, "
     "headings array<struct<level int, text string>>, images array<struct<src string, alt string, decorative boolean>>, "
@@ -166,47 +164,6 @@ def _columns() -> list[str]:
     return [*out, cur.strip()]
 
 
-def _finding(rule: str, when: Column, impact: Column | str = "moderate", detail: Column | None = None) -> Column:
-    impact = F.lit(impact) if isinstance(impact, str) else impact
-    return F.when(when, F.array(F.struct(F.lit(rule).alias("rule_id"), impact.alias("impact"), (detail if detail is not None else F.lit("")).alias("detail")))).otherwise(F.array())
-
-
-
-
-def page_findings(signals: DataFrame) -> DataFrame:
-    """Findings of each page in one pass: an array of findings for each check, flattened and exploded once."""
-    title, levels = F.coalesce("title", F.lit("")), F.transform("headings", lambda h: h["level"])
-    jumps = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size(levels) - 1, F.lit(1))), lambda i: (i < F.size(levels)) & (F.get(levels, i) > F.get(levels, i - 1) + 1)))
-    words = F.regexp_count("text", F.lit(r"\S+"))
-    each = lambda rule, arr, cond, impact, detail: F.transform(F.filter(arr, cond), lambda x: F.struct(F.lit(rule).alias("rule_id"), F.lit(impact).alias("impact"), detail(x).alias("detail")))
-    path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    privacy = F.exists("links", lambda x: F.lower(x["text"]).contains("privacy") | F.lower(x["href"]).contains("privacy"))
-    found = [
-        _finding("page-title", (F.length(title) < 10) | F.lower(title).isin(GENERIC_CONTENT_TITLES), "serious", title),
-        _finding("title_too_long", F.length(title) > 60, "minor", title),
-        _finding("meta_description_too_short", F.col("meta_description").isNull() | (F.length("meta_description") < 60)),
-        _finding("heading-order-content", (F.size("headings") > 0) & ((F.array_position(levels, 1) == 0) | (jumps > 0))),
-        _finding("multiple_h1", F.size(F.filter(levels, lambda x: x == 1)) > 1, "minor"),
-        _finding("thin_pages", (words < 300) & (F.col("n_media") == 0), "minor", words.cast("string")),
-        _finding("structured_data_missing", ~F.col("structured"), "minor"),
-        _finding("url_file_extension", path.rlike(r"(?i)\.(html?|php|aspx?|jsp|cgi)$"), "minor", path),
-        _finding("url_underscores", path.contains("_"), "minor", path),
-        _finding("html-has-lang", F.coalesce("lang", F.lit("")) == "", "serious"),
-        _finding("multiple_ways", (F.col("has_nav").cast("int") + F.col("has_search").cast("int") + F.exists("links", lambda x: F.lower(x["href"]).contains("sitemap")).cast("int")) < 2),
-        _finding("privacy-policy-link", ~privacy, "serious"),
-        _finding("forms_inventory", F.size("forms") > 0, "minor"),
-        each("image-alt-content", F.col("images"), lambda x: x["alt"].isNull() & ~x["decorative"], "serious", lambda x: x["src"]),
-        each("image-alt-content", F.col("images"), lambda x: (F.length(F.trim(x["alt"])) > 150) | F.lower(F.trim(x["alt"])).rlike(r"[.](jpe?g|png|gif|webp|svg)$") | F.lower(F.trim(x["alt"])).isin(GENERIC_ALTS), "moderate", lambda x: x["alt"]),
-        each("placeholder_links", F.col("links"), lambda x: (x["href"] == "#") | F.lower(x["href"]).startswith("javascript:"), "moderate", lambda x: x["text"]),
-        each("link_purpose_unclear", F.col("links"), lambda x: F.lower(F.regexp_replace(x["text"], r"[^\p{L}\p{N} ]", "")).isin(VAGUE_LINKS), "moderate", lambda x: x["text"]),
-        each("link_no_text", F.col("links"), lambda x: (x["text"] == "") & ~x["named"], "serious", lambda x: x["href"]),
-        each("new_tab_disclosure", F.col("links"), lambda x: (x["target"] == "_blank") & ~F.lower(x["text"]).rlike("new (tab|window)|opens"), "minor", lambda x: x["text"]),
-        each("broken_anchor_links", F.col("links"), lambda x: x["href"].rlike("^#.+") & ~F.array_contains(F.col("ids"), F.substring(x["href"], 2, 10_000)), "minor", lambda x: x["href"]),
-        each("phone_numbers_exposed", F.array_distinct(F.regexp_extract_all("text", F.lit(r"\+?1?[ .-]?\(?[2-9]\d{2}\)?[ .-]\d{3}[ .-]\d{4}"), F.lit(0))), lambda x: F.lit(True), "minor", lambda x: x),
-    ]
-    return signals.select("page_id", F.explode(F.flatten(F.array(*found))).alias("f")).select("page_id", "f.rule_id", "f.impact", "f.detail")
-
-
 def link_occurrences(signals: DataFrame) -> DataFrame:
     """One row for each anchor with an http(s) target."""
     return signals.select("page_id", F.explode("links").alias("l")).select("page_id", "l.pos", "l.url", "l.text").where(F.col("url").rlike("^https?://"))

@@ -324,8 +324,6 @@ def _signals(t: _Tables) -> DataFrame:
     return extract.extract_signals(t.raw("pages"))
 
 
-_add("page_findings", _of(lambda t: extract.page_findings(_signals(t))))
-_add("link_occurrences", _of(lambda t: extract.link_occurrences(_signals(t))))
 _add(
     "language_of_pages", _of(lambda t: _signals(t).groupBy("lang").agg(F.count("*").alias("pages"), F.count_if(F.col("meta_description").isNull()).alias("without_meta"))),
     """SELECT regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, count(*) AS pages, count(*) FILTER (NOT contains(html, 'name="description"')) AS without_meta FROM pages GROUP BY 1""",

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmark.functions import text, urls
-from quillmark.operators import crawl, crosspage, extract, quota, runs
+from quillmark.operators import crawl, crosspage, elements, extract, quota, runs, structure
 
 
 def one(spark, column, **values):
@@ -143,10 +143,11 @@ CLEARS = (
 
 def test_findings_fire_and_clear(spark):
     pages = spark.createDataFrame([(1, "http://h/a_b.html", FIRES), (2, "http://h/c", CLEARS), (3, None, None)], "page_id long, url string, html string")
-    got = extract.page_findings(extract.extract_signals(pages)).collect()
+    got = structure.page_findings(elements.parse_elements(pages), pages).collect()
     fired = {r.rule_id for r in got if r.page_id == 1}
     assert fired >= {
         "page-title", "meta_description_too_short", "heading-order-content", "multiple_h1", "thin_pages", "structured_data_missing", "url_file_extension", "url_underscores", "html-has-lang", "multiple_ways",
         "privacy-policy-link", "forms_inventory", "image-alt-content", "placeholder_links", "link_purpose_unclear", "link_no_text", "new_tab_disclosure", "broken_anchor_links", "phone_numbers_exposed",
     }
-    assert not {r.rule_id for r in got if r.page_id == 2}
+    assert {r.rule_id for r in got if r.page_id == 2} == {"headings_review", "consistent_navigation"}  # both only ask for a look
+    assert {r.rule_id for r in got if r.page_id == 3} >= {"html-has-lang", "structured_data_missing"}
