@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from quillmark.functions import text as T
 from quillmark.functions.dims import entries
+from quillmark.operators.phrases import keyword_findings, named, occurrences
 
 _NODE = "array<struct<target array<string>, html string, impact string>>"
 _ITEM = f"array<struct<id string, impact string, description string, help string, helpUrl string, tags array<string>, nodes {_NODE}>>"
@@ -162,13 +163,12 @@ def pdf_scores(info: DataFrame, findings: DataFrame, checks: int = 8) -> DataFra
 
 
 def policy_keywords(pages: DataFrame, rules: DataFrame, around: int = 40) -> DataFrame:
-    """For each page (page_id, text) and rule (rule, pattern; a handful) the occurrences and the first excerpt."""
-    low, pat = F.lower("text"), F.lower("pattern")
-    rows = pages.select("page_id", "text", F.explode(F.filter(entries(rules, ["rule", "pattern"]), lambda r: F.contains(low, F.lower(r["pattern"])))).alias("r")).select("page_id", "text", "r.rule", "r.pattern")
-    rows = rows.withColumn("n", (F.length(low) - F.length(F.replace(low, pat, F.lit("")))) / F.length("pattern")).withColumn("at", F.instr(low, pat))
-    start = F.greatest(F.col("at") - around, F.lit(1))
-    rows = rows.withColumn("excerpt", F.substring("text", start, F.col("at") - start + F.length("pattern") + around))
-    return rows.groupBy("page_id", "rule").agg(F.sum("n").cast("long").alias("occurrences"), F.collect_set("pattern").alias("patterns"), F.min_by("excerpt", "at").alias("excerpt"))
+    """For each page (page_id, text) and rule (rule, pattern; the caller's list) the occurrences, the patterns that occur, the first excerpt, and those of the first five patterns."""
+    named_rules = [(r["rule"], r["pattern"]) for r in rules.where("pattern <> ''").distinct().collect()]  # a caller's list of rules
+    patterns = sorted({p for _, p in named_rules}, key=lambda p: (p.lower(), p))
+    found = named(occurrences(pages, patterns, whole=False, around=around), patterns)
+    of = pages.sparkSession.createDataFrame(sorted({(r, p.lower()) for r, p in named_rules}) or [], "rule string, _p string")
+    return keyword_findings(found.withColumn("_p", F.lower("phrase")).join(of, "_p"))
 
 
 def suppress_grammar(findings: DataFrame, approved: DataFrame, ignored: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from quillmark.functions import text as T
 from quillmark.functions.dims import entries
 from quillmark.operators import scoring
+from quillmark.operators.phrases import named, occurrences
 
 #: The uniform record of a finding.
 FINDING = {
@@ -203,21 +204,11 @@ def locate_phrases(pages: DataFrame, phrases: list[str], around: int = 60, each:
     """Whole-word occurrences of the phrases in pages (page_id, text), any case, with their surroundings.
 
     ``number`` counts the occurrences of a phrase in a page, ``total`` tells how many
-    there are; the first ``each`` of a phrase and ``overall`` of a page are kept. Each
-    phrase is cut from the text by itself, so a page is never copied for each phrase.
+    there are; the first ``each`` of a phrase and ``overall`` of a page are kept.
     """
-
-    def of(p: str) -> Column:
-        quoted = "".join("\\" + ch if not (ch.isalnum() or ch == " ") else ch for ch in p)
-        parts = F.split(F.col("text"), rf"(?i)(?<!\w){quoted}(?!\w)")
-        n = F.size(parts) - 1
-        starts = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.struct(F.lit(p).alias("phrase"), i.alias("number"), n.alias("total"), (F.length(F.array_join(F.slice(parts, 1, i), "")) + (i - 1) * len(p)).alias("at")))
-        return F.when(n > 0, F.slice(starts, 1, each)).otherwise(F.array().cast("array<struct<phrase string, number int, total int, at int>>"))
-
-    rows = pages.where("text IS NOT NULL").select("page_id", "text", F.explode(F.flatten(F.array(*[of(p) for p in phrases]))).alias("o")).select("page_id", "text", "o.*")
+    rows = named(occurrences(pages, phrases, around=around, each=each), phrases)
     rows = rows.withColumn("rank", F.row_number().over(W.partitionBy("page_id").orderBy("at", "phrase"))).where(F.col("rank") <= overall)
-    start = F.greatest(F.col("at") - around, F.lit(0))
-    return rows.select("page_id", "phrase", "number", "total", "at", F.substring("text", start + 1, F.col("at") - start + F.length("phrase") + around).alias("context"))
+    return rows.select("page_id", "phrase", "number", "total", "at", "context")
 
 
 def terms_present(pages: DataFrame, terms: list[str], most: int = 30) -> DataFrame:
@@ -227,9 +218,8 @@ def terms_present(pages: DataFrame, terms: list[str], most: int = 30) -> DataFra
         if t.strip() and len(t.strip()) <= 80 and t.strip().lower() not in seen:
             seen.add(t.strip().lower())
             kept.append(t.strip())
-    quoted = lambda t: "".join("\\" + ch if not (ch.isalnum() or ch == " ") else ch for ch in t)
-    found = F.array_compact(F.array(*[F.when(F.col("text").rlike(rf"(?i)(?<!\w){quoted(t)}(?!\w)"), F.lit(t)) for t in kept]))
-    return pages.select("page_id", F.explode(found).alias("term"))
+    found = named(occurrences(pages, kept, each=1), kept)
+    return found.select("page_id", F.col("phrase").alias("term"))
 
 
 def effective_policy_rules(sites: DataFrame, own: DataFrame, defaults: DataFrame) -> DataFrame:

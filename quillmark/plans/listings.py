@@ -86,7 +86,11 @@ _add(
 _PHRASES = ["the", "this work", "er"]
 _add(
     "locate_phrases", _of(lambda t: findings.locate_phrases(t.raw("documents").select(F.col("doc_id").alias("page_id"), "text"), _PHRASES).where("number = 1").select("page_id", "phrase", "total", F.lower(F.substring("context", F.least(F.col("at"), F.lit(60)) + 1, F.length("phrase"))).alias("found"))),
-    " UNION ALL ".join(rf"SELECT doc_id AS page_id, '{p}' AS phrase, len(regexp_extract_all(text, '(?i)\b{p}\b')) AS total, '{p}' AS found FROM documents WHERE regexp_matches(text, '(?i)\b{p}\b')" for p in _PHRASES),
+    # separators are doubled, so that two neighbours each have one; letters of any script are letters
+    rf"""WITH d AS (SELECT doc_id, ' ' || regexp_replace(lower(text), '([^\p{{L}}\p{{N}}_])', '\1\1', 'g') || ' ' AS t FROM documents)
+    SELECT page_id, phrase, CAST(n AS INTEGER) AS total, phrase AS found FROM ("""
+    + " UNION ALL ".join(rf"SELECT doc_id AS page_id, '{p}' AS phrase, len(regexp_extract_all(t, '[^\p{{L}}\p{{N}}_]{p.replace(' ', '  ')}[^\p{{L}}\p{{N}}_]')) AS n FROM d" for p in _PHRASES)
+    + ") WHERE n > 0",
 )
 _add(
     "terms_present", _of(lambda t: findings.terms_present(t.raw("documents").select(F.col("doc_id").alias("page_id"), "text"), ["The", "license", " the ", "", "x" * 90, "rights"])),

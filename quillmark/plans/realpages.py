@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.operators import elements, extract, scratch, structure
+from quillmark.operators import compliance, elements, extract, phrases, scratch, structure
 from quillmark.plans.queries import _add, _of
 
 
@@ -141,3 +141,34 @@ _add(
     w AS (SELECT page_id, rule_id, arg_min(v, o) AS value, min(o) AS o FROM (SELECT page_id, rule_id, trim(unnest(vs)) AS v, unnest(range(len(vs))) AS o FROM v) GROUP BY page_id, rule_id, lower(v))
     SELECT page_id, rule_id, value, row_number() OVER (PARTITION BY page_id, rule_id ORDER BY o) AS rank FROM w""",
 )
+
+
+# Thousands of phrases in one pass
+_MANY = [*map(str, range(3000)), *"the de der la this work and license rights que und von les with".split()]
+_WORDS = r"[\p{L}\p{N}_]+"
+_add(
+    "phrase_occurrences", _of(lambda t: phrases.named(phrases.occurrences(t.raw("documents").select(F.col("doc_id").alias("page_id"), "text"), _MANY), _MANY).groupBy("page_id", "phrase").agg(F.count("*").alias("n"), F.max("total").alias("total"), F.max("number").alias("last"))),
+    f"SELECT doc_id AS page_id, w AS phrase, count(*) AS n, CAST(count(*) AS INTEGER) AS total, CAST(count(*) AS INTEGER) AS last FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_WORDS}')) AS w FROM documents) WHERE w IN ({', '.join(repr(p) for p in _MANY)}) GROUP BY ALL",
+)
+_FEW = ["the", "de", "und", "que", "and", "les"]
+_add(
+    "sensitive_keywords", _of(lambda t: structure_keywords(t).select("page_id", "phrase", "number", "total")),
+    rf"""SELECT page_id, phrase, CAST(row_number() OVER (PARTITION BY page_id ORDER BY o, k) AS INTEGER) AS number, count(*) OVER (PARTITION BY page_id) AS total FROM (
+      SELECT page_id, w AS phrase, list_position(['the', 'de', 'und', 'que', 'and', 'les'], w) AS o, k FROM (SELECT page_id, unnest(ws) AS w, unnest(range(len(ws))) AS k FROM (
+        SELECT page_id, regexp_extract_all(lower({_PLAIN("regexp_replace(regexp_replace(regexp_replace(html, '(?s)^.*<body>', ''), '(?s)<!--.*?-->', '', 'g'), '</?[a-zA-Z][^>]*>', '', 'g')")}), '{_WORDS}') AS ws FROM pages)) WHERE w IN ('the', 'de', 'und', 'que', 'and', 'les'))""",
+)
+
+
+def structure_keywords(t) -> DataFrame:
+    rows = _elements(t)
+    return phrases.sensitive_keywords(rows, structure.visible_text(rows), _FEW)
+
+
+_SB = "concat('Our ', CASE a % 6 WHEN 0 THEN 'DEI office' WHEN 1 THEN 'diversity and inclusion' WHEN 2 THEN 'research on diversity' WHEN 3 THEN 'DEI' WHEN 4 THEN 'chief diversity officer' ELSE 'roads' END, ' and ', CASE b % 3 WHEN 0 THEN 'diversity in physics' WHEN 1 THEN 'dei program' ELSE 'bridges' END)"
+_add(
+    "phrase_matches", _of(lambda t: phrases.tier_matches(t.raw("lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS page_id", "l_suppkey AS a", "l_partkey AS b").selectExpr("page_id", f"{_SB} AS text"), compliance.PHRASE_TIERS)),
+    """WITH l AS (SELECT l_orderkey * 10 + l_linenumber AS page_id, l_suppkey % 6 AS a, l_partkey % 3 AS b FROM lineitem), m AS (
+      SELECT *, ['DEI office', 'diversity and inclusion', 'research on diversity', 'DEI', 'diversity officer', ''][a + 1] AS one, [1, 2, 3, 2, 1, 0][a + 1] AS t1, CASE a WHEN 4 THEN 10 ELSE 4 END AS at1,
+        ['DEI office', 'diversity and inclusion', 'research on diversity', 'DEI', 'chief diversity officer', 'roads'][a + 1] AS said, ['diversity in physics', 'dei program', ''][b + 1] AS two, [3, 1, 0][b + 1] AS t2, ['diversity in physics', 'dei program', 'bridges'][b + 1] AS rest FROM l)
+    SELECT page_id, t1 AS tier, CAST(at1 AS INTEGER) AS at, one AS matched, 'Our ' || said || ' and ' || rest AS context FROM m WHERE t1 > 0 UNION ALL SELECT page_id, t2, length(said) + 9, two, 'Our ' || said || ' and ' || rest FROM m WHERE t2 > 0""",
+)
