@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialize
+from .common import BROADCAST_BYTES, materialize
 
 #: What parts terms: all of ASCII that is no letter.
 _BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -212,7 +212,9 @@ def source_divergences(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int =
     each = kept.groupBy("lang", "source").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
     v = kept.select("lang", "term").distinct().groupBy("lang").agg(F.count("*").alias("v"))
     langs = each.groupBy("lang").agg(F.sum("n").alias("n_lang"), F.sum("rows").alias("rows")).join(v, "lang")
-    langs = langs.select("lang", "n_lang", "v", F.ceil(F.col("rows") / shard_rows).alias("shards"))
+    langs = materialize(langs.select("lang", "n_lang", "v", F.ceil(F.col("rows") / shard_rows).alias("shards")))
+    if langs.count() * 64 <= BROADCAST_BYTES:  # one row for each language: a language's counts need not meet in one task
+        langs = F.broadcast(langs)
     present = counts.where("term IS NULL").select("lang", "source")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
     totals = present.join(each, ["lang", "source"], "left").join(langs, "lang", "left").select("lang", "source", zero("n"), zero("n_lang"), zero("v"), F.coalesce("shards", F.lit(0).cast("long")).alias("shards"))
