@@ -139,3 +139,25 @@ def state_durations(jobs: DataFrame, states: list[str]) -> DataFrame:
     steps = [F.struct(F.lit(f"{a}->{b}").alias("step"), (F.unix_timestamp(b) - F.unix_timestamp(a)).alias("seconds")) for a, b in zip(states, states[1:], strict=False)]
     rows = jobs.select(F.explode(F.array(*steps)).alias("s")).select("s.*").where("seconds IS NOT NULL")
     return rows.groupBy("step").agg(F.count("*").alias("n"), F.min("seconds").alias("least"), F.max("seconds").alias("most"), F.round(F.avg(F.col("seconds").cast("decimal(18,6)")), 1).cast("double").alias("mean"))
+
+
+def duration_sketches(jobs: DataFrame, states: list[str], by: list[str], k: int = 400) -> DataFrame:
+    """A quantile sketch (KLL) of the seconds of each step between neighbouring states, for each ``by``: rows (by, step, n, sketch).
+
+    Sketches merge: those of days make that of a month without reading the jobs again.
+    Their rank error is about 1.65 / k, a little over half a percent.
+    """
+    steps = [F.struct(F.lit(f"{a}->{b}").alias("step"), (F.unix_timestamp(b) - F.unix_timestamp(a)).alias("seconds")) for a, b in zip(states, states[1:], strict=False)]
+    rows = jobs.select(*by, F.explode(F.array(*steps)).alias("s")).select(*by, "s.*").where("seconds IS NOT NULL")
+    return rows.groupBy(*by, "step").agg(F.count("*").alias("n"), F.kll_sketch_agg_bigint("seconds", k).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, by: list[str], k: int = 400) -> DataFrame:
+    """The sketches of finer groups merged into those of ``by``."""
+    return sketches.groupBy(*by, "step").agg(F.sum("n").alias("n"), F.kll_merge_agg_bigint("sketch", k).alias("sketch"))
+
+
+def duration_percentiles(sketches: DataFrame, shares: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
+    """Percentiles of each sketch, as columns p50, p90, p99."""
+    rest = [c for c in sketches.columns if c != "sketch"]
+    return sketches.select(*rest, *[F.kll_sketch_get_quantile_bigint("sketch", F.lit(q)).alias(f"p{round(q * 100)}") for q in shares])

@@ -7,10 +7,15 @@ one deletion apart share a key), so no word is compared with the whole dictionar
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quillmark.operators.phrases import find
+
 _TOKEN = r"(?<=[^A-Za-z0-9_./:@])(?>[A-Za-z][A-Za-z'\-]{2,}[A-Za-z])(?=[^0-9_./:@])"
 _EDGES = r"(?<![A-Za-z0-9_./:@])(?>[A-Za-z][A-Za-z'\-]{2,}[A-Za-z])(?![0-9_./:@])"
 
@@ -93,6 +98,43 @@ def spelling_findings(tokens: DataFrame, verdicts: DataFrame, words: int = 60) -
     return tokens.join(bad, "word").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= words).select("page_id", "rank", "word", "occurrences", "kind", "suggestion")
 
 
+_PLACES = "page_id long, rank int, word string, kind string, suggestion string, lang string, place int, at int, matched string, context string"
+
+
+def spelling_occurrences(pages: DataFrame, flagged: DataFrame, places: int = 5, around: int = 60) -> DataFrame:
+    """Where the flagged words (page_id, rank, word, kind, suggestion, lang) stand in the texts (page_id, text): the first ``places`` of each as whole words, in any case, with their surroundings.
+
+    A word that the text does not show has one row without a place. A page's flagged
+    words, which are few, go to its text; a task reads a text once for all of them.
+    """
+    kinds = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[k]) for n, k in (c.split(" ") for c in _PLACES.split(", "))])
+    each = F.struct(F.col("rank").cast("int").alias("rank"), "word", "kind", "suggestion", "lang")
+    lists = flagged.groupBy("page_id").agg(F.array_sort(F.collect_list(each)).alias("flags"))
+    rows = lists.join(pages.select("page_id", "text"), "page_id", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for page, flags, text in zip(b.column("page_id").to_pylist(), b.column("flags").to_pylist(), b.column("text").to_pylist(), strict=True):
+                text, where = text or "", {}
+                for i, start, end in find(tuple(f["word"] for f in flags), text, True):
+                    where.setdefault(flags[i]["word"].lower(), []).append((start, end))
+                for f in flags:
+                    head = (page, f["rank"], f["word"], f["kind"], f["suggestion"], f["lang"])
+                    spans = where.get(f["word"].lower(), [])[:places]
+                    out += [(*head, k + 1, s, text[s:e], text[max(0, s - around) : e + around]) for k, (s, e) in enumerate(spans)] or [(*head, None, None, f["word"], "")]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
+
+    return rows.select(F.col("page_id").cast("long").alias("page_id"), "flags", "text").mapInArrow(run, _PLACES)
+
+
+def spelling_rows(occurrences: DataFrame) -> DataFrame:
+    """The occurrences as findings: page_id, rule_id, impact and a payload in JSON."""
+    payload = F.to_json(F.struct("word", F.col("kind").alias("category"), "suggestion", F.col("lang").alias("language"), "context", F.col("matched").alias("matched_text")))
+    return occurrences.select("page_id", F.lit("spelling").alias("rule_id"), F.lit("minor").alias("impact"), "rank", "place", payload.alias("payload"))
+
+
 def spelling_simple(pages: DataFrame, dictionary: DataFrame, most: int = 40) -> DataFrame:
     """Distinct lower-case words of each page that the dictionary lacks, the first ``most`` by name."""
     rows = pages.select("page_id", F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\b[a-z]{4,}\b"), F.lit(0)))).alias("word"))

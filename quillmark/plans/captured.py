@@ -154,6 +154,13 @@ _add(
     "state_durations", _of(lambda t: runs.state_durations(t.runs.selectExpr(*_split(_STATE)), ["created_at", "started_at", "last_progress_at"])),
     _with(f"x AS (SELECT {_STATE} FROM v_runs)", views=("runs",)) + "SELECT step, count(*) AS n, CAST(min(seconds) AS BIGINT) AS least, CAST(max(seconds) AS BIGINT) AS most, CAST(round(CAST(avg(seconds) AS DECIMAL(18,6)), 1) AS DOUBLE) AS mean FROM (SELECT '' AS step, 0.0 AS seconds FROM x WHERE false " + _STEPS("created_at", "started_at") + " " + _STEPS("started_at", "last_progress_at") + ") WHERE seconds IS NOT NULL GROUP BY step",
 )
+# a sketch of up to some hundred durations holds them all, so these are exact
+_JOBS = "l_suppkey * 8 + l_linenumber AS team, l_partkey % 30 AS day, TIMESTAMP '2024-01-01 00:00:00' AS queued, TIMESTAMP '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, l_partkey % 997) AS begun, CASE WHEN l_orderkey % 5 > 0 THEN TIMESTAMP '2024-01-01 01:00:00' + make_interval(0, 0, 0, 0, 0, 0, l_orderkey % 89) END AS ended"
+_add(
+    "state_percentiles", _of(lambda t: runs.duration_percentiles(runs.merged_sketches(runs.duration_sketches(t.raw("lineitem").selectExpr(*_split(_JOBS)), ["queued", "begun", "ended"], ["team", "day"]), ["team"]))),
+    """SELECT team, step, count(*) AS n, quantile_disc(seconds, 0.5) AS p50, quantile_disc(seconds, 0.9) AS p90, quantile_disc(seconds, 0.99) AS p99 FROM (
+      SELECT l_suppkey * 8 + l_linenumber AS team, unnest(['queued->begun', 'begun->ended']) AS step, unnest([l_partkey % 997, CASE WHEN l_orderkey % 5 > 0 THEN 3600 + l_orderkey % 89 - l_partkey % 997 END]) AS seconds FROM lineitem) WHERE seconds IS NOT NULL GROUP BY ALL""",
+)
 _ROOT = "CASE page_id % 3 WHEN 0 THEN 'https://HOST/en' WHEN 1 THEN 'http://www.HOST/' ELSE 'https://HOST/e' END"
 _add(
     "in_scope", _of(lambda t: t.raw("pages").select("page_id", urls.is_in_scope(F.col("url"), F.replace(F.expr(_ROOT), F.lit("HOST"), urls.part(F.col("url"), 2))).alias("inside"))),
@@ -215,6 +222,21 @@ _add(
     "excerpts", _of(lambda t: t.raw("documents").where("instr(text, 'the') > 0").select("doc_id", text.excerpt(F.col("text"), F.instr("text", F.lit("the")), F.lit(3)).alias("excerpt"))),
     "SELECT doc_id, concat(CASE WHEN s > 1 THEN '...' ELSE '' END, substr(text, s, i - s + 3 + 55), CASE WHEN i + 58 <= length(text) THEN '...' ELSE '' END) AS excerpt FROM (SELECT doc_id, text, instr(text, 'the') AS i, greatest(instr(text, 'the') - 55, 1) AS s FROM documents) WHERE i > 0",
 )
+def _flagged(t) -> DataFrame:
+    few = spelling.spelling_simple(Q._as_pages(t), spelling.corpus_dictionary(t.raw("documents"), 3), 10)
+    none = t.raw("documents").where("doc_id < 40").selectExpr("doc_id AS page_id", "11 AS rank", "'absentword' AS word")
+    return few.unionByName(none).withColumns({"kind": F.lit("potential"), "suggestion": F.lit(None).cast("string"), "lang": F.lit(None).cast("string")})
+
+
+_add(
+    "spelling_occurrences", _of(lambda t: spelling.spelling_occurrences(Q._as_pages(t), _flagged(t)).select("page_id", "rank", "word", "place", "at", "matched", F.length("context").alias("around"))),
+    r"""WITH w AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(coalesce(text, ''), '[^\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]{4,}')))) AS word FROM documents), k AS (SELECT word FROM (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]{4,}')))) AS word FROM documents) GROUP BY word HAVING count(*) >= 3),
+    f AS (SELECT page_id, rank, word FROM (SELECT doc_id AS page_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY word) AS rank FROM w WHERE word NOT IN (SELECT word FROM k)) WHERE rank <= 10 UNION ALL SELECT doc_id, 11, 'absentword' FROM documents WHERE doc_id < 40),
+    tok AS (SELECT doc_id AS page_id, i, ts[i] AS t, length(text) AS n FROM (SELECT doc_id, text, ts, unnest(range(1, len(ts) + 1)) AS i FROM (SELECT doc_id, text, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS ts FROM documents))),
+    p AS (SELECT page_id, lower(t) AS word, t AS matched, CAST(coalesce(sum(length(t)) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS a, n FROM tok),
+    o AS (SELECT f.page_id, f.rank, f.word, p.a, p.matched, p.n, CASE WHEN p.a IS NOT NULL THEN CAST(row_number() OVER (PARTITION BY f.page_id, f.word ORDER BY p.a) AS INTEGER) END AS place FROM f LEFT JOIN p ON p.page_id = f.page_id AND p.word = f.word)
+    SELECT page_id, CAST(rank AS INTEGER) AS rank, word, place, a AS "at", coalesce(matched, word) AS matched, CAST(CASE WHEN a IS NULL THEN 0 ELSE least(a + length(word) + 60, n) - greatest(a - 60, 0) END AS INTEGER) AS around FROM o WHERE place IS NULL OR place <= 5""",
+)
 _add(
     "spelling_simple", _of(lambda t: spelling.spelling_simple(Q._as_pages(t), spelling.corpus_dictionary(t.raw("documents"), 3), 10)),
     r"""WITH w AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(coalesce(text, ''), '[^\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]{4,}')))) AS word FROM documents), k AS (SELECT word FROM (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]{4,}')))) AS word FROM documents) GROUP BY word HAVING count(*) >= 3)
