@@ -35,16 +35,6 @@ def score_history(runs: DataFrame, scores: DataFrame, n: int = 12) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("site_id", "rank", "scan_id", "overall")
 
 
-def site_cards(sites: DataFrame, runs: DataFrame, pages: DataFrame, issues: DataFrame, scores: DataFrame, assignments: DataFrame) -> DataFrame:
-    """M3: one row for each site: its latest run's score, pages, documents, open errors, and its users."""
-    latest = runs.where("status = 'done'").groupBy("site_id").agg(F.max(F.struct("created_at", "scan_id")).alias("r")).select("site_id", "r.scan_id")
-    n = pages.groupBy("scan_id").agg(F.count_if(~F.col("is_document")).alias("pages"), F.count_if(F.col("is_document")).alias("documents"))
-    users = assignments.groupBy("site_id").agg(F.count("*").alias("users"))
-    out = sites.join(latest, "site_id", "left").join(n, "scan_id", "left").join(severity_counts(issues), "scan_id", "left").join(scores.select("scan_id", "overall"), "scan_id", "left").join(users, "site_id", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return out.select("site_id", "name", "scan_id", "overall", zero("pages"), zero("documents"), zero("errors"), zero("warnings"), zero("users"))
-
-
 def site_totals(cards: DataFrame) -> DataFrame:
     """M4: sums over the visible cards."""
     return cards.agg(F.count("*").alias("sites"), F.sum("errors").alias("errors"), F.sum("warnings").alias("warnings"))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions import dims, text, urls
-from quillmark.operators import compliance, crawl, crosspage, extract, quota, reports, runs, scoring, spelling
+from quillmark.operators import compliance, crawl, crosspage, extract, facts, quota, reports, runs, scoring, spelling
+from quillmark.operators.scratch import written
 from quillmark.sources.views import oracle, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,7 +43,7 @@ class _Tables:
 
     @property
     def scores(self) -> DataFrame:
-        return scoring.site_scores(self.pages, self.checks)
+        return facts.stored_site_scores(facts.page_rule_facts(self.pages, self.issues))
 
     @property
     def page_scores(self) -> DataFrame:
@@ -185,7 +186,10 @@ _add("score_history", _of(lambda t: reports.score_history(t.runs, t.scores)), _w
 
 
 def _cards(t: _Tables) -> DataFrame:
-    return reports.site_cards(t.sites, t.runs, t.pages, t.issues, t.scores, t.assignments)
+    kept = facts.page_rule_facts(t.pages, t.issues)  # the findings are read once, not for scores and severities apart
+    cards = facts.site_cards(t.sites.withColumn("max_pages", F.lit(None).cast("long")), written(t.runs), kept, t.assignments)
+    crawled = kept.pages.where(~F.col("is_document")).groupBy("scan_id").agg(F.count("*").alias("all_pages"))
+    return cards.join(crawled, "scan_id", "left").select("site_id", "name", "scan_id", "overall", F.coalesce("all_pages", F.lit(0)).alias("pages"), "documents", "errors", "warnings", "users")
 
 
 _CARDS = f"""v_cards AS (SELECT s.site_id, name, l.scan_id, overall, coalesce(pages, 0) AS pages, coalesce(documents, 0) AS documents, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings, coalesce(users, 0) AS users
@@ -193,6 +197,28 @@ _CARDS = f"""v_cards AS (SELECT s.site_id, name, l.scan_id, overall, coalesce(pa
   LEFT JOIN ({_SEV}) e ON e.scan_id = l.scan_id LEFT JOIN v_scores c ON c.scan_id = l.scan_id LEFT JOIN (SELECT site_id, count(*) AS users FROM v_assignments GROUP BY 1) u ON u.site_id = s.site_id)"""
 _ALL = ("sites", "runs", "pages", "issues", "assignments")
 _add("site_cards", _of(_cards), _with(*_TO_CHECKS, _SCORES, _LATEST, _CARDS, views=_ALL) + "SELECT * FROM v_cards")
+_RUNS_NOW = "scan_id, site_id, created_at, CASE WHEN run_year = 1998 AND site_id % 3 = 0 THEN 'crawling' WHEN run_year = 1997 AND site_id % 4 = 1 THEN 'pending' ELSE status END AS status"
+
+
+def _overview(t: _Tables) -> DataFrame:
+    kept = facts.page_rule_facts(t.pages.withColumn("last_changed_at", F.expr("run_year * 1000 + depth * 100 + page_id % 7")), t.issues)
+    now = written(t.runs.selectExpr(*[c.strip() for c in _RUNS_NOW.split(", ")]))
+    return facts.site_cards(t.sites.withColumn("max_pages", F.expr("site_id % 5 * 12 + 20")), now, kept, t.assignments)
+
+
+_add(
+    "site_overview", _of(_overview),
+    _with(*_TO_CHECKS, _SCORES, f"r AS (SELECT {_RUNS_NOW} FROM v_runs)", "l AS (SELECT site_id, arg_max(scan_id, created_at) AS scan_id FROM r WHERE status = 'done' GROUP BY site_id)", "x AS (SELECT *, CASE WHEN impact IN ('critical', 'serious') THEN 'e' WHEN impact = 'moderate' THEN 'w' ELSE 'i' END AS b FROM v_issues WHERE NOT reviewed AND NOT manual_review)", views=_ALL)
+    + """SELECT s.site_id, name, l.scan_id, overall, band, coalesce(pages, 0) AS pages, coalesce(documents, 0) AS documents, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings, coalesce(infos, 0) AS infos, coalesce(concerns, '') AS concerns, last_change, coalesce(crawled >= s.site_id % 5 * 12 + 20, false) AS limit_reached,
+      coalesce(history, '') AS history, active_scan, active_status, coalesce(users, 0) AS users
+    FROM v_sites s LEFT JOIN l USING (site_id) LEFT JOIN v_scores c ON c.scan_id = l.scan_id
+    LEFT JOIN (SELECT scan_id, count(*) FILTER (NOT is_document) AS crawled, count(*) FILTER (NOT is_document AND render_status = 'ok') AS pages, count(*) FILTER (is_document) AS documents, max(run_year * 1000 + depth * 100 + page_id % 7) AS last_change FROM v_pages GROUP BY 1) p ON p.scan_id = l.scan_id
+    LEFT JOIN (SELECT scan_id, count(*) FILTER (b = 'e') AS errors, count(*) FILTER (b = 'w') AS warnings, count(*) FILTER (b = 'i') AS infos FROM x GROUP BY 1) e ON e.scan_id = l.scan_id
+    LEFT JOIN (SELECT scan_id, array_to_string(list(rule_id ORDER BY n DESC, rule_id)[1:3], ',') AS concerns FROM (SELECT scan_id, rule_id, count(*) AS n FROM x GROUP BY ALL) GROUP BY 1) w ON w.scan_id = l.scan_id
+    LEFT JOIN (SELECT site_id, array_to_string(list(overall ORDER BY created_at DESC)[1:12], ',') AS history FROM r JOIN v_scores USING (scan_id) WHERE status = 'done' AND overall IS NOT NULL GROUP BY 1) h ON h.site_id = s.site_id
+    LEFT JOIN (SELECT site_id, arg_max(scan_id, created_at) AS active_scan, arg_max(status, created_at) AS active_status FROM r WHERE status IN ('pending', 'crawling', 'scoring') GROUP BY 1) a ON a.site_id = s.site_id
+    LEFT JOIN (SELECT site_id, count(*) AS users FROM v_assignments GROUP BY 1) u ON u.site_id = s.site_id""",
+)
 _add("site_totals", _of(lambda t: reports.site_totals(_cards(t))), _with(*_TO_CHECKS, _SCORES, _LATEST, _CARDS, views=_ALL) + "SELECT count(*) AS sites, CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(warnings) AS BIGINT) AS warnings FROM v_cards")
 _add("visible_sites", _of(lambda t: reports.visible_sites(t.sites, t.assignments, 3)), _with(views=("sites", "assignments")) + "SELECT * FROM v_sites WHERE site_id IN (SELECT site_id FROM v_assignments WHERE user_id = 3)")
 _add("users_with_sites", _of(lambda t: reports.users_with_sites(t.assignments)), _with(views=("assignments",)) + "SELECT user_id, count(*) AS n_sites, array_to_string(list_sort(list(site_id)), ',') AS site_ids FROM v_assignments GROUP BY user_id")
