@@ -164,7 +164,8 @@ _NUMBER = r"(?<![a-z])v?\d+(?:\.\d+)*(?:-only|-or-later|\+)?"
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}.+-]+|[.+-]+(?=\s|$)|(?<=\s)[.+-]+"), lambda x: x != "")
+    """Lower-case words without the points, plus signs and hyphens at their ends."""
+    return F.filter(F.transform(F.split(F.lower(text), r"[^\p{L}\p{N}.+-]+"), lambda x: F.btrim(x, F.lit(".-"))), lambda x: x != "")
 
 
 def _plain(word: Column) -> Column:
@@ -173,28 +174,40 @@ def _plain(word: Column) -> Column:
     return F.when(word.rlike("[0-9]"), numbered).when(word.startswith("licenc"), F.concat(F.lit("licens"), F.substring(word, 7, 20))).otherwise(word)
 
 
-def grams(words: Column) -> Column:
-    """Word bigrams and trigrams of plain words, and single words that hold a hyphen or a number or are a licence's name."""
+def plain(text: Column, words: Column) -> Column:
+    """The plain words; a text without a number and the other spelling has none that changes."""
+    return F.when(text.rlike("[0-9]|(?i:licenc)"), F.transform(words, _plain)).otherwise(words)
+
+
+def grams(plain_words: Column) -> Column:
+    """Word bigrams and trigrams of plain words, and single words that hold a hyphen or a number or are a licence's name. Repeated ones stay: the features only ask whether one is there."""
 
     def runs(w: Column) -> Column:
         pairs = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, w[i + 1]))
         triples = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.concat_ws(" ", x, w[i + 1], w[i + 2]))
-        return F.array_distinct(F.concat(F.filter(w, lambda x: x.isin(_OWN) | x.rlike("[#-]")), pairs, triples))
+        return F.concat(F.filter(w, lambda x: x.isin(_OWN) | x.contains("-") | x.contains("#")), pairs, triples)
+
+    return F.transform(F.array(plain_words), runs)[0]  # as a lambda's variable the words are made once
 
-    return F.transform(F.array(F.transform(words, _plain)), runs)[0]  # as a lambda's variable the words are made once
+
+def text_grams(text: Column) -> Column:
+    return grams(plain(text, _words(text)))
 
 
 def windows(docs: DataFrame) -> DataFrame:
-    """Windows of paragraphs: doc_id, key, p, at, words."""
+    """Windows of paragraphs: doc_id, key, p, at, words, plain (the words as the features have them)."""
     parts = F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\n[^\S\n]*(?:\n[^\S\n]*)+")).alias("p", "paragraph")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), parts)
 
     def cut(w: Column) -> Column:
         starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size(w) - (WINDOW - STRIDE)) / STRIDE).cast("int") - 1))
-        return F.transform(starts, lambda k: F.struct(k.alias("at"), F.slice(w, k * STRIDE + 1, F.lit(WINDOW)).alias("words")))
+        one = lambda k: F.struct(k.alias("at"), F.slice(w, k * STRIDE + 1, F.lit(WINDOW)).alias("words"), told.alias("odd"))
+        return F.transform(starts, one)
+
+    told = F.col("paragraph").rlike("[0-9]|(?i:licenc)")
 
     cells = F.transform(F.array(_words(F.col("paragraph"))), cut)[0]
-    return rows.select("doc_id", "key", "p", F.explode(cells).alias("c")).select("doc_id", "key", "p", "c.at", "c.words")
+    return rows.select("doc_id", "key", "p", F.explode(cells).alias("c")).select("doc_id", "key", "p", "c.at", "c.words", F.when(F.col("c.odd"), F.transform("c.words", _plain)).otherwise(F.col("c.words")).alias("plain"))
 
 
 def _notices(spark: SparkSession) -> DataFrame:
@@ -220,8 +233,8 @@ class LicenseModel:
         self.model, self.vocabulary, self.threshold, self.templates = model, vocabulary, threshold, templates
 
     def score(self, rows: DataFrame) -> DataFrame:
-        """Add family number k, confidence and containment to rows with grams."""
-        return _containment(_predict(self.model, self.vocabulary, rows), self.templates)
+        """Family number k, confidence and containment of the rows with grams that are not none."""
+        return _containment(_predict(self.model, self.vocabulary, rows).where("k > 0"), self.templates)
 
 
 def _vectors(vocabulary: list[str], rows: DataFrame) -> DataFrame:
@@ -258,16 +271,16 @@ def _threshold(rows: list[tuple[int, int, float, float]]) -> float:
 
 def fit(docs: DataFrame, negatives: int = NEGATIVES) -> LicenseModel:
     spark = docs.sparkSession
-    notices = _notices(spark).withColumn("words", _words(F.col("text"))).withColumn("grams", grams(F.col("words"))).cache()  # a few hundred fixed rows
+    notices = _notices(spark).withColumn("grams", text_grams(F.col("text"))).cache()  # a few hundred fixed rows
     n = docs.count()
     u = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 40))
     sample = windows(docs.where(u < int(min(1.0, negatives / max(n, 1)) * (1 << 40)) + 1))
-    sample = sample.groupBy("key").agg(F.min_by("words", F.xxhash64("p", "at", "key")).alias("words"))  # copies count once
-    sample = materialize(sample.withColumn("grams", grams(F.col("words"))))
+    sample = sample.groupBy("key").agg(F.min_by("plain", F.xxhash64("p", "at", "key")).alias("plain"))  # copies count once
+    sample = materialize(sample.select("key", grams(F.col("plain")).alias("grams")))
     around = [frame.format(name) for frame in FRAMES for name in ("x license", "x public license", "x software license", "x")] + ["terms of the license", "license agreement", "custom license", "license of this", "see our license"]
-    frames = {g for r in spark.createDataFrame([(t,) for t in around], "text string").select(grams(_words(F.col("text"))).alias("g")).collect() for g in r["g"] if "x" not in g.split(" ")}
+    frames = {g for r in spark.createDataFrame([(t,) for t in around], "text string").select(text_grams(F.col("text")).alias("g")).collect() for g in r["g"] if "x" not in g.split(" ")}
     proof = {f: [*ts, *NAMES.get(f, [])] for f, ts in TEMPLATES.items()}
-    grams_of = {r["text"]: list(r["grams"]) for r in spark.createDataFrame([(t,) for ts in proof.values() for t in ts], "text string").withColumn("grams", grams(_words(F.col("text")))).collect()}
+    grams_of = {r["text"]: list(r["grams"]) for r in spark.createDataFrame([(t,) for ts in proof.values() for t in ts], "text string").withColumn("grams", F.array_distinct(text_grams(F.col("text")))).collect()}
     templates = {f: [grams_of[t] for t in ts if grams_of[t]] for f, ts in proof.items()}
     # from the fixed notices alone; not the other licences' own names, so that what is around a name no family has tells of a licence
     vocabulary = sorted({g for r in notices.where(f"NOT held AND label <> {FAMILIES.index(UNKNOWN_NAME)}").select("grams").collect() for g in r["grams"]} | set(frames))
@@ -309,7 +322,7 @@ def scan_licenses(docs: DataFrame, model: LicenseModel | None = None) -> DataFra
     """
     docs = docs.select("doc_id", "text")
     model = model or fit(docs)
-    scored = model.score(windows(docs).withColumn("grams", grams(F.col("words")))).where("k > 0")
+    scored = model.score(windows(docs).withColumn("grams", grams(F.col("plain"))).drop("plain"))
     family = F.when((F.col("k") > 1) & (F.col("confidence") >= model.threshold) & (F.col("containment") >= CONFIRM), F.element_at(F.array(*[F.lit(f) for f in FAMILIES]), F.col("k") + 1)).otherwise(F.lit(UNKNOWN_NAME))
     licence_word = F.exists("grams", lambda g: g.rlike(rf"(^| )(licens|spdx|copyright|{'|'.join(_OWN)})"))
     scored = scored.withColumn("family", family).where((F.col("family") != UNKNOWN_NAME) | (F.col("confidence") >= SURE) & licence_word)
