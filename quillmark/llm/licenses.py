@@ -8,7 +8,8 @@ multinomial logistic regression with an elastic net, fitted by Spark ML, names t
 licence family, ``unknown`` for licence wording of no known family, or ``none``. It is
 fitted on stated notices, on the families' names in common phrasings, on the same
 phrasings with names of other licences, and on a bounded sample of corpus windows for
-``none``. Every window of every document is scored.
+``none``. A window is scored unless its paragraph holds no word that a window which
+counts must hold (``needed_words``): the answers are those of scoring every window.
 
 The threshold is calibrated on notices, other licences and near misses that the fit
 has not seen: a family is named only if its probability reaches the threshold and the
@@ -19,6 +20,8 @@ just the family.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
@@ -131,6 +134,10 @@ FRAMES = ["{}", "Licensed under the {}", "Licensed under {}.", "Released under t
 FRAMES_HELD = ["Code here is covered by the {}", "you may redistribute this under {}", "our library uses {}", "Copyright 2014 the contributors, {}", "it falls under the {} as found on the site", "published, like the rest, under {} terms"]
 #: Everyday uses of the words in those phrasings, which are no notices.
 BARE = ["under the bridge", "under the terms of the treaty", "available under the counter", "distributed under the tables", "released under the cover of night", "this project is late", "the rule applies", "see the file for details", "a driving license", "his license plate", "her licensed restaurant", "a license to kill", "the pilot license was renewed", "license fees went up", "they were licensed to sell wine", "a fishing license applies here", "software for the office", "the public bought it"]
+#: Starts of the words one of which an unknown licence must hold, beside the names below.
+_LICENCE_WORDS = ["licens", "spdx", "copyright"]
+#: Words of templates that plain texts are full of: the last to tell which windows are scored. They bear on time alone.
+_EVERYDAY = ["any", "by", "for", "from", "general", "is", "may", "mit", "new", "of", "public", "the", "this", "to", "version", "with", "work"]
 #: Words put around longer notices, to train on the variations that occur.
 _AROUND = ["{}", "Note: {}.", "{}. See the file for details.", "(c) 2020 the authors. {}.", "{}. Thank you for reading."]
 #: Single words that are features: with a number or hyphen, or a licence's own name.
@@ -194,10 +201,47 @@ def text_grams(text: Column) -> Column:
     return grams(plain(text, _words(text)))
 
 
-def windows(docs: DataFrame) -> DataFrame:
-    """Windows of paragraphs: doc_id, key, p, at, words, plain (the words as the features have them)."""
+def needed_words(templates: dict[str, list[list[str]]]) -> set[str]:
+    """Starts of words, one of which is in every window that can count as a licence.
+
+    A named family takes ``CONFIRM`` of the n-grams of one of its templates: of each
+    template so many words are taken that the n-grams without them are too few. An
+    unknown licence takes a licence word. The words are cut before their first digit or
+    the like, up to which ``_plain`` leaves a word as it is.
+    """
+    start = lambda w: re.match("[a-z-]*", w).group()
+    needed = {*_LICENCE_WORDS, *_OWN}
+    has = lambda g: any(w.startswith(n) for w in g.split(" ") for n in needed)
+    for g in sorted((g for gs in templates.values() for g in gs), key=lambda g: (len(g), g)):
+        while len(rest := [x for x in g if not has(x)]) / len(g) >= CONFIRM:
+            words = {start(w) for x in rest for w in x.split(" ")} - {""}
+            if not words:
+                return {""}  # any window may count
+            needed.add(min(words, key=lambda w: (w in _EVERYDAY, -len(w), w)))
+    return needed
+
+
+def needed_pattern(needed: set[str]) -> str:
+    """A regular expression that finds a word with one of those starts in lower-case text, and perhaps more."""
+    if "" in needed:
+        return ""
+    by_letter: dict[str, list[str]] = {}
+    for w in sorted({*needed, *(w.replace("licens", "licenc", 1) for w in needed if w.startswith("licens"))}):
+        by_letter.setdefault(w[0], []).append(w[1:])
+    return "(?<![a-z0-9])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_letter.items()) + ")"
+
+
+def windows(docs: DataFrame, needed: str = "") -> DataFrame:
+    """Windows of paragraphs: doc_id, key, p, at, words, plain (the words as the features have them).
+
+    needed: paragraphs whose lower-case text this pattern does not find are left out.
+    """
     parts = F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\n[^\S\n]*(?:\n[^\S\n]*)+")).alias("p", "paragraph")
+    if needed:
+        docs = docs.where(F.lower("text").rlike(needed))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), parts)
+    if needed:
+        rows = rows.where(F.lower("paragraph").rlike(needed))
 
     def cut(w: Column) -> Column:
         starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size(w) - (WINDOW - STRIDE)) / STRIDE).cast("int") - 1))
@@ -322,9 +366,9 @@ def scan_licenses(docs: DataFrame, model: LicenseModel | None = None) -> DataFra
     """
     docs = docs.select("doc_id", "text")
     model = model or fit(docs)
-    scored = model.score(windows(docs).withColumn("grams", grams(F.col("plain"))).drop("plain"))
+    scored = model.score(windows(docs, needed_pattern(needed_words(model.templates))).withColumn("grams", grams(F.col("plain"))).drop("plain"))
     family = F.when((F.col("k") > 1) & (F.col("confidence") >= model.threshold) & (F.col("containment") >= CONFIRM), F.element_at(F.array(*[F.lit(f) for f in FAMILIES]), F.col("k") + 1)).otherwise(F.lit(UNKNOWN_NAME))
-    licence_word = F.exists("grams", lambda g: g.rlike(rf"(^| )(licens|spdx|copyright|{'|'.join(_OWN)})"))
+    licence_word = F.exists("grams", lambda g: g.rlike(rf"(^| )({'|'.join([*_LICENCE_WORDS, *_OWN])})"))
     scored = scored.withColumn("family", family).where((F.col("family") != UNKNOWN_NAME) | (F.col("confidence") >= SURE) & licence_word)
     scored = materialize(_license(scored).select("doc_id", "key", "p", "at", "confidence", "containment", (F.col("family") != UNKNOWN_NAME).alias("confirmed"), "license"))
     found = scored.groupBy("doc_id", "key").agg(

@@ -125,3 +125,27 @@ def test_awkward_rows(spark, llm_rows, model):
     assert sorted((str(r.doc_id), r.n_paragraphs, r.n_license, r.licenses) for r in got) == [("1", 3, 2, ["MIT", "Proprietary"])] * 2 + [("2", 0, 0, []), ("None", 1, 1, ["Proprietary"])]
     empty = licenses.scan_licenses(spark.createDataFrame([], "doc_id long, text string"))
     assert empty.count() == 0
+
+
+def test_windows_that_cannot_count_are_not_scored_and_nothing_else_changes(spark, model, monkeypatch):
+    rng = random.Random(9)
+    texts = [t for t, _ in NOTICES + WORDED] + [t for ts in (*licenses.TEMPLATES.values(), *licenses.NAMES.values(), licenses.UNKNOWN_HELD, licenses.OTHER_HELD, licenses.PLAIN) for t in ts]
+    said = [w for t in texts for w in t.split()]
+    texts += [f"_{t}_" for t in texts[:60]] + [t.upper() for t in texts[:60]] + [f"mit {t} by".replace(" ", rng.choice(["-", "_", "  ", "/"])) for t in texts]
+    for t in list(texts):  # parts of notices among other notices' words
+        w = t.split()
+        cut = rng.randint(0, len(w))
+        texts.append(" ".join(rng.sample(said, 12) + w[cut // 2 : cut // 2 + max(1, 2 * len(w) // 3)] + rng.sample(said, 12)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pattern = licenses.needed_pattern(licenses.needed_words(model.templates))
+    got = sorted(map(tuple, licenses.scan_licenses(docs, model).collect()))
+    monkeypatch.setattr(licenses, "needed_pattern", lambda needed: "")
+    assert got == sorted(map(tuple, licenses.scan_licenses(docs, model).collect())) and sum(r[4] != "none" for r in got) > 200
+    prose = spark.createDataFrame([(1, "the general public is free to go by any work of this kind " * 50)], "doc_id long, text string")
+    assert licenses.windows(prose).count() > 5 and licenses.windows(prose, pattern).count() == 0
+
+
+def test_needed_words_leave_too_little_of_each_template():
+    needed = licenses.needed_words({"A": [["gnu general", "general public", "public license", "gnu general public", "general public license"]], "B": [["cc by-sa", "by-sa", "#", "by-sa #", "cc by-sa #"]]})
+    assert {"licens", "gnu", "by-sa"} <= needed and "general" not in needed
+    assert licenses.needed_words({"A": [["#"]]}) == {""} and licenses.needed_pattern({""}) == ""  # nothing may be left out
