@@ -161,6 +161,26 @@ def test_held_out_verdicts(spark):
     assert sum(kept for k, kept in got if k) >= 0.97 * sum(k for k, _ in got)
 
 
+def test_quality_is_fitted_and_calibrated_on_every_labelled_row(spark, monkeypatch):
+    """The subsamples of the trees come from all labelled rows, and the cuts are those of all scores of the other half."""
+    rng = np.random.default_rng(4)
+    n, bad = 60_000, 300
+    s = np.column_stack([np.arange(n) % 500 + 30, np.arange(n) % 500 * 5 + 150, np.where(np.arange(n) < bad, 400, rng.integers(0, 4, n)), np.zeros(n), np.zeros(n), rng.integers(0, 40, n)]).astype(int)
+    stats = spark.createDataFrame([(i, 0, *map(int, r)) for i, r in enumerate(s)], quality._SCHEMA)
+    labels = spark.createDataFrame([(i, int(i >= bad)) for i in range(n)], "doc_id long, quality int")
+    drawn, seen = [], []
+    subsamples, cut = quality._subsamples, quality.calibrated_cut
+    monkeypatch.setattr(quality, "_subsamples", lambda *a: drawn.extend(subsamples(*a)) or drawn)
+    monkeypatch.setattr(quality, "calibrated_cut", lambda g, b, loss, ng, nb: seen.append((g, b, ng, nb)) or cut(g, b, loss, ng, nb))
+    forests = quality.fit_quality(stats, labels)
+    assert len(drawn) == quality.TREES and all(len(p) == quality.SUBSAMPLE and (p[:, 2] == 400).sum() == quality.BAD for p in drawn)
+    half = {r[0] for r in stats.where("xxhash64(doc_id) % 2 <> 0").select("doc_id").collect()}
+    assert [(ng.sum(), nb.sum()) for _, _, ng, nb in seen] == [(sum(i >= bad for i in half), sum(i < bad for i in half))] * 2
+    rest = np.array(sorted(half))
+    score = forests[0].score(quality.features(s[rest])[0])
+    assert forests[0].cut == cut(score[rest >= bad], score[rest < bad], quality.MAX_LOSS[0]) and (score[rest < bad] >= forests[0].cut).mean() > 0.9
+
+
 def _canon(t):
     if not t.isascii():
         t = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t).casefold())
