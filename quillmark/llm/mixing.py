@@ -11,24 +11,31 @@ more of them by the same steps as grouped sums and joins, under the same stoppin
 A topic is a column that the caller names, else the nearest of ``TOPICS`` centres of the
 document's language, as vectors of hashed words (spherical k-means). Centres are fitted
 within each language, since words tell languages apart before they tell topics, and
-are numbered from a language's commonest on. They are fitted on a bounded sample, about
-``SAMPLE`` documents with the smallest hashes; languages with under ``LEAST`` of them share
-their centres. Every document is then measured and given its topic from its whole text.
+are numbered from a language's commonest on. Every text counts in the fit, copies once:
+each pass over the vectors is a Spark job whose tasks give sums of integers, so the
+centres don't depend on how rows are dealt. Languages with under ``LEAST`` texts or a
+fiftieth of all share their centres.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as X
 from .common import BROADCAST_BYTES, drop, materialize, text_key
 
-TOPICS, DIM, SAMPLE, LEAST = 8, 1 << 12, 2_000, 40
+TOPICS, DIM, LEAST, SHARE = 8, 1 << 12, 40, 0.02
+#: Passes of the k-means at most; it ends when one adds less than this share to the sum of cosines of every language.
+PASSES, GAIN = 25, 1e-3
+#: Values of vectors and centres are multiples of one over this, so that sums are exact in any order.
+GRID = 1 << 12
 #: Shortest words, in bytes, that speak of a topic.
 LETTERS = 4
 #: Share of all tokens to keep.
@@ -55,79 +62,186 @@ def _counts(h: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
 
 
 def topic_vector(counts: np.ndarray) -> np.ndarray:
-    """Square roots of the counts, of length 1."""
-    v = np.sqrt(counts.astype(np.float32))
-    return v / max(float(np.linalg.norm(v)), 1e-12)
-
-
-def fit_topics(x: np.ndarray, k: int = TOPICS, rounds: int = 25, seed: int = 3) -> np.ndarray:
-    """Centres of a spherical k-means over rows of length 1, after their mean is taken off."""
-    rng, mean = np.random.default_rng(seed), x.mean(axis=0)
-    x = x - mean
-    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    centres = x[[int(rng.integers(len(x)))]]
-    while len(centres) < min(k, len(x)):
-        far = np.maximum(1 - (x @ centres.T).max(axis=1), 0)
-        if far.sum() < 1e-6:
-            break
-        centres = np.vstack([centres, x[rng.choice(len(x), p=far / far.sum())]])
-    for _ in range(rounds):
-        near = (x @ centres.T).argmax(axis=1)
-        sums = np.array([x[near == i].sum(axis=0) if (near == i).any() else centres[i] for i in range(len(centres))])
-        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
-    many = np.bincount((x @ centres.T).argmax(axis=1), minlength=len(centres))
-    return np.vstack([centres[np.argsort(-many, kind="stable")], mean]).astype(np.float32)  # the last row is the mean
+    """Places of the words that occur and, in steps of the grid, the square roots of their counts at length 1."""
+    at = np.flatnonzero(counts)
+    v = np.sqrt(counts[at].astype(np.float64))
+    return np.stack([at, np.round(v / max(float(np.linalg.norm(v)), 1e-12) * GRID)]).astype("<u2")
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        buf, off, _ = X.slices(b.column("text"))
-        got = [_counts(*X.word_hashes(buf[off[i] : off[i + 1]], lower=True)) for i in range(len(b))]
-        yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("h"), pa.array([topic_vector(c).astype("<f2").tobytes() for c in got], pa.binary())], ["lang", "h", "x"])
-
-
-def _topics(rows: DataFrame) -> dict[str, np.ndarray] | None:
-    """Centres by language fitted on the sample ('' for the languages without enough of it); None without texts."""
-    some = rows.where("text <> ''")
-    n = some.count()
-    if not n:
-        return None
-    u = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
-    sample = some.select("lang", u.alias("h"), "text").where(u < int(min(1.0, SAMPLE / n) * (1 << 40)) + 1)  # copies share a hash
-    sample = sample.groupBy("lang", "h").agg(F.min("text").alias("text"))  # a text counts once
-    got = sorted((r["lang"], r["h"], bytes(r["x"])) for r in sample.mapInArrow(_sampled, "lang string, h long, x binary").collect())
-    if not got:
-        return None
-    langs = np.array([g[0] for g in got], object)
-    x = np.array([np.frombuffer(g[2], "<f2") for g in got], np.float32)
-    found = {lang: langs == lang for lang in sorted(set(langs))}
-    own = {lang: fit_topics(x[at]) for lang, at in found.items() if at.sum() >= LEAST}
-    rest = ~np.isin(langs, list(own))
-    return own | {"": fit_topics(x[rest] if rest.any() else x)}
-
-
-def _measurer(centres: dict[str, np.ndarray] | None) -> Callable:
-    def topic(counts: np.ndarray, lang: str) -> str:
-        if not counts.any():
-            return "(none)"
-        of = centres.get(lang, centres[""])
-        return f"t{int(((topic_vector(counts) - of[-1]) @ of[:-1].T).argmax())}"
+def _dense(column: pa.Array) -> np.ndarray:
+    """The vectors as rows of integers."""
+    parts = [np.frombuffer(x, "<u2").reshape(2, -1) for x in column.to_pylist()]
+    out = np.zeros((len(parts), DIM))
+    rows = np.repeat(np.arange(len(parts)), [p.shape[1] for p in parts])
+    both = np.concatenate(parts, axis=1) if parts else np.zeros((2, 0), np.int64)
+    out[rows, both[0]] = both[1]
+    return out
+
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordBatch, np.ndarray]]:
+    """For each language of a batch its rows and their vectors, at most 512 at a time."""
+    for b in batches:
+        langs = np.array(b.column("fit").to_pylist(), object)
+        for lang in sorted(set(langs)):
+            rows = np.flatnonzero(langs == lang)
+            for i in range(0, len(rows), 512):
+                part = b.take(pa.array(rows[i : i + 512]))
+                yield lang, part, _dense(part.column("x"))
+
+
+@dataclass
+class Centres:
+    """Of one language: the mean of its vectors, and centres of length 1, in steps of the grid."""
+
+    mean: np.ndarray
+    at: np.ndarray
+
+    def likeness(self, x: np.ndarray) -> np.ndarray:
+        """Cosines with the centres, times a row's distance from the mean: whole numbers, exact in any order."""
+        return x @ self.at.T - self.mean @ self.at.T
+
+    def distance(self, x: np.ndarray) -> np.ndarray:
+        """From the mean, in whole steps of the grid, 1 at least."""
+        square = (x * x).sum(axis=1) - 2 * (x @ self.mean) + self.mean @ self.mean
+        return np.maximum(np.round(np.sqrt(np.maximum(square, 0))), 1)
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    return np.round(v / max(float(np.linalg.norm(v)), 1e-12) * GRID)
+
+
+def _sums(rows: DataFrame, of: Callable, every: int = 16) -> list[dict]:
+    """Sums over the tasks of what ``of`` adds up: for each language and centre n, cosine and a vector. Summed in two steps, so that no task reads the parts of all."""
+    kind = "fit string, k long, part long, n long, cosine double, sums binary"
+
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+        for lang, b, x in _chunks(batches):
+            of(total, lang, b, x)
+        if total:
+            keys = list(total)
+            part = TaskContext.get().partitionId() // every
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([part] * len(keys), pa.int64()), pa.array([int(total[k][0]) for k in keys]), pa.array([float(total[k][1]) for k in keys]), pa.array([total[k][2].astype("<f8").tobytes() for k in keys], pa.binary())], ["fit", "k", "part", "n", "cosine", "sums"])
+
+    def together(t: pa.Table) -> pa.Table:
+        sums = np.sum([np.frombuffer(x, "<f8") for x in t.column("sums").to_pylist()], axis=0)
+        first = t.slice(0, 1)
+        return pa.table({"fit": first.column("fit"), "k": first.column("k"), "part": first.column("part"), "n": [sum(t.column("n").to_pylist())], "cosine": [float(sum(t.column("cosine").to_pylist()))], "sums": pa.array([sums.tobytes()], pa.binary())})
+
+    some = rows.mapInArrow(tasks, kind).groupBy("fit", "k", "part").applyInArrow(together, kind)
+    got = some.groupBy("fit", "k").applyInArrow(together, kind).collect()
+    return [{"fit": r["fit"], "k": r["k"], "n": r["n"], "cosine": r["cosine"], "sums": np.frombuffer(r["sums"], "<f8")} for r in got]
+
+
+def _farthest(rows: DataFrame, centres: dict[str, Centres], step: int) -> dict[str, np.ndarray]:
+    """The next first centre of each language: a vector drawn from all, more likely the farther it is from the centres so far, by the smallest of exponential times."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict = {}
+        for lang, b, x in _chunks(batches):
+            of = centres[lang]
+            far = GRID * of.distance(x)
+            if len(of.at):
+                far = np.maximum(far - of.likeness(x).max(axis=1), 0)
+            far = np.floor(far / of.distance(x))
+            u = ((X.mix(b.column("key").to_numpy().view(X.U64) ^ X.mix(np.array([step + 1], X.U64))) >> X.U64(11)).astype(float) + 1) / 2.0**53
+            when = np.where(far > 0, -np.log(u) / np.maximum(far, 1), np.inf)
+            i = int(when.argmin())
+            if np.isfinite(when[i]):
+                best[lang] = min(best.get(lang, (np.inf, 0, b"")), (float(when[i]), b.column("key")[i].as_py(), b.column("x")[i].as_py()))
+        if best:
+            yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.string()), pa.array([v[0] for v in best.values()]), pa.array([v[1] for v in best.values()]), pa.array([v[2] for v in best.values()], pa.binary())], ["fit", "when", "key", "x"])
+
+    got = rows.mapInArrow(draw, "fit string, when double, key long, x binary").groupBy("fit").agg(F.min_by("x", F.struct("when", "key")).alias("x")).collect()
+    return {r["fit"]: _dense(pa.array([bytes(r["x"])], pa.binary()))[0] for r in got}
+
+
+def fit_topics(rows: DataFrame, k: int = TOPICS) -> dict[str, Centres]:
+    """Centres by language of a spherical k-means over all rows (fit, key, x), after the language's mean is taken off."""
+
+    def mean(total: dict, lang: str, b: pa.RecordBatch, x: np.ndarray) -> None:
+        n, _, sums = total.get((lang, 0), (0, 0.0, 0.0))
+        total[lang, 0] = n + len(x), 0.0, sums + x.sum(axis=0)
+
+    centres = {r["fit"]: Centres(np.round(r["sums"] / r["n"]), np.zeros((0, DIM))) for r in _sums(rows, mean)}
+    for step in range(k):
+        for lang, x in _farthest(rows, centres, step).items():
+            of = centres[lang]
+            of.at = np.vstack([of.at, _unit(x - of.mean)])
+    for of in centres.values():
+        if not len(of.at):  # all texts are alike
+            of.at = np.zeros((1, DIM))
+
+    def near(total: dict, lang: str, b: pa.RecordBatch, x: np.ndarray) -> None:
+        of = centres[lang]
+        likeness, distance = of.likeness(x), of.distance(x)
+        best = likeness.argmax(axis=1)
+        weight = np.floor(GRID / distance * 16)
+        for j in np.unique(best):
+            on = best == j
+            n, cosine, sums = total.get((lang, int(j)), (0, 0.0, 0.0))
+            total[lang, int(j)] = n + int(on.sum()), cosine + float(np.floor(likeness[on, j] / distance[on]).sum()), sums + weight[on] @ x[on] - weight[on].sum() * of.mean
+
+    before: dict[str, float] = {}
+    for _ in range(PASSES):
+        found = _sums(rows, near)
+        now, many = {lang: 0.0 for lang in centres}, {lang: np.zeros(len(of.at), np.int64) for lang, of in centres.items()}
+        for r in found:
+            now[r["fit"]] += r["cosine"]
+            many[r["fit"]][r["k"]] = r["n"]
+        if before and all(now[c] - before[c] <= GAIN * abs(now[c]) for c in centres):
+            break
+        before = now
+        for r in found:
+            centres[r["fit"]].at[r["k"]] = _unit(r["sums"])
+    for lang, of in centres.items():
+        of.at = of.at[np.argsort(-many[lang], kind="stable")]
+    return centres
+
+
+def _fitted(rows: DataFrame) -> tuple[set[str], dict[str, Centres]]:
+    """The languages with centres of their own, and all centres ('' for the others), from all texts with longer words; copies count once."""
+    texts = materialize(rows.where("length(x) > 0").dropDuplicates(["lang", "key"]).select("lang", "key", "x"))
+    n = texts.count()
+    large = texts.groupBy("lang").count().where(F.col("count") >= max(LEAST, SHARE * n))  # a fiftieth of the texts each, so 50 at most
+    own = {r["lang"] for r in large.collect()}
+    fit = texts.withColumn("fit", F.when(F.col("lang").isin(sorted(own)), F.col("lang")).otherwise(F.lit("")) if own else F.lit(""))
+    centres = fit_topics(fit) if n else {}
+    drop(texts)
+    return own, centres
+
+
+def _measured(vectors: bool) -> Callable:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, off, _ = X.slices(b.column("text"))
-            tokens, topics = [], []
-            for i, lang in enumerate(b.column("lang").to_pylist()):
+            tokens, found = [], []
+            for i in range(len(b)):
                 h, s, e = X.word_hashes(buf[off[i] : off[i + 1]], lower=True)
                 tokens.append(len(h))
-                if centres is not None:
-                    topics.append(topic(_counts(h, s, e), lang))
-            named = pa.array(topics, pa.string()) if centres is not None else b.column("topic")
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "key", "source", "lang")), named, pa.array(tokens, pa.int64())], ["doc_id", "key", *MARGINS, "tokens"])
+                counts = _counts(h, s, e) if vectors else np.zeros(0)
+                found.append(topic_vector(counts).tobytes() if counts.any() else b"")
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "key", *MARGINS)), pa.array(tokens, pa.int64()), pa.array(found, pa.binary())], ["doc_id", "key", *MARGINS, "tokens", "x"])
 
     return measure
 
 
+def _named(own: set[str], centres: dict[str, Centres]) -> Callable:
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            topics = np.full(len(b), "(none)", object)
+            langs, xs = b.column("lang").to_pylist(), b.column("x")
+            fit = np.array([("" if lang not in own else lang) if len(x) else None for lang, x in zip(langs, xs.to_pylist(), strict=True)], object)
+            for lang in {f for f in fit if f is not None}:
+                rows = np.flatnonzero(fit == lang)
+                for i in range(0, len(rows), 512):
+                    at = rows[i : i + 512]
+                    topics[at] = [f"t{j}" for j in centres[lang].likeness(_dense(xs.take(pa.array(at)))).argmax(axis=1)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "key", "source", "lang")), pa.array(topics, pa.string()), b.column("tokens")], ["doc_id", "key", *MARGINS, "tokens"])
+
+    return name
+
+
 def rake(cells: np.ndarray, tokens: np.ndarray, targets: list[np.ndarray], kept: float) -> np.ndarray:
     """Tokens to keep of each cell: at most what it has, with sums over each margin that match targets * kept if the cells allow.
 
@@ -215,8 +329,12 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, kee
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), label("source").alias("source"), label("lang").alias("lang"), (label(topic) if topic else F.lit("(none)")).alias("topic"), F.coalesce("text", F.lit("")).alias("text")
     )
-    centres = None if topic else _topics(rows)
-    rows = materialize(rows.mapInArrow(_measurer(centres), "doc_id long, key long, source string, lang string, topic string, tokens long"))
+    kind = "doc_id long, key long, source string, lang string, topic string, tokens long"
+    measured = materialize(rows.mapInArrow(_measured(topic is None), kind + ", x binary"))
+    rows = measured.drop("x")
+    if topic is None:
+        rows = materialize(measured.mapInArrow(_named(*_fitted(measured)), kind))
+        drop(measured)
     cells = materialize(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")).where("tokens > 0"))
     table = materialize(calibrate(cells, targets, keep, in_memory))
     if table.count() * 200 <= BROADCAST_BYTES:

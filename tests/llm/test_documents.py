@@ -10,6 +10,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from quillmark.llm import fingerprints, langid, mixing, packing, quality, setjoin, substrings
 from quillmark.llm.queries import tokenizer_path
 
@@ -302,6 +304,19 @@ def test_topics_are_found_within_languages(spark):
     assert {"t0", "t1", "t2"} <= {t for lang, t in groups if lang == "fr"} & {t for lang, t in groups if lang == "en"}  # no topic stands for a language
 
 
+def test_topics_are_fitted_on_every_text_however_rows_are_dealt(spark):
+    """A topic of 8 texts in 4,000 gets a centre only if all texts are weighed; the centres are the same from any partitions."""
+    rng = random.Random(6)
+    sets = [[f"{c}{i}word" for i in range(30)] for c in "ab"]
+    rows = [(" ".join(rng.choice(sets[int(i < 8)]) for _ in range(20)), "en", i) for i in range(4000)]
+    df = spark.createDataFrame([(i, 0, "s", lang, "(none)", t) for t, lang, i in rows], "doc_id long, key long, source string, lang string, topic string, text string").withColumn("key", F.col("doc_id"))
+    vectors = df.mapInArrow(mixing._measured(True), "doc_id long, key long, source string, lang string, topic string, tokens long, x binary").selectExpr("lang AS fit", "key", "x").cache()
+    seen = mixing._sums(vectors, lambda total, lang, b, x: total.update({(lang, 0): (total.get((lang, 0), (0,))[0] + len(x), 0.0, x.sum(axis=0))}))
+    assert [r["n"] for r in seen] == [4000]
+    one, two = mixing.fit_topics(vectors.repartition(1)), mixing.fit_topics(vectors.repartition(7, "key"))
+    assert np.array_equal(one["en"].at, two["en"].at) and np.array_equal(one["en"].mean, two["en"].mean) and len(one["en"].at) == mixing.TOPICS
+
+
 def test_topics_follow_the_vocabulary(spark):
     rng = random.Random(2)
     sets = [[f"{c}{i}word" for i in range(40)] for c in "abc"]
