@@ -305,7 +305,7 @@ def test_topics_are_found_within_languages(spark):
 
 
 def test_topics_are_fitted_on_every_text_however_rows_are_dealt(spark):
-    """A topic of 8 texts in 4,000 gets a centre only if all texts are weighed; the centres are the same from any partitions."""
+    """All 4,000 texts are in the sums, and the centres are the same from any partitions."""
     rng = random.Random(6)
     sets = [[f"{c}{i}word" for i in range(30)] for c in "ab"]
     rows = [(" ".join(rng.choice(sets[int(i < 8)]) for _ in range(20)), "en", i) for i in range(4000)]
