@@ -36,6 +36,10 @@ TOPICS, DIM, LEAST, SHARE = 8, 1 << 12, 40, 0.02
 PASSES, GAIN = 25, 1e-3
 #: Values of vectors and centres are multiples of one over this, so that sums are exact in any order.
 GRID = 1 << 12
+#: Texts of a language, as expected, that are looked at first for each of its first centres, and a bound of their distances.
+EARLY, FARTHEST = 32, 3 * GRID
+#: Values of vectors that are worked on at once.
+VALUES = 1 << 17
 #: Shortest words, in bytes, that speak of a topic.
 LETTERS = 4
 #: Share of all tokens to keep.
@@ -68,25 +72,65 @@ def topic_vector(counts: np.ndarray) -> np.ndarray:
     return np.stack([at, np.round(v / max(float(np.linalg.norm(v)), 1e-12) * GRID)]).astype("<u2")
 
 
-def _dense(column: pa.Array) -> np.ndarray:
-    """The vectors as rows of integers."""
-    parts = [np.frombuffer(x, "<u2").reshape(2, -1) for x in column.to_pylist()]
-    out = np.zeros((len(parts), DIM))
-    rows = np.repeat(np.arange(len(parts)), [p.shape[1] for p in parts])
-    both = np.concatenate(parts, axis=1) if parts else np.zeros((2, 0), np.int64)
-    out[rows, both[0]] = both[1]
-    return out
+@dataclass
+class Vectors:
+    """Rows of whole numbers: how many of each are not 0, their places and values. A text has a few hundred words of ``DIM`` places."""
+
+    size: np.ndarray
+    place: np.ndarray
+    value: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.size)
+
+    def _by_row(self, x: np.ndarray) -> np.ndarray:
+        out, some = np.zeros(len(self)), self.size > 0
+        if len(x):
+            out[some] = np.add.reduceat(x, (np.cumsum(self.size) - self.size)[some])
+        return out
+
+    def dot(self, v: np.ndarray) -> np.ndarray:
+        return self._by_row(self.value * v.take(self.place))
+
+    def square(self) -> np.ndarray:
+        return self._by_row(self.value * self.value)
+
+    def sum(self, axis: int = 0) -> np.ndarray:
+        """Over the rows, as axis 0 tells."""
+        return np.bincount(self.place, self.value, DIM)
+
+    def sums(self, group: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
+        """Weighted sums of the rows of each of k groups."""
+        return np.bincount(np.repeat(group * DIM, self.size) + self.place, np.repeat(weight, self.size) * self.value, k * DIM).reshape(k, DIM)
+
+
+def _vectors(column: pa.Array) -> Vectors:
+    buf, off, _ = X.slices(column)
+    both, off = buf[off[0] : off[-1]].view("<u2"), (off - off[0]).astype(np.int64) // 2
+    size = np.diff(off) // 2
+    at = np.arange(len(both) // 2) + np.repeat(off[:-1] // 2, size)  # a row's places come before its values
+    return Vectors(size, both[at].astype(np.int64), both[at + np.repeat(size, size)].astype(np.float64))
+
 
+def _pieces(column: pa.Array) -> Iterator[tuple[int, Vectors]]:
+    """The vectors by runs of rows with about ``VALUES`` values, with the first row of each."""
+    off = X.slices(column)[1].astype(np.int64)
+    i = 0
+    while i < len(column):
+        j = max(i + 1, int(np.searchsorted(off, off[i] + 4 * VALUES, "right")) - 1)
+        yield i, _vectors(column.slice(i, j - i))
+        i = j
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordBatch, np.ndarray]]:
-    """For each language of a batch its rows and their vectors, at most 512 at a time."""
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordBatch, Vectors]]:
+    """For each language of a batch its rows and their vectors, some at a time."""
     for b in batches:
-        langs = np.array(b.column("fit").to_pylist(), object)
-        for lang in sorted(set(langs)):
-            rows = np.flatnonzero(langs == lang)
-            for i in range(0, len(rows), 512):
-                part = b.take(pa.array(rows[i : i + 512]))
-                yield lang, part, _dense(part.column("x"))
+        codes = b.column("fit").dictionary_encode()
+        at = codes.indices.to_numpy()
+        for k, lang in sorted(enumerate(codes.dictionary.to_pylist()), key=lambda x: x[1]):
+            of = b if len(codes.dictionary) == 1 else b.take(pa.array(np.flatnonzero(at == k)))
+            for i, x in _pieces(of.column("x")):
+                yield lang, of.slice(i, len(x)), x
 
 
 @dataclass
@@ -96,13 +140,13 @@ class Centres:
     mean: np.ndarray
     at: np.ndarray
 
-    def likeness(self, x: np.ndarray) -> np.ndarray:
+    def likeness(self, x: Vectors) -> np.ndarray:
         """Cosines with the centres, times a row's distance from the mean: whole numbers, exact in any order."""
-        return x @ self.at.T - self.mean @ self.at.T
+        return np.stack([x.dot(c) for c in self.at], axis=1) - self.mean @ self.at.T
 
-    def distance(self, x: np.ndarray) -> np.ndarray:
+    def distance(self, x: Vectors) -> np.ndarray:
         """From the mean, in whole steps of the grid, 1 at least."""
-        square = (x * x).sum(axis=1) - 2 * (x @ self.mean) + self.mean @ self.mean
+        square = x.square() - 2 * x.dot(self.mean) + self.mean @ self.mean
         return np.maximum(np.round(np.sqrt(np.maximum(square, 0))), 1)
 
 
@@ -133,54 +177,84 @@ def _sums(rows: DataFrame, of: Callable, every: int = 16) -> list[dict]:
     return [{"fit": r["fit"], "k": r["k"], "n": r["n"], "cosine": r["cosine"], "sums": np.frombuffer(r["sums"], "<f8")} for r in got]
 
 
-def _farthest(rows: DataFrame, centres: dict[str, Centres], step: int) -> dict[str, np.ndarray]:
-    """The next first centre of each language: a vector drawn from all, more likely the farther it is from the centres so far, by the smallest of exponential times."""
+def _exponential(b: pa.RecordBatch, step: int) -> np.ndarray:
+    """A waiting time for each row's draw as a first centre, from its key."""
+    u = ((X.mix(b.column("key").to_numpy().view(X.U64) ^ X.mix(np.array([step + 1], X.U64))) >> X.U64(11)).astype(float) + 1) / 2.0**53
+    return -np.log(u)
+
+
+def _early(rows: DataFrame, many: dict[str, int], k: int) -> list[pa.RecordBatch]:
+    """The rows whose waiting time for one of k draws is under ``EARLY`` over the texts of their language: about k * EARLY of each, however many there are."""
+
+    def early(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            until = EARLY / np.array([many[lang] for lang in b.column("fit").to_pylist()], float)
+            yield b.filter(pa.array(np.any([_exponential(b, step) < until for step in range(k)], axis=0)))
+
+    return rows.select("fit", "key", "x").mapInArrow(early, "fit string, key long, x binary").toArrow().to_batches()
+
+
+def _farthest(rows: DataFrame, early: list[pa.RecordBatch], many: dict[str, int], centres: dict[str, Centres], step: int) -> dict[str, np.ndarray]:
+    """The next first centre of each language: a vector drawn from all, more likely the farther it is from the centres so far, by the smallest of exponential times.
+
+    A row's time is that of ``_exponential`` over its distance, which is under ``FARTHEST``
+    (at most 2 * GRID before values are rounded). So a time among the early rows that no
+    other row can go below is the smallest of all. Where the early rows have none, all
+    rows of the language are gone through.
+    """
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict = {}
         for lang, b, x in _chunks(batches):
             of = centres[lang]
-            far = GRID * of.distance(x)
+            distance = of.distance(x)
+            far = GRID * distance
             if len(of.at):
                 far = np.maximum(far - of.likeness(x).max(axis=1), 0)
-            far = np.floor(far / of.distance(x))
-            u = ((X.mix(b.column("key").to_numpy().view(X.U64) ^ X.mix(np.array([step + 1], X.U64))) >> X.U64(11)).astype(float) + 1) / 2.0**53
-            when = np.where(far > 0, -np.log(u) / np.maximum(far, 1), np.inf)
+            far = np.floor(far / distance)
+            when = np.where(far > 0, _exponential(b, step) / np.maximum(far, 1), np.inf)
             i = int(when.argmin())
             if np.isfinite(when[i]):
                 best[lang] = min(best.get(lang, (np.inf, 0, b"")), (float(when[i]), b.column("key")[i].as_py(), b.column("x")[i].as_py()))
         if best:
             yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.string()), pa.array([v[0] for v in best.values()]), pa.array([v[1] for v in best.values()]), pa.array([v[2] for v in best.values()], pa.binary())], ["fit", "when", "key", "x"])
 
-    got = rows.mapInArrow(draw, "fit string, when double, key long, x binary").groupBy("fit").agg(F.min_by("x", F.struct("when", "key")).alias("x")).collect()
-    return {r["fit"]: _dense(pa.array([bytes(r["x"])], pa.binary()))[0] for r in got}
+    found = {r["fit"]: r["x"] for b in draw(iter(early)) for r in b.to_pylist() if r["when"] < EARLY / many[r["fit"]] / FARTHEST}
+    if rest := sorted(set(many) - set(found)):
+        got = rows.where(F.col("fit").isin(rest)).mapInArrow(draw, "fit string, when double, key long, x binary").groupBy("fit").agg(F.min_by("x", F.struct("when", "key")).alias("x")).collect()
+        found |= {r["fit"]: bytes(r["x"]) for r in got}
+    return {lang: _vectors(pa.array([x], pa.binary())).sum() for lang, x in found.items()}
 
 
 def fit_topics(rows: DataFrame, k: int = TOPICS) -> dict[str, Centres]:
     """Centres by language of a spherical k-means over all rows (fit, key, x), after the language's mean is taken off."""
 
-    def mean(total: dict, lang: str, b: pa.RecordBatch, x: np.ndarray) -> None:
+    def mean(total: dict, lang: str, b: pa.RecordBatch, x: Vectors) -> None:
         n, _, sums = total.get((lang, 0), (0, 0.0, 0.0))
         total[lang, 0] = n + len(x), 0.0, sums + x.sum(axis=0)
 
-    centres = {r["fit"]: Centres(np.round(r["sums"] / r["n"]), np.zeros((0, DIM))) for r in _sums(rows, mean)}
+    means = _sums(rows, mean)
+    centres, texts = {r["fit"]: Centres(np.round(r["sums"] / r["n"]), np.zeros((0, DIM))) for r in means}, {r["fit"]: r["n"] for r in means}
+    early = _early(rows, texts, k)
     for step in range(k):
-        for lang, x in _farthest(rows, centres, step).items():
+        for lang, x in _farthest(rows, early, texts, centres, step).items():
             of = centres[lang]
             of.at = np.vstack([of.at, _unit(x - of.mean)])
     for of in centres.values():
         if not len(of.at):  # all texts are alike
             of.at = np.zeros((1, DIM))
 
-    def near(total: dict, lang: str, b: pa.RecordBatch, x: np.ndarray) -> None:
+    def near(total: dict, lang: str, b: pa.RecordBatch, x: Vectors) -> None:
         of = centres[lang]
         likeness, distance = of.likeness(x), of.distance(x)
         best = likeness.argmax(axis=1)
         weight = np.floor(GRID / distance * 16)
-        for j in np.unique(best):
-            on = best == j
+        many = np.bincount(best, minlength=len(of.at))
+        gain = np.bincount(best, np.floor(likeness[np.arange(len(x)), best] / distance), len(of.at))
+        more = x.sums(best, weight, len(of.at)) - np.bincount(best, weight, len(of.at))[:, None] * of.mean
+        for j in np.flatnonzero(many):
             n, cosine, sums = total.get((lang, int(j)), (0, 0.0, 0.0))
-            total[lang, int(j)] = n + int(on.sum()), cosine + float(np.floor(likeness[on, j] / distance[on]).sum()), sums + weight[on] @ x[on] - weight[on].sum() * of.mean
+            total[lang, int(j)] = n + int(many[j]), cosine + float(gain[j]), sums + more[j]
 
     before: dict[str, float] = {}
     for _ in range(PASSES):
@@ -231,12 +305,12 @@ def _named(own: set[str], centres: dict[str, Centres]) -> Callable:
         for b in batches:
             topics = np.full(len(b), "(none)", object)
             langs, xs = b.column("lang").to_pylist(), b.column("x")
-            fit = np.array([("" if lang not in own else lang) if len(x) else None for lang, x in zip(langs, xs.to_pylist(), strict=True)], object)
+            some = np.diff(X.slices(xs)[1]) > 0
+            fit = np.array([("" if lang not in own else lang) if has else None for lang, has in zip(langs, some, strict=True)], object)
             for lang in {f for f in fit if f is not None}:
                 rows = np.flatnonzero(fit == lang)
-                for i in range(0, len(rows), 512):
-                    at = rows[i : i + 512]
-                    topics[at] = [f"t{j}" for j in centres[lang].likeness(_dense(xs.take(pa.array(at)))).argmax(axis=1)]
+                for i, x in _pieces(xs.take(pa.array(rows))):
+                    topics[rows[i : i + len(x)]] = [f"t{j}" for j in centres[lang].likeness(x).argmax(axis=1)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "key", "source", "lang")), pa.array(topics, pa.string()), b.column("tokens")], ["doc_id", "key", *MARGINS, "tokens"])
 
     return name

@@ -43,8 +43,8 @@ _POW, _INV = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
 
 
 def slices(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """UTF-8 bytes, offsets and validity of an Arrow string column, without copies."""
-    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    """Bytes (UTF-8), offsets and validity of an Arrow string or binary column, without copies."""
+    kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
     _, offsets, data = column.buffers()
     off = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, kind)
     buf = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)

@@ -3,11 +3,13 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -317,6 +319,67 @@ def test_topics_are_fitted_on_every_text_however_rows_are_dealt(spark):
     assert np.array_equal(one["en"].at, two["en"].at) and np.array_equal(one["en"].mean, two["en"].mean) and len(one["en"].at) == mixing.TOPICS
 
 
+def test_vectors_are_worked_on_without_their_zeros():
+    """Sums of rows, products and distances equal those of dense rows; a pass holds a few values for each word, not ``DIM`` for each row."""
+    rng = np.random.default_rng(4)
+    dense = np.zeros((600, mixing.DIM))
+    for i in range(600):
+        if i % 50 != 7:  # some rows are empty
+            dense[i, rng.choice(mixing.DIM, rng.integers(1, 30), replace=False)] = rng.integers(1, mixing.GRID, 1)
+    x = pa.array([np.stack([np.flatnonzero(r), r[r > 0]]).astype("<u2").tobytes() for r in dense], pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array(["en", "fr", "fr"] * 200), pa.array(range(600), pa.int64()), x], ["fit", "key", "x"])
+    list(mixing._chunks([batch.slice(0, 2)]))
+    tracemalloc.start()
+    got = list(mixing._chunks([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2e6
+    assert sorted(k for _, b, _ in got for k in b.column("key").to_pylist()) == list(range(600))
+    of = mixing.Centres(rng.integers(0, 99, mixing.DIM).astype(float), rng.integers(-999, 999, (5, mixing.DIM)).astype(float))
+    for lang, b, v in got:
+        want = dense[b.column("key").to_numpy()]
+        assert len(v) == len(want) and set(b.column("fit").to_pylist()) == {lang} and np.array_equal(v.sum(axis=0), want.sum(axis=0))
+        assert np.array_equal(of.likeness(v), (want - of.mean) @ of.at.T)
+        assert np.array_equal(of.distance(v), np.maximum(np.round(np.sqrt(((want - of.mean) ** 2).sum(axis=1))), 1))
+        group, weight = np.arange(len(v)) % 3, np.arange(len(v)) + 1.0
+        assert np.array_equal(v.sums(group, weight, 3), [(want * weight[:, None])[group == j].sum(axis=0) for j in range(3)])
+
+
+def test_pieces_keep_every_row_however_long_it_is(monkeypatch):
+    monkeypatch.setattr(mixing, "VALUES", 10)
+    sizes = [3, 0, 25, 10, 0, 0, 4, 4, 4, 1, 11, 0]
+    x = pa.array([np.stack([np.arange(n), np.full(n, i + 1)]).astype("<u2").tobytes() for i, n in enumerate(sizes)], pa.binary())
+    for column in (x, x.cast(pa.large_binary()), pa.concat_arrays([x, x]).slice(len(sizes))):
+        got = list(mixing._pieces(column))
+        assert [i for i, _ in got] == list(np.cumsum([0] + [len(v) for _, v in got]))[:-1]
+        assert [n for _, v in got for n in v.size] == sizes and all(v.size.sum() <= 10 or len(v) == 1 for _, v in got)
+        assert [float(y) for _, v in got for y in v.value] == [float(i + 1) for i, n in enumerate(sizes) for _ in range(n)]
+
+
+def test_first_centres_are_drawn_from_all_texts_without_a_pass_for_each(spark, monkeypatch):
+    """The early rows give the draws that going through all rows gives, also where they have none and all are gone through."""
+    rng = random.Random(8)
+    words = [f"{c}{i}word" for c in "abcdefgh" for i in range(25)]
+    rows = [(i, i * 7919, "s", "en" if i % 5 else "fr", "(none)", " ".join(rng.choice(words[25 * (i % 8) :][:30]) for _ in range(15))) for i in range(3000)]
+    rows += [(i, i * 7919, "s", "de", "(none)", "gleicher text hier") for i in range(3000, 3050)]  # one vector: all draws but the first find nothing
+    measured = spark.createDataFrame(rows, "doc_id long, key long, source string, lang string, topic string, text string").mapInArrow(mixing._measured(True), "doc_id long, key long, source string, lang string, topic string, tokens long, x binary")
+    vectors = measured.selectExpr("lang AS fit", "key", "x").cache()
+    some = vectors.where("fit <> 'de'")
+    passes, through = [], type(vectors).mapInArrow
+    monkeypatch.setattr(type(vectors), "mapInArrow", lambda self, *a, **b: passes.append(1) or through(self, *a, **b))
+    fast = mixing.fit_topics(some)
+    few = len(passes)
+    monkeypatch.setattr(mixing, "EARLY", 1e-9)
+    slow = mixing.fit_topics(some)
+    assert len(passes) - few == few + mixing.TOPICS  # one for each draw
+    all_rows = mixing.fit_topics(vectors)
+    monkeypatch.setattr(mixing, "EARLY", 1e9)  # all rows are early
+    early = mixing.fit_topics(vectors)
+    for lang in ("en", "fr"):
+        assert all(np.array_equal(fast[lang].at, c[lang].at) for c in (slow, all_rows, early)) and len(fast[lang].at) == mixing.TOPICS
+    assert np.array_equal(all_rows["de"].at, early["de"].at)
+
+
 def test_topics_follow_the_vocabulary(spark):
     rng = random.Random(2)
     sets = [[f"{c}{i}word" for i in range(40)] for c in "abc"]
