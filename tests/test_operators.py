@@ -134,6 +134,13 @@ def test_crawl(spark):
     assert {r.kind for r in crawl.sitemap_rows(bodies).collect()} == {"sitemap", "url", "malformed"}
 
 
+def test_sitemaps_of_a_large_site_are_read_whole(spark, tmp_path):
+    from quillmark.plans import queries
+
+    spark.range(15_010).selectExpr("id AS page_id", "concat('https://www.h.example/', id) AS url").write.parquet(str(tmp_path / "pages.parquet"))
+    assert queries.QUERIES["sitemap_urls"](spark, str(tmp_path)).count() == 5003
+
+
 FIRES = "<html><head><title>Home</title></head><body><h2>a</h2><h4>b</h4><h1>x</h1><h1>y</h1><img src=i.png><a href='#'>p</a><a href='/q'>here</a><a href='/r'></a><a href='/s' target=_blank>s</a><a href='#no'>n</a><form><input></form>call (212) 555-0199</body></html>"
 CLEARS = (
     "<html lang=en><head><title>A fitting title</title><meta name=description content='" + "d" * 70 + "'><script type='application/ld+json'>{}</script></head><body><nav><input type=search></nav>"
