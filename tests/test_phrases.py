@@ -89,3 +89,29 @@ def test_tiers_claim_places_as_the_counts_do(spark):
         assert r.matched in r.context
     want = {r.page_id: [r.tier1, r.tier2, r.tier3] for r in compliance.phrase_tiers(df).collect()}
     assert counts == want and [r.matched for r in rows if r.page_id == 200] == ["DEI office", "diversity officer", "study of diversity"]
+
+
+def test_counts_by_tier_take_one_pass(spark):
+    rows = [(i, t) for i, t in enumerate(["the DEI office", None, "", "roads", "diversity in diversity in art", "research on diversity in diversity in art", "diversity in \u00a0", "diversity in ,", "DEI " * 3] * 700)]
+    got = {r.page_id % 9: (r.tier1, r.tier2, r.tier3) for r in compliance.phrase_tiers(spark.createDataFrame(rows, "page_id long, text string")).collect()}
+    assert got == {0: (1, 0, 0), 4: (0, 0, 1), 5: (0, 0, 1), 6: (0, 0, 1), 8: (0, 3, 0)}
+    plan = compliance.phrase_tiers(spark.createDataFrame(rows, "page_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "regexp_extract_all" not in plan
+
+
+def test_counts_by_tier_equal_regular_expressions(spark):
+    rng = random.Random(3)
+    parts = ["DEI", "dei office", "dei program", "chief", "diversity", "officer", "office of", "and", "inclusion", "equity", "diversity in", "study of", "research on", "art", ",", ".", "\u00a0", "\u212a", "\n", "İ"]
+    rows = [(i, " ".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))) for i in range(400)]
+    want = {}
+    for page, text in rows:
+        taken, n = [], [0, 0, 0]
+        for tier, listed in enumerate(compliance.PHRASE_TIERS):
+            for p in listed:
+                for m in re.finditer(r"[^\s,.;]+".join(re.escape(x) for x in p.split("[field]")), text, re.I | re.A):
+                    if not any(m.start() < z and a < m.end() for a, z in taken):
+                        taken.append(m.span())
+                        n[tier] += 1
+        if any(n):
+            want[page] = tuple(n)
+    assert {r.page_id: (r.tier1, r.tier2, r.tier3) for r in compliance.phrase_tiers(spark.createDataFrame(rows, "page_id long, text string")).collect()} == want
