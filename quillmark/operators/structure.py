@@ -66,37 +66,55 @@ def navigation_text(elements: DataFrame) -> DataFrame:
     return elements.groupBy("page_id").agg(told(nav).alias("nav_text"), told(alt).alias("alt_text")).where("nav_text <> '' OR alt_text <> ''")
 
 
+#: What the forms of a page are read from: tags and columns of elements.
+FORM_TAGS = ("form", "label", "input", "select", "textarea")
+FORM_COLUMNS = ("page_id", "pos", "in_form", "in_label", "tag", "id", "name", "type", "label", "target_for", "placeholder", "action", "method", "attrs", "text")
+_IS_FIELD = "tag IN ('input', 'select', 'textarea')"
+
+
+def _labelled(elements: DataFrame) -> DataFrame:
+    """Forms and their fields (page_id, form, pos, tag, name, required, type, label, field, action, method): field counts the fields of a form and is null for the form.
+
+    The elements go by page once; all that follows is within a page.
+    """
+    rows = elements.where(f"tag IN ('form', 'label') OR {_IS_FIELD} AND in_form IS NOT NULL").select(*FORM_COLUMNS).repartition("page_id")
+    is_label, is_field = F.col("tag") == "label", F.expr(_IS_FIELD)
+    # a label meets its fields under the id that it names, and those inside it under its place
+    aim = F.when(is_label, F.when(F.col("target_for") != "", F.col("target_for"))).otherwise(F.when(is_field & (F.col("id") != ""), F.col("id")))
+    around = F.when(is_label, F.col("pos")).otherwise(F.when(is_field, F.col("in_label")))
+    rows = rows.withColumns({"_aim": aim, "_in": around})
+    rows = rows.withColumn("_aimed", F.min(F.when(is_label & F.col("_aim").isNotNull(), F.struct("pos", "text"))).over(W.partitionBy("page_id", "_aim"))["text"])
+    rows = rows.withColumn("_around", F.max(F.when(is_label, F.col("text"))).over(W.partitionBy("page_id", "_in"))).where(~is_label)
+    found = F.coalesce(*[F.when(F.trim(c) != "", F.col(c)) for c in ("_aimed", "_around", "label", "placeholder", "name", "id")], F.lit(""))
+    before = W.partitionBy("page_id", "form").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumns({
+        "label": F.substring(F.trim(F.regexp_replace(found, r"\s+", " ")), 1, 120), "required": F.expr("contains(attrs, ' required ') OR contains(attrs, ' aria-required=true ')"),
+        "type": F.coalesce(F.when(F.col("type") != "", F.col("type")), "tag"), "form": F.when(is_field, F.col("in_form")).otherwise(F.col("pos")),
+    })
+    return rows.withColumn("field", F.when(is_field, F.count_if(is_field).over(before).cast("int"))).select("page_id", "form", "pos", "tag", "name", "required", "type", "label", "field", "action", "method")
+
+
 def form_fields(elements: DataFrame) -> DataFrame:
-    """C4: the fields of forms (page_id, form, pos, field, name, label, required, type).
+    """C4: the fields of forms (page_id, form, pos, name, required, type, label, field).
 
     The label is the first that is not empty of: a label for the field's id, a label
-    around it, aria-label, placeholder, name, id. The candidates of one field are rows
-    with a rank, and one aggregate takes the least.
+    around it, aria-label, placeholder, name, id.
     """
-    fields = elements.where("tag IN ('input', 'select', 'textarea') AND in_form IS NOT NULL")
-    labels = elements.where("tag = 'label'")
-    first = labels.where("target_for <> ''").groupBy("page_id", "target_for").agg(F.min_by("text", "pos").alias("t"))
-    aimed = fields.where("id <> ''").join(first.withColumnRenamed("target_for", "id"), ["page_id", "id"]).select("page_id", "pos", F.lit(0).alias("r"), "t")
-    around = fields.join(labels.select("page_id", F.col("pos").alias("in_label"), F.col("text").alias("t")), ["page_id", "in_label"]).select("page_id", "pos", F.lit(1).alias("r"), "t")
-    own = F.posexplode(F.array("label", "placeholder", "name", "id")).alias("k", "t")
-    candidates = aimed.unionByName(around).unionByName(fields.select("page_id", "pos", own).select("page_id", "pos", (F.col("k") + 2).alias("r"), "t")).where("trim(t) <> ''")
-    best = candidates.groupBy("page_id", "pos").agg(F.min_by("t", "r").alias("label"))
-    required = F.expr("contains(attrs, ' required ') OR contains(attrs, ' aria-required=true ')")
-    rows = fields.select("page_id", F.col("in_form").alias("form"), "pos", "name", required.alias("required"), F.coalesce(F.when(F.col("type") != "", F.col("type")), "tag").alias("type")).join(best, ["page_id", "pos"], "left")
-    label = F.substring(F.trim(F.regexp_replace(F.coalesce("label", F.lit("")), r"\s+", " ")), 1, 120)
-    return rows.withColumn("label", label).withColumn("field", F.row_number().over(W.partitionBy("page_id", "form").orderBy("pos")))
+    return _labelled(elements).where("field IS NOT NULL").select("page_id", "form", "pos", "name", "required", "type", "label", "field")
 
 
 def page_forms(elements: DataFrame, most_names: int = 50, most_fields: int = 30) -> DataFrame:
-    """C4: each form of a page: action, method, names (the first 50), n_fields, sensitive (types, in order of their names) and fields (the first 30 with label, required and type)."""
-    told = form_fields(elements).groupBy("page_id", F.col("form").alias("pos")).agg(
-        F.count("*").alias("n_fields"),
-        F.array_sort(F.collect_set(F.when(F.col("type").isin(SENSITIVE), F.col("type")))).alias("sensitive"),
-        F.slice(F.array_sort(F.collect_list(F.when(F.col("name") != "", F.struct("field", "name")))), 1, most_names)["name"].alias("names"),
+    """C4: each form of a page: action, method, n_fields, sensitive (types, in order of their names), names (the first 50) and fields (the first 30 with label, required and type)."""
+    is_field, form = F.col("field").isNotNull(), F.struct("action", "method")
+    per = _labelled(elements).groupBy("page_id", F.col("form").alias("pos")).agg(
+        F.count_if(is_field).alias("n_fields"), F.max(F.when(~is_field, form)).alias("f"),
+        F.array_sort(F.collect_set(F.when(is_field & F.col("type").isin(SENSITIVE), F.col("type")))).alias("sensitive"),
+        F.slice(F.array_sort(F.collect_list(F.when(is_field & (F.col("name") != ""), F.struct("field", "name")))), 1, most_names)["name"].alias("names"),
         F.array_sort(F.collect_list(F.when(F.col("field") <= most_fields, F.struct("field", "label", "required", "type")))).alias("fields"),
-    )
-    forms = elements.where("tag = 'form'").select("page_id", "pos", F.substring(F.coalesce("action", F.lit("")), 1, 300).alias("action"), F.lower(F.coalesce(F.when(F.col("method") != "", F.col("method")), F.lit("get"))).alias("method"))
-    return forms.join(told, ["page_id", "pos"], "left").withColumn("n_fields", F.coalesce("n_fields", F.lit(0)))
+    ).where("f IS NOT NULL")
+    some = lambda c: F.when(F.col("n_fields") > 0, F.col(c)).alias(c)
+    action, method = F.substring(F.coalesce("f.action", F.lit("")), 1, 300), F.lower(F.coalesce(F.when(F.col("f.method") != "", F.col("f.method")), F.lit("get")))
+    return per.select("page_id", "pos", action.alias("action"), method.alias("method"), "n_fields", some("sensitive"), some("names"), some("fields"))
 
 
 def form_findings(forms: DataFrame) -> DataFrame:

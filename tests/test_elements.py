@@ -1,5 +1,7 @@
 """Element checks on hand-written pages: each rule fires on one element and not on its good twin."""
 
+import random
+
 import pytest
 
 from quillmark.operators import elements as E
@@ -67,3 +69,21 @@ def test_page_findings_read_references_as_their_sql_does(spark, tmp_path):
     spark.createDataFrame([(1, "http://h/", html)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     got = {(r.rule_id, r.detail) for r in queries.QUERIES["page_findings"](spark, str(tmp_path)).collect()}
     assert {("headings_review", "cut &&amp"), ("page-title", "cut &&amp"), ("consistent_identification", "more&amp")} <= got
+
+
+def test_plain_pages_need_no_parser_and_read_alike():
+    rng = random.Random(2)
+    bits = ["<p>", "</p>", '<P class="a&amp;b">', "<b x>", "<b x='1'>", "<form>", "</form>", '<label for="q">', "</label>", '<input name="a>b" required>', "<br>", "<br/>", "a < b", "&amp;", "&amp", "text", " \n ", "<script>x<b>&amp;</script>"]
+    bits += ["<style>a", "</ p>", "</p x>", "<!-- c -->", '<img src="">', '<a b="c"d="e">', '<a  b="c">', "</div>", "<div hidden >", "<x:y>", "<", ">", "<noscript>", "</noscript>", '<i tabindex="3" aria-hidden="TRUE">', '<a b="1" b="2">']
+    plain = 0
+    for _ in range(4000):
+        html = "".join(rng.choice(bits) for _ in range(rng.randint(0, 9)))
+        quick, slow = E._Rows(texts=True), E._Rows(texts=True)
+        quick.take(html)
+        slow.feed(html)
+        slow.close()
+        assert (quick.rows, quick.texts, quick.said) == (slow.rows, slow.texts, slow.said), html
+        plain += quick.get_starttag_text() is None and bool(quick.rows)
+        some = [{k: r[k] for k in ("pos", "tag", "text")} for r in E.page_elements(html) if r["tag"] in ("p", "label")]
+        assert some == [{k: r[k] for k in ("pos", "tag", "text")} for r in E.page_elements(html, tags=("p", "label"), columns=("pos", "tag", "text"))]
+    assert plain > 300

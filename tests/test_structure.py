@@ -57,6 +57,19 @@ def test_labels_fall_back_in_order(rows):
     assert {(r.rule_id, r.forms, r.sensitive) for r in S.form_findings(S.page_forms(rows[0])).collect()} == {("form_data_review", 2, "email,password,tel"), ("forms_inventory", 2, "email,password,tel")}
 
 
+def test_forms_go_by_page_once(spark):
+    rows = E.parse_elements(spark.createDataFrame([(1, FORM), (2, FORM + FORM)], "page_id long, html string"), tags=S.FORM_TAGS, columns=S.FORM_COLUMNS)
+    for df, n in ((S.form_fields(rows), 24), (S.page_forms(rows), 6), (S.form_findings(S.page_forms(rows)), 4)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and plan.count("MapInArrow") == 1 and df.count() == n
+
+
+def test_fields_without_a_label_of_their_own(spark):
+    html = "<form><label for=b>one</label><label for=b>two</label><label>  <input id=b name=n><input name=k></label><label for=>x</label><input id=></form><form><label for=z></label><label>in <textarea id=z></textarea></label></form><label for=b>late</label><select id=b></select>"
+    rows = E.parse_elements(spark.createDataFrame([(1, html), (2, html)], "page_id long, html string"))
+    assert [(r.page_id, r.field, r.label) for r in S.form_fields(rows).orderBy("page_id", "pos").collect()] == [(p, n, x) for p in (1, 2) for n, x in ((1, "one"), (2, "k"), (3, ""), (1, "in"))]
+
+
 def test_media_counts_in_the_main_part_only(spark):
     words = "word " * 20
     pages = [(1, f"<body><main>{words}</main><video></video></body>"), (2, f"<body><main>{words}<iframe></iframe></main></body>"), (3, f"<body>{words}<canvas></canvas></body>"), (4, "<body>" + "".join(f"<h1>h{i}</h1>" for i in range(7)) + "</body>")]
