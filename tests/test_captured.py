@@ -50,6 +50,26 @@ def test_target_spacing(spark):
     assert {(r.target_id, r.distance, r.manual_review) for r in near.collect()} == {(1, 23.5, False), (2, 23.5, True), (3, 10.0, False)}
 
 
+def test_target_spacing_equals_all_pairs(spark):
+    import math
+    import random
+
+    rng = random.Random(4)
+    rows = [(p, i, rng.uniform(-200, 200), rng.choice([-96.0, -24.0, 0.0, 95.9]) + rng.random(), rng.choice([8.0, 30.0]), rng.choice([8.0, 30.0]), rng.choice(["A", "INPUT", "DIV"]), "inline", rng.choice(["P", "DIV"])) for p in range(3) for i in range(120)]
+    rows.append((0, 999, None, 0.0, 8.0, 8.0, "DIV", "block", "P"))
+    at = {(r[0], r[1]): (r[2] + r[4] / 2, r[3] + r[5] / 2) for r in rows if r[2] is not None}
+    want = {}
+    for p, i, *_, w, h, tag, _, up in rows:
+        if (p, i) in at and min(w, h) < 24 and not (tag == "A" and up == "P"):
+            d = min((math.dist(at[p, i], at[q]) for q in at if q[0] == p and q != (p, i)), default=99.0)
+            if d < 24:
+                want[p, i] = (round(d, 6), tag == "INPUT")
+    found = C.target_size(spark.createDataFrame(rows, "page_id long, target_id long, x double, y double, width double, height double, tag string, display string, parent_tag string"))
+    assert {(r.page_id, r.target_id): (round(r.distance, 6), r.manual_review) for r in found.collect()} == want and len(want) > 50
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "parent_tag" not in plan and "[-1" not in plan  # the boxes were computed before, and no box goes to nine cells
+
+
 def test_pdf_score(spark):
     schema = "url string, pages int, title string, lang string, marked boolean, has_bookmarks boolean, has_text boolean, font_size_spread double, garbled_ratio double, error string"
     info = spark.createDataFrame([("a", 1, "", "en", False, False, True, None, 0.0, None), ("b", 1, "t", "en", True, True, True, 3.0, 0.0, "bad")], schema)
